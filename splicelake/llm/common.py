@@ -52,3 +52,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """`body(value)` with `value` bound to a lambda variable, so that it is evaluated once a row
     however often, and in whatever inner lambda, `body` uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def by_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """`docs` less or only the rows whose doc_id is in `ids` (left_anti or left_semi); all columns stay as they are."""
+    return docs.alias("_docs").join(ids.select("doc_id").distinct().alias("_ids"), F.col("_docs.doc_id") == F.col("_ids.doc_id"), how)

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, let
+from .common import LOWER, UPPER, by_id, let
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 13
@@ -48,14 +48,14 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
 def _found(docs: DataFrame, known: list, lengths: list[int]) -> DataFrame:
     """doc_id, key, n_words, hits (pos, len, wtext): each document scanned in its row against a literal set."""
 
+    def of_length(w: Column, n: int) -> Column:
+        hashes = [h for m, h in known if m == n]
+        at = F.transform(_starts(w, n), lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice(w, i, n)).alias("h")))
+        inside = F.filter(at, lambda x: x["h"].isin(hashes))
+        return F.transform(inside, lambda x: F.struct(x["pos"].alias("pos"), F.lit(n).alias("len"), F.array_join(F.slice(w, x["pos"], n), " ").alias("wtext")))
+
     def scan(w: Column) -> Column:
-        per_length = []
-        for n in lengths:
-            hashes = [h for m, h in known if m == n]
-            at = F.transform(_starts(w, n), lambda i, n=n: F.struct(i.alias("pos"), F.xxhash64(F.slice(w, i, n)).alias("h")))
-            inside = F.filter(at, lambda x, hashes=hashes: x["h"].isin(hashes))
-            per_length.append(F.transform(inside, lambda x, n=n: F.struct(x["pos"].alias("pos"), F.lit(n).alias("len"), F.array_join(F.slice(w, x["pos"], n), " ").alias("wtext"))))
-        hits = F.concat(*per_length) if per_length else F.array().cast("array<struct<pos:int,len:int,wtext:string>>")
+        hits = F.concat(*[of_length(w, n) for n in lengths]) if lengths else F.array().cast("array<struct<pos:int,len:int,wtext:string>>")
         return F.struct(F.size(w).cast("long").alias("n_words"), hits.alias("hits"))
 
     return docs.select("doc_id", F.xxhash64("text").alias("key"), let(words(F.col("text")), scan).alias("r")).select("doc_id", "key", "r.*")
@@ -64,10 +64,11 @@ def _found(docs: DataFrame, known: list, lengths: list[int]) -> DataFrame:
 def _found_shuffled(docs: DataFrame, grams: DataFrame, lengths: list[int]) -> DataFrame:
     """As `_found`, for a benchmark of any size: windows are exploded and semi-joined by their hash."""
     base = docs.select("doc_id", F.xxhash64("text").alias("key"), words(F.col("text")).alias("w"))
-    every = let(
-        F.col("w"),
-        lambda w: F.concat(*[F.transform(_starts(w, n), lambda i, n=n: F.struct(i.alias("pos"), F.lit(n).alias("len"), F.xxhash64(F.slice(w, i, n)).alias("h"))) for n in lengths]),
-    )
+
+    def of_length(w: Column, n: int) -> Column:
+        return F.transform(_starts(w, n), lambda i: F.struct(i.alias("pos"), F.lit(n).alias("len"), F.xxhash64(F.slice(w, i, n)).alias("h")))
+
+    every = let(F.col("w"), lambda w: F.concat(*[of_length(w, n) for n in lengths]))
     at = (
         base.select("doc_id", "key", F.explode(every).alias("x"))
         .select("doc_id", "key", "x.*")
@@ -112,5 +113,5 @@ def judged(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, percent:
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that aren't contaminated, with all their columns."""
-    bad = judged(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("_bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"] == F.col("_bad_id"), "left_anti")
+    bad = judged(docs, benchmark).filter("contaminated").select("doc_id")
+    return by_id(docs, bad, "left_anti")

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, materialise
+from .common import by_id, let, materialise
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
@@ -121,5 +121,5 @@ def judge(docs: DataFrame, min_words: int = 20, max_repeat_percent: int = 30) ->
 
 def filter_documents(docs: DataFrame) -> DataFrame:
     """The documents that `judge` keeps, with all their columns; rows without an id are judged by no one and go."""
-    good = judge(docs).filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(good, docs["doc_id"] == F.col("_kept_id"), "left_semi")
+    good = judge(docs).filter("kept").select("doc_id")
+    return by_id(docs, good, "left_semi")
