@@ -35,7 +35,7 @@ GRAM = 64
 SYMBOL = 8
 MAX_GROUP = 2000
 #: Bytes of contexts that one transform is made over; a group larger than this is alone in its.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 18
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)]
 
 
@@ -74,24 +74,29 @@ def anchors(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return h[(least[first] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)], first, np.append(first[1:], len(least)) - 1
 
 
-def suffix_array(text: np.ndarray, limit: int) -> np.ndarray:
-    """Order of all suffixes of `text` (distinct large values end its parts), by prefix doubling up to `limit` symbols."""
-    rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
-    n, width = len(text), 1
-    order = np.argsort(rank, kind="stable")
-    while width < limit:
-        second = np.zeros(n, np.int64)
-        second[: n - width] = rank[width:] + 1 if width < n else 0
-        key = rank * (n + 1) + second
-        order = np.argsort(key, kind="stable")
-        sorted_key = key[order]
-        new = np.concatenate(([0], np.cumsum(sorted_key[1:] != sorted_key[:-1])))
+def suffix_array(first: np.ndarray, width: int) -> np.ndarray:
+    """Order of all suffixes, by prefix doubling from `first`: a key that orders and tells apart all strings of
+    `width` symbols. Some string in each part of the text must be its only one, so that doubling ends."""
+    n = len(first)
+    order = np.argsort(first)
+    while True:
+        key = first[order]
+        new = np.empty(n, bool)
+        new[0] = False
+        np.not_equal(key[1:], key[:-1], out=new[1:])
+        sorted_rank = np.cumsum(new)
+        if sorted_rank[-1] == n - 1:
+            return order
         rank = np.empty(n, np.int64)
-        rank[order] = new
+        rank[order] = sorted_rank
+        first = rank * (n + 1)
+        first[: n - width] += rank[width:] + 1
+        # Suffixes already told apart stay; only stretches of equal ones are sorted, all at once.
+        alone = np.append(new[1:], True) & np.concatenate(([True], new[1:]))
+        tied = np.flatnonzero(~alone)
+        part = order[tied]
+        order[tied] = part[np.argsort(first[part])]
         width *= 2
-        if new[-1] == n - 1:
-            break
-    return order
 
 
 def repeated_windows(contexts: list[bytes], length: int) -> list[np.ndarray]:
@@ -104,17 +109,19 @@ def repeated_windows(contexts: list[bytes], length: int) -> list[np.ndarray]:
         text[s : s + len(c)] = np.frombuffer(c, np.uint8)
     ends = starts + sizes
     text[ends] = 256 + np.arange(len(contexts))  # each end differs from all else
-    order = suffix_array(text, int(sizes.max(initial=1)) + 2)
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
     # The transform with symbols of 8 bytes: what stands before each suffix, and where that longer suffix is in order.
-    before = np.full(n, -1, np.int64)  # at a context's start, or too near to it: no symbol
-    room = np.zeros(n, np.int64)
     context = np.repeat(np.arange(len(contexts)), sizes + 1)
     room = np.arange(n) - starts[context]
     packed = np.zeros(n, np.uint64)
     for k in range(SYMBOL):
         packed[: n - k] |= (text[k:] & 255).astype(np.uint64) << np.uint64(8 * (SYMBOL - 1 - k))
+    # Suffixes that reach their context's end within a symbol differ from all others: their own keys, after the rest.
+    ending = np.flatnonzero(sizes[context] - room < SYMBOL)
+    key = np.unique(packed, return_inverse=True)[1].astype(np.int64)
+    key[ending] = n + np.arange(len(ending))
+    order = suffix_array(key, SYMBOL)
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
     whole = room >= SYMBOL
     symbol = np.zeros(n, np.uint64)
     symbol[np.flatnonzero(whole)] = packed[np.flatnonzero(whole) - SYMBOL]
@@ -201,6 +208,7 @@ def spans(docs: DataFrame, length: int = 400) -> DataFrame:
 
     found = materialise(texts.select("row", "text").mapInArrow(find, "anchor long, row string, at int, upto int").distinct(), "repeats-anchors")
     often = found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
+    often = materialise(often, "repeats-often")  # joined as a table, a very frequent anchor's rows can be split
     places = found.join(often, "anchor", "left_semi").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "upto", "anchor"))).alias("places"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +230,7 @@ def spans(docs: DataFrame, length: int = 400) -> DataFrame:
     size = merged.groupBy("anchor").agg(F.count("*").alias("different"))
     # Equal contexts are known to repeat; they matter further only where others share their anchor.
     whole = merged.filter("n > 1").select("anchor", "key", F.lit(0).alias("a"), (F.length("context") - length).alias("z"))
-    several = size.filter("different > 1")
+    several = materialise(size.filter("different > 1"), "repeats-several")
     met = merged.select("anchor", "key", "context").join(several, "anchor")
     parts = _by_transform(met.filter(F.col("different") <= MAX_GROUP).drop("different"), length).union(_by_hash(met.filter(F.col("different") > MAX_GROUP).drop("different"), length))
     hits = whole.union(parts)
