@@ -5,11 +5,13 @@ samples, each with its index, are folded into a parity bitmap (odd sketch) whose
 in how many samples two documents differ. Candidates that the sketch rules out (at odds far below one in a
 billion for a pair at the threshold) are dropped at once; the others are confirmed on their full sets.
 
-A bucket never gives all its pairs. First each member is paired with the bucket's smallest id (a star);
-confirmed links give components. Then only members that the star left in another component than the
-bucket's pivot are compared with the members of other components, after a count that bounds the work: while
-it is too large, one more pivot a bucket takes its turn. So no link that could join two components is lost.
-Equal sets are one document until the end, so copies cost nothing but the final join.
+A bucket never gives all its pairs. First each member is paired with the bucket's most central one, which
+shares the largest buckets (a star); confirmed links give components. Then only members that the star left
+in another component than the bucket's pivot are looked at again: in buckets of up to `SMALL` members
+beside all members of other components; in larger ones by an exact prefix filter, that is on sharing one of
+a document's rarest shingles, of which a pair at the threshold must share one. A member that is too far
+from its pivot has rare shingles enough, so this doesn't pair it with the group. No link that could join
+two components is lost. Equal sets are one document until the end, so copies cost but the final join.
 
 A pair at similarity 0.8 shares no band with probability (1 - 0.8**4)**30 < 2e-7.
 
@@ -29,12 +31,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_id, materialise
+from .common import by_id, discard, materialise
 
 ROWS, BANDS = 4, 30
 SKETCH_WORDS = 16  # of 64 bits
-#: Residual pairs that one round may look at, for each row of the bucket table.
-PAIRS_A_ROW = 4
+#: Members of buckets in which those that the star left are compared with all others.
+SMALL = 16
 _K = np.uint64(0x9E3779B97F4A7C15)
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(1, 1 << 63, ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -88,7 +90,7 @@ def odd_sketch(samples: np.ndarray) -> np.ndarray:
     return np.packbits(odd, bitorder="little").view(np.uint64)
 
 
-def most_differing(threshold: float, sigmas: float = 7.0) -> int:
+def most_differing(threshold: float, sigmas: float = 6.0) -> int:
     """XOR bits beyond which a pair at `threshold` is out of the question: two for each sample that differs, at most."""
     n = ROWS * BANDS
     return int(2 * (n * (1 - threshold) + sigmas * (n * threshold * (1 - threshold)) ** 0.5) + 1)
@@ -124,7 +126,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _confirm(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """a, b, of the pairs whose full sets are similar enough. Each set travels to its pairs' tasks; none is collected."""
+    """a, b, of the pairs whose full sets are similar enough, written; `pairs` goes. Each set travels to its pairs' tasks; none is collected."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Shingler(width)
@@ -146,7 +148,9 @@ def _confirm(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Dat
     own = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(need, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, set binary"), "dedup-sets")
     with_b = pairs.join(own.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b")), "b")
     both = with_b.join(own.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), "a").select("a", "b", "set_a", "set_b")
-    return both.mapInArrow(check, "a long, b long").distinct()
+    links = materialise(both.mapInArrow(check, "a long, b long").distinct(), "dedup-links")
+    discard(own, pairs)
+    return links
 
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:
@@ -157,14 +161,17 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     """
     both = materialise(links.select("a", "b").union(links.select("b", "a")).distinct(), f"{name}-links")
     label = materialise(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "id"), name)
+    label_written = label
     while True:
         near = both.join(label, F.col("b") == F.col("id")).groupBy("a").agg(F.min("label").alias("near"))
         better = label.join(near, F.col("id") == F.col("a"), "left").select("id", "label", F.least("label", F.coalesce("near", "label")).alias("new"))
         jump = label.select(F.col("id").alias("j"), F.col("label").alias("far"))
         after = materialise(better.join(jump, F.col("new") == F.col("j"), "left").select("id", "label", F.least("new", F.coalesce("far", "new")).alias("new")), name)
         if after.filter("new < label").isEmpty():
+            discard(both)
             return after.select("id", F.col("new").alias("component"))
-        label = after.select("id", F.col("new").alias("label"))
+        discard(label_written)
+        label_written, label = after, after.select("id", F.col("new").alias("label"))
 
 
 def _candidates(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -184,38 +191,59 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     sketches = materialise(reps.select("doc_id", "set_key", "n_shingles", "bands", "sketch").dropDuplicates(["doc_id", "set_key"]), "dedup-reps")
     # One id may stand for several sets if its rows repeat with other texts: its sets are then one node.
     buckets = sketches.select(F.explode("bands").alias("bucket"), "doc_id").distinct()
-    pivots = buckets.groupBy("bucket").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("members")).filter("members > 1")
-    members = materialise(buckets.join(pivots, "bucket"), "dedup-buckets")
-    star = members.filter("doc_id != pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
-    source = by_id(docs.select("doc_id", "text"), sketches, "left_semi")
-    links = materialise(_confirm(source, materialise(_candidates(star, sketches, percent), "dedup-star"), width, percent), "dedup-links")
+    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
+    shared = materialise(buckets.join(sizes, "bucket"), "dedup-shared")
+    central = shared.groupBy("doc_id").agg(F.sum("members").alias("central"))
+    ranked = shared.join(central, "doc_id")
+    pivots = ranked.groupBy("bucket").agg(F.max(F.struct("central", (-F.col("doc_id")).alias("minus"))).alias("top")).select("bucket", (-F.col("top.minus")).alias("pivot"))
+    members = materialise(shared.join(pivots, "bucket"), "dedup-buckets")
+    star = members.filter("doc_id != pivot").select(F.least("pivot", "doc_id").alias("a"), F.greatest("pivot", "doc_id").alias("b")).distinct()
+    source = by_id(docs.select("doc_id", "text"), shared, "left_semi")
+    links = _confirm(source, materialise(_candidates(star, sketches, percent), "dedup-star"), width, percent)
     found = components(links)
-    done = 1
-    while True:
-        of = found.select(F.col("id").alias("doc_id"), "component")
-        now = members.join(of, "doc_id", "left").select("bucket", "doc_id", "pivot", "members", F.coalesce("component", "doc_id").alias("component"))
-        now = now.join(of.select(F.col("doc_id").alias("pivot"), F.col("component").alias("pivot_component")), "pivot", "left")
-        left = now.filter(F.col("component") != F.coalesce("pivot_component", "pivot"))
-        left = materialise(left.select("bucket", "doc_id", "component", "members"), "dedup-left")
-        sums = left.agg(F.sum("members").alias("pairs"), F.count_distinct("bucket").alias("n")).first()
-        if not sums["n"]:
-            break
-        budget = PAIRS_A_ROW * members.count()
-        last = sums["pairs"] <= budget
-        turn = left.withColumn("turn", F.expr("row_number() over (partition by bucket order by doc_id)"))
-        ours = (left if last else turn.filter(F.col("turn") <= F.greatest(F.lit(1.0), F.lit(float(budget)) / (F.col("members") * sums["n"])))).select("bucket", F.col("doc_id").alias("x"), F.col("component").alias("cx"))
-        pairs = ours.join(now.select("bucket", F.col("doc_id").alias("y"), F.col("component").alias("cy")), "bucket").filter("cx != cy")
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        fresh = _confirm(source, materialise(_candidates(pairs, sketches, percent), "dedup-more"), width, percent)
-        links = materialise(links.union(fresh).distinct(), "dedup-links")
-        found = components(links)
-        done += 1
-        if last:
-            break
-        members = materialise(members.join(ours.select("bucket", F.col("x").alias("doc_id")), ["bucket", "doc_id"], "left_anti"), "dedup-buckets")
+    of = found.select(F.col("id").alias("doc_id"), "component")
+    now = members.join(of, "doc_id", "left").select("bucket", "doc_id", "pivot", "members", F.coalesce("component", "doc_id").alias("component"))
+    now = now.join(of.select(F.col("doc_id").alias("pivot"), F.col("component").alias("pivot_component")), "pivot", "left")
+    now = materialise(now.withColumn("left", F.col("component") != F.coalesce("pivot_component", "pivot")).drop("pivot", "pivot_component"), "dedup-now")
+    x = now.filter(F.col("left") & (F.col("members") <= SMALL)).select("bucket", F.col("doc_id").alias("x"), F.col("component").alias("cx"))
+    y = now.filter(F.col("members") <= SMALL).select("bucket", F.col("doc_id").alias("y"), F.col("component").alias("cy"))
+    pairs = x.join(y, "bucket").filter("cx != cy").select("x", "y").union(_by_rare_shingles(source, now, width, percent))
+    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    more = _confirm(source, materialise(_candidates(pairs, sketches, percent), "dedup-rest"), width, percent)
+    if not more.isEmpty():
+        found = components(links.union(more))
+    discard(sketches, shared, members, now, links, more)
     return _finish(signed, same, found)
 
 
+def _by_rare_shingles(source: DataFrame, now: DataFrame, width: int, percent: int) -> DataFrame:
+    """x, y of different components, x left by the star in a large bucket: pairs that share one of both's rarest shingles.
+
+    Of two sets at the threshold, each shares all but the rest of its (100 - percent) % rarest with the other, so in an
+    order common to all (by frequency among these documents, then hash) their beginnings of that length and one meet.
+    """
+    large = now.filter(F.col("members") > SMALL)
+    concerned = large.join(large.filter("left").select("bucket").distinct(), "bucket", "left_semi")
+    ids = materialise(concerned.groupBy("doc_id").agg(F.max("left").alias("left"), F.min("component").alias("component")), "dedup-large")
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = Shingler(width)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([of(x.as_py()).view(np.int64) for x in b.column(1)], pa.list_(pa.int64()))], names=["doc_id", "s"])
+
+    own = by_id(source, ids, "left_semi").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(shingles, "doc_id long, s array<long>")
+    each = materialise(own.select("doc_id", F.size("s").alias("n"), F.explode("s").alias("s")), "dedup-shingles")
+    often = each.groupBy("s").agg(F.count("*").alias("f"))
+    ordered = each.join(often, "s").groupBy("doc_id", "n").agg(F.sort_array(F.collect_set(F.struct("f", "s"))).alias("all"))
+    first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    prefix = ordered.select("doc_id", F.explode(F.slice("all", F.lit(1), F.least(F.col("n"), first).cast("int"))).alias("p")).select("doc_id", "p.s").join(ids, "doc_id")
+    prefix = materialise(prefix, "dedup-prefixes")
+    discard(each)
+    x = prefix.filter("left").select("s", F.col("doc_id").alias("x"), F.col("component").alias("cx"))
+    y = prefix.select("s", F.col("doc_id").alias("y"), F.col("component").alias("cy"))
+    return x.join(y, "s").filter("cx != cy").select("x", "y").distinct()
+
+
 def _finish(signed: DataFrame, same: DataFrame, found: DataFrame) -> DataFrame:
     """Every document with the component of its set's smallest id."""
     rep = same.filter("n > 1").select("set_key", "rep")

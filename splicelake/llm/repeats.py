@@ -206,10 +206,10 @@ def spans(docs: DataFrame, length: int = 400) -> DataFrame:
                 at, to = (np.concatenate([x[k] for x in ats]).astype(np.int32) for k in (0, 1))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(rows, pa.string()), pa.array(at), pa.array(to)], names=["anchor", "row", "at", "upto"])
 
-    found = materialise(texts.select("row", "text").mapInArrow(find, "anchor long, row string, at int, upto int").distinct(), "repeats-anchors")
+    found = materialise(texts.select("row", "text").mapInArrow(find, "anchor long, row string, at int, upto int"), "repeats-anchors")
     often = found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
     often = materialise(often, "repeats-often")  # joined as a table, a very frequent anchor's rows can be split
-    places = found.join(often, "anchor", "left_semi").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "upto", "anchor"))).alias("places"))
+    places = found.join(often, "anchor", "left_semi").groupBy("row").agg(F.sort_array(F.collect_set(F.struct("at", "upto", "anchor"))).alias("places"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -105,8 +105,8 @@ def test_near_duplicates_across_pivots(spark):
     assert {d: (r["n_shingles"], r["component_id"]) for d, r in got.items()} == components(texts, 2)
 
 
-def test_near_duplicates_bounded_rounds(docs, texts, monkeypatch):
-    monkeypatch.setattr(near_dedup, "PAIRS_A_ROW", 0)
+def test_near_duplicates_by_rare_shingles(docs, texts, monkeypatch):
+    monkeypatch.setattr(near_dedup, "SMALL", 1)
     got = by_id(near_dedup.near_duplicates(docs, 2))
     assert {d: (r["n_shingles"], r["component_id"]) for d, r in got.items()} == components(texts, 2)
 
