@@ -135,7 +135,7 @@ def encode_run(t, text: str, leaf: int = LEAF) -> list[int]:
 
 
 class Encoder:
-    """Ids of runs, kept in a cache that is emptied when it is full.
+    """Ids of runs. The first `CACHE` ones that a process meets, the frequent ones among them, stay; later ones last a batch.
 
     New runs that are one word of letters, with a full stop or comma at most, are encoded in one call, parted by
     spaces: each is then one pre-token, so its ids end with the first id that bears the mark of a word's end.
@@ -143,6 +143,7 @@ class Encoder:
 
     def __init__(self, path: str) -> None:
         self.t, self.cache = tokenizer(path), {}
+        self.late: dict[str, tuple[int, str, str]] = {}
         self.tokens = [self.t.id_to_token(i) or "" for i in range(self.t.get_vocab_size())]
         self.ends = [x.endswith("</w>") for x in self.tokens]
         self.points = {p: self._one(p) for p in ".,"}
@@ -160,16 +161,16 @@ class Encoder:
                 start = k + 1
         if len(got) != len(words) or start != len(ids):  # a letter whose lower case isn't letters alone
             got = map(self._one, words)
-        self.cache.update(zip(words, got, strict=True))
+        self.new.update(zip(words, got, strict=True))
 
     def learn(self, runs: set[str]) -> None:
         cache = self.cache
-        if len(cache) > CACHE:
-            cache.clear()
-        if not (new := runs - cache.keys()):
+        self.late = {}
+        if not (todo := runs - cache.keys()):
             return
+        new = self.new = self.late if len(cache) >= CACHE else cache
         plain, other = {}, []
-        for r in new:
+        for r in todo:
             if r.isalpha():
                 plain[r] = r
             elif r[-1] in ".," and r[:-1].isalpha():
@@ -180,16 +181,29 @@ class Encoder:
             self._words(words)
         for r, w in plain.items():
             if r is not w:
-                (n, ids, text), (m, more, point) = cache[w], self.points[r[-1]]
-                cache[r] = (n + m, f"{ids} {more}", f"{text} {point}")
+                (n, ids, text), (m, more, point) = cache.get(w) or new[w], self.points[r[-1]]
+                new[r] = (n + m, f"{ids} {more}", f"{text} {point}")
         for r in other:
-            cache[r] = self._one(r)
+            new[r] = self._one(r)
+
+    def get(self, runs: list[str]) -> list[tuple[int, str, str]]:
+        """(number of ids, ids as text, decoded text) of each of the runs last learned, less those without ids."""
+        cache, late = self.cache, self.late
+        if late:
+            return [x for r in runs if (x := cache.get(r) or late[r])[0]]
+        return [x for r in runs if (x := cache[r])[0]]
 
     def runs(self, runs: list[str]) -> list[tuple[int, str, str]]:
-        """(number of ids, ids as text, decoded text) of each run."""
         self.learn(set(runs))
-        cache = self.cache
-        return [x for r in runs if (x := cache[r])[0]]
+        return self.get(runs)
+
+
+def encoder(path: str) -> Encoder:
+    """One a process, kept from task to task."""
+    key = f"encoder:{path}"
+    if key not in _loaded:
+        _loaded[key] = Encoder(path)
+    return _loaded[key]
 
 
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -219,7 +233,7 @@ def encode(docs: DataFrame, path: str, digests: bool = False, leaf: int = LEAF)
     arrow = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), *([("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] if digests else [("ids", pa.list_(pa.int32())), ("decoded", pa.string())])])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(path)
+        enc = encoder(path)
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 s = b.slice(at, 1000)
@@ -227,7 +241,7 @@ def encode(docs: DataFrame, path: str, digests: bool = False, leaf: int = LEAF)
                 for k in range(0, s.num_rows, 50):
                     found = [RUN.findall(x) for x in s.column(1).slice(k, 50).to_pylist()]
                     enc.learn(set().union(*found))
-                    rows += [(d, *_assemble([y for r in runs if (y := enc.cache[r])[0]], digests)) for d, runs in zip(s.column(0).slice(k, 50).to_pylist(), found, strict=True)]
+                    rows += [(d, *_assemble(enc.get(runs), digests)) for d, runs in zip(s.column(0).slice(k, 50).to_pylist(), found, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
 
     short = base.filter(~long_run).mapInArrow(whole, schema)
@@ -259,7 +273,7 @@ def encode(docs: DataFrame, path: str, digests: bool = False, leaf: int = LEAF)
     def meet(pdf):
         import pandas as pd
 
-        t, enc, parts = tokenizer(path), Encoder(path), []
+        t, enc, parts = tokenizer(path), encoder(path), []
         for _, run in sorted(pdf.groupby("seq"), key=lambda x: x[0]):
             if not run["long"].iloc[0]:
                 parts += enc.runs(RUN.findall(run["text"].iloc[0]))
