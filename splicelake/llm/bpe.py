@@ -166,7 +166,7 @@ class Encoder:
     def learn(self, runs: set[str]) -> None:
         cache = self.cache
         self.late = {}
-        if not (todo := runs - cache.keys()):
+        if not (todo := [r for r in runs if r not in cache]):
             return
         new = self.new = self.late if len(cache) >= CACHE else cache
         plain, other = {}, []
@@ -177,7 +177,7 @@ class Encoder:
                 plain[r] = r[:-1]
             else:
                 other.append(r)
-        if words := list(set(plain.values()) - cache.keys()):
+        if words := [w for w in set(plain.values()) if w not in cache]:
             self._words(words)
         for r, w in plain.items():
             if r is not w:
