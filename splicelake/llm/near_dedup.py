@@ -221,6 +221,8 @@ def _by_rare_shingles(source: DataFrame, now: DataFrame, width: int, percent: in
 
     Of two sets at the threshold, each shares all but the rest of its (100 - percent) % rarest with the other, so in an
     order common to all (by frequency among these documents, then hash) their beginnings of that length and one meet.
+    Where they first meet, all that both share is still to come, so what either has left there bounds it: a place too
+    late in either for the similarity isn't taken.
     """
     large = now.filter(F.col("members") > SMALL)
     concerned = large.join(large.filter("left").select("bucket").distinct(), "bucket", "left_semi")
@@ -236,12 +238,13 @@ def _by_rare_shingles(source: DataFrame, now: DataFrame, width: int, percent: in
     often = each.groupBy("s").agg(F.count("*").alias("f"))
     ordered = each.join(often, "s").groupBy("doc_id", "n").agg(F.sort_array(F.collect_set(F.struct("f", "s"))).alias("all"))
     first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    prefix = ordered.select("doc_id", F.explode(F.slice("all", F.lit(1), F.least(F.col("n"), first).cast("int"))).alias("p")).select("doc_id", "p.s").join(ids, "doc_id")
-    prefix = materialise(prefix, "dedup-prefixes")
+    prefix = ordered.select("doc_id", "n", F.posexplode(F.slice("all", F.lit(1), F.least(F.col("n"), first).cast("int"))).alias("at", "p"))
+    prefix = materialise(prefix.select("doc_id", F.col("p.s").alias("s"), "n", (F.col("n") - F.col("at")).alias("rest")).join(ids, "doc_id"), "dedup-prefixes")
     discard(each)
-    x = prefix.filter("left").select("s", F.col("doc_id").alias("x"), F.col("component").alias("cx"))
-    y = prefix.select("s", F.col("doc_id").alias("y"), F.col("component").alias("cy"))
-    return x.join(y, "s").filter("cx != cy").select("x", "y").distinct()
+    x = prefix.filter("left").select("s", F.col("doc_id").alias("x"), F.col("component").alias("cx"), F.col("n").alias("n_x"), F.col("rest").alias("rest_x"))
+    y = prefix.select("s", F.col("doc_id").alias("y"), F.col("component").alias("cy"), F.col("n").alias("n_y"), F.col("rest").alias("rest_y"))
+    enough = (100 + percent) * F.least("rest_x", "rest_y") >= percent * (F.col("n_x") + F.col("n_y"))
+    return x.join(y, "s").filter((F.col("cx") != F.col("cy")) & enough).select("x", "y").distinct()
 
 
 def _finish(signed: DataFrame, same: DataFrame, found: DataFrame) -> DataFrame:
