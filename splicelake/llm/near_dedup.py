@@ -169,7 +169,9 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         after = materialise(better.join(jump, F.col("new") == F.col("j"), "left").select("id", "label", F.least("new", F.coalesce("far", "new")).alias("new")), name)
         if after.filter("new < label").isEmpty():
             discard(both)
-            return after.select("id", F.col("new").alias("component"))
+            out = after.select("id", F.col("new").alias("component"))
+            out._written = after._written
+            return out
         discard(label_written)
         label_written, label = after, after.select("id", F.col("new").alias("label"))
 
@@ -185,6 +187,11 @@ def _candidates(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFram
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: links hold where 100 * |A & B| >= percent * |A | B|."""
+    return _near_duplicates(docs, width, percent)[0]
+
+
+def _near_duplicates(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The result and the written tables that it still reads."""
     signed = materialise(signatures(docs, width), "dedup-signatures")
     same = materialise(signed.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "dedup-same")
     reps = signed.join(same.select(F.col("rep").alias("doc_id"), "set_key"), ["doc_id", "set_key"], "left_semi")
@@ -211,9 +218,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     more = _confirm(source, materialise(_candidates(pairs, sketches, percent), "dedup-rest"), width, percent)
     if not more.isEmpty():
-        found = components(links.union(more))
+        before, found = found, components(links.union(more))
+        discard(before)
     discard(sketches, shared, members, now, links, more)
-    return _finish(signed, same, found)
+    return _finish(signed, same, found), [signed, same, found]
 
 
 def _by_rare_shingles(source: DataFrame, now: DataFrame, width: int, percent: int) -> DataFrame:
@@ -258,5 +266,7 @@ def _finish(signed: DataFrame, same: DataFrame, found: DataFrame) -> DataFrame:
 
 def remove_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group: the one with the smallest id. Rows without an id go."""
-    good = near_duplicates(docs, width, percent).filter("kept").select("doc_id")
+    result, written = _near_duplicates(docs, width, percent)
+    good = materialise(result.filter("kept").select("doc_id"), "dedup-kept")
+    discard(*written)
     return by_id(docs, good, "left_semi")
