@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 GRAM = 64
 SYMBOL = 8
@@ -225,6 +225,7 @@ def spans(docs: DataFrame, length: int = 400) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(part, types, strict=True)], names=["anchor", "row", "at", "key", "context"])
 
     contexts = materialise(texts.dropDuplicates(["row"]).join(places, "row").select("row", "text", "places").mapInArrow(cut, CONTEXTS), "repeats-contexts")
+    discard(found, often)
     merged = contexts.groupBy("anchor", "key").agg(F.count("*").alias("n"), F.first("context").alias("context"))
     merged = materialise(merged, "repeats-merged")
     size = merged.groupBy("anchor").agg(F.count("*").alias("different"))
