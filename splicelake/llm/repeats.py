@@ -20,7 +20,6 @@ are repeats of each other. Matches never cross documents.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise
+from .common import materialise
 
 GRAM = 64
 SYMBOL = 8
@@ -182,9 +181,6 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("row"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-CONTEXTS = "anchor long, row string, at int, key string, context binary"
-
-
 def spans(docs: DataFrame, length: int = 400) -> DataFrame:
     """row, s, e: byte ranges to remove, of the rows that have any; `row` is made of doc_id and the text's hash."""
     if length % SYMBOL or length < 2 * GRAM:
@@ -194,49 +190,47 @@ def spans(docs: DataFrame, length: int = 400) -> DataFrame:
     doubled = texts.filter(F.octet_length("text") >= length).groupBy("row").agg(F.count("*").alias("n"), F.max(F.octet_length("text")).alias("e")).filter("n > 1").select("row", F.lit(0).alias("s"), "e")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Every context's place and hash, without its bytes."""
         for b in batches:
-            rows, ats, keys = [], [], []
+            rows, ats, found, keys = [], [], [], []
             for row, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                key, first, last = anchors(x.as_py().encode("utf-8", "surrogatepass"), length)
-                if len(key):
-                    rows += [row] * len(key)
+                data = x.as_py().encode("utf-8", "surrogatepass")
+                anchor, first, last = anchors(data, length)
+                if len(anchor):
+                    rows += [row] * len(anchor)
                     ats.append((first, last))
-                    keys.append(key)
+                    found.append(anchor)
+                    keys += [xxhash.xxh128_digest(data[s : e + length]) for s, e in zip(first.tolist(), last.tolist(), strict=True)]
             if rows:
                 at, to = (np.concatenate([x[k] for x in ats]).astype(np.int32) for k in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(rows, pa.string()), pa.array(at), pa.array(to)], names=["anchor", "row", "at", "upto"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(keys, pa.binary()), pa.array(rows, pa.string()), pa.array(at), pa.array(to)], names=["anchor", "key", "row", "at", "upto"])
 
-    found = materialise(texts.select("row", "text").mapInArrow(find, "anchor long, row string, at int, upto int"), "repeats-anchors")
+    found = materialise(texts.select("row", "text").mapInArrow(find, "anchor long, key binary, row string, at int, upto int"), "repeats-anchors")
     often = found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
     often = materialise(often, "repeats-often")  # joined as a table, a very frequent anchor's rows can be split
-    places = found.join(often, "anchor", "left_semi").groupBy("row").agg(F.sort_array(F.collect_set(F.struct("at", "upto", "anchor"))).alias("places"))
+    # Equal contexts are one row with their number and one of their places.
+    merged = found.join(often, "anchor", "left_semi").groupBy("anchor", "key").agg(F.count("*").alias("n"), F.min(F.struct("row", "at", "upto")).alias("place"))
+    merged = materialise(merged, "repeats-merged")
+    # Equal contexts are known to repeat; they matter further only where others share their anchor.
+    whole = merged.filter("n > 1").select("anchor", "key", F.lit(0).alias("a"), (F.col("place.upto") - F.col("place.at")).alias("z"))
+    several = materialise(merged.groupBy("anchor").agg(F.count("*").alias("different")).filter("different > 1"), "repeats-several")
+    places = merged.join(several, "anchor").groupBy("place.row").agg(F.collect_list(F.struct("place.at", "place.upto", "anchor", "key", "different")).alias("places"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The contexts' bytes, of one place each."""
+        types = (pa.int64(), pa.binary(), pa.int64(), pa.binary())
         for b in batches:
-            out: list[tuple] = []
-            for row, x, places in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+            for x, places in zip(b.column(0), b.column(1).to_pylist(), strict=True):
                 data = x.as_py().encode("utf-8", "surrogatepass")
-                for p in places:
-                    c = data[p["at"] : p["upto"] + length]
-                    out.append((p["anchor"], row, p["at"], xxhash.xxh128_hexdigest(c), c))
-            for k in range(0, len(out), 4096):
-                part = list(zip(*out[k : k + 4096], strict=True))
-                types = (pa.int64(), pa.string(), pa.int32(), pa.string(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(part, types, strict=True)], names=["anchor", "row", "at", "key", "context"])
-
-    contexts = materialise(texts.dropDuplicates(["row"]).join(places, "row").select("row", "text", "places").mapInArrow(cut, CONTEXTS), "repeats-contexts")
-    discard(found, often)
-    merged = contexts.groupBy("anchor", "key").agg(F.count("*").alias("n"), F.first("context").alias("context"))
-    merged = materialise(merged, "repeats-merged")
-    size = merged.groupBy("anchor").agg(F.count("*").alias("different"))
-    # Equal contexts are known to repeat; they matter further only where others share their anchor.
-    whole = merged.filter("n > 1").select("anchor", "key", F.lit(0).alias("a"), (F.length("context") - length).alias("z"))
-    several = materialise(size.filter("different > 1"), "repeats-several")
-    met = merged.select("anchor", "key", "context").join(several, "anchor")
-    parts = _by_transform(met.filter(F.col("different") <= MAX_GROUP).drop("different"), length).union(_by_hash(met.filter(F.col("different") > MAX_GROUP).drop("different"), length))
+                for k in range(0, len(places), 4096):
+                    out = [(p["anchor"], p["key"], p["different"], data[p["at"] : p["upto"] + length]) for p in places[k : k + 4096]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["anchor", "key", "different", "context"])
+
+    met = materialise(texts.join(places, "row").select("text", "places").mapInArrow(cut, "anchor long, key binary, different long, context binary"), "repeats-contexts")
+    parts = _by_transform(met.filter(F.col("different") <= MAX_GROUP), length).union(_by_hash(met.filter(F.col("different") > MAX_GROUP), length))
     hits = whole.union(parts)
     # a to z: starts, in the context, of repeated strings. Back to the rows that have the context.
-    back = contexts.select("anchor", "key", "row", "at").join(hits, ["anchor", "key"])
+    back = found.select("anchor", "key", "row", "at").join(hits, ["anchor", "key"])
     return back.select("row", (F.col("at") + F.col("a")).alias("s"), (F.col("at") + F.col("z") + length).alias("e")).union(doubled.select("row", "s", "e"))
 
 
@@ -244,12 +238,12 @@ def _by_transform(met: DataFrame, length: int) -> DataFrame:
     """anchor, key, a, z of the groups that fit in a task; groups are brought together by a hash of their anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, str, bytes]] = []
+        held: list[tuple[int, bytes, bytes]] = []
 
-        def flush(part: list[tuple[int, str, bytes]]) -> pa.RecordBatch:
+        def flush(part: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
             got = repeated_windows([x[2] for x in part], length)
             rows = [(x[0], x[1], a, z) for x, starts in zip(part, got, strict=True) for a, z in _runs(starts)]
-            types = (pa.int64(), pa.string(), pa.int32(), pa.int32())
+            types = (pa.int64(), pa.binary(), pa.int32(), pa.int32())
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 4, types, strict=True)], names=["anchor", "key", "a", "z"])
 
         total = 0
@@ -263,7 +257,7 @@ def _by_transform(met: DataFrame, length: int) -> DataFrame:
         if held:
             yield flush(held)
 
-    return met.select("anchor", "key", "context").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "anchor long, key string, a int, z int")
+    return met.select("anchor", "key", "context").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "anchor long, key binary, a int, z int")
 
 
 def _by_hash(met: DataFrame, length: int) -> DataFrame:
@@ -279,9 +273,9 @@ def _by_hash(met: DataFrame, length: int) -> DataFrame:
                 h = gram_hashes(d, 256)
                 x = _mix(h[:n] * _K[0] + h[length - 256 : length - 256 + n] * _K[1])
                 y = _mix(h[:n] * _K[1] + h[length - 256 : length - 256 + n] * _K[2])
-                yield pa.RecordBatch.from_arrays([pa.array([anchor] * n), pa.array([key] * n), pa.array(np.arange(n, dtype=np.int32)), pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], names=["anchor", "key", "a", "x", "y"])
+                yield pa.RecordBatch.from_arrays([pa.array([anchor] * n), pa.array([key] * n, pa.binary()), pa.array(np.arange(n, dtype=np.int32)), pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], names=["anchor", "key", "a", "x", "y"])
 
-    each = met.select("anchor", "key", "context").mapInArrow(run, "anchor long, key string, a int, x long, y long")
+    each = met.select("anchor", "key", "context").mapInArrow(run, "anchor long, key binary, a int, x long, y long")
     twice = each.groupBy("x", "y").agg(F.count("*").alias("n")).filter("n > 1").select("x", "y")
     return each.join(twice, ["x", "y"], "left_semi").select("anchor", "key", "a", F.col("a").alias("z"))
 
