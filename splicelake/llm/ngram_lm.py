@@ -2,12 +2,12 @@
 
 Counts of words and word pairs are quantised to q = 1 + floor(log_1.5 count); an n-gram enters the filter
 once for each level up to q, so repeated membership probes (level 1, 2, ... until one misses) give its
-count back within a factor. The filter is broadcast; its size is fixed (`FILTER_BYTES`), whatever the corpus.
+count back within a factor.
 
-It is built in blocks: an n-gram's hash names its block, all counts for a block meet in one task, and the
-task writes the block's bits. The number of blocks follows the number of tokens, so a task's share doesn't
-grow. A block that would overfill raises its pair cutoff (then its word cutoff) until it fits; all counts
-are taken over the whole corpus first, and a missing n-gram is backed off like one never seen.
+The filter is made in blocks and never as a whole: an n-gram's hash names its block, and all its counts and
+all probes for it, one for each chunk of texts that has it, meet in one task, which writes the block's bits
+and answers the probes. The answers go back to their chunk by its number. The number of blocks follows the
+number of tokens and a block's size its n-grams, so no n-gram is cut and a task's share doesn't grow.
 
 Model: P(w | u) = a c(u,w) / c(u) + (1 - a) (c(w) + d) / (N + d (V + 1)). The base score uses exact counts:
 those of the most frequent words are broadcast (at most `HEAD` of them), those of the rest are joined.
@@ -19,11 +19,13 @@ every token has the same base probability. Repeated rows give a row each and cou
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +33,9 @@ from .common import materialise
 
 END = b"\n"  # no word holds white space
 HEAD = 1 << 18
-FILTER_BYTES = 1 << 24
 SEGMENT_TOKENS = 1 << 18
+MAX_SEGMENTS = 1 << 24
+BITS_PER_ENTRY = 4
 BASE, DELTA, WEIGHT = 1.5, 0.1, 0.3
 MAX_LEVEL = 64
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)]
@@ -126,18 +129,11 @@ def _probes(low: np.ndarray, q: int, bits: int) -> list[np.ndarray]:
     return [((a + np.uint64(k) * b) % np.uint64(bits)).astype(np.int64) for k in range(4 if q == 1 else 2)]
 
 
-def build_block(low: np.ndarray, pair: np.ndarray, c: np.ndarray, size: int) -> np.ndarray:
-    """A block of `size` bytes with the n-grams, after raising cutoffs till at most half its bits or so are set."""
-    q, bits = level(c), size * 8
-    load = 4 + 2 * (q - 1)
-    keep = np.ones(len(low), bool)
-    for part in (pair, ~pair):
-        for cut in range(1, MAX_LEVEL + 1):
-            if load[keep].sum() <= bits * 0.7:
-                break
-            keep &= ~part | (q > cut)
-    low, q = low[keep], q[keep]
-    block = np.zeros(size, np.uint8)
+def build_block(low: np.ndarray, _pair: np.ndarray | None, c: np.ndarray, size: int = 64) -> np.ndarray:
+    """A block with all the n-grams, of `size` bytes or as many more as leave three quarters of its bits or so unset."""
+    q = level(c)
+    bits = 8 * max(size, -(-BITS_PER_ENTRY * int((4 + 2 * (q - 1)).sum()) // 8))
+    block = np.zeros(bits // 8, np.uint8)
     for k in range(1, int(q.max()) + 1 if len(q) else 0):
         low, q = low[q >= k], q[q >= k]
         for at in _probes(low, k, bits):
@@ -149,12 +145,12 @@ class LogFrequencyFilter:
     def __init__(self, blocks: np.ndarray) -> None:
         self.blocks = blocks  # segments x bytes
 
-    def counts(self, key: np.ndarray) -> np.ndarray:
-        """Estimated counts; 0 where level 1 misses."""
+    def levels(self, key: np.ndarray) -> np.ndarray:
+        """Highest levels up to which all are found; 0 where level 1 misses."""
         segments, size = self.blocks.shape
         flat = self.blocks.reshape(-1)
         origin = ((key >> np.uint64(40)) % np.uint64(segments)).astype(np.int64) * size
-        low, q, live = key & np.uint64((1 << 40) - 1), np.zeros(len(key), np.int64), np.arange(len(key))
+        low, q, live = key & np.uint64((1 << 40) - 1), np.zeros(len(key), np.uint8), np.arange(len(key))
         for k in range(1, MAX_LEVEL + 1):
             hit = np.ones(len(live), bool)
             for at in _probes(low[live], k, size * 8):
@@ -163,60 +159,123 @@ class LogFrequencyFilter:
             if not len(live):
                 break
             q[live] = k
+        return q
+
+    def counts(self, key: np.ndarray) -> np.ndarray:
+        """Estimated counts; 0 where level 1 misses."""
+        q = self.levels(key)
         return np.where(q > 0, value(q), 0.0)
 
 
 def segments_for(n_tokens: int) -> int:
-    """Blocks: a power of two, for `SEGMENT_TOKENS` tokens each, of 64 bytes at least."""
-    return min(FILTER_BYTES // 64, max(64, 1 << max(0, math.ceil(math.log2(max(1, n_tokens) / SEGMENT_TOKENS)))))
+    """Blocks: a power of two, for `SEGMENT_TOKENS` tokens each."""
+    return min(MAX_SEGMENTS, max(64, 1 << max(0, math.ceil(math.log2(max(1, n_tokens) / SEGMENT_TOKENS)))))
+
+
+def _by_segment(key: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys' order by segment, and their segments in that order."""
+    seg = ((key >> np.uint64(40)) % np.uint64(segments)).astype(np.int64)
+    order = np.argsort(seg, kind="stable")
+    return order, seg[order]
+
+
+#: An n-gram's hash less its segment; and with its kind and count.
+_ASKED = np.dtype([("low", "<u4"), ("top", "u1")])
+_COUNTED = np.dtype([("low", "<u4"), ("top", "u1"), ("pair", "u1"), ("c", "<u2")])
 
 
-def build_filter(train: DataFrame, n_tokens: int) -> LogFrequencyFilter:
-    segments = segments_for(n_tokens)
-    size = FILTER_BYTES // segments
-    entry = np.dtype([("low", "<u4"), ("top", "u1"), ("pair", "u1"), ("c", "<u2")])
+def _packed(key: np.ndarray, kind: np.dtype) -> np.ndarray:
+    low = key & np.uint64((1 << 40) - 1)
+    out = np.empty(len(key), kind)
+    out["low"], out["top"] = low & np.uint64(0xFFFFFFFF), low >> np.uint64(32)
+    return out
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A batch's counts, packed by segment: 8 bytes an n-gram."""
+
+def _unpacked(x: np.ndarray) -> np.ndarray:
+    return x["low"].astype(np.uint64) | x["top"].astype(np.uint64) << np.uint64(32)
+
+
+PARTS = "segment long, chunk long, data binary"
+
+
+def _parts(packed: np.ndarray, ids: np.ndarray, chunk: int) -> pa.RecordBatch:
+    """A row for each segment in `ids`, which are in order."""
+    edge = np.flatnonzero(np.diff(ids, prepend=-1))
+    ends = np.append(edge[1:], len(ids))
+    data = [packed[x:y].tobytes() for x, y in zip(edge, ends, strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(ids[edge]), pa.array(np.full(len(edge), chunk)), pa.array(data, pa.binary())], names=["segment", "chunk", "data"])
+
+
+def counted(train: DataFrame, segments: int) -> DataFrame:
+    """The n-grams' counts by segment, under chunk -1: 8 bytes an n-gram of a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s, e in _chunks(b.column(0), 1 << 24):
                 codes, h, n = _coded(b.column(0).slice(s, e - s).to_pylist())
                 pairs, c_pairs = np.unique(_lefts(codes, n) * len(h) + codes, return_counts=True)
                 key = np.concatenate((word_key(h), pair_key(h[pairs // len(h)], h[pairs % len(h)])))
                 c = np.concatenate((np.bincount(codes, minlength=len(h)), c_pairs))
-                kind = np.repeat(np.array([0, 1], np.uint8), [len(h), len(pairs)])
-                seg = ((key >> np.uint64(40)) % np.uint64(segments)).astype(np.int64)
-                order = np.argsort(seg, kind="stable")
-                packed = np.empty(len(key), entry)
-                low = key & np.uint64((1 << 40) - 1)
-                packed["low"], packed["top"], packed["pair"], packed["c"] = low & np.uint64(0xFFFFFFFF), low >> np.uint64(32), kind, np.minimum(c, 65535)
-                packed, ids = packed[order], seg[order]
+                order, ids = _by_segment(key, segments)
+                packed = _packed(key, _COUNTED)
+                packed["pair"], packed["c"] = np.repeat(np.array([0, 1], np.uint8), [len(h), len(pairs)]), np.minimum(c, 65535)
+                packed = packed[order]
                 extra = (c[order] - 1) // 65535  # a count too large for its field goes on in further entries
                 if extra.any():
                     again = np.repeat(np.arange(len(packed)), extra + 1)
                     rest = c[order][again] - 65535 * (np.arange(len(again)) - np.searchsorted(again, again))
                     packed, ids = packed[again], ids[again]
                     packed["c"] = np.minimum(rest, 65535)
-                edge = np.flatnonzero(np.diff(ids, prepend=-1))
-                ends = np.append(edge[1:], len(ids))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[edge]), pa.array([packed[x:y].tobytes() for x, y in zip(edge, ends, strict=True)], pa.binary())], names=["segment", "grams"])
+                yield _parts(packed, ids, -1)
+
+    return train.select("text").mapInArrow(run, PARTS)
 
-    def block(pdf):
-        import pandas as pd
 
-        got = np.concatenate([np.frombuffer(x, entry) for x in pdf["grams"]])
-        key = got["low"].astype(np.uint64) | got["top"].astype(np.uint64) << np.uint64(32) | got["pair"].astype(np.uint64) << np.uint64(40)
-        key, back = np.unique(key, return_inverse=True)
-        c = np.bincount(back, weights=got["c"])
-        bits = build_block(key & np.uint64((1 << 40) - 1), key >> np.uint64(40) > 0, c, size)
-        return pd.DataFrame({"segment": [int(pdf["segment"].iloc[0])], "block": [bits.tobytes()]})
+def _grams(codes: np.ndarray, h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different words' and then pairs' keys; each token's left word and pair by number."""
+    import pandas as pd
 
-    made = train.select("text").mapInArrow(gather, "segment long, grams binary").groupBy("segment").applyInPandas(block, "segment long, block binary")
-    blocks = np.zeros((segments, size), np.uint8)
-    got = made.toArrow()  # FILTER_BYTES altogether
-    for s, x in zip(got.column("segment").to_pylist(), got.column("block").to_pylist(), strict=True):
-        blocks[s] = np.frombuffer(x, np.uint8)
-    return LogFrequencyFilter(blocks)
+    left = _lefts(codes, n)
+    back, pairs = pd.factorize(left * len(h) + codes)
+    return np.concatenate((word_key(h), pair_key(h[pairs // len(h)], h[pairs % len(h)]))), left, back
+
+
+def asked(docs: DataFrame, segments: int) -> DataFrame:
+    """The probes of each chunk of texts by segment, once for each different n-gram: 5 bytes each; and what the chunk itself
+    needs to be scored, under a negative segment. `docs`: doc_id, row, text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId() << 32
+        for b in batches:
+            for s, e in _chunks(b.column(2), 1 << 23):
+                part = b.slice(s, e - s)
+                codes, h, n = _coded(part.column(2).to_pylist())
+                key = _grams(codes, h, n)[0]
+                order, ids = _by_segment(key, segments)
+                yield _parts(_packed(key[order], _ASKED), ids, chunk)
+                own = part.column(0).to_pylist(), part.column(1).to_pylist(), codes.astype(np.min_scalar_type(len(h))), h, n
+                yield pa.RecordBatch.from_arrays([pa.array([-1 - chunk]), pa.array([chunk]), pa.array([pickle.dumps(own)], pa.binary())], names=["segment", "chunk", "data"])
+                chunk += 1
+
+    return docs.mapInArrow(run, PARTS)
+
+
+def answered(parts: DataFrame) -> DataFrame:
+    """Of each segment's probes the levels, a byte each in the probes' order; chunks go through as they are."""
+
+    def block(t: pa.Table) -> pa.Table:
+        if t.column("segment")[0].as_py() < 0:
+            return t
+        chunk = t.column("chunk").to_numpy()
+        data = t.column("data").to_pylist()
+        got = np.concatenate([np.empty(0, _COUNTED), *[np.frombuffer(x, _COUNTED) for x, k in zip(data, chunk, strict=True) if k < 0]])
+        key, back = np.unique(_unpacked(got) | got["pair"].astype(np.uint64) << np.uint64(40), return_inverse=True)
+        model = LogFrequencyFilter(build_block(key & np.uint64((1 << 40) - 1), key >> np.uint64(40) > 0, np.bincount(back, weights=got["c"], minlength=len(key)))[None])
+        keep = chunk >= 0
+        levels = [model.levels(_unpacked(np.frombuffer(x, _ASKED))).tobytes() for x, k in zip(data, keep, strict=True) if k]
+        return pa.table({"segment": pa.array(t.column("segment").to_numpy()[keep]), "chunk": pa.array(chunk[keep]), "data": pa.array(levels, pa.binary())})
+
+    return parts.groupBy("segment").applyInArrow(block, PARTS)
 
 
 # ---- scoring
@@ -227,7 +286,8 @@ def score(docs: DataFrame, train: DataFrame, head: int = HEAD) -> DataFrame:
     spark = docs.sparkSession
     exact = materialise(word_counts(train), "lm-words")
     total, distinct = (int(x or 0) for x in exact.agg(F.sum("c"), F.count("*")).first())
-    model = build_filter(train, total)
+    chars = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    segments = segments_for(max(total, chars // 6))
     norm = math.log10(total + DELTA * (distinct + 1))
     # The least count of which there are at most `head` words or fewer; sizes by power of two come to the driver.
     size, least = 0, 63
@@ -238,43 +298,43 @@ def score(docs: DataFrame, train: DataFrame, head: int = HEAD) -> DataFrame:
     frequent = exact.filter(F.col("c") >= F.lit(2**least if least < 63 else 2**62)).toArrow()
     fh, fc = frequent.column("h").to_numpy().view(np.uint64), frequent.column("c").to_numpy()
     order = np.argsort(fh)
-    sent = spark.sparkContext.broadcast((model, fh[order], fc[order].astype(np.float64)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each text with what the broadcast data give, and the rarer words' hashes and counts."""
-        import pandas as pd
-
-        model, fh, fc = sent.value
-        for b in batches:
-            for s, e in _chunks(b.column(2)):
-                part = b.slice(s, e - s)
-                codes, h, n = _coded(part.column(2).to_pylist())
-                doc = np.repeat(np.arange(len(n)), n)
-                at = np.minimum(np.searchsorted(fh, h), max(0, len(fh) - 1))
-                common = fh[at] == h if len(fh) else np.zeros(len(h), bool)
-                c_common = np.where(common, fc[at], 0.0) if len(fh) else np.zeros(len(h))
-                is_common = common[codes]
-                base = np.bincount(doc[is_common], (np.log10(c_common + DELTA) - norm)[codes[is_common]], len(n)).astype(np.float64)
-                known = np.bincount(doc[is_common], minlength=len(n))
-                # The filter is asked once for each different word and pair of the chunk.
-                c_words, left = model.counts(word_key(h)), _lefts(codes, n)
-                c_word, c_left = c_words[codes], c_words[left]
-                back, pairs = pd.factorize(left * len(h) + codes)
-                c_pair = np.minimum(model.counts(pair_key(h[pairs // len(h)], h[pairs % len(h)]))[back], c_word)
-                p = np.where(c_left > 0, 1 - WEIGHT, 1.0) * (c_word + DELTA) / 10**norm
-                seen = (c_pair > 0) & (c_left > 0)
-                p[seen] += WEIGHT * np.minimum(1.0, c_pair[seen] / np.maximum(c_left[seen], 1))
-                total_score = np.bincount(doc, np.log10(np.minimum(p, 1.0)), len(n))
-                rare_h, rare_doc = h[codes[~is_common]], doc[~is_common]
-                by = np.lexsort((rare_h, rare_doc))
-                rare_h, rare_doc = rare_h[by], rare_doc[by]
-                ends = np.cumsum(np.bincount(rare_doc, minlength=len(n)))
-                rare = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(rare_h.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n), pa.array(known.astype(np.int64)), pa.array(base), pa.array(total_score), rare], names=["doc_id", "row", "n_tokens", "known", "base", "score", "rare"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), "text").mapInArrow(
-        run, "doc_id long, row long, n_tokens long, known long, base double, score double, rare array<long>"
-    )
+    sent = spark.sparkContext.broadcast((fh[order], fc[order].astype(np.float64)))
+
+    def finish(t: pa.Table) -> pa.Table:
+        """Of a chunk a row for each text with its scores as far as the broadcast data give them, and the rarer words' hashes."""
+        fh, fc = sent.value
+        segment = t.column("segment").to_numpy()
+        data = t.column("data").to_pylist()
+        ids, row, codes, h, n = pickle.loads(data[int(np.argmin(segment))])
+        codes = codes.astype(np.int64)
+        key, left, back = _grams(codes, h, n)
+        q = np.empty(len(key), np.uint8)
+        q[_by_segment(key, segments)[0]] = np.frombuffer(b"".join([data[k] for k in np.argsort(segment)[1:]]), np.uint8)
+        c_grams = np.where(q > 0, value(q), 0.0)
+        doc = np.repeat(np.arange(len(n)), n)
+        at = np.minimum(np.searchsorted(fh, h), max(0, len(fh) - 1))
+        common = fh[at] == h if len(fh) else np.zeros(len(h), bool)
+        c_common = np.where(common, fc[at], 0.0) if len(fh) else np.zeros(len(h))
+        is_common = common[codes]
+        base = np.bincount(doc[is_common], (np.log10(c_common + DELTA) - norm)[codes[is_common]], len(n)).astype(np.float64)
+        known = np.bincount(doc[is_common], minlength=len(n))
+        c_word, c_left = c_grams[codes], c_grams[left]
+        c_pair = np.minimum(c_grams[len(h) :][back], c_word)
+        p = np.where(c_left > 0, 1 - WEIGHT, 1.0) * (c_word + DELTA) / 10**norm
+        seen = (c_pair > 0) & (c_left > 0)
+        p[seen] += WEIGHT * np.minimum(1.0, c_pair[seen] / np.maximum(c_left[seen], 1))
+        total_score = np.bincount(doc, np.log10(np.minimum(p, 1.0)), len(n))
+        rare_h, rare_doc = h[codes[~is_common]], doc[~is_common]
+        by = np.lexsort((rare_h, rare_doc))
+        rare_h, rare_doc = rare_h[by], rare_doc[by]
+        ends = np.cumsum(np.bincount(rare_doc, minlength=len(n)))
+        rare = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(rare_h.view(np.int64)))
+        columns = [pa.array(ids, pa.int64()), pa.array(row, pa.int64()), pa.array(n), pa.array(known.astype(np.int64)), pa.array(base), pa.array(total_score), rare]
+        return pa.table(columns, names=["doc_id", "row", "n_tokens", "known", "base", "score", "rare"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), "text")
+    parts = answered(counted(train, segments).unionAll(asked(texts, segments)))
+    rows = parts.groupBy("chunk").applyInArrow(finish, "doc_id long, row long, n_tokens long, known long, base double, score double, rare array<long>")
     rows = materialise(rows, "lm-rows")
     rare = rows.select("row", F.explode("rare").alias("h")).join(exact.filter(F.col("c") < F.lit(2**least if least < 63 else 2**62)), "h", "left")
     more = rare.groupBy("row").agg(

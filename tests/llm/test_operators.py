@@ -231,6 +231,33 @@ def test_lm_filter_counts():
     assert np.mean(est <= 1.6 * c) > 0.9
 
 
+def test_lm_keeps_every_gram(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    low_, c = rng.integers(0, 1 << 40, 3000, dtype=np.uint64), rng.zipf(1.6, 3000).clip(1, 10**6)
+    est = ngram_lm.LogFrequencyFilter(ngram_lm.build_block(low_, np.ones(3000, bool), c, 64)[None]).counts(low_)
+    assert (est >= ngram_lm.value(ngram_lm.level(c)) - 1e-9).all()
+    # Far more n-grams than a filter of 4 KB or one block holds: pairs seen before still count.
+    monkeypatch.setattr(ngram_lm, "FILTER_BYTES", 4096, raising=False)
+    monkeypatch.setattr(ngram_lm, "SEGMENT_TOKENS", 128)
+    rows = [(k, " ".join(f"w{x}" for x in rng.integers(0, 2000, 300))) for k in range(100)]
+    got = by_id(ngram_lm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(rows[:80], "doc_id long, text string")))
+    toks = {d: [*t.split(), "\n"] for d, t in rows}
+    c1 = Counter(w for d in range(80) for w in toks[d])
+    c2 = Counter(x for d in range(80) for x in zip(["\n", *toks[d]], toks[d]))
+    n, about = sum(c1.values()), lambda x: float(ngram_lm.value(ngram_lm.level(np.array([x])))[0]) if x else 0.0
+    miss = []
+    for d, ws in toks.items():
+        want = 0.0
+        for u, w in zip(["\n", *ws], ws):
+            cu, cw = about(c1[u]), about(c1[w])
+            p = (0.7 if cu else 1.0) * (cw + 0.1) / (n + 0.1 * (len(c1) + 1))
+            want += math.log10(min(1.0, p + (0.3 * min(1.0, min(about(c2[u, w]), cw) / cu) if cu else 0)))
+        miss.append(abs(got[d]["score"] - want) / abs(want))
+    assert np.median(miss) < 0.01 and max(miss) < 0.05
+
+
 def test_lm_empty(empty, docs):
     assert ngram_lm.score(empty, empty).count() == 0
     assert ngram_lm.score(docs, empty).filter("train_tokens = 0 and n_known = 0").count() == docs.count()
