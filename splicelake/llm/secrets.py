@@ -1,8 +1,9 @@
 """Secret scans: fixed patterns, and dictionary-primed zstandard novelty.
 
 A candidate is a run of key-like characters in a sensitive context (a word such as "key" or "auth" shortly
-before it). Its marginal size is what zstandard needs for it beyond a dictionary of identifiers and the
-surrounding text: an ordinary or repeated name costs few bytes, a random string nearly all it has.
+before it, or in a name that begins the run: of `auth=...` the value is the candidate). Its marginal size is what zstandard needs for it beyond a dictionary of identifiers and the
+surrounding text: an ordinary or repeated name costs few bytes, a random string nearly all it has,
+which is less for a small alphabet: the least size follows the candidate's own.
 Work is in the row: no shuffle, memory of one text at a time.
 
 Defined results: null and empty texts have no spans; a repeated row is scanned again and gives its own row;
@@ -12,7 +13,9 @@ offsets are code points, ends exclusive. Other columns are carried by `redact`.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,6 +28,8 @@ KINDS = ("assign", "access", "hex", "novel")
 
 CONTEXT = re.compile(r"(?i:secret|token|passw|credential|api|key|auth|bearer|private)", re.ASCII)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+#: The '=' after a name with a sensitive word, in a run; the '='s that end base64 are none.
+ASSIGNED = re.compile(rf"{CONTEXT.pattern}[A-Za-z0-9_.-]{{0,39}}(=)(?=[^=])", re.ASCII)
 #: Names that are common in configuration and code: what a candidate is compared with before all else.
 IDENTIFIERS = (
     "access_token api_key application authorization base64 bearer certificate client_id client_secret "
@@ -66,27 +71,46 @@ class Novelty:
         return max(0, self.size(text[start:end].encode("utf-8", "replace"), prefix) - self.size(b"", prefix)) / max(1, end - start)
 
 
+def bound(run: str) -> float:
+    """Bytes a character that a random string of the run's alphabet takes. The alphabet: the classes that it draws
+    on, or only its own characters where it is long enough to show them all."""
+    own = set(run)
+    n = sum(not (c.isalpha() or c.isdigit()) for c in own) + 10 * any(c.isdigit() for c in own)
+    for a, f in ("af", "AF"):
+        letters = [c for c in own if c.isalpha() and c.islower() == a.islower()]
+        n += (6 if max(letters) <= f else 26) if letters else 0
+    return math.log2(min(n, len(own)) if len(run) >= 8 * len(own) else n) / 8
+
+
 def novel_spans(text: str, taken: list[tuple[int, int, int]], novelty: Novelty, before: int = 40, least: float = 0.7) -> list[tuple[int, int, int]]:
-    """Candidates in a sensitive context that overlap no fixed span, mix letters and digits, and don't compress."""
+    """Candidates in a sensitive context that overlap no fixed span, mix letters and digits, and don't compress.
+    `least`: of base64; of other alphabets the same part of their bound."""
     near = [m.end() for m in CONTEXT.finditer(text)]
-    found, i, t = [], 0, 0
+    found, t = [], 0
     if not near:
         return found
+
+    def novel(s: int, e: int) -> bool:
+        i = bisect_right(near, s)
+        if e - s < 16 or not i or s - near[i - 1] > before:
+            return False
+        for k in range(t, len(taken)):
+            if taken[k][0] >= e:
+                break
+            if taken[k][2] > s:
+                return False
+        run = text[s:e]
+        if not (any(c.isdigit() for c in run) and any(c.isalpha() for c in run)) or len(set(run)) < 8:
+            return False
+        return novelty.ratio(text, s, e) >= least * min(1.0, bound(run) / 0.75)
+
     for m in CANDIDATE.finditer(text):
         s, e = m.span()
-        while i < len(near) and near[i] <= s:
-            i += 1
-        if not i or s - near[i - 1] > before:
-            continue
         while t < len(taken) and taken[t][2] <= s:
             t += 1
-        if any(a < e and s < b for a, _, b in taken[t : t + 8]):
-            continue
-        run = m[0]
-        if not (any(c.isdigit() for c in run) and any(c.isalpha() for c in run)) or len(set(run)) < 8:
-            continue
-        if novelty.ratio(text, s, e) >= least:
-            found.append((s, 3, e))
+        cuts = [x.start(1) for x in ASSIGNED.finditer(m[0])]
+        parts = [(s + a, s + b) for a, b in zip([0, *[c + 1 for c in cuts]], [*cuts, e - s], strict=True)] if cuts else []
+        found += [(a, 3, b) for a, b in parts if novel(a, b)] or ([(s, 3, e)] if novel(s, e) else [])
     return found
 
 

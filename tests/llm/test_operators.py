@@ -466,6 +466,22 @@ def test_novelty():
     assert not found("auth key client_secret.refresh_token1", [], secrets.Novelty())
 
 
+def test_novelty_in_assignments():
+    import random
+
+    value = "Zk39Qm2Lp8Rt5Vw3Ky7Bn4Cd6Fg1Hj0Sa=="
+    for name in ("auth", "private_key", "access_key", "credential", "https://x.org/cb?key", "AUTH"):
+        text = f"set {name}={value} here"
+        assert [text[s:e] for s, _, e in secrets.novel_spans(text, [], secrets.Novelty())] == [value]
+        assert secrets.mask(text) == f"set {name}=[SECRET] here"
+    assert not secrets.novel_spans("auth=client_secret.refresh_token1", [], secrets.Novelty())
+    assert not secrets.novel_spans(f"colour={value}", [], secrets.Novelty())
+    rng = random.Random(7)
+    for alphabet in ("0123456789ABCDEF", "01234abc", "abcdefghijklmnopqrstuvwxyz0123456789"):
+        text = "the auth key " + "".join(rng.choices(alphabet, k=600)) + " ends"
+        assert [(s, e) for s, _, e in secrets.novel_spans(text, [], secrets.Novelty())] == [(13, 613)]
+
+
 def test_mask(docs, empty):
     assert secrets.mask("x password = hunter22 y") == "x password = [SECRET] y"
     assert secrets.mask("") == ""
