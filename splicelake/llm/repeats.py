@@ -4,13 +4,18 @@ Bytes are to go that a string of `length` bytes covers which starts twice or mor
 
 1. Anchors. In every window of `length` bytes one 64-byte string is chosen by content alone (the smallest
    hash), so equal windows have equal anchors. Anchors that occur once lead nowhere. The others give
-   contexts: the bytes of the consecutive windows that have the anchor, so each window is in one context.
+   contexts: the bytes of up to `RUN` consecutive windows that have the anchor, so each window is in one
+   context. A text of one repeated letter or phrase thus gives a context for each `RUN` windows, not for each.
 2. Equal contexts of an anchor are merged and counted: one seen twice is repeated throughout.
 3. The different contexts of an anchor meet in one task (of a very frequent anchor: see below). There the
    suffix array and from it the Burrows-Wheeler transform of all of them are made, with symbols of 8 bytes.
    Breadth-first, intervals of suffixes are extended backward symbol by symbol, so that level m holds just
    the repeated strings of 8 m bytes; intervals of one suffix are dropped, and expansion stops at `length`.
 
+The transform derives common prefixes by increasing value, so it also shows texts that share less than
+`length` but at least `hint` bytes where their contexts meet: these get `longest_repeat` = `hint`. It is found
+if both have the shared string's anchor, which is likely for strings near `length`; nothing is removed for it.
+
 An anchor with more than `MAX_GROUP` different contexts never meets in one task: its strings of `length`
 bytes are counted by their hash instead, with sums before the shuffle, which is exact as well.
 
@@ -33,6 +38,10 @@ from .common import materialise
 GRAM = 64
 SYMBOL = 8
 MAX_GROUP = 2000
+HINT = 256
+#: Windows of a context; contexts, and slices of a long text, may be cut anywhere between windows.
+RUN = 1024
+SLICE = 1 << 20
 #: Bytes of contexts that one transform is made over; a group larger than this is alone in its.
 BATCH_BYTES = 1 << 18
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)]
@@ -53,11 +62,12 @@ def gram_hashes(data: np.ndarray, width: int = GRAM) -> np.ndarray:
     return h
 
 
-def anchors(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the grams that are the smallest of some window of `length` bytes (of equal ones the first), each
-    with the first and the last window whose smallest it is: every window has one anchor, and equal windows equal ones."""
+def anchors(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The smallest hash of a gram in each window of `length` bytes, for runs of up to `RUN` consecutive windows that
+    have the same: equal windows are in runs of equal hash. With the run's first and last window, and whether the gram
+    is the smallest at several places of it, so that the run may repeat itself."""
     if len(data) < length:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
     h = gram_hashes(np.frombuffer(data, np.uint8))
     span = length - GRAM + 1
     pos = np.arange(len(h), dtype=np.uint64)
@@ -69,8 +79,22 @@ def anchors(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
         least = np.minimum(least[:-width], least[width:])
         width *= 2
     least = np.minimum(least[: len(h) - span + 1], least[span - width : span - width + len(h) - span + 1])
+    place = (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    least = h[place]
     first = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
-    return h[(least[first] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)], first, np.append(first[1:], len(least)) - 1
+    size = np.diff(np.append(first, len(least)))
+    if (size > RUN).any():
+        again = -(-size // RUN)
+        first = np.repeat(first, again) + RUN * (np.arange(again.sum()) - np.repeat(np.cumsum(again) - again, again))
+    last = np.append(first[1:], len(least)) - 1
+    return least[first], first, last, place[first] != place[last]
+
+
+def all_anchors(data: bytes, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """`anchors` of a text of any size, slice by slice."""
+    for at in range(0, max(1, len(data) - length + 1), SLICE):
+        anchor, first, last, again = anchors(data[at : at + SLICE + length - 1], length)
+        yield anchor, first + at, last + at, again
 
 
 def suffix_array(first: np.ndarray, width: int) -> np.ndarray:
@@ -98,8 +122,9 @@ def suffix_array(first: np.ndarray, width: int) -> np.ndarray:
         width *= 2
 
 
-def repeated_windows(contexts: list[bytes], length: int) -> list[np.ndarray]:
-    """For each context, the starts of its strings of `length` bytes that start at another place of the contexts."""
+def repeated_windows(contexts: list[bytes], length: int, hint: int = HINT) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each context, the starts of its strings of `length` bytes that start at another place of the contexts;
+    and whether it has one of `hint` bytes that does."""
     sizes = np.array([len(c) for c in contexts], np.int64)
     starts = np.cumsum(sizes + 1) - (sizes + 1)
     n = int((sizes + 1).sum())
@@ -138,9 +163,12 @@ def repeated_windows(contexts: list[bytes], length: int) -> list[np.ndarray]:
     right = np.append(left[1:], n)
     ok = (right - left > 1) & inside[left]
     left, right = left[ok], right[ok]
-    for _ in range(length // SYMBOL - 1):
+    hinted = np.zeros(len(contexts), bool)
+    for level in range(1, length // SYMBOL):
         if not len(left):
             break
+        if level == hint // SYMBOL:
+            hinted[np.unique(context[order[_covered(left, right, n)]])] = True
         plain = legal[left] & (stretch_end[left] >= right)
         nl, nr = [back[left[plain]]], [back[right[plain] - 1] + 1]
         l, r = left[~plain], right[~plain]
@@ -159,13 +187,18 @@ def repeated_windows(contexts: list[bytes], length: int) -> list[np.ndarray]:
             nl.append(to[edge[many]])
             nr.append(to[edge[many]] + count[many])
         left, right = np.concatenate(nl), np.concatenate(nr)
+    hit = np.sort(order[_covered(left, right, n)])
+    at = context[hit]
+    cuts = np.searchsorted(at, np.arange(len(contexts) + 1))
+    return [hit[cuts[k] : cuts[k + 1]] - starts[k] for k in range(len(contexts))], hinted
+
+
+def _covered(left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
+    """Which of n places lie in some interval."""
     flag = np.zeros(n + 1, np.int64)
     np.add.at(flag, left, 1)
     np.add.at(flag, right, -1)
-    hit = np.sort(order[np.cumsum(flag)[:-1] > 0])
-    at = context[hit]
-    cuts = np.searchsorted(at, np.arange(len(contexts) + 1))
-    return [hit[cuts[k] : cuts[k + 1]] - starts[k] for k in range(len(contexts))]
+    return np.cumsum(flag)[:-1] > 0
 
 
 def _runs(starts: np.ndarray) -> list[tuple[int, int]]:
@@ -182,9 +215,10 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def spans(docs: DataFrame, length: int = 400) -> DataFrame:
-    """row, s, e: byte ranges to remove, of the rows that have any; `row` is made of doc_id and the text's hash."""
-    if length % SYMBOL or length < 2 * GRAM:
-        raise ValueError(f"length must be a multiple of {SYMBOL} and at least {2 * GRAM}")
+    """row, s, e: byte ranges to remove, of the rows that have any; `row` is made of doc_id and the text's hash.
+    Rows that only share a string of `HINT` bytes come with a null range."""
+    if length % SYMBOL or length < HINT:
+        raise ValueError(f"length must be a multiple of {SYMBOL} and at least {HINT}")
     texts = _texts(docs)
     # Equal texts under one id can't be told apart by their row: they are one text here that repeats itself wholly.
     doubled = texts.filter(F.octet_length("text") >= length).groupBy("row").agg(F.count("*").alias("n"), F.max(F.octet_length("text")).alias("e")).filter("n > 1").select("row", F.lit(0).alias("s"), "e")
@@ -195,25 +229,25 @@ def spans(docs: DataFrame, length: int = 400) -> DataFrame:
             rows, ats, found, keys = [], [], [], []
             for row, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 data = x.as_py().encode("utf-8", "surrogatepass")
-                anchor, first, last = anchors(data, length)
-                if len(anchor):
+                for anchor, first, last, again in all_anchors(data, length):
                     rows += [row] * len(anchor)
-                    ats.append((first, last))
+                    ats.append((first, last, again))
                     found.append(anchor)
                     keys += [xxhash.xxh128_digest(data[s : e + length]) for s, e in zip(first.tolist(), last.tolist(), strict=True)]
             if rows:
                 at, to = (np.concatenate([x[k] for x in ats]).astype(np.int32) for k in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(keys, pa.binary()), pa.array(rows, pa.string()), pa.array(at), pa.array(to)], names=["anchor", "key", "row", "at", "upto"])
+                again = np.concatenate([x[2] for x in ats])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(keys, pa.binary()), pa.array(rows, pa.string()), pa.array(at), pa.array(to), pa.array(again)], names=["anchor", "key", "row", "at", "upto", "again"])
 
-    found = materialise(texts.select("row", "text").mapInArrow(find, "anchor long, key binary, row string, at int, upto int"), "repeats-anchors")
-    often = found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
+    found = materialise(texts.select("row", "text").mapInArrow(find, "anchor long, key binary, row string, at int, upto int, again boolean"), "repeats-anchors")
+    often = found.groupBy("anchor").agg(F.count("*").alias("n"), F.max("again").alias("again")).filter("n > 1 or again").select("anchor")
     often = materialise(often, "repeats-often")  # joined as a table, a very frequent anchor's rows can be split
     # Equal contexts are one row with their number and one of their places.
-    merged = found.join(often, "anchor", "left_semi").groupBy("anchor", "key").agg(F.count("*").alias("n"), F.min(F.struct("row", "at", "upto")).alias("place"))
+    merged = found.join(often, "anchor", "left_semi").groupBy("anchor", "key").agg(F.count("*").alias("n"), F.min(F.struct("row", "at", "upto")).alias("place"), F.max("again").alias("again"))
     merged = materialise(merged, "repeats-merged")
-    # Equal contexts are known to repeat; they matter further only where others share their anchor.
+    # Equal contexts are known to repeat; they matter further only where others, or other places in them, have their anchor.
     whole = merged.filter("n > 1").select("anchor", "key", F.lit(0).alias("a"), (F.col("place.upto") - F.col("place.at")).alias("z"))
-    several = materialise(merged.groupBy("anchor").agg(F.count("*").alias("different")).filter("different > 1"), "repeats-several")
+    several = materialise(merged.groupBy("anchor").agg(F.count("*").alias("different"), F.max("again").alias("any")).filter("different > 1 or any").drop("any"), "repeats-several")
     places = merged.join(several, "anchor").groupBy("place.row").agg(F.collect_list(F.struct("place.at", "place.upto", "anchor", "key", "different")).alias("places"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,7 +265,7 @@ def spans(docs: DataFrame, length: int = 400) -> DataFrame:
     hits = whole.union(parts)
     # a to z: starts, in the context, of repeated strings. Back to the rows that have the context.
     back = found.select("anchor", "key", "row", "at").join(hits, ["anchor", "key"])
-    return back.select("row", (F.col("at") + F.col("a")).alias("s"), (F.col("at") + F.col("z") + length).alias("e")).union(doubled.select("row", "s", "e"))
+    return back.select("row", (F.col("at") + F.col("a")).alias("s"), (F.col("at") + F.col("z") + length).alias("e")).distinct().union(doubled.select("row", "s", "e"))
 
 
 def _by_transform(met: DataFrame, length: int) -> DataFrame:
@@ -241,8 +275,9 @@ def _by_transform(met: DataFrame, length: int) -> DataFrame:
         held: list[tuple[int, bytes, bytes]] = []
 
         def flush(part: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
-            got = repeated_windows([x[2] for x in part], length)
+            got, hinted = repeated_windows([x[2] for x in part], length)
             rows = [(x[0], x[1], a, z) for x, starts in zip(part, got, strict=True) for a, z in _runs(starts)]
+            rows += [(x[0], x[1], None, None) for x, h, starts in zip(part, hinted, got, strict=True) if h and not len(starts)]
             types = (pa.int64(), pa.binary(), pa.int32(), pa.int32())
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 4, types, strict=True)], names=["anchor", "key", "a", "z"])
 
@@ -270,22 +305,29 @@ def _by_hash(met: DataFrame, length: int) -> DataFrame:
                 n = len(c) - length + 1
                 if n <= 0:
                     continue
-                h = gram_hashes(d, 256)
-                x = _mix(h[:n] * _K[0] + h[length - 256 : length - 256 + n] * _K[1])
-                y = _mix(h[:n] * _K[1] + h[length - 256 : length - 256 + n] * _K[2])
-                yield pa.RecordBatch.from_arrays([pa.array([anchor] * n), pa.array([key] * n, pa.binary()), pa.array(np.arange(n, dtype=np.int32)), pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], names=["anchor", "key", "a", "x", "y"])
+                h = gram_hashes(d, HINT)
+                x = _mix(h[:n] * _K[0] + h[length - HINT : length - HINT + n] * _K[1])
+                y = _mix(h[:n] * _K[1] + h[length - HINT : length - HINT + n] * _K[2])
+                # For the hint three strings about the anchor, numbered below 0.
+                at = int(np.flatnonzero(gram_hashes(d).view(np.int64) == anchor)[0])
+                about = [k for k in (at, at - (HINT - GRAM) // 2, at - HINT + GRAM) if 0 <= k < len(h)]
+                a = np.concatenate((np.arange(n), -1 - np.arange(len(about)))).astype(np.int32)
+                x, y = np.concatenate((x, h[about])), np.concatenate((y, np.zeros(len(about), np.uint64)))
+                yield pa.RecordBatch.from_arrays([pa.array([anchor] * len(a)), pa.array([key] * len(a), pa.binary()), pa.array(a), pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], names=["anchor", "key", "a", "x", "y"])
 
     each = met.select("anchor", "key", "context").mapInArrow(run, "anchor long, key binary, a int, x long, y long")
     twice = each.groupBy("x", "y").agg(F.count("*").alias("n")).filter("n > 1").select("x", "y")
-    return each.join(twice, ["x", "y"], "left_semi").select("anchor", "key", "a", F.col("a").alias("z"))
+    a = F.when(F.col("a") >= 0, F.col("a"))
+    return each.join(twice, ["x", "y"], "left_semi").select("anchor", "key", a.alias("a"), a.alias("z")).distinct()
 
 
 def remove(docs: DataFrame, length: int = 400) -> DataFrame:
-    """doc_id, n_bytes, kept (binary: the remaining bytes), n_removed, n_spans, for every row of `docs`."""
-    cut = spans(docs, length).groupBy("row").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("cut"))
+    """doc_id, n_bytes, kept (binary: the remaining bytes), n_removed, n_spans, longest_repeat, for every row of `docs`.
+    longest_repeat: `length` where something is removed, `HINT` where so much was seen to be shared, else 0."""
+    cut = spans(docs, length).groupBy("row").agg(F.sort_array(F.collect_set(F.when(F.col("s").isNotNull(), F.struct("s", "e")))).alias("cut"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
         for b in batches:
             rows = []
             for doc, text, cut in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
@@ -298,8 +340,8 @@ def remove(docs: DataFrame, length: int = 400) -> DataFrame:
                     upto = max(upto, x["e"])
                     done = upto
                 kept = b"".join([*out, data[done:]])
-                rows.append((doc, len(data), len(data) - len(kept), n, kept))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, types, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+                rows.append((doc, len(data), len(data) - len(kept), n, length if n else 0 if cut is None else HINT, kept))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, types, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "longest_repeat", "kept"])
 
     joined = _texts(docs).join(cut, "row", "left").select("doc_id", "text", "cut")
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, longest_repeat long, kept binary")

@@ -437,6 +437,36 @@ def test_repeats_of_one_row_twice(spark, empty):
     assert repeats.remove(empty).count() == 0
 
 
+def test_repeats_periodic_texts(spark):
+    """A context for each run of windows, not for each window, whatever the slices."""
+    n = 3 * repeats.SLICE
+    got = [x for a in repeats.all_anchors(b"a" * n, 400) for x in a[1].tolist()]
+    assert len(got) <= n // repeats.RUN + 4 and got[0] == 0
+    period = "".join(chr(97 + (k * k) % 23) for k in range(300))
+    texts = {1: "y" * 700, 2: period * 30, 3: "q" + period[7:] * 2 + "z", 4: "plain " * 5, 5: period[:250], 6: None}
+    for limit in (repeats.MAX_GROUP, 1):
+        repeats.MAX_GROUP, before = limit, repeats.MAX_GROUP
+        got = by_id(repeats.remove(spark.createDataFrame(list(texts.items()), "doc_id long, text string")))
+        repeats.MAX_GROUP = before
+        assert {d: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for d, r in got.items()} == removed(texts, 400)
+
+
+@pytest.mark.parametrize("group", [repeats.MAX_GROUP, 1])
+def test_repeats_hint_at_shorter_passages(spark, group, monkeypatch):
+    import random
+
+    monkeypatch.setattr(repeats, "MAX_GROUP", group)
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9)))
+    passage = " ".join(word() for _ in range(62))[:380]
+    texts = {k: " ".join([*(word() for _ in range(80)), passage, *(word() for _ in range(80))]) for k in range(12)}
+    texts |= {100 + k: " ".join(word() for _ in range(200)) for k in range(12)}
+    got = by_id(repeats.remove(spark.createDataFrame(list(texts.items()), "doc_id long, text string")))
+    assert all(r["n_removed"] == 0 for r in got.values())
+    assert sum(got[k]["longest_repeat"] == repeats.HINT for k in range(12)) >= (11 if group > 1 else 8)
+    assert all(got[100 + k]["longest_repeat"] == 0 for k in range(12))
+
+
 # 10
 
 
