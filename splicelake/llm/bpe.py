@@ -1,15 +1,16 @@
 """BPE encoding and decoding by tree concatenation.
 
-ASCII white space always ends a token of this vocabulary's pre-tokeniser, so the runs between are encoded
-each on its own (and kept in a bounded cache). A run of up to `leaf` characters is encoded in one call. A
-longer one is a tree: its halves are encoded apart (as rows of their own, so in parallel over the cluster),
-and at each join a growing window is encoded anew until it agrees with both sides: left and right of the
-window there must be a token boundary at which the window's tokens and the side's tokens coincide, before
-and after. A sequence all of whose neighbouring pairs occur in an encoding is the encoding itself, so the
-spliced ids are exact; if no window agrees, the window has grown to the whole run, which is exact too.
+A text of up to `leaf` characters is encoded where it is read: ASCII white space always ends a token of this
+vocabulary's pre-tokeniser, so the runs between are encoded each on its own (and kept in a bounded cache). A
+longer text is a tree, cut near the middle again and again, inside a word if need be: its leaves are encoded
+apart (as rows of their own, so in parallel over the cluster), and at each join a growing window is encoded
+anew until it agrees with both sides: left and right of the window there must be a token boundary at which the
+window's tokens and the side's tokens coincide, before and after. A sequence all of whose neighbouring pairs
+occur in an encoding is the encoding itself, so the spliced ids are exact; if no window agrees, the window has
+grown to the whole text, which is exact too.
 
 Defined results: null is the empty text; it has no ids and decodes to the empty text. Repeated rows each
-give a row. Rows with the same doc_id don't mix: long runs are brought together by row, not by doc_id.
+give a row. Rows with the same doc_id don't mix: leaves are brought together by row, not by doc_id.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ def tokenizer(path: str):
     return _loaded[path]
 
 
-Tokens = list[tuple[int, int, int]]  # id, start, end: in characters of the run
+Tokens = list[tuple[int, int, int]]  # id, start, end: in characters of the text
 
 
 def encode_flat(t, text: str, at: int = 0) -> Tokens:
@@ -104,7 +105,7 @@ def cut_at(text: str, first: int, last: int) -> int:
 
 
 def pieces(text: str, leaf: int = LEAF) -> list[tuple[int, int]]:
-    """The leaves of the tree over a long run."""
+    """The leaves of the tree over a long text."""
     todo, out = [(0, len(text))], []
     while todo:
         a, b = todo.pop()
@@ -128,7 +129,7 @@ def join_tree(t, text: str, parts: list[tuple[int, int, Tokens]]) -> Tokens:
 
 
 def encode_run(t, text: str, leaf: int = LEAF) -> list[int]:
-    """A whole run in one process: the same tree, for tests and small tables."""
+    """A whole text in one process: the same tree, for tests and small tables."""
     if len(text) <= leaf:
         return t.encode(text, add_special_tokens=False).ids
     return [x[0] for x in join_tree(t, text, [(a, b, encode_flat(t, text[a:b], a)) for a, b in pieces(text, leaf)])]
@@ -193,10 +194,6 @@ class Encoder:
             return [x for r in runs if (x := cache.get(r) or late[r])[0]]
         return [x for r in runs if (x := cache[r])[0]]
 
-    def runs(self, runs: list[str]) -> list[tuple[int, str, str]]:
-        self.learn(set(runs))
-        return self.get(runs)
-
 
 def encoder(path: str) -> Encoder:
     """One a process, kept from task to task."""
@@ -208,7 +205,6 @@ def encoder(path: str) -> Encoder:
 
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 ENCODED = "doc_id long, n_tokens long, ids array<int>, decoded string"
-WORK = "_row long, doc_id long, seq int, text string, spans array<struct<a:int,b:int>>"
 
 
 def _sha(s: str) -> str:
@@ -223,12 +219,12 @@ def _assemble(parts: list[tuple[int, str, str]], digests: bool) -> tuple:
 def encode(docs: DataFrame, path: str, digests: bool = False, leaf: int = LEAF) -> DataFrame:
     """doc_id, n_tokens, and `ids` and `decoded`, or their digests.
 
-    Texts without a run over `leaf` characters (nearly all) are encoded where they are read. The others are
-    split: each leaf of each long run is a row, dealt out evenly; then each run's leaves meet by their run's
-    key and are joined as a tree, and a text's runs meet by their row's key. Only one text is ever together.
+    Texts of up to `leaf` characters are encoded where they are read. A longer one is a tree: each leaf is a row,
+    dealt out evenly over the cluster, and the leaves meet by their row's key to be joined. Only one text is ever
+    together.
     """
     base = docs.selectExpr("cast(doc_id as long) doc_id", "coalesce(text, '') text")
-    long_run = F.col("text").rlike(r"[^\x20\x09-\x0D]{%d}" % (leaf + 1))
+    is_long = F.char_length("text") > leaf
     schema = DIGESTS if digests else ENCODED
     arrow = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), *([("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] if digests else [("ids", pa.list_(pa.int32())), ("decoded", pa.string())])])
 
@@ -244,57 +240,44 @@ def encode(docs: DataFrame, path: str, digests: bool = False, leaf: int = LEAF)
                     rows += [(d, *_assemble(enc.get(runs), digests)) for d, runs in zip(s.column(0).slice(k, 50).to_pylist(), found, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
 
-    short = base.filter(~long_run).mapInArrow(whole, schema)
-
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each leaf of a long run (with all text from the run's start kept by the leaf alone), one for each stretch between."""
-        out = pa.schema([("row", pa.string()), ("doc_id", pa.int64()), ("seq", pa.int32()), ("a", pa.int32()), ("b", pa.int32()), ("long", pa.bool_()), ("text", pa.string())])
+        """A row for each leaf of a text."""
+        out = pa.schema([("row", pa.string()), ("doc_id", pa.int64()), ("a", pa.int32()), ("text", pa.string())])
         for b in batches:
             for d, k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                text, rows, seq, done = x.as_py(), [], 0, 0
-                for m in RUN.finditer(text):
-                    if m.end() - m.start() > leaf:
-                        if m.start() > done:
-                            rows.append((k, d, seq, 0, 0, False, text[done : m.start()]))
-                            seq += 1
-                        rows += [(k, d, seq, a, e, True, m[0][a:e]) for a, e in pieces(m[0], leaf)]
-                        seq, done = seq + 1, m.end()
-                if done < len(text):
-                    rows.append((k, d, seq, 0, 0, False, text[done:]))
+                text = x.as_py()
+                rows = [(k, d, a, text[a:e]) for a, e in pieces(text, leaf)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
         for b in batches:
-            enc = [encode_flat(t, x["text"], x["a"]) if x["long"] else [] for x in b.select(["text", "a", "long"]).to_pylist()]
-            cols = [pa.array([[y[k] for y in e] for e in enc], pa.list_(pa.int32())) for k in range(3)]
-            yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=[*b.schema.names, "ids", "starts", "ends"])
+            for k in range(b.num_rows):
+                one = b.slice(k, 1)
+                enc = encode_flat(t, one.column(3)[0].as_py(), one.column(2)[0].as_py())
+                cols = [pa.array([[y[i] for y in enc]], pa.list_(pa.int32())) for i in range(3)]
+                yield pa.RecordBatch.from_arrays([*one.columns, *cols], names=[*one.schema.names, "ids", "starts", "ends"])
 
     def meet(pdf):
         import pandas as pd
 
-        t, enc, parts = tokenizer(path), encoder(path), []
-        for _, run in sorted(pdf.groupby("seq"), key=lambda x: x[0]):
-            if not run["long"].iloc[0]:
-                parts += enc.runs(RUN.findall(run["text"].iloc[0]))
-                continue
-            run = run.sort_values("a")
-            tree = [(int(a), int(b), list(zip(map(int, i), map(int, s), map(int, e), strict=True))) for a, b, i, s, e in zip(run["a"], run["b"], run["ids"], run["starts"], run["ends"], strict=True)]
-            ids = [x[0] for x in join_tree(t, "".join(run["text"]), tree)]
-            if ids:
-                parts.append((len(ids), " ".join(map(str, ids)), t.decode(ids, skip_special_tokens=False)))
-        row = (int(pdf["doc_id"].iloc[0]) if pd.notna(pdf["doc_id"].iloc[0]) else None, *_assemble(parts, digests))
+        t, pdf = tokenizer(path), pdf.sort_values("a")
+        ends = [*pdf["a"].iloc[1:], pdf["a"].iloc[-1] + len(pdf["text"].iloc[-1])]
+        tree = [(int(a), int(b), list(zip(i.tolist(), s.tolist(), e.tolist(), strict=True))) for a, b, i, s, e in zip(pdf["a"], ends, pdf["ids"], pdf["starts"], pdf["ends"], strict=True)]
+        ids = [x[0] for x in join_tree(t, "".join(pdf["text"]), tree)]
+        part = (len(ids), " ".join(map(str, ids)), t.decode(ids, skip_special_tokens=False) if ids else "")
+        row = (int(pdf["doc_id"].iloc[0]) if pd.notna(pdf["doc_id"].iloc[0]) else None, *_assemble([part], digests))
         return pd.DataFrame([row], columns=arrow.names).astype({"doc_id": "Int64"})
 
     key = F.concat_ws("-", F.spark_partition_id(), F.monotonically_increasing_id())
-    parts_schema = "row string, doc_id long, seq int, a int, b int, long boolean, text string"
+    parts_schema = "row string, doc_id long, a int, text string"
     long = (
-        base.filter(long_run)
+        base.filter(is_long)
         .select("doc_id", key.alias("row"), "text")
         .mapInArrow(split, parts_schema)
-        .repartition("row", "seq", "a")
+        .repartition("row", "a")
         .mapInArrow(leaves, parts_schema + ", ids array<int>, starts array<int>, ends array<int>")
         .groupBy("row")
         .applyInPandas(meet, schema)
     )
-    return short.unionByName(long)
+    return base.filter(~is_long).mapInArrow(whole, schema).unionByName(long)
