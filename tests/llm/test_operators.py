@@ -147,11 +147,47 @@ def test_language(docs, texts):
 def test_language_bloom_has_no_false_misses():
     import numpy as np
 
-    table = np.zeros(1 << 12, np.uint64)
+    table = np.zeros((1 << 12, 2), np.uint64)
     g = language_id.grams("hello world")
     for s in language_id._slots(g, 1 << 12):
-        table[s] |= np.uint64(1)
-    assert language_id.Filter(["en"], table).predict("hello world") == ("en", 1.0)
+        table[s, 1] |= np.uint64(2)
+    hits = language_id.Part(table, 66).hits(g)
+    assert hits[65] == pytest.approx(g.size) and not hits[:65].any()
+
+
+def test_language_by_exact_sets(docs, texts):
+    """Against sets of n-grams by language, where these leave no doubt."""
+    per, total = defaultdict(Counter), Counter()
+    for r in docs.filter("doc_id % 4 != 2 and lang is not null and text is not null").collect():
+        for g in language_id.grams(r["text"]).tolist():
+            per[g][r["lang"]] += 1
+            total[r["lang"]] += 1
+    own = {}
+    for g, n in per.items():
+        top = max(c / total[x] for x, c in n.items())
+        own[g] = {x for x, c in n.items() if c / total[x] >= 0.2 * top and c >= 3}
+    got = by_id(language_id.predict(docs, language_id.learn(docs.filter("doc_id % 4 != 2"))))
+    sure = 0
+    for d, t in texts.items():
+        g = language_id.grams(t or "").tolist()
+        share = sorted(((sum(x in own.get(y, ()) for y in g) / len(g), x) for x in total), reverse=True) if g else []
+        if share and share[0][0] > share[1][0] + 0.02:
+            sure += 1
+            assert got[d]["lang_pred"] == share[0][1] and got[d]["score"] == pytest.approx(share[0][0], abs=0.02)
+    assert sure > 100
+
+
+def test_language_many_languages_in_parts(spark):
+    """70 languages, each of its own letters; and a filter of many parts says the same as one of one part."""
+    rows = [(k, "".join(chr(0x4E00 + 40 * (k % 70) + (i * i + k) % 37) for i in range(200)), f"l{k % 70:02}") for k in range(700)]
+    docs = spark.createDataFrame([*rows, (800, "😀😀 😀", None), (801, "𐐀𐐁𐐂", "l00")], "doc_id long, text string, lang string")
+    got = by_id(language_id.predict(docs, language_id.learn(docs)))
+    assert all(got[k]["lang_pred"] == lang for k, _, lang in rows)
+    assert got[800]["lang_pred"] == "und" and got[800]["score"] == 0 and got[801]["lang_pred"] != "und"
+    model = language_id.learn(docs, slots=64, part_bytes=1 << 15)
+    assert model.parts > 3
+    again = by_id(language_id.predict(docs, model))
+    assert all(again[k]["lang_pred"] == lang for k, _, lang in rows) and again[800]["lang_pred"] == "und"
 
 
 def test_language_empty(empty, docs):
