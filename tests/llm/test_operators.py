@@ -548,6 +548,44 @@ def test_novelty_in_assignments():
         assert [(s, e) for s, _, e in secrets.novel_spans(text, [], secrets.Novelty())] == [(13, 613)]
 
 
+def test_novelty_tells_keys_from_names():
+    """Random keys of several alphabets against names and paths of words that aren't in the dictionary."""
+    import argparse
+    import json.encoder
+    import random
+    import string
+    import typing
+
+    text = " ".join(open(m.__file__).read() for m in (argparse, json.encoder, typing))
+    n = Counter(re.findall(r"[a-z]{4,10}", text))
+    own = sorted(w for w, k in n.items() if k >= 3 and w not in secrets.IDENTIFIERS.split())
+    rng, novelty = random.Random(11), secrets.Novelty()
+
+    def name():
+        w, style = [rng.choice(own) for _ in range(3)], rng.randint(0, 4)
+        if style == 0:
+            return w[0] + "".join(x.capitalize() for x in w[1:]) + str(rng.randint(1, 99))
+        if style == 1:
+            return "_".join(w).upper() + f"_{rng.randint(1, 99)}"
+        return "_-."[style - 2].join(w) + str(rng.randint(1, 99))
+
+    def path():
+        return "src/" + "/".join(rng.choice(own) for _ in range(4)) + f"/v{rng.randint(1, 9)}.{rng.randint(0, 20)}"
+
+    def key(alphabet, size):
+        return lambda: "".join(rng.choices(alphabet, k=size))
+
+    def reported(make, n=300):
+        made = [x for x in (make() for _ in range(n)) if len(x) >= 16 and any(map(str.isdigit, x)) and any(map(str.isalpha, x))]
+        return sum(secrets.novel_spans(f"auth key {x} is", [], novelty) == [(9, 3, 9 + len(x))] for x in made) / len(made)
+
+    assert len(own) > 200
+    assert reported(name) <= 0.05 and reported(path) <= 0.05
+    plain = string.ascii_letters + string.digits
+    for alphabet, size in ((plain, 20), (plain, 32), (plain + "+/", 40), (string.ascii_lowercase + string.digits, 32), ("0123456789ABCDEF", 32)):
+        assert reported(key(alphabet, size)) >= 0.9
+
+
 def test_mask(docs, empty):
     assert secrets.mask("x password = hunter22 y") == "x password = [SECRET] y"
     assert secrets.mask("") == ""
