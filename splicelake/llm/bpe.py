@@ -19,7 +19,9 @@ import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +29,9 @@ from pyspark.sql import functions as F
 LEAF = 8192
 CACHE = 400_000
 RUN = re.compile(r"[^\x20\x09-\x0D]+")
+SPACE = re.compile(r"[\x20\x09-\x0D]")
+#: Characters at either end of a leaf that are kept as tokens with places.
+EDGE = 96
 #: Of the added tokens: a cut inside one would spell it out.
 SPECIAL_REACH = 32
 
@@ -62,14 +67,14 @@ def _clean(t: Tokens, i: int) -> bool:
     return t[i - 1][2] == t[i][1] and t[i - 1][1] < t[i - 1][2] and t[i][1] < t[i][2]
 
 
-def splice(t, text: str, left: Tokens, right: Tokens, cut: int, first: int, last: int, window: int = 64) -> Tokens:
-    """Tokens of text[first:last], from those of its parts before and after `cut`."""
+def splice(t, text: str, left: Tokens, right: Tokens, cut: int, first: int, last: int, origin: int = 0, window: int = 64) -> Tokens:
+    """Tokens from place `first` to `last`, from those before and after `cut`. `text` stands at `origin`."""
     while True:
         a, b = max(first, cut - window), min(last, cut + window)
         if a == first and b == last:
-            return encode_flat(t, text[first:last], first)
-        mid = encode_flat(t, text[a:b], a)
-        pairs = {(mid[i - 1], mid[i]): i for i in range(1, len(mid)) if _clean(mid, i) and _letters(text, mid[i - 1][1], mid[i][2])}
+            return encode_flat(t, text[first - origin : last - origin], first)
+        mid = encode_flat(t, text[a - origin : b - origin], a)
+        pairs = {(mid[i - 1], mid[i]): i for i in range(1, len(mid)) if _clean(mid, i) and _letters(text, mid[i - 1][1] - origin, mid[i][2] - origin)}
         i = j = None
         if a == first:
             i, head = 0, []
@@ -117,22 +122,78 @@ def pieces(text: str, leaf: int = LEAF) -> list[tuple[int, int]]:
     return out
 
 
-def join_tree(t, text: str, parts: list[tuple[int, int, Tokens]]) -> Tokens:
-    """Neighbours joined pair by pair until one part is left."""
+class Leaf(NamedTuple):
+    """An encoded stretch of a text. Its edges are kept as tokens with places, for joins; what lies between them,
+    from white space to white space, as ids alone. A stretch without such a middle is all head (`middle` None)."""
+
+    head: Tokens
+    middle: np.ndarray | None
+    tail: Tokens
+
+
+def edges(text: str) -> tuple[int, int]:
+    """Where a stretch's head ends and its tail begins: at white space; (length, length) if it has no middle."""
+    first = SPACE.search(text, EDGE)
+    last = max((m.start() for m in SPACE.finditer(text, max(0, len(text) - 4 * EDGE), max(0, len(text) - EDGE))), default=-1)
+    return (first.start(), last) if first and last > first.start() else (len(text), len(text))
+
+
+def leaf(enc: Encoder, text: str, at: int) -> Leaf:
+    """`text` stands at `at` in the whole."""
+    first, last = edges(text)
+    head = encode_flat(enc.t, text[:first], at)
+    if first == len(text):
+        return Leaf(head, None, [])
+    ids = " ".join([x[1] for x in enc.runs(RUN.findall(text, first, last))])
+    return Leaf(head, np.array(ids.split(), np.uint32), encode_flat(enc.t, text[last:], at + last))
+
+
+class Side(NamedTuple):
+    """Joined leaves: where it begins and ends, its edges (text, place, tokens), and the ids between; one edge and no ids
+    if there was no white space to part them."""
+
+    first: int
+    last: int
+    head: tuple[str, int, Tokens]
+    middle: list[np.ndarray] | None
+    tail: tuple[str, int, Tokens]
+
+
+def side(x: Leaf, text: str, at: int) -> Side:
+    first, last = edges(text)
+    head = text[:first], at, x.head
+    return Side(at, at + len(text), head, None, head) if x.middle is None else Side(at, at + len(text), head, [x.middle], (text[last:], at + last, x.tail))
+
+
+def join(t, x: Side, y: Side) -> Side:
+    """Neighbours joined: the edges that meet are spliced by a growing window."""
+    text, at = x.tail[0] + y.head[0], x.tail[1]
+    edge = text, at, splice(t, text, x.tail[2], y.head[2], y.first, at, at + len(text), at)
+    ids = np.array([k[0] for k in edge[2]], np.uint32)
+    if x.middle is None and y.middle is None:
+        return Side(x.first, y.last, edge, None, edge)
+    if x.middle is None:
+        return Side(x.first, y.last, edge, y.middle, y.tail)
+    if y.middle is None:
+        return Side(x.first, y.last, x.head, x.middle, edge)
+    return Side(x.first, y.last, x.head, [*x.middle, ids, *y.middle], y.tail)
+
+
+def join_tree(t, parts: list[Side]) -> list[int]:
+    """Neighbours joined pair by pair until one part is left; its ids."""
     while len(parts) > 1:
-        up = []
-        for k in range(0, len(parts) - 1, 2):
-            (a, c, left), (_, b, right) = parts[k], parts[k + 1]
-            up.append((a, b, splice(t, text, left, right, c, a, b)))
+        up = [join(t, parts[k], parts[k + 1]) for k in range(0, len(parts) - 1, 2)]
         parts = up + parts[len(up) * 2 :]
-    return parts[0][2] if parts else []
+    if not parts:
+        return []
+    head, tail = ([k[0] for k in edge[2]] for edge in (parts[0].head, parts[0].tail))
+    return head if parts[0].middle is None else [*head, *np.concatenate(parts[0].middle).tolist(), *tail]
 
 
-def encode_run(t, text: str, leaf: int = LEAF) -> list[int]:
+def encode_tree(path: str, text: str, size: int = LEAF) -> list[int]:
     """A whole text in one process: the same tree, for tests and small tables."""
-    if len(text) <= leaf:
-        return t.encode(text, add_special_tokens=False).ids
-    return [x[0] for x in join_tree(t, text, [(a, b, encode_flat(t, text[a:b], a)) for a, b in pieces(text, leaf)])]
+    enc = encoder(path)
+    return join_tree(enc.t, [side(leaf(enc, text[a:b], a), text[a:b], a) for a, b in pieces(text, size)])
 
 
 class Encoder:
@@ -187,6 +248,10 @@ class Encoder:
         for r in other:
             new[r] = self._one(r)
 
+    def runs(self, runs: list[str]) -> list[tuple[int, str, str]]:
+        self.learn(set(runs))
+        return self.get(runs)
+
     def get(self, runs: list[str]) -> list[tuple[int, str, str]]:
         """(number of ids, ids as text, decoded text) of each of the runs last learned, less those without ids."""
         cache, late = self.cache, self.late
@@ -216,15 +281,15 @@ def _assemble(parts: list[tuple[int, str, str]], digests: bool) -> tuple:
     return (n, _sha(ids), _sha(text)) if digests else (n, [int(x) for x in ids.split()], text)
 
 
-def encode(docs: DataFrame, path: str, digests: bool = False, leaf: int = LEAF) -> DataFrame:
+def encode(docs: DataFrame, path: str, digests: bool = False, size: int = LEAF) -> DataFrame:
     """doc_id, n_tokens, and `ids` and `decoded`, or their digests.
 
-    Texts of up to `leaf` characters are encoded where they are read. A longer one is a tree: each leaf is a row,
+    Texts of up to `size` characters are encoded where they are read. A longer one is a tree: each leaf is a row,
     dealt out evenly over the cluster, and the leaves meet by their row's key to be joined. Only one text is ever
     together.
     """
     base = docs.selectExpr("cast(doc_id as long) doc_id", "coalesce(text, '') text")
-    is_long = F.char_length("text") > leaf
+    is_long = F.char_length("text") > size
     schema = DIGESTS if digests else ENCODED
     arrow = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), *([("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] if digests else [("ids", pa.list_(pa.int32())), ("decoded", pa.string())])])
 
@@ -246,28 +311,37 @@ def encode(docs: DataFrame, path: str, digests: bool = False, leaf: int = LEAF)
         for b in batches:
             for d, k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 text = x.as_py()
-                rows = [(k, d, a, text[a:e]) for a, e in pieces(text, leaf)]
+                rows = [(k, d, a, text[a:e]) for a, e in pieces(text, size)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizer(path)
+        enc, names = encoder(path), ["row", "doc_id", "a", "text", "middle", "ids", "starts", "ends", "n_head"]
         for b in batches:
             for k in range(b.num_rows):
                 one = b.slice(k, 1)
-                enc = encode_flat(t, one.column(3)[0].as_py(), one.column(2)[0].as_py())
-                cols = [pa.array([[y[i] for y in enc]], pa.list_(pa.int32())) for i in range(3)]
-                yield pa.RecordBatch.from_arrays([*one.columns, *cols], names=[*one.schema.names, "ids", "starts", "ends"])
-
-    def meet(pdf):
-        import pandas as pd
-
-        t, pdf = tokenizer(path), pdf.sort_values("a")
-        ends = [*pdf["a"].iloc[1:], pdf["a"].iloc[-1] + len(pdf["text"].iloc[-1])]
-        tree = [(int(a), int(b), list(zip(i.tolist(), s.tolist(), e.tolist(), strict=True))) for a, b, i, s, e in zip(pdf["a"], ends, pdf["ids"], pdf["starts"], pdf["ends"], strict=True)]
-        ids = [x[0] for x in join_tree(t, "".join(pdf["text"]), tree)]
+                text = one.column(3)[0].as_py()
+                x, (first, last) = leaf(enc, text, one.column(2)[0].as_py()), edges(text)
+                middle = None if x.middle is None else x.middle.tobytes()
+                tokens = [*x.head, *x.tail]
+                kept = text if middle is None else text[:first] + text[last:]  # the middle's text has done its part
+                cols = [pa.array([kept], pa.string()), pa.array([middle], pa.binary()), *(pa.array([[y[i] for y in tokens]], pa.list_(pa.int32())) for i in range(3)), pa.array([len(x.head)], pa.int32())]
+                yield pa.RecordBatch.from_arrays([*one.columns[:3], *cols, pa.array([len(text)], pa.int32()), pa.array([first], pa.int32())], names=[*names, "n", "first"])
+
+    def meet(t_: pa.Table) -> pa.Table:
+        t, parts = tokenizer(path), []
+        for r in t_.sort_by("a").to_pylist():
+            tokens = list(zip(r["ids"], r["starts"], r["ends"], strict=True))
+            a, h = r["a"], r["n_head"]
+            head = r["text"][: r["first"]], a, tokens[:h]
+            tail = r["text"][r["first"] :]
+            if r["middle"] is None:
+                parts.append(Side(a, a + r["n"], head, None, head))
+            else:
+                parts.append(Side(a, a + r["n"], head, [np.frombuffer(r["middle"], np.uint32)], (tail, a + r["n"] - len(tail), tokens[h:])))
+        ids = join_tree(t, parts)
         part = (len(ids), " ".join(map(str, ids)), t.decode(ids, skip_special_tokens=False) if ids else "")
-        row = (int(pdf["doc_id"].iloc[0]) if pd.notna(pdf["doc_id"].iloc[0]) else None, *_assemble([part], digests))
-        return pd.DataFrame([row], columns=arrow.names).astype({"doc_id": "Int64"})
+        row = (t_.column("doc_id")[0].as_py(), *_assemble([part], digests))
+        return pa.table([pa.array([x], f.type) for x, f in zip(row, arrow, strict=True)], schema=arrow)
 
     key = F.concat_ws("-", F.spark_partition_id(), F.monotonically_increasing_id())
     parts_schema = "row string, doc_id long, a int, text string"
@@ -276,8 +350,8 @@ def encode(docs: DataFrame, path: str, digests: bool = False, leaf: int = LEAF)
         .select("doc_id", key.alias("row"), "text")
         .mapInArrow(split, parts_schema)
         .repartition("row", "a")
-        .mapInArrow(leaves, parts_schema + ", ids array<int>, starts array<int>, ends array<int>")
+        .mapInArrow(leaves, parts_schema + ", middle binary, ids array<int>, starts array<int>, ends array<int>, n_head int, n int, first int")
         .groupBy("row")
-        .applyInPandas(meet, schema)
+        .applyInArrow(meet, schema)
     )
     return base.filter(~is_long).mapInArrow(whole, schema).unionByName(long)

@@ -376,11 +376,11 @@ def test_quality_empty(empty, docs):
 # 7
 
 
-@pytest.mark.parametrize("leaf", [200, bpe.LEAF])
-def test_bpe(docs, texts, leaf):
+@pytest.mark.parametrize("size", [200, 700, bpe.LEAF])
+def test_bpe(docs, texts, size):
     path = queries.vocabulary()
     t = bpe.tokenizer(path)
-    got = by_id(bpe.encode(docs, path, digests=True, leaf=leaf))
+    got = by_id(bpe.encode(docs, path, digests=True, size=size))
     for d, x in texts.items():
         ids = t.encode(x or "", add_special_tokens=False).ids
         assert got[d]["n_tokens"] == len(ids) and got[d]["ids_sha256"] == sha(" ".join(map(str, ids)))
@@ -390,11 +390,22 @@ def test_bpe(docs, texts, leaf):
 def test_bpe_splices():
     import random
 
-    t, rng = bpe.tokenizer(queries.vocabulary()), random.Random(4)
-    alphabets = ["abcdefghij", "aé漢ßİ", "the", "ab'sl", "a1!-", "한국어가", "éa"]
-    for k in range(140):
+    path, rng = queries.vocabulary(), random.Random(4)
+    t = bpe.tokenizer(path)
+    alphabets = ["abcdefghij", "aé漢ßİ", "the", "ab'sl", "a1!-", "한국어가", "éa", "abcde ", "the quick\n ", "a  b\t"]
+    for k in range(300):
         x = "".join(rng.choice(alphabets[k % len(alphabets)]) for _ in range(rng.randint(50, 1500)))
-        assert bpe.encode_run(t, x, rng.randint(20, 200)) == t.encode(x, add_special_tokens=False).ids
+        assert bpe.encode_tree(path, x, rng.randint(20, 500)) == t.encode(x, add_special_tokens=False).ids
+
+
+def test_bpe_long_texts_are_trees(spark):
+    """The driver's documents that are longer than a leaf."""
+    path = queries.vocabulary()
+    t, long = bpe.tokenizer(path), [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter(f"length(text) > {bpe.LEAF}").collect()]
+    assert len(long) > 20
+    for x in long:
+        assert len(bpe.pieces(x)) > 1
+        assert bpe.encode_tree(path, x) == t.encode(x, add_special_tokens=False).ids
 
 
 def test_bpe_empty(empty):
