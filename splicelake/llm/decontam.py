@@ -1,8 +1,12 @@
 """Benchmark decontamination by a broadcast hash set of n-grams, in DataFrame functions only.
 
 The test windows' hashes are put into the plan as one literal set, so each training document is scanned in
-its own row: no shuffle of windows. Hits are then verified on the window's full text. A benchmark with more
-windows than `max_windows` takes the shuffled path instead (windows exploded and semi-joined by hash).
+its own row: no shuffle of windows. Hits are then verified on the window's full text. The set holds at most
+`max_windows`; the windows of a larger benchmark are dealt by hash into several such sets, each with its own
+scan, and the hits are united: the corpus is never exploded, and results are the same.
+
+Items of equal text are one class, and windows that the same classes hold one group, so a hit names its group
+alone, however many items share the window; only at the end does each document's set of groups become items.
 
 Defined results: a null or wordless text has n_words 0 and no hit; null or wordless items have no window;
 an item repeated under one id counts once; windows of items without an id count as hits but name no item.
@@ -11,15 +15,18 @@ Documents repeated with the same id and text give one row. Empty tables give emp
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, by_id, let
+from .common import LOWER, UPPER, by_id, let, materialise
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 13
-#: Windows that the literal set may hold (a hash of 8 bytes each).
+#: Windows that a literal set may hold (a hash of 8 bytes each); and bytes of item ids to be broadcast.
 MAX_WINDOWS = 1 << 16
+MAX_ID_BYTES = 1 << 23
 
 
 def words(text: Column) -> Column:
@@ -31,18 +38,26 @@ def _starts(w: Column, length: int) -> Column:
     return F.when(F.size(w) >= length, F.sequence(F.lit(1), F.size(w) - (length - 1))).otherwise(F.array().cast("array<int>"))
 
 
-def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """item_id, len, wtext, h: each item's windows of `window` words, or its whole text if shorter."""
+def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """Each different window of `window` words, or a whole text if shorter: len, wtext, h, group. And group, item_ids
+    (sorted, as strings): the items that hold a group's windows."""
     w = F.col("w")
     length = F.least(F.size(w), F.lit(window))
     spans = F.transform(F.sequence(F.lit(1), F.size(w) - length + 1), lambda i: F.slice(w, i, length))
-    return (
-        benchmark.select("item_id", words(F.col("text")).alias("w"))
-        .filter(F.size("w") > 0)
-        .select("item_id", F.explode(spans).alias("g"))
-        .select("item_id", F.size("g").alias("len"), F.array_join("g", " ").alias("wtext"), F.xxhash64("g").alias("h"))
+    texts = benchmark.select("item_id", words(F.col("text")).alias("w")).filter(F.size("w") > 0).groupBy("w").agg(F.collect_set(F.col("item_id").cast("string")).alias("ids"))
+    texts = texts.withColumn("class", F.sha2(F.array_join("w", " "), 256))
+    held = (
+        texts.select("class", F.explode(spans).alias("g"))
+        .select("class", F.size("g").alias("len"), F.array_join("g", " ").alias("wtext"), F.xxhash64("g").alias("h"))
         .distinct()
     )
+    held = materialise(held, "decontam-held")
+    # The classes that hold a window, by the exclusive or of two hashes, without bringing them together.
+    mark = lambda k: F.bit_xor(F.xxhash64("class", F.lit(k))).cast("string")
+    grams = materialise(held.groupBy("len", "wtext", "h").agg(F.concat_ws(":", mark(1), mark(2)).alias("group")), "decontam-windows")
+    classes = held.join(grams.select("len", "wtext", "group"), ["len", "wtext"]).select("group", "class").distinct()
+    items = classes.join(texts.select("class", "ids"), "class").groupBy("group").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("item_ids"))
+    return grams, materialise(items, "decontam-items")
 
 
 def _found(docs: DataFrame, known: list, lengths: list[int]) -> DataFrame:
@@ -61,49 +76,35 @@ def _found(docs: DataFrame, known: list, lengths: list[int]) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("key"), let(words(F.col("text")), scan).alias("r")).select("doc_id", "key", "r.*")
 
 
-def _found_shuffled(docs: DataFrame, grams: DataFrame, lengths: list[int]) -> DataFrame:
-    """As `_found`, for a benchmark of any size: windows are exploded and semi-joined by their hash."""
-    base = docs.select("doc_id", F.xxhash64("text").alias("key"), words(F.col("text")).alias("w"))
-
-    def of_length(w: Column, n: int) -> Column:
-        return F.transform(_starts(w, n), lambda i: F.struct(i.alias("pos"), F.lit(n).alias("len"), F.xxhash64(F.slice(w, i, n)).alias("h")))
-
-    every = let(F.col("w"), lambda w: F.concat(*[of_length(w, n) for n in lengths]))
-    at = (
-        base.select("doc_id", "key", F.explode(every).alias("x"))
-        .select("doc_id", "key", "x.*")
-        .join(grams.select("len", "h").distinct(), ["len", "h"], "left_semi")
-        .groupBy("doc_id", "key")
-        .agg(F.collect_set(F.struct("pos", "len")).alias("at"))
-    )
-    text = lambda x: F.struct(x["pos"].alias("pos"), x["len"].alias("len"), F.array_join(F.slice(F.col("w"), x["pos"], x["len"]), " ").alias("wtext"))
-    left, right = base.alias("l"), at.alias("r")
-    return left.join(right, F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("l.key") == F.col("r.key")), "left").select(
-        "l.doc_id", "l.key", F.size("w").cast("long").alias("n_words"), F.coalesce(F.transform("at", text), F.array().cast("array<struct<pos:int,len:int,wtext:string>>")).alias("hits")
-    )
-
-
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """doc_id, n_words, spans (array of pos and len, words from 1), n_hit, item_ids: verified occurrences."""
-    grams = benchmark_windows(benchmark, window)
-    known = [tuple(r) for r in grams.select("len", "h").distinct().limit(max_windows + 1).collect()]
-    if len(known) <= max_windows:
-        found, grams = _found(docs, known, sorted({n for n, _ in known})), F.broadcast(grams)
-    else:
-        found = _found_shuffled(docs, grams, list(range(1, window + 1)))
+    grams, items = benchmark_windows(benchmark, window)
+    sets = max(1, -(-4 * grams.count() // (3 * max_windows)))  # with room for sets above the average
     upto = F.col("x.pos") + F.col("x.len") - 1
-    sure = (
-        found.select("doc_id", "key", "n_words", F.explode_outer("hits").alias("x"))
-        .join(grams.select("item_id", F.col("wtext").alias("g")), F.col("x.wtext") == F.col("g"), "left")
-        .groupBy("doc_id", "key", "n_words")
-        .agg(
-            F.collect_set(F.when(F.col("g").isNotNull(), F.struct(F.col("x.pos").alias("pos"), upto.alias("upto")))).alias("spans"),
-            F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"),
-        )
-    )
+
+    def scanned(k: int) -> DataFrame:
+        """Verified hits against the k-th set; the first set's scan names every document."""
+        own = grams if sets == 1 else grams.filter(F.pmod(F.xxhash64("h"), F.lit(sets)) == k)
+        known = [tuple(r) for r in own.select("len", "h").distinct().collect()]
+        found = _found(docs, known, sorted({n for n, _ in known}))
+        found = found.select("doc_id", "key", "n_words", (F.explode if k else F.explode_outer)("hits").alias("x"))
+        sure = found.join(F.broadcast(own.select("group", F.col("wtext").alias("g"))), F.col("x.wtext") == F.col("g"), "left")
+        if k:
+            sure = sure.filter(F.col("g").isNotNull())
+        sure = sure.select("doc_id", "key", "n_words", F.when(F.col("g").isNotNull(), F.struct(F.col("x.pos").alias("pos"), upto.alias("upto"))).alias("span"), "group")
+        return sure if sets == 1 else materialise(sure, "decontam-hits")
+
+    every = reduce(DataFrame.union, [scanned(k) for k in range(sets)])
+    of_doc = every.groupBy("doc_id", "key", "n_words").agg(F.sort_array(F.collect_set("span")).alias("spans"), F.collect_set("group").alias("groups"))
     step = lambda a, x: F.struct(F.greatest(a["upto"], x["upto"]).alias("upto"), (a["total"] + F.greatest(F.lit(0), x["upto"] - F.greatest(a["upto"], x["pos"] - 1))).alias("total"))
     n_hit = F.aggregate("spans", F.struct(F.lit(0).alias("upto"), F.lit(0).alias("total")), step, lambda a: a["total"])
-    return sure.withColumn("spans", F.sort_array("spans")).withColumn("n_hit", n_hit.cast("long")).drop("key")
+    of_doc = materialise(of_doc.withColumn("n_hit", n_hit.cast("long")), "decontam-documents")
+    bytes_ = items.agg(F.sum(F.octet_length(F.array_join("item_ids", ",")))).first()[0] or 0
+    named = of_doc.select("doc_id", "key", F.explode("groups").alias("group")).join(F.broadcast(items) if bytes_ <= MAX_ID_BYTES else items, "group")
+    named = named.groupBy("doc_id", "key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"))
+    left, right = of_doc.alias("l"), named.alias("r")
+    joined = left.join(right, F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("l.key") == F.col("r.key")), "left")
+    return joined.select("l.doc_id", "n_words", F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"), "spans", "n_hit")
 
 
 def judged(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, percent: int = 5) -> DataFrame:
