@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,8 +34,7 @@ from .common import materialise
 
 END = b"\n"  # no word holds white space
 HEAD = 1 << 18
-SEGMENT_TOKENS = 1 << 18
-MAX_SEGMENTS = 1 << 24
+SEGMENT_TOKENS = 1 << 20
 BITS_PER_ENTRY = 4
 BASE, DELTA, WEIGHT = 1.5, 0.1, 0.3
 MAX_LEVEL = 64
@@ -129,7 +129,7 @@ def _probes(low: np.ndarray, q: int, bits: int) -> list[np.ndarray]:
     return [((a + np.uint64(k) * b) % np.uint64(bits)).astype(np.int64) for k in range(4 if q == 1 else 2)]
 
 
-def build_block(low: np.ndarray, _pair: np.ndarray | None, c: np.ndarray, size: int = 64) -> np.ndarray:
+def build_block(low: np.ndarray, c: np.ndarray, size: int = 64) -> np.ndarray:
     """A block with all the n-grams, of `size` bytes or as many more as leave three quarters of its bits or so unset."""
     q = level(c)
     bits = 8 * max(size, -(-BITS_PER_ENTRY * int((4 + 2 * (q - 1)).sum()) // 8))
@@ -149,7 +149,7 @@ class LogFrequencyFilter:
         """Highest levels up to which all are found; 0 where level 1 misses."""
         segments, size = self.blocks.shape
         flat = self.blocks.reshape(-1)
-        origin = ((key >> np.uint64(40)) % np.uint64(segments)).astype(np.int64) * size
+        origin = _segment(key, segments) * size
         low, q, live = key & np.uint64((1 << 40) - 1), np.zeros(len(key), np.uint8), np.arange(len(key))
         for k in range(1, MAX_LEVEL + 1):
             hit = np.ones(len(live), bool)
@@ -168,20 +168,25 @@ class LogFrequencyFilter:
 
 
 def segments_for(n_tokens: int) -> int:
-    """Blocks: a power of two, for `SEGMENT_TOKENS` tokens each."""
-    return min(MAX_SEGMENTS, max(64, 1 << max(0, math.ceil(math.log2(max(1, n_tokens) / SEGMENT_TOKENS)))))
+    """Blocks: a power of two, for `SEGMENT_TOKENS` tokens each, however many."""
+    return max(64, 1 << max(0, math.ceil(math.log2(max(1, n_tokens) / SEGMENT_TOKENS))))
+
+
+def _segment(key: np.ndarray, segments: int) -> np.ndarray:
+    return ((_mix(key + np.uint64(3)) >> np.uint64(1)) % np.uint64(segments)).astype(np.int64)
 
 
 def _by_segment(key: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
     """The keys' order by segment, and their segments in that order."""
-    seg = ((key >> np.uint64(40)) % np.uint64(segments)).astype(np.int64)
+    seg = _segment(key, segments)
     order = np.argsort(seg, kind="stable")
     return order, seg[order]
 
 
-#: An n-gram's hash less its segment; and with its kind and count.
+#: 40 bits of an n-gram's hash; and with its count.
 _ASKED = np.dtype([("low", "<u4"), ("top", "u1")])
-_COUNTED = np.dtype([("low", "<u4"), ("top", "u1"), ("pair", "u1"), ("c", "<u2")])
+_COUNTED = np.dtype([("low", "<u4"), ("top", "u1"), ("c", "u1")])
+_MOST = 255
 
 
 def _packed(key: np.ndarray, kind: np.dtype) -> np.ndarray:
@@ -195,6 +200,15 @@ def _unpacked(x: np.ndarray) -> np.ndarray:
     return x["low"].astype(np.uint64) | x["top"].astype(np.uint64) << np.uint64(32)
 
 
+def _pressed(x: np.ndarray) -> tuple[str, bytes]:
+    """An array's bytes, the lowest of all numbers first, then the next: most higher ones are 0."""
+    return x.dtype.str, zstandard.compress(x.view(np.uint8).reshape(len(x), -1).T.tobytes(), 1)
+
+
+def _released(kind: str, data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
+
+
 PARTS = "segment long, chunk long, data binary"
 
 
@@ -207,7 +221,7 @@ def _parts(packed: np.ndarray, ids: np.ndarray, chunk: int) -> pa.RecordBatch:
 
 
 def counted(train: DataFrame, segments: int) -> DataFrame:
-    """The n-grams' counts by segment, under chunk -1: 8 bytes an n-gram of a batch."""
+    """The n-grams' counts by segment, under chunk -1: 6 bytes an n-gram of a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -218,14 +232,14 @@ def counted(train: DataFrame, segments: int) -> DataFrame:
                 c = np.concatenate((np.bincount(codes, minlength=len(h)), c_pairs))
                 order, ids = _by_segment(key, segments)
                 packed = _packed(key, _COUNTED)
-                packed["pair"], packed["c"] = np.repeat(np.array([0, 1], np.uint8), [len(h), len(pairs)]), np.minimum(c, 65535)
+                packed["c"] = np.minimum(c, _MOST)
                 packed = packed[order]
-                extra = (c[order] - 1) // 65535  # a count too large for its field goes on in further entries
+                extra = (c[order] - 1) // _MOST  # a count too large for its field goes on in further entries
                 if extra.any():
                     again = np.repeat(np.arange(len(packed)), extra + 1)
-                    rest = c[order][again] - 65535 * (np.arange(len(again)) - np.searchsorted(again, again))
+                    rest = c[order][again] - _MOST * (np.arange(len(again)) - np.searchsorted(again, again))
                     packed, ids = packed[again], ids[again]
-                    packed["c"] = np.minimum(rest, 65535)
+                    packed["c"] = np.minimum(rest, _MOST)
                 yield _parts(packed, ids, -1)
 
     return train.select("text").mapInArrow(run, PARTS)
@@ -253,7 +267,7 @@ def asked(docs: DataFrame, segments: int) -> DataFrame:
                 key = _grams(codes, h, n)[0]
                 order, ids = _by_segment(key, segments)
                 yield _parts(_packed(key[order], _ASKED), ids, chunk)
-                own = part.column(0).to_pylist(), part.column(1).to_pylist(), codes.astype(np.min_scalar_type(len(h))), h, n
+                own = part.column(0).to_pylist(), part.column(1).to_pylist(), _pressed(codes.astype(np.min_scalar_type(len(h)))), h, n
                 yield pa.RecordBatch.from_arrays([pa.array([-1 - chunk]), pa.array([chunk]), pa.array([pickle.dumps(own)], pa.binary())], names=["segment", "chunk", "data"])
                 chunk += 1
 
@@ -269,8 +283,8 @@ def answered(parts: DataFrame) -> DataFrame:
         chunk = t.column("chunk").to_numpy()
         data = t.column("data").to_pylist()
         got = np.concatenate([np.empty(0, _COUNTED), *[np.frombuffer(x, _COUNTED) for x, k in zip(data, chunk, strict=True) if k < 0]])
-        key, back = np.unique(_unpacked(got) | got["pair"].astype(np.uint64) << np.uint64(40), return_inverse=True)
-        model = LogFrequencyFilter(build_block(key & np.uint64((1 << 40) - 1), key >> np.uint64(40) > 0, np.bincount(back, weights=got["c"], minlength=len(key)))[None])
+        key, back = np.unique(_unpacked(got), return_inverse=True)
+        model = LogFrequencyFilter(build_block(key, np.bincount(back, weights=got["c"], minlength=len(key)))[None])
         keep = chunk >= 0
         levels = [model.levels(_unpacked(np.frombuffer(x, _ASKED))).tobytes() for x, k in zip(data, keep, strict=True) if k]
         return pa.table({"segment": pa.array(t.column("segment").to_numpy()[keep]), "chunk": pa.array(chunk[keep]), "data": pa.array(levels, pa.binary())})
@@ -306,7 +320,7 @@ def score(docs: DataFrame, train: DataFrame, head: int = HEAD) -> DataFrame:
         segment = t.column("segment").to_numpy()
         data = t.column("data").to_pylist()
         ids, row, codes, h, n = pickle.loads(data[int(np.argmin(segment))])
-        codes = codes.astype(np.int64)
+        codes = _released(*codes).astype(np.int64)
         key, left, back = _grams(codes, h, n)
         q = np.empty(len(key), np.uint8)
         q[_by_segment(key, segments)[0]] = np.frombuffer(b"".join([data[k] for k in np.argsort(segment)[1:]]), np.uint8)

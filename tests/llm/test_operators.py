@@ -259,7 +259,7 @@ def test_lm_filter_counts():
 
     rng = np.random.default_rng(5)
     low_, c = rng.integers(0, 1 << 40, 3000, dtype=np.uint64), rng.zipf(1.6, 3000).clip(1, 10**6)
-    block = ngram_lm.build_block(low_, np.ones(3000, bool), c, 1 << 14)
+    block = ngram_lm.build_block(low_, c, 1 << 14)
     model = ngram_lm.LogFrequencyFilter(block[None])
     est = model.counts(low_)
     assert (est >= ngram_lm.value(ngram_lm.level(c)) - 1e-9).all()
@@ -272,10 +272,9 @@ def test_lm_keeps_every_gram(spark, monkeypatch):
 
     rng = np.random.default_rng(6)
     low_, c = rng.integers(0, 1 << 40, 3000, dtype=np.uint64), rng.zipf(1.6, 3000).clip(1, 10**6)
-    est = ngram_lm.LogFrequencyFilter(ngram_lm.build_block(low_, np.ones(3000, bool), c, 64)[None]).counts(low_)
+    est = ngram_lm.LogFrequencyFilter(ngram_lm.build_block(low_, c, 64)[None]).counts(low_)
     assert (est >= ngram_lm.value(ngram_lm.level(c)) - 1e-9).all()
     # Far more n-grams than a filter of 4 KB or one block holds: pairs seen before still count.
-    monkeypatch.setattr(ngram_lm, "FILTER_BYTES", 4096, raising=False)
     monkeypatch.setattr(ngram_lm, "SEGMENT_TOKENS", 128)
     rows = [(k, " ".join(f"w{x}" for x in rng.integers(0, 2000, 300))) for k in range(100)]
     got = by_id(ngram_lm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(rows[:80], "doc_id long, text string")))
@@ -435,7 +434,7 @@ def hits_brute(texts, items, window=13):
     return out
 
 
-@pytest.mark.parametrize("most", [decontam.MAX_WINDOWS, 3])
+@pytest.mark.parametrize("most", [decontam.MAX_WINDOWS, 500])
 def test_decontamination(spark, docs, texts, most):
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     items += [(901, None), (902, "!!!"), (903, "same line"), (904, "One two"), (None, "other same"), (905, "same  LINE")]
@@ -444,6 +443,16 @@ def test_decontamination(spark, docs, texts, most):
     assert {d: (r["n_words"], r["n_hit"], r["item_ids"]) for d, r in got.items()} == hits_brute(texts, items)
 
 
+def test_decontamination_many_items_share_a_text(spark):
+    """A text under very many ids, and a beginning that many texts share: hits name them all, once a document."""
+    shared = " ".join(f"start{i}" for i in range(20))
+    items = spark.range(100_000).selectExpr("id item_id", "'a text that is held under a great many different ids by its benchmark' text")
+    items = items.union(spark.range(500).selectExpr("200000 + id", f"concat('{shared} ', id)"))
+    docs = spark.createDataFrame([(1, "x a text that is held under a great many different ids by its benchmark y"), (2, f"{shared} zzz"), (3, "nothing"), (3, None)], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["n_words"], r["n_hit"], len(r["item_ids"]), r["item_ids"][:1]) for r in decontam.hits(docs, items).collect())
+    assert got == [(1, 16, 14, 100_000, ["0"]), (2, 21, 20, 500, ["200000"]), (3, 0, 0, 0, []), (3, 1, 0, 0, [])]
+
+
 def test_decontamination_empty(spark, empty, docs):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert decontam.judged(empty, bench).count() == 0
