@@ -177,27 +177,28 @@ def _segment(key: np.ndarray, segments: int) -> np.ndarray:
 
 
 def _by_segment(key: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
-    """The keys' order by segment, and their segments in that order."""
-    seg = _segment(key, segments)
-    order = np.argsort(seg, kind="stable")
+    """The keys' order by segment and their 40 bits, and their segments in that order."""
+    seg, low = _segment(key, segments), key & _LOW
+    order = np.argsort(seg.astype(np.uint64) << np.uint64(40) | low) if segments <= 1 << 24 else np.lexsort((low, seg))
     return order, seg[order]
 
 
-#: 40 bits of an n-gram's hash; and with its count.
-_ASKED = np.dtype([("low", "<u4"), ("top", "u1")])
-_COUNTED = np.dtype([("low", "<u4"), ("top", "u1"), ("c", "u1")])
+_LOW = np.uint64((1 << 40) - 1)
 _MOST = 255
 
 
-def _packed(key: np.ndarray, kind: np.dtype) -> np.ndarray:
-    low = key & np.uint64((1 << 40) - 1)
-    out = np.empty(len(key), kind)
-    out["low"], out["top"] = low & np.uint64(0xFFFFFFFF), low >> np.uint64(32)
-    return out
+def _shut(low: np.ndarray, c: np.ndarray | None = None) -> bytes:
+    """Rising numbers of 40 bits, by their differences, and counts of a byte each: byte by byte of all, compressed."""
+    planes = np.diff(low, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8)[:, :5].T
+    return zstandard.compress(np.vstack([planes, *([] if c is None else [c.astype(np.uint8)])]).tobytes(), 1)
 
 
-def _unpacked(x: np.ndarray) -> np.ndarray:
-    return x["low"].astype(np.uint64) | x["top"].astype(np.uint64) << np.uint64(32)
+def _opened(data: bytes, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers, and the last of `rows` bytes of each."""
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(rows, -1)
+    steps = np.zeros((planes.shape[1], 8), np.uint8)
+    steps[:, :5] = planes[:5].T
+    return np.cumsum(steps.view(np.uint64).reshape(-1), dtype=np.uint64), planes[-1]
 
 
 def _pressed(x: np.ndarray) -> tuple[str, bytes]:
@@ -212,16 +213,16 @@ def _released(kind: str, data: bytes) -> np.ndarray:
 PARTS = "segment long, chunk long, data binary"
 
 
-def _parts(packed: np.ndarray, ids: np.ndarray, chunk: int) -> pa.RecordBatch:
+def _parts(low: np.ndarray, c: np.ndarray | None, ids: np.ndarray, chunk: int) -> pa.RecordBatch:
     """A row for each segment in `ids`, which are in order."""
     edge = np.flatnonzero(np.diff(ids, prepend=-1))
     ends = np.append(edge[1:], len(ids))
-    data = [packed[x:y].tobytes() for x, y in zip(edge, ends, strict=True)]
+    data = [_shut(low[x:y], None if c is None else c[x:y]) for x, y in zip(edge, ends, strict=True)]
     return pa.RecordBatch.from_arrays([pa.array(ids[edge]), pa.array(np.full(len(edge), chunk)), pa.array(data, pa.binary())], names=["segment", "chunk", "data"])
 
 
 def counted(train: DataFrame, segments: int) -> DataFrame:
-    """The n-grams' counts by segment, under chunk -1: 6 bytes an n-gram of a batch."""
+    """The n-grams' counts by segment, under chunk -1: some 4 bytes an n-gram of a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -231,16 +232,13 @@ def counted(train: DataFrame, segments: int) -> DataFrame:
                 key = np.concatenate((word_key(h), pair_key(h[pairs // len(h)], h[pairs % len(h)])))
                 c = np.concatenate((np.bincount(codes, minlength=len(h)), c_pairs))
                 order, ids = _by_segment(key, segments)
-                packed = _packed(key, _COUNTED)
-                packed["c"] = np.minimum(c, _MOST)
-                packed = packed[order]
-                extra = (c[order] - 1) // _MOST  # a count too large for its field goes on in further entries
+                low, c = key[order] & _LOW, c[order]
+                extra = (c - 1) // _MOST  # a count too large for its field goes on in further entries
                 if extra.any():
-                    again = np.repeat(np.arange(len(packed)), extra + 1)
-                    rest = c[order][again] - _MOST * (np.arange(len(again)) - np.searchsorted(again, again))
-                    packed, ids = packed[again], ids[again]
-                    packed["c"] = np.minimum(rest, _MOST)
-                yield _parts(packed, ids, -1)
+                    again = np.repeat(np.arange(len(low)), extra + 1)
+                    c = np.minimum(_MOST, c[again] - _MOST * (np.arange(len(again)) - np.searchsorted(again, again)))
+                    low, ids = low[again], ids[again]
+                yield _parts(low, c, ids, -1)
 
     return train.select("text").mapInArrow(run, PARTS)
 
@@ -255,7 +253,7 @@ def _grams(codes: np.ndarray, h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray,
 
 
 def asked(docs: DataFrame, segments: int) -> DataFrame:
-    """The probes of each chunk of texts by segment, once for each different n-gram: 5 bytes each; and what the chunk itself
+    """The probes of each chunk of texts by segment, once for each different n-gram: some 3.6 bytes each; and what the chunk itself
     needs to be scored, under a negative segment. `docs`: doc_id, row, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,7 +264,7 @@ def asked(docs: DataFrame, segments: int) -> DataFrame:
                 codes, h, n = _coded(part.column(2).to_pylist())
                 key = _grams(codes, h, n)[0]
                 order, ids = _by_segment(key, segments)
-                yield _parts(_packed(key[order], _ASKED), ids, chunk)
+                yield _parts(key[order] & _LOW, None, ids, chunk)
                 own = part.column(0).to_pylist(), part.column(1).to_pylist(), _pressed(codes.astype(np.min_scalar_type(len(h)))), h, n
                 yield pa.RecordBatch.from_arrays([pa.array([-1 - chunk]), pa.array([chunk]), pa.array([pickle.dumps(own)], pa.binary())], names=["segment", "chunk", "data"])
                 chunk += 1
@@ -282,11 +280,12 @@ def answered(parts: DataFrame) -> DataFrame:
             return t
         chunk = t.column("chunk").to_numpy()
         data = t.column("data").to_pylist()
-        got = np.concatenate([np.empty(0, _COUNTED), *[np.frombuffer(x, _COUNTED) for x, k in zip(data, chunk, strict=True) if k < 0]])
-        key, back = np.unique(_unpacked(got), return_inverse=True)
-        model = LogFrequencyFilter(build_block(key, np.bincount(back, weights=got["c"], minlength=len(key)))[None])
+        got = [_opened(x, 6) for x, k in zip(data, chunk, strict=True) if k < 0]
+        key, back = np.unique(np.concatenate([np.empty(0, np.uint64), *[x[0] for x in got]]), return_inverse=True)
+        c = np.bincount(back, weights=np.concatenate([np.empty(0, np.uint8), *[x[1] for x in got]]), minlength=len(key))
+        model = LogFrequencyFilter(build_block(key, c)[None])
         keep = chunk >= 0
-        levels = [model.levels(_unpacked(np.frombuffer(x, _ASKED))).tobytes() for x, k in zip(data, keep, strict=True) if k]
+        levels = [zstandard.compress(model.levels(_opened(x, 5)[0]).tobytes(), 1) for x, k in zip(data, keep, strict=True) if k]
         return pa.table({"segment": pa.array(t.column("segment").to_numpy()[keep]), "chunk": pa.array(chunk[keep]), "data": pa.array(levels, pa.binary())})
 
     return parts.groupBy("segment").applyInArrow(block, PARTS)
@@ -323,7 +322,7 @@ def score(docs: DataFrame, train: DataFrame, head: int = HEAD) -> DataFrame:
         codes = _released(*codes).astype(np.int64)
         key, left, back = _grams(codes, h, n)
         q = np.empty(len(key), np.uint8)
-        q[_by_segment(key, segments)[0]] = np.frombuffer(b"".join([data[k] for k in np.argsort(segment)[1:]]), np.uint8)
+        q[_by_segment(key, segments)[0]] = np.frombuffer(b"".join([zstandard.decompress(data[k]) for k in np.argsort(segment)[1:]]), np.uint8)
         c_grams = np.where(q > 0, value(q), 0.0)
         doc = np.repeat(np.arange(len(n)), n)
         at = np.minimum(np.searchsorted(fh, h), max(0, len(fh) - 1))
