@@ -52,6 +52,10 @@ def near(a: Column, b: Column, by: int = 1) -> Column:
     return F.abs(a - b) <= by
 
 
+def ascii_lower(c: Column) -> Column:
+    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def negative_strand(c: Column) -> Column:
     text = F.lower(stripped(c))
     return F.coalesce(text.startswith("-") | (text == "minus"), F.lit(False))

@@ -80,6 +80,12 @@ def supporting_transcripts(junctions: DataFrame, exons: DataFrame, strict: bool
     return before.join(after, ["ord", "tx"]).filter((apart if strict else F.abs(apart)) == 1).select("ord", "tx")
 
 
+def supporting_aa_ranges(supporting: DataFrame, exons: DataFrame) -> DataFrame:
+    """ord, tx, aa_start, aa_end: all amino acids of the coding exons of supporting transcripts."""
+    coding = exons.filter("cds_start > 0").groupBy("tx").agg(F.min("aa_start").alias("aa_start"), F.max("aa_end").alias("aa_end"))
+    return supporting.join(coding, "tx").select("ord", "tx", "aa_start", "aa_end")
+
+
 def nonskipping_aa_ranges(junctions: DataFrame, exons: DataFrame) -> DataFrame:
     """ord, tx, aa_start, aa_end: the amino acids of coding exons that overlap the junction, of transcripts that don't skip."""
     coding = exons.filter("cds_start > 0")
@@ -112,14 +118,13 @@ def longest_per_name(domains: DataFrame, key: str = "ord", null_name_literal: st
 def verdicts(junctions: DataFrame, kept: DataFrame) -> DataFrame:
     """cluster, ord, category, name, message, description: each junction against the other junctions of its cluster.
 
-    The longest among the others is the cluster's longest of the name, or if that is the junction's own, the next:
-    one ranked window in place of a self-join.
+    The longest among the others is the cluster's longest of the name, or if that is the junction's own, the next: two
+    aggregates, which a cluster of any size enters as partial sums, in place of a self-join.
     """
-    own = junctions.select("ord", "cluster").join(kept, "ord")
-    by_length = Window.partitionBy("cluster", "name").orderBy(F.desc("len"), "ord")
-    top = own.withColumn("n", F.row_number().over(by_length)).filter("n <= 2").groupBy("cluster", "name").agg(
-        *[F.max(F.when(F.col("n") == k, F.col(c))).alias(f"{c}{k}") for k in (1, 2) for c in ("ord", "len", "description")]
-    )
+    own = junctions.select("ord", "cluster").join(kept, "ord").select("cluster", "name", F.struct((-F.col("len")).alias("less"), "ord", "len", "description").alias("x"))
+    first = own.groupBy("cluster", "name").agg(F.min("x").alias("x1"))
+    second = own.join(first, ["cluster", "name"]).filter("x.ord != x1.ord").groupBy("cluster", "name").agg(F.min("x").alias("x2"))
+    top = first.join(second, ["cluster", "name"], "left").select("cluster", "name", *[F.col(f"x{k}.{c}").alias(f"{c}{k}") for k in (1, 2) for c in ("ord", "len", "description")])
     every = junctions.select("cluster", "ord").join(top, "cluster").join(kept.select("ord", "name", "len", "description"), ["ord", "name"], "left")
     other = lambda c: F.when(F.col("ord1") == F.col("ord"), F.col(f"{c}2")).otherwise(F.col(f"{c}1"))
     t = every.withColumn("other", other("len")).withColumn("other_description", other("description"))
@@ -136,9 +141,8 @@ def verdicts(junctions: DataFrame, kept: DataFrame) -> DataFrame:
     text = F.coalesce(F.when(F.col("kind") == "missing", F.col("other_description")).otherwise(F.col("description")), F.lit(""))
     rank = F.when(F.col("kind") == "only", 0).when(F.col("kind") == "missing", 1).otherwise(2)
     out = t.withColumn("kind", kind).filter(F.col("kind").isNotNull())
-    several = Window.partitionBy("cluster")
-    many = junctions.withColumn("size", F.count("*").over(several)).filter("size > 1").select("ord")
-    return out.join(many, "ord", "left_semi").select("cluster", "ord", rank.cast("int").alias("category"), "name", message.alias("message"), F.replace(text, F.lit(";"), F.lit(" | ")).alias("description"))
+    many = junctions.groupBy("cluster").agg(F.count("*").alias("size")).filter("size > 1")
+    return out.join(many, "cluster", "left_semi").select("cluster", "ord", rank.cast("int").alias("category"), "name", message.alias("message"), F.replace(text, F.lit(";"), F.lit(" | ")).alias("description"))
 
 
 def gene_names(junctions: DataFrame, genes: DataFrame) -> DataFrame:
@@ -154,7 +158,7 @@ def report(junctions: DataFrame, found: DataFrame, genes: DataFrame) -> DataFram
     per = found.groupBy("ord").agg(line.alias("lines")).select(
         "ord", F.array_join("lines.message", ";").alias("results"), F.array_join("lines.description", ";").alias("descriptions")
     )
-    counted = junctions.withColumn("size", F.count("*").over(Window.partitionBy("cluster")))
+    counted = junctions.join(junctions.groupBy("cluster").agg(F.count("*").alias("size")), "cluster")
     return counted.join(per, "ord", "left").join(gene_names(junctions, genes), "cluster", "left").select(
         "ord", "cluster", "gene_name", "junction_name", F.col("gene_raw").alias("gene_id"), "start", "end",
         F.when(F.col("size") == 1, F.lit("Nothing to compare")).otherwise(F.coalesce("results", F.lit(""))).alias("comparison_results"),

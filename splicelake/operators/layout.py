@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import LABEL_COLUMNS, STRIPS, domain_label, palette, present
+from ..functions.scalars import LABEL_COLUMNS, STRIPS, ascii_lower, domain_label, palette, present
 
 
 def gene_by_symbol(genes: DataFrame, symbols: DataFrame) -> DataFrame:
-    """symbol, gene_ensembl_id, gene_symbol: for each of `symbols`, compared without case, the first gene by id."""
-    wanted = symbols.select("symbol", F.lower("symbol").alias("k")).distinct()
-    first = genes.groupBy(F.lower("gene_symbol").alias("k")).agg(F.min(F.struct("gene_ensembl_id", "gene_symbol")).alias("g"))
+    """symbol, gene_ensembl_id, gene_symbol: for each of `symbols`, compared without the case of A-Z, the first gene by id."""
+    wanted = symbols.select("symbol", ascii_lower(F.col("symbol")).alias("k")).distinct()
+    first = genes.groupBy(ascii_lower(F.col("gene_symbol")).alias("k")).agg(F.min(F.struct("gene_ensembl_id", "gene_symbol")).alias("g"))
     return wanted.join(first, "k").select("symbol", "g.gene_ensembl_id", "g.gene_symbol")
 
 
@@ -81,6 +81,46 @@ def labels(domains: DataFrame) -> DataFrame:
     return domains.withColumn("many", many).select("protein", "position", domain_label(F.col("many")).alias("label"))
 
 
+def island_labels(domains: DataFrame, axis: DataFrame) -> DataFrame:
+    """key, center, width, text, axis_max: the label of each island's longest domain, as `label_lanes` takes them.
+
+    `domains` as of `protein_domains`, with `key` (what is drawn: a transcript) in place of protein; `axis`: key,
+    axis_max. A label is starred as its names demand, and where its island has several domains.
+    """
+    d = domains.withColumnRenamed("key", "protein")
+    text = d.select("protein", "position", domain_label(F.lit(False)).alias("label")).filter("label is not null")
+    starred = F.when(F.col("has_overlap") & ~F.col("label").endswith("*"), F.concat("label", F.lit("*"))).otherwise(F.col("label"))
+    at = islands(d).join(text, ["protein", "position"]).withColumnRenamed("protein", "key").join(axis, "key")
+    start, end = F.col("AA_start"), F.col("AA_end")
+    return at.select("key", ((start + end) / F.lit(2.0)).alias("center"), F.greatest(F.lit(1.0), (end - start).cast("double")).alias("width"), starred.alias("text"), "axis_max")
+
+
+def domain_shapes(domains: DataFrame, hits: DataFrame, colors: DataFrame, axis: DataFrame) -> DataFrame:
+    """tx, domain, z, center, width, fill, color: a domain's ellipse.
+
+    z (from 0): by AA_end, the greatest first, then position. fill: `fallback` (on no coding segment; the palette's
+    z-th colour), `solid` (on one; its colour) or `strips` (on several; no colour, see `domain_strips`). Widths are 2 %
+    of the axis and 8 amino acids at least. `domains`: tx, AA_start, AA_end, position; `hits` as of `domain_segments`;
+    `colors`: tx, segment, color; `axis`: tx, axis_max.
+    """
+    z = F.row_number().over(Window.partitionBy("tx").orderBy(F.desc("AA_end"), "position")) - 1
+    on = hits.join(colors, ["tx", "segment"], "left").groupBy("tx", "domain").agg(F.count("*").alias("n"), F.min("color").alias("own"))
+    d = domains.withColumn("z", z.cast("bigint")).withColumnRenamed("position", "domain").join(axis, "tx").join(on, ["tx", "domain"], "left")
+    width = F.greatest((F.col("AA_end") - F.col("AA_start")).cast("double"), F.lit(8.0), F.col("axis_max") * F.lit(0.02))
+    n = F.coalesce("n", F.lit(0))
+    return d.select(
+        "tx", "domain", "z", ((F.col("AA_start") + F.col("AA_end")) / F.lit(2.0)).alias("center"), width.alias("width"),
+        F.when(n == 0, F.lit("fallback")).when(n == 1, F.lit("solid")).otherwise(F.lit("strips")).alias("fill"),
+        F.when(n == 0, palette(F.col("z"))).when(n == 1, F.col("own")).alias("color"),
+    )
+
+
+def segment_colors(segments: DataFrame, transcripts: DataFrame, colors: DataFrame) -> DataFrame:
+    """tx, segment, color: of coding segments that of their exon. `colors` as of `exon_colors`."""
+    gene = transcripts.select(F.col("transcript_ensembl_id").alias("tx"), "gene_ensembl_id")
+    return segments.join(gene, "tx").join(colors, ["gene_ensembl_id", "gs", "ge"]).select("tx", F.col("position").alias("segment"), "color")
+
+
 def islands(domains: DataFrame) -> DataFrame:
     """protein, island (from 1), AA_start, AA_end, has_overlap: the longest domain of each island of closed intervals that touch."""
     d = domains.filter("AA_start is not null and AA_end is not null")
@@ -138,6 +178,14 @@ def matching_junctions(junctions: DataFrame, exons: DataFrame) -> DataFrame:
     return seen.filter("ends and starts and not whole or inside").select("ord", "cluster", "tx", "left", "right")
 
 
+def junction_table(report: DataFrame) -> DataFrame:
+    """The first page's table, all text and nulls empty: a cluster's junctions numbered from 1, and that number's colour."""
+    idx = F.row_number().over(Window.partitionBy("cluster").orderBy("ord"))
+    shown = ["junction_name", "gene_id", "start", "end", "comparison_results", "domain_descriptions", "cluster", "gene_name"]
+    text = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in shown]
+    return report.select("ord", idx.cast("string").alias("idx"), *text, palette(idx - 1).cast("bigint").alias("color"))
+
+
 def junction_brackets(matches: DataFrame, base: float = 0.65) -> DataFrame:
     """`matches` (ord, cluster, tx, left, right) with idx and the bracket's top, stacked in each cluster and transcript."""
     w = Window.partitionBy("cluster", "tx").orderBy("left", "right", "ord")
@@ -217,7 +265,7 @@ def transcript_flags(transcripts: DataFrame, exons: DataFrame, proteins: DataFra
 
 def pages(transcripts: DataFrame, per_page: int = 4) -> DataFrame:
     """gene_ensembl_id, tx, page (from 0), slot (from 0)."""
-    k = F.col("position") - 1
+    k = F.col("position") - 1  # of the transcripts that are drawn
     return transcripts_ordered(transcripts).select("gene_ensembl_id", "tx", F.floor(k / per_page).cast("bigint").alias("page"), F.pmod(k, F.lit(per_page)).cast("bigint").alias("slot"))
 
 
@@ -225,3 +273,29 @@ def titles(genes: DataFrame, extents: DataFrame) -> DataFrame:
     """gene_ensembl_id, title."""
     g = genes.join(extents, "gene_ensembl_id")
     return g.select("gene_ensembl_id", F.format_string("%s - %s  |  chr%s:%s-%s  |  %d transcript(s)", "gene_symbol", "specie", "chromosome", F.format_number("genomic_start", 0), F.format_number("genomic_end", 0), "n_transcripts").alias("title"))
+
+
+def page_titles(titles: DataFrame, paged: DataFrame, clusters: DataFrame | None = None) -> DataFrame:
+    """gene_ensembl_id, page (from 0), title: with the cluster's name if `clusters` (gene_ensembl_id, cluster_name) has
+    one, and the page's number where a gene has several. `paged` as of `pages`."""
+    n = paged.groupBy("gene_ensembl_id").agg((F.max("page") + 1).alias("n_pages"))
+    t = titles.join(paged.select("gene_ensembl_id", "page").distinct(), "gene_ensembl_id").join(n, "gene_ensembl_id")
+    if clusters is not None:
+        t = t.join(clusters.groupBy("gene_ensembl_id").agg(F.min("cluster_name").alias("cluster_name")), "gene_ensembl_id", "left")
+        t = t.withColumn("title", F.concat("title", F.when(F.col("cluster_name").isNotNull(), F.concat(F.lit("  |  "), "cluster_name")).otherwise(F.lit(""))))
+    suffix = F.when(F.col("n_pages") > 1, F.format_string("  (page %d/%d)", F.col("page") + 1, F.col("n_pages"))).otherwise(F.lit(""))
+    return t.select("gene_ensembl_id", "page", F.concat("title", suffix).alias("title"))
+
+
+def transcript_captions(transcripts: DataFrame) -> DataFrame:
+    """tx, caption."""
+    protein = F.when(present(F.col("protein_ensembl_id")), F.col("protein_ensembl_id")).otherwise(F.lit("N/A"))
+    return transcripts.select(F.col("transcript_ensembl_id").alias("tx"), F.format_string("Transcript: %s  |  Protein: %s", "transcript_ensembl_id", protein).alias("caption"))
+
+
+def drawn_transcripts(transcripts: DataFrame, flags: DataFrame, protein_only: bool = False, domains_only: bool = False) -> DataFrame:
+    """The transcripts with exons, and if asked for a protein or domains. `flags` as of `transcript_flags`."""
+    want = flags.filter("has_exons")
+    for asked, name in ((protein_only, "has_protein"), (domains_only, "has_domains")):
+        want = want.filter(name) if asked else want
+    return transcripts.join(want.select(F.col("tx").alias("transcript_ensembl_id")), "transcript_ensembl_id", "left_semi")

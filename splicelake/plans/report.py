@@ -1,47 +1,88 @@
-"""The whole pipeline: junctions and annotation in, one report row a junction out, as one lazy plan."""
+"""The whole pipeline: junctions and annotation in, one report row a junction out."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators import core
+from ..sources.stored import stored
 
 
-@dataclass
 class Stages:
-    """The steps of a run, each a lazy DataFrame, for whoever needs one of them."""
+    """The steps of a run, made when asked for. Those that several later steps read (`domains`, `exons`, `usable`,
+    `kept`, `found`) are written once to the shared folder; the others are lazy."""
 
-    junctions: DataFrame
-    domains: DataFrame
-    exons: DataFrame
-    usable: DataFrame
-    ranges: DataFrame
-    kept: DataFrame
-    found: DataFrame
-    report: DataFrame
+    def __init__(self, tables: dict[str, DataFrame], normalize_gene_id: bool, null_name_literal: str | None, on_error: str) -> None:
+        self.tables, self.normalize_gene_id, self.null_name_literal, self.on_error = tables, normalize_gene_id, null_name_literal, on_error
+
+    @cached_property
+    def junctions(self) -> DataFrame:
+        return core.parse_junctions(self.tables["junctions"], self.on_error)
+
+    @cached_property
+    def domains(self) -> DataFrame:
+        t = self.tables
+        return stored(core.transcript_domains(t["transcripts"], t["proteins"], t["domain_event"], t["domain_type"]), "domains")
+
+    @cached_property
+    def exons(self) -> DataFrame:
+        return stored(core.exon_ranges(self.tables["transcript_exon"], self.domains), "exons")
+
+    @cached_property
+    def usable(self) -> DataFrame:
+        return stored(core.usable(self.junctions, self.domains), "usable")
+
+    @cached_property
+    def ranges(self) -> DataFrame:
+        return core.nonskipping_aa_ranges(self.usable, self.exons)
+
+    @cached_property
+    def kept(self) -> DataFrame:
+        relevant = core.relevant_domains(self.usable, self.ranges, self.domains, self.normalize_gene_id)
+        return stored(core.longest_per_name(relevant, null_name_literal=self.null_name_literal), "kept")
+
+    @cached_property
+    def found(self) -> DataFrame:
+        return stored(core.verdicts(self.usable, self.kept), "found")
+
+    @cached_property
+    def report(self) -> DataFrame:
+        return core.report(self.usable, self.found, self.tables["genes"])
+
+    @cached_property
+    def progress(self) -> DataFrame:
+        """ord, cluster, n_transcripts: how many transcripts of each usable junction don't skip it."""
+        per = self.ranges.groupBy("ord").agg(F.count("*").alias("n"))
+        return self.usable.select("ord", "cluster").join(per, "ord", "left").select("ord", "cluster", F.coalesce("n", F.lit(0)).alias("n_transcripts"))
 
 
 def stages(tables: dict[str, DataFrame], normalize_gene_id: bool = False, null_name_literal: str | None = None, on_error: str = "fail") -> Stages:
-    junctions = core.parse_junctions(tables["junctions"], on_error)
-    domains = core.transcript_domains(tables["transcripts"], tables["proteins"], tables["domain_event"], tables["domain_type"])
-    exons = core.exon_ranges(tables["transcript_exon"], domains)
-    usable = core.usable(junctions, domains)
-    ranges = core.nonskipping_aa_ranges(usable, exons)
-    kept = core.longest_per_name(core.relevant_domains(usable, ranges, domains, normalize_gene_id), null_name_literal=null_name_literal)
-    found = core.verdicts(usable, kept)
-    return Stages(junctions, domains, exons, usable, ranges, kept, found, core.report(usable, found, tables["genes"]))
+    return Stages(tables, normalize_gene_id, null_name_literal, on_error)
 
 
 def cluster_report(tables: dict[str, DataFrame], **options) -> DataFrame:
     return stages(tables, **options).report
 
 
+def report_of_files(spark, sheet: str, database: str, output_csv: str, gene_ids: str | None = None, **options) -> dict[str, DataFrame] | None:
+    """A workbook of junctions and an SQLite database in, the report as CSV out. With `gene_ids` (comma-separated) the
+    layout tables of their clusters come back, written after the report; else None."""
+    from ..sources.files import read_database, read_junction_sheet, write_report
+    from ..sources.tables import checked
+    from .gene_layout import gene_layout
+
+    tables = read_database(spark, database) | {"junctions": read_junction_sheet(spark, sheet)}
+    tables = {n: checked(df, n) for n, df in tables.items()}
+    report = stages(tables, **options).report
+    write_report(report, output_csv)
+    return None if gene_ids is None else gene_layout(tables, protein_only=True, domains_only=True, report=requested(report, gene_ids))
+
+
 def requested(report: DataFrame, gene_ids: str) -> DataFrame:
     """Report rows of the clusters whose first junction's gene is in a comma-separated list."""
-    from pyspark.sql import functions as F
-
     wanted = [g.strip() for g in gene_ids.split(",")]
     chosen = report.groupBy("cluster").agg(F.min_by("gene_id", "ord").alias("g")).filter(F.split_part("g", F.lit(":"), F.lit(1)).isin(wanted)).select("cluster")
     return report.join(chosen, "cluster", "left_semi")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import scalars
 from .operators import core, layout
+from .plans.gene_layout import gene_layout
 from .plans.report import requested, stages
 from .sources.tables import VIEWS, stand_ins
 
@@ -45,17 +46,19 @@ STEPS = {
  union all select cluster, ord, 2, name, case when len > other then 'Longer ' else 'Shorter ' end || name || ', ' || len || ' vs ' || other, description from a where len <> other)""",
 }
 #: Each junction and name of its cluster, with the best of the other junctions by a self-join.
-_A = """select s.cluster, s.ord, s.name, o.len, o.description, b.len as other, b.description as other_description from
- (select distinct u.cluster, u.ord, n.name from u join (select distinct u.cluster, k.name from u join k on k.ord = u.ord) n on n.cluster = u.cluster
-  where (select count(*) from u v where v.cluster = u.cluster) > 1) s
+_A = """select s.cluster, s.ord, s.name, o.len, o.description, -z.b.l as other, z.b.d as other_description from
+ (select u.cluster, u.ord, n.name from u join (select distinct u.cluster, k.name from u join k on k.ord = u.ord) n on n.cluster = u.cluster
+  join (select cluster from u group by cluster having count(*) > 1) c on c.cluster = u.cluster) s
  left join k o on o.ord = s.ord and o.name = s.name
- left join lateral (select k.len, k.description from k join u w on w.ord = k.ord where w.cluster = s.cluster and k.name = s.name and k.ord <> s.ord order by k.len desc, k.ord limit 1) b on true"""
+ left join (select s.ord, s.name, min({'l': -w.len, 'o': w.ord, 'd': w.description}) as b from
+   (select u.cluster, u.ord, n.name from u join (select distinct u.cluster, k.name from u join k on k.ord = u.ord) n on n.cluster = u.cluster) s
+   join (select u.cluster, k.* from k join u on u.ord = k.ord) w on w.cluster = s.cluster and w.name = s.name and w.ord <> s.ord group by s.ord, s.name) z on z.ord = s.ord and z.name = s.name"""
 _ORDER = ["j", "d", "x", "u", "sk", "r", "rd", "k", "a", "f"]
 
 
 def _sql(body: str, upto: str = "", more: str = "") -> str:
     names = _ORDER[: _ORDER.index(upto) + 1] if upto else []
-    ctes = [f"{n} as ({q})" for n, q in VIEWS.items()] + [f"{n} as ({STEPS.get(n, _A)})" for n in names] + ([more] if more else [])
+    ctes = [f"{n} as materialized ({q})" for n, q in VIEWS.items()] + [f"{n} as materialized ({STEPS.get(n, _A)})" for n in names] + ([more] if more else [])
     return "with " + ",\n".join(ctes) + "\n" + body
 
 
@@ -105,19 +108,35 @@ def _(t):
     return core.skipping_transcripts(s.usable, s.exons)
 
 
-@_query(
-    "supporting_transcripts",
-    _sql(
-        'select l.ord, l.tx from (select u.ord, x.tx, min(exon_rank) as a from u join x on u.gene = x.gene and abs(x.ge - u."start") <= 1 group by u.ord, x.tx) l '
-        'join (select u.ord, x.tx, min(exon_rank) as b from u join x on u.gene = x.gene and abs(x.gs - u."end") <= 1 group by u.ord, x.tx) r on l.ord = r.ord and l.tx = r.tx where abs(a - b) = 1',
-        "u",
-    ),
+_SUP = (
+    'select l.ord, l.tx from (select u.ord, x.tx, min(exon_rank) as a from u join x on u.gene = x.gene and abs(x.ge - u."start") <= 1 group by u.ord, x.tx) l '
+    'join (select u.ord, x.tx, min(exon_rank) as b from u join x on u.gene = x.gene and abs(x.gs - u."end") <= 1 group by u.ord, x.tx) r on l.ord = r.ord and l.tx = r.tx where '
 )
+
+
+@_query("supporting_transcripts", _sql(_SUP + "abs(a - b) = 1", "u"))
 def _(t):
     s = stages(t)
     return core.supporting_transcripts(s.usable, s.exons)
 
 
+@_query("supporting_transcripts_strict", _sql(_SUP + "a - b = 1", "u"))
+def _(t):
+    s = stages(t)
+    return core.supporting_transcripts(s.usable, s.exons, strict=True)
+
+
+@_query("supporting_aa_ranges", _sql(f"select ord, p.tx, aa_start, aa_end from ({_SUP}abs(a - b) = 1) p join (select tx, min(aa_start) as aa_start, max(aa_end) as aa_end from x where cds_start > 0 group by tx) c on c.tx = p.tx", "u"))
+def _(t):
+    s = stages(t)
+    return core.supporting_aa_ranges(core.supporting_transcripts(s.usable, s.exons), s.exons)
+
+
+@_query("progress_counts", _sql("select u.ord, u.cluster, count(r.tx) as n_transcripts from u left join r on r.ord = u.ord group by u.ord, u.cluster", "r"))
+def _(t):
+    return stages(t).progress
+
+
 @_query("nonskipping_aa_ranges", _sql("select ord, tx, aa_start, aa_end from r", "r"))
 def _(t):
     return stages(t).ranges
@@ -252,17 +271,6 @@ def _(t):
     return layout.islands(layout.protein_domains(t["domain_event"], t["domain_type"]))
 
 
-@_query("label_lanes")
-def _(t):
-    domains = layout.protein_domains(t["domain_event"], t["domain_type"])
-    chosen = layout.islands(domains).join(layout.labels(domains), ["protein", "position"]).filter("label is not null")
-    items = chosen.select(
-        F.col("protein").alias("key"), ((F.col("AA_start") + F.col("AA_end")) / F.lit(2.0)).alias("center"),
-        F.greatest((F.col("AA_end") - F.col("AA_start")).cast("double"), F.lit(8.0)).alias("width"), F.col("label").alias("text"), F.lit(1000.0).alias("axis_max"),
-    )
-    return layout.label_lanes(items)
-
-
 @_query("junction_display", _sql("select cluster, ord, row_number() over (partition by cluster order by ord) as idx, (row_number() over (partition by cluster order by ord) - 1) % 48 as color from j", "j"))
 def _(t):
     return layout.junction_display(core.parse_junctions(t["junctions"]))
@@ -353,6 +361,49 @@ def _(t):
     return layout.domain_strips(hits, axis).select("tx", "domain", "strip", *_r("center"), F.round("strip_height", 4).alias("strip_height"), "segment")
 
 
+_PT_CTE = "pt as (select t.transcript_ensembl_id as protein, AA_start, AA_end, position, interpro, pfam, cdd, smart from pd join transcripts t on t.protein_ensembl_id = pd.protein)"
+_IT_CTE = f"""it as (select *, row_number() over (partition by key order by center, text) as k, greatest(width * 0.25::double, length(text) * 2.2::double) as half, greatest(3.0::double, axis_max * 0.004::double) as gap from
+ (select i.protein as key, (i.AA_start + i.AA_end) / 2.0::double as center, greatest(1.0::double, cast(i.AA_end - i.AA_start as double)) as width,
+ case when has_overlap and not ends_with(label, '*') then label || '*' else label end as text, axis_max from ({_ISL.replace("from pd ", "from pt ")}) i
+ join ({_LABEL_SQL.replace("from pd))", "from pt))").replace("count(*) over (partition by protein) > 1 as many", "false as many")}) l on l.protein = i.protein and l.position = i.position
+ join transcripts t on t.transcript_ensembl_id = i.protein join ax on ax.gene_ensembl_id = t.gene_ensembl_id where label is not null))"""
+_LANES_CTE = """lanes as (select key, cast(0 as bigint) as k, [-1e12::double, -1e12::double, -1e12::double, -1e12::double] as ends, cast(0 as bigint) as lane, null::double as center, null::varchar as text from (select distinct key from it)
+ union all select key, k, list_transform(ends, lambda e, i: case when i = lane then center + half + gap else e end), lane, center, text from
+ (select it.key, it.k, it.center, it.text, it.half, it.gap, lanes.ends,
+  coalesce(nullif(list_position(list_transform(lanes.ends, lambda e: e <= it.center - it.half), true), 0), list_position(lanes.ends, list_min(lanes.ends))) as lane from lanes join it on it.key = lanes.key and it.k = lanes.k + 1) n)"""
+
+
+def _tx_axis(t):
+    return t["transcripts"].select(F.col("transcript_ensembl_id").alias("tx"), "gene_ensembl_id").join(_axis(t), "gene_ensembl_id").select("tx", "axis_max")
+
+
+@_query("label_lanes", _sql("select key, round(center, 6) as center, text, lane - 1 as lane from lanes where k > 0", more=f"{_AXIS_CTES}, {_PT_CTE}, {_IT_CTE}, {_LANES_CTE}").replace("with ", "with recursive ", 1))
+def _(t):
+    tx = t["transcripts"].select(F.col("transcript_ensembl_id").alias("key"), F.col("protein_ensembl_id").alias("protein"))
+    domains = layout.protein_domains(t["domain_event"], t["domain_type"]).join(tx, "protein").drop("protein")
+    placed = layout.label_lanes(layout.island_labels(domains, _tx_axis(t).withColumnRenamed("tx", "key")))
+    return placed.select("key", *_r("center"), "text", F.col("lane").cast("bigint").alias("lane"))
+
+
+_EC = (
+    f"select gene_ensembl_id, gs, ge, (row_number() over (partition by gene_ensembl_id order by p, q) - 1) % 48 as color from "
+    f"(select gene_ensembl_id, gs, ge, min(o.position) as p, arg_min(x.position, o.position * 100000 + x.position) as q from ({_XO}) x join ({_TO}) o on o.tx = x.tx group by 1, 2, 3)"
+)
+_SHAPES = """select d.tx, d.domain, z, (AA_start + AA_end) / 2.0::double as center, round(greatest(cast(AA_end - AA_start as double), 8.0::double, axis_max * 0.02::double), 6) as width,
+ case when n is null then 'fallback' when n = 1 then 'solid' else 'strips' end as fill, case when n is null then z % 48 when n = 1 then own end as color from
+ (select td.*, td.position as domain, row_number() over (partition by td.tx order by AA_end desc, td.position) - 1 as z from td) d
+ join transcripts t on t.transcript_ensembl_id = d.tx join ax on ax.gene_ensembl_id = t.gene_ensembl_id
+ left join (select ds.tx, ds.domain, count(*) as n, min(color) as own from ds join cs on cs.tx = ds.tx and cs.position = ds.segment join transcripts g on g.transcript_ensembl_id = cs.tx
+  left join ec on ec.gene_ensembl_id = g.gene_ensembl_id and ec.gs = cs.gs and ec.ge = cs.ge group by 1, 2) o on o.tx = d.tx and o.domain = d.domain"""
+
+
+@_query("protein_view_domains", _sql(_SHAPES, more=f"{_AXIS_CTES}, ds as ({_DS}), ec as ({_EC})"))
+def _(t):
+    segments, domains = layout.coding_segments(t["transcript_exon"]), _domains_of_transcripts(t)
+    colors = layout.segment_colors(segments, t["transcripts"], layout.exon_colors(t["transcript_exon"], t["transcripts"]))
+    return layout.domain_shapes(domains, layout.domain_segments(domains, segments), colors, _tx_axis(t)).select("tx", "domain", "z", "center", *_r("width"), "fill", "color")
+
+
 @_query(
     "protein_backbone_segments",
     _sql(
@@ -422,6 +473,65 @@ def _(t):
     return n.select("n", scalars.axis_number(F.col("n")).alias("label"))
 
 
+_SHOWN = ["junction_name", "gene_id", '"start"', '"end"', "comparison_results", "domain_descriptions", "cluster", "gene_name"]
+_JT = f"""select ord, cast(row_number() over (partition by cluster order by ord) as varchar) as idx, {", ".join(f"coalesce(cast({c} as varchar), '') as {c}" for c in _SHOWN)},
+ (row_number() over (partition by cluster order by ord) - 1) % 48 as color from ({_REPORT})"""
+
+
+@_query("junction_table", _sql(_JT, "f"))
+def _(t):
+    return layout.junction_table(stages(t).report)
+
+
+#: Transcripts with exons, a protein and a domain.
+_DR_CTE = f"""dr as (select t.* from transcripts t where t.gene_ensembl_id in (select gene_ensembl_id from genes) and t.transcript_ensembl_id in (select transcript_ensembl_id from transcript_exon) and {_P("t.protein_ensembl_id")} and lower(trim(t.protein_ensembl_id)) <> 'nan'
+ and t.transcript_ensembl_id in (select tx from (select transcript_ensembl_id as tx, min(protein_ensembl_id) as protein from proteins where protein_ensembl_id is not null group by 1) where protein in (select protein from pd)))"""
+_PG_CTE = "pg as (select *, (n - 1) // 4 as page, (n - 1) % 4 as slot from (select *, row_number() over (partition by gene_ensembl_id order by tx_start, transcript_ensembl_id) as n from dr))"
+
+
+@_query(
+    "layout_pages_filtered",
+    _sql(
+        f"select gene_ensembl_id, transcript_ensembl_id as tx, page, slot, 'Transcript: ' || transcript_ensembl_id || '  |  Protein: ' || case when {_P('protein_ensembl_id')} then protein_ensembl_id else 'N/A' end as caption from pg",
+        more=f"{_PD_CTE}, {_DR_CTE}, {_PG_CTE}",
+    ),
+)
+def _(t):
+    return gene_layout(t, protein_only=True, domains_only=True)["transcripts"].select("gene_ensembl_id", "tx", "page", "slot", "caption")
+
+
+_TITLES = """select g.gene_ensembl_id, page, gene_symbol || ' - ' || specie || '  |  chr' || chromosome || ':' || format('{:,}', a) || '-' || format('{:,}', b) || '  |  ' || n || ' transcript(s)'
+ || '  |  clu_' || g.gene_ensembl_id || case when pages > 1 then '  (page ' || (page + 1) || '/' || pages || ')' else '' end as title
+ from genes g join (select gene_ensembl_id, min(tx_start) as a, max(tx_end) as b, count(*) as n, max(page) + 1 as pages from pg group by 1) e on e.gene_ensembl_id = g.gene_ensembl_id
+ join (select distinct gene_ensembl_id, page from pg) p on p.gene_ensembl_id = g.gene_ensembl_id"""
+
+
+@_query("page_titles", _sql(_TITLES, more=f"{_PD_CTE}, {_DR_CTE}, {_PG_CTE}"))
+def _(t):
+    clusters = t["genes"].select("gene_ensembl_id", F.concat(F.lit("clu_"), "gene_ensembl_id").alias("cluster_name"))
+    return gene_layout(t, protein_only=True, domains_only=True, clusters=clusters)["pages"]
+
+
+@_query("gene_layout_by_name", _sql(_TITLES.replace("gene_symbol ||", "'customer#000000007' ||").replace(" || '  |  clu_' || g.gene_ensembl_id", "") + " where lower(gene_symbol) = 'customer#000000007'", more=f"{_PD_CTE}, {_DR_CTE}, {_PG_CTE}"))
+def _(t):
+    return gene_layout(t, "customer#000000007", protein_only=True, domains_only=True)["pages"]
+
+
+_OVERLAY = _MJ.replace("from j)", f"from u where cluster in (select cluster from u group by cluster having split_part(arg_min(gene_raw, ord), ':', 1) in {_SOME}))").replace(
+    "t.transcript_ensembl_id = e.transcript_ensembl_id) w", "t.transcript_ensembl_id = e.transcript_ensembl_id where t.transcript_ensembl_id in (select transcript_ensembl_id from dr)) w"
+)
+
+
+@_query(
+    "overlay_brackets",
+    _sql(f'select ord, cluster, tx, "left", "right", idx, round(least(0.95, 0.75 + (idx - 1) * 0.08::double), 6) as top from (select *, row_number() over (partition by cluster, tx order by "left", "right", ord) as idx from ({_OVERLAY}))', "f", f"{_PD_CTE}, {_DR_CTE}"),
+)
+def _(t):
+    report = requested(stages(t).report, "G7, G17,G27.2 ,G12,G13,G101")
+    drawn = gene_layout(t, protein_only=True, domains_only=True, report=report)["brackets"]
+    return drawn.select("ord", "cluster", "tx", "left", "right", "idx", *_r("top"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

@@ -27,23 +27,23 @@ VIEWS = {
  case when o_orderkey%4=0 then null else cast(500+o_orderkey%200 as double) end as protein_length from orders""",
     "proteins": "select transcript_ensembl_id, protein_ensembl_id from transcripts",
     "line1": "select l_orderkey,l_linenumber,min(l_partkey) as pk,cast(min(l_quantity) as bigint) as q,min(l_returnflag) as rf from lineitem group by l_orderkey,l_linenumber",
-    "transcript_exon": """select concat('T',cast(l_orderkey as varchar(20))) as transcript_ensembl_id, cast(l_linenumber as bigint) as exon_rank,
+    "transcript_exon": """select concat('T',cast(l_orderkey as varchar(20))) as transcript_ensembl_id, cast(case when l_orderkey%6=0 then 8-l_linenumber else l_linenumber end as bigint) as exon_rank,
  l_linenumber*1000+pk%40 as genomic_start_tx, l_linenumber*1000+pk%40+case when q<=10 then q%2 else q*10 end as genomic_end_tx,
  case when rf='R' then 0 else cast(l_linenumber-1 as bigint)*300+1 end as abs_start_CDS, case when rf='R' then 0 else cast(l_linenumber-1 as bigint)*300+q*6 end as abs_end_CDS from line1""",
     "domain_event": """select concat('P',cast(l_orderkey as varchar(20))) as protein_ensembl_id, l_partkey as type_id,
- case when l_suppkey%20=0 then null else (l_linenumber-1)*100+l_suppkey%50 end as AA_start, (l_linenumber-1)*100+l_suppkey%50+cast(l_quantity as bigint) as AA_end from lineitem where l_returnflag<>'R'""",
+ case when l_suppkey%20=0 then null else (l_linenumber-1)*100+l_suppkey%50 end as AA_start, (l_linenumber-1)*100+l_suppkey%50+cast(l_quantity as bigint)+case when l_partkey%3=0 then 90 else 0 end as AA_end from lineitem where l_returnflag<>'R'""",
     "domain_type": """select p_partkey as type_id, case when p_size%7=0 then p_name when p_size%7=1 then '' when p_size%7=2 then 'nan' end as cdd,
  case when p_size%7 in (1,3) then p_type when p_size%7=2 then '  ' end as pfam, case when p_size%7 in (2,4) then p_type end as smart,
  case when p_size%7=3 then p_brand end as tigr, case when p_size%7 in (4,5) then p_type end as interpro, case when p_size%7=5 then p_brand end as CDD_id,
  concat(p_brand,'; ',p_type) as description from part""",
     "junctions_ev": """select event_id as ord, case when event_id%101=0 then null else concat('clu_',cast(user_id as varchar(20)),'_',cast(event_id%3 as varchar(20))) end as cluster,
  concat('G',cast(user_id as varchar(20)),case when user_id%50=13 then '.2' when user_id%50=12 then 'x' else '' end) as ensembl_h,
- case when event_id%97=0 then -1 when event_id%11=0 then 1000*(1+event_id%7)+(event_id*37)%40 else 1000*(1+event_id%7)+(event_id*37)%700 end as s,
- case when event_id%11=0 then 1000*(1+event_id%7)+(event_id*37)%40 else 1000*(1+event_id%7)+(event_id*37)%700+200+cast(floor(value*20) as bigint) end as e
- from events where event_type='error'""",
-    "junctions_ex": """select 10000000+row_number() over (order by g,s,e) as ord, concat('clx_',g) as cluster, g as ensembl_h, s, e from
- (select distinct t.gene_ensembl_id as g, a.genomic_end_tx as s, b.genomic_start_tx as e from transcript_exon a join transcript_exon b on a.transcript_ensembl_id=b.transcript_ensembl_id and b.exon_rank=a.exon_rank+1
-  join transcripts t on t.transcript_ensembl_id=a.transcript_ensembl_id where length(t.gene_ensembl_id)>=2 and right(t.gene_ensembl_id,1)='7') d""",
+ case when event_id%97=0 then -1 when event_id%5=0 then 1000*(1+event_id%7)+(event_id*37)%40 else 1000*(1+event_id%7)+(event_id*37)%700 end as s,
+ case when event_id%5=0 then 1000*(1+event_id%7)+(event_id*37)%40 else 1000*(1+event_id%7)+(event_id*37)%700+200+cast(floor(value*20) as bigint) end as e
+ from events""",
+    "junctions_ex": """select 1000000000000+cast(substr(g,2) as bigint)*100000000+s*10000+e as ord, concat('clx_',g) as cluster, g as ensembl_h, s, e from
+ (select distinct t.gene_ensembl_id as g, a.genomic_end_tx as s, b.genomic_start_tx as e from transcript_exon a join transcript_exon b on a.transcript_ensembl_id=b.transcript_ensembl_id and b.genomic_start_tx-b.genomic_start_tx%1000=a.genomic_start_tx-a.genomic_start_tx%1000+1000
+  join transcripts t on t.transcript_ensembl_id=a.transcript_ensembl_id) d""",
     "junctions": """select cast(ord as bigint) as ord, cluster, ensembl_h, concat('chr1:',cast(s as varchar(20)),':',cast(e as varchar(20))) as h_junction from (select * from junctions_ev union all select * from junctions_ex) u""",
 }
 _RAW = ("customer", "orders", "lineitem", "part", "events")

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from splicelake.functions import scalars
 from splicelake.operators import core, layout
-from splicelake.plans.report import cluster_report, requested, stages
-from splicelake.sources.files import SQLiteSource, read_xlsx, write_single_csv
+from splicelake.__main__ import parser
+from splicelake.plans.gene_layout import find_gene, gene_layout
+from splicelake.plans.report import cluster_report, report_of_files, requested, stages
+from splicelake.sources.files import DATABASE_TABLES, SHEET_COLUMNS, SQLiteSource, read_xlsx, write_single_csv
 from splicelake.sources.tables import SCHEMAS, checked, stand_ins
 
 J = [("J1", "c1", "G1", 199, 500), ("J2", "c1", "G1", 199, 300), ("J3", "c1", "G1", 210, 290), ("J4", "c2", "G1", 420, 599), ("J5", "c2", "G1", 199, 250), ("J6", "c3", "G1", 199, 300), ("J7", "c4", "GX", 1, 9)]
@@ -208,6 +210,54 @@ def test_sources_and_sink(spark, tmp_path):
         checked(df, "genes")
 
 
+def test_files_to_report(spark, tmp_path):
+    """A workbook (whose first sheet isn't the one of the lowest number) and a database, by way of the readers, to the CSV."""
+    t, db, book = make(spark), str(tmp_path / "a.sqlite"), tmp_path / "b.xlsx"
+    with sqlite3.connect(db) as con:
+        for here, there in DATABASE_TABLES.items():
+            names = t[here].columns
+            con.execute(f"create table {there} ({', '.join(f'{n} {dict(t[here].dtypes)[n]}' for n in names)})")
+            con.executemany(f"insert into {there} values ({', '.join('?' * len(names))})", [tuple(r) for r in t[here].collect()])
+        con.execute("create view Seen as select * from Genes")
+    cell = lambda x: f'<c t="inlineStr"><is><t>{x}</t></is></c>'
+    rows = [SHEET_COLUMNS, *[(f"chr1:{a}:{b}", "S", g, "1", c) for _, c, g, a, b in J]]
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    with zipfile.ZipFile(book, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {ns}><sheets><sheet name="x" sheetId="5" r:id="rId2"/><sheet name="y" sheetId="1" r:id="rId1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="rId1" Target="worksheets/sheet1.xml"/><Relationship Id="rId2" Target="worksheets/sheet2.xml"/></Relationships>')
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {ns}><sheetData/></worksheet>")
+        z.writestr("xl/worksheets/sheet2.xml", f"<worksheet {ns}><sheetData>{''.join('<row>' + ''.join(map(cell, r)) + '</row>' for r in rows)}</sheetData></worksheet>")
+    out = str(tmp_path / "out")
+    drawn = report_of_files(spark, str(book), db, out, "G1")
+    back = spark.read.option("header", True).option("escape", '"').csv(out)
+    assert back.columns == ["cluster", "gene_name", "junction_name", "gene_id", "start", "end", "comparison_results", "domain_descriptions"]
+    assert [r["comparison_results"] for r in back.collect()][:2] == ["Longer SH3, 21 vs 9", "Shorter SH3, 9 vs 21"]
+    assert [r["idx"] for r in drawn["junction_table"].filter("cluster = 'c1'").orderBy("ord").collect()] == ["1", "2", "3"]
+    assert {r["tx"] for r in drawn["transcripts"].collect()} == {"T1", "T2"} and drawn["brackets"].count() > 0
+    assert spark.read.format("sqlite_table").option("path", db).option("table", "Seen").load().count() == 1
+
+
+def test_gene_layout(spark):
+    t = make(spark)
+    drawn = gene_layout(t, "syma", per_page=2)
+    assert sorted(r["title"] for r in drawn["pages"].collect()) == [f"syma - human  |  chr1:50-600  |  3 transcript(s)  (page {k}/2)" for k in (1, 2)]
+    assert {r["caption"] for r in drawn["transcripts"].collect()} == {"Transcript: T1  |  Protein: P1", "Transcript: T2  |  Protein: P2", "Transcript: T3  |  Protein: N/A"}
+    shapes = {(r["tx"], r["domain"]): r for r in drawn["shapes"].collect()}
+    assert len(shapes) == 6 and {r["fill"] for r in shapes.values()} <= {"solid", "strips", "fallback"}
+    assert [shapes["T1", k]["z"] for k in sorted(range(1, 5), key=lambda k: shapes["T1", k]["z"])] == [0, 1, 2, 3] and shapes["T1", 4]["z"] == 0
+    assert all(r["width"] >= 8 for r in shapes.values())
+    assert {r["text"] for r in drawn["labels"].collect()} <= {"Kinase", "SH3", "WD", "Kinase*", "SH3*", "WD*"}
+    assert gene_layout(t, "SYMA", protein_only=True)["pages"].first()["title"].endswith("2 transcript(s)")
+    with pytest.raises(ValueError, match="isn't in the table"):
+        find_gene(t["genes"], "nobody")
+
+
+def test_command_line():
+    a = parser().parse_args(["layout", "PUF", "-db", "x", "--domains-only"])
+    assert a.gene_name == "PUF" and a.domains_only and not a.protein_only
+    assert parser().parse_args(["report", "-input", "a", "-dochap", "b"]).output_csv == "junctions.csv"
+
+
 def test_stream(spark, tmp_path):
     from splicelake.streaming.junctions import read_junctions, usable_junctions
 
