@@ -2,36 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.stored import shared_folder
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
-_own_dir: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the session names none (local runs, tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root
-    if not _own_dir:
-        _own_dir.append("file://" + tempfile.mkdtemp(prefix="splicelake-"))
-    return _own_dir[0]
-
-
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write `df` once to the shared folder and read it back: lineage is cut and a lost executor loses nothing.
 
     The files go when the driver's JVM ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/splicelake/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/splicelake/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)

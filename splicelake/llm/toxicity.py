@@ -1,11 +1,14 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words and word beginnings (inflected insults share them); the `MAX_TERMS` of them that tell toxic
-training texts best (likelihood ratio, towards toxic) span the vectors. All documents' vectors are made in one
-pass; document frequencies come from all of them. The index holds the labelled training examples (a bounded
-sample: at most `MAX_EXAMPLES`, the first by a hash of their text), equal vectors merged. Examples are laid out in blocks; for
-a query each block's maximal weights give an upper bound of its cosines, blocks are read best bound first, and
-reading stops when no block left can reach the k-th best: so the neighbours are exact.
+Terms are words and word beginnings (inflected insults share them), and these once more if a text has them twice or
+three times. Those whose presence goes with the label, in
+either direction and beyond what chance gives among so many (false discovery rate `CHANCE`), span the vectors: a
+whole text's TF-IDF vector is projected on them, as the hundreds of other words in a text would only add noise to
+its cosines. All documents' vectors are made in one pass; document frequencies come from all of them. The index
+holds the labelled training examples (a bounded sample: at most `MAX_EXAMPLES`, the first by a hash of their text),
+equal vectors merged. Examples are laid out in blocks; for a query each block's maximal weights give an upper bound
+of its cosines, blocks are read best bound first, and reading stops when no block left can reach the k-th best: so
+the neighbours are exact.
 
 The score is the neighbours' similarity-weighted share of toxic examples, drawn towards the training rate; a
 text without any of the terms gets the rate of the examples without any. Evidence: ids of nearest examples.
@@ -30,12 +33,14 @@ from pyspark.sql import functions as F
 from .common import by_id, materialise
 
 MAX_EXAMPLES = 20_000
-MAX_TERMS = 8192
+CHANCE = 0.5
 K = 15
 BLOCK = 64
-PRIOR = 0.5
+PRIOR = 4.0
 CUTOFF = 0.3
 BEGINNINGS = (3, 4, 5, 6)
+#: A term that occurs so often in a text, or more often, is a further term of it: a stray word comes once.
+AGAIN = (2, 3)
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -47,54 +52,77 @@ def terms(words: set[str]) -> set[str]:
     return out
 
 
-def choose_terms(sample: DataFrame, max_terms: int = MAX_TERMS, least: int = 3) -> list[str]:
-    """The terms that mark toxic texts best. `sample`: text, toxic. At most `max_terms` rows reach the driver."""
+def counted_terms(text: str | None) -> dict[str, int]:
+    """All terms of a text with their frequency."""
+    n: Counter = Counter()
+    for w, c in Counter(WORD.findall((text or "").lower())).items():
+        for t in terms({w}):
+            n[t] += c
+    return n | {f"{k}{t}": 1 for t, c in n.items() for k in AGAIN if c >= k}
+
+
+def choose_terms(sample: DataFrame, least: int = 3, chance: float = CHANCE) -> list[str]:
+    """The terms in `least` texts or more that go with the label. `sample`: text, toxic; bounded, and so are its terms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n = Counter()
             toxic = Counter()
             for text, y in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                found = terms(set(WORD.findall((text.as_py() or "").lower())))
+                found = counted_terms(text.as_py()).keys()
                 n.update(found)
                 if y:
                     toxic.update(found)
             yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([toxic[x] for x in n], pa.int64())], names=["term", "n", "pos"])
 
-    sample = sample.dropDuplicates(["text"])  # a copied text is one witness
+    sample = sample.groupBy("text").agg(F.max("toxic").alias("toxic"))  # a copied text is one witness
     y, all_ = (int(x or 0) for x in sample.agg(F.sum("toxic"), F.count("*")).first())
     if not 0 < y < all_:
         return []
     counted = sample.select("text", "toxic").mapInArrow(run, "term string, n long, pos long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
-    rate, p = y / all_, F.col("pos") / F.col("n")
+    rate = y / all_
     part = lambda a, q: F.when(a > 0, a * F.log(a / F.col("n") / q)).otherwise(0.0)
     gain = part(F.col("pos"), rate) + part(F.col("n") - F.col("pos"), 1 - rate)
-    counted = materialise(counted.filter(F.col("n") >= least), "toxic-terms")
-    # With so many terms tried, chance alone reaches a gain of about the logarithm of their number.
-    chance = math.log(max(2, counted.count()))
-    best = counted.filter(p > 2 * rate).withColumn("gain", gain).filter(F.col("gain") > chance)
-    return [r["term"] for r in best.orderBy(F.desc("gain"), "term").limit(max_terms).select("term").collect()]
+    counted = materialise(counted.filter(F.col("n") >= least).withColumn("gain", gain), "toxic-terms")
+    # By chance a gain of g or more comes with a probability of exp(-g) or so: the least g at which at most the share
+    # `chance` of the terms found would be chance's. A count for each tenth of a gain comes to the driver.
+    tenths = sorted(((r["g"], r["count"]) for r in counted.groupBy(F.floor(F.col("gain") * 10).alias("g")).count().collect()), reverse=True)
+    tried, found, bound = sum(n for _, n in tenths), 0, math.inf
+    for g, n in tenths:
+        found += n
+        if tried * math.exp(-g / 10) <= chance * found:
+            bound = g / 10
+    return [] if bound == math.inf else [r["term"] for r in counted.filter(F.col("gain") >= bound).orderBy("term").select("term").collect()]
 
 
 class Vectoriser:
     """Term numbers and frequencies of a text."""
 
     def __init__(self, chosen: list[str]) -> None:
-        self.at = {t: k for k, t in enumerate(chosen)}
+        plain = sorted({t.lstrip("0123456789") for t in chosen})
+        self.base, at = {t: k for k, t in enumerate(plain)}, {t: k for k, t in enumerate(chosen)}
+        #: Of each plain term its number, and those for texts that have it again; -1 where not chosen.
+        self.numbers = [(at.get(t, -1), [(k, at[f"{k}{t}"]) for k in AGAIN if f"{k}{t}" in at]) for t in plain]
         self.cache: dict[str, tuple[int, ...]] = {}
 
     def __call__(self, text: str | None) -> tuple[list[int], list[int]]:
-        cache, at, n = self.cache, self.at, Counter()
+        cache, base, n = self.cache, self.base, Counter()
         if len(cache) > 300_000:
             cache.clear()
         for w, c in Counter(WORD.findall((text or "").lower())).items():
             got = cache.get(w)
             if got is None:
-                got = cache[w] = tuple(sorted(at[t] for t in terms({w}) if t in at))
+                got = cache[w] = tuple(sorted(base[t] for t in terms({w}) if t in base))
             for t in got:
                 n[t] += c
-        ids = sorted(n)
-        return ids, [n[t] for t in ids]
+        found = {}
+        for t, c in n.items():
+            one, more = self.numbers[t]
+            if one >= 0:
+                found[one] = c
+            found.update((number, 1) for k, number in more if c >= k)
+        ids = sorted(found)
+        return ids, [found[t] for t in ids]
 
 
 VECTORS = "doc_id long, terms array<int>, tf array<int>"
@@ -184,26 +212,23 @@ class BlockMaxIndex:
         return float(min(1.0, max(0.0, share))), [d for i in ids[:3] for d in self.docs[i][:1]]
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS) -> tuple[BlockMaxIndex, DataFrame]:
+def learn(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> tuple[BlockMaxIndex, DataFrame]:
     """The index, and the vectors of all `docs`. `labels`: doc_id and toxic of the rows to learn from."""
     known = labels.filter(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     labelled = docs.select("doc_id", "text").join(known, "doc_id")
     n = labelled.count()
-    if n > max_examples:  # an even sample by hash, then the bound
-        key = F.xxhash64(F.coalesce("text", F.lit("")))
-        even = labelled.select("doc_id", key.alias("key")).filter(F.pmod("key", F.lit(1 << 20)) < int((1 << 20) * min(1.0, 1.05 * max_examples / n)))
-        ids = even.orderBy("key", "doc_id").limit(max_examples).select("doc_id").distinct()
-        labelled = labelled.join(F.broadcast(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sample = materialise(labelled, "toxic-sample")
-    chosen = choose_terms(sample, max_terms)
+    key = F.xxhash64(F.coalesce("text", F.lit("")))
+    even = labelled.filter(F.pmod(key, F.lit(1 << 20)) < int((1 << 20) * min(1.0, 1.05 * max_examples / max(1, n))))
+    sample = materialise(even.withColumn("key", key).orderBy("key", "doc_id").limit(max_examples).drop("key"), "toxic-sample")
+    chosen = choose_terms(sample)
     every = materialise(vectors(docs, chosen), "toxic-vectors")
     total = every.count()
     df = np.zeros(len(chosen))
     for r in every.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # a row a chosen term
         df[r["t"]] = r["count"]
     idf = np.log1p(total / np.maximum(df, 1))
-    own = vectors(sample.select("doc_id", "text"), chosen).join(sample.select("doc_id", "toxic").distinct(), "doc_id").select("doc_id", "terms", "tf", "toxic")
-    rows = [(r[0], list(r[1]), list(r[2]), int(r[3])) for r in own.collect()]  # max_examples at most
+    own = vectors(sample.select((2 * F.col("doc_id") + F.col("toxic")).alias("doc_id"), "text"), chosen)
+    rows = [(r[0] >> 1, list(r[1]), list(r[2]), r[0] & 1) for r in own.collect()]  # max_examples at most
     return BlockMaxIndex(rows, idf), every
 
 

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from splicelake.llm import bpe, decontam, language_id, near_dedup, ngram_lm, pii, queries, quality, repeats, secrets, toxicity
 
@@ -314,6 +315,59 @@ def test_toxicity(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in got.values())
 
 
+def test_toxicity_by_dense_cosine(spark):
+    """Every score against all cosines of the same vectors, learnt by the contract's fold."""
+    import numpy as np
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    train = {r["doc_id"]: r["toxic"] for r in labels.collect() if crc(r["doc_id"]) % 4 != 2}
+    got = by_id(queries.op5_toxicity(spark, "/root/testdata/sf0.01"))
+    index, every = toxicity.learn(docs, labels.filter(F.col("doc_id").isin(list(train))))
+    size = len(index.idf)
+    rows = {r["doc_id"]: (list(r["terms"]), list(r["tf"])) for r in every.collect()}
+    unit = {}
+    for d, (t, tf) in rows.items():
+        unit[d] = np.zeros(size)
+        if t:
+            w = (1 + np.log(tf)) * index.idf[t]
+            unit[d][t] = w / np.sqrt((w * w).sum())
+    merged = {}
+    for d in sorted(train):
+        if rows[d][0]:
+            x = merged.setdefault((tuple(rows[d][0]), tuple(rows[d][1])), [d, 0, 0])
+            x[1], x[2] = x[1] + 1, x[2] + train[d]
+    keys = sorted(merged, key=lambda k: (list(k[0]), list(k[1])))
+    m, n, pos = (np.array([f(k) for k in keys]) for f in (lambda k: unit[merged[k][0]], lambda k: merged[k][1], lambda k: merged[k][2]))
+    rate = sum(train.values()) / len(train)
+    bare = [train[d] for d in train if not rows[d][0]]
+    for d, (t, _) in rows.items():
+        sims = m @ unit[d]
+        top = [k for k in np.lexsort((np.arange(len(keys)), -np.round(sims, 12)))[: toxicity.K] if sims[k] > 1e-12]
+        prior = toxicity.PRIOR
+        want = (sum(bare) + prior * rate) / (len(bare) + prior) if not t else (sims[top] @ pos[top] + prior * rate) / (sims[top] @ n[top] + prior) if top else rate
+        assert got[d]["score"] == pytest.approx(want, abs=1e-9) and got[d]["held_out"] == (crc(d) % 4 == 2)
+
+
+def test_toxicity_where_most_are_toxic(spark):
+    """Two thirds of the labels are toxic; and a sample bound that leaves out examples changes nothing in kind."""
+    import random
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("aeioubdgklmnrst", k=6))
+    plain = [word() for _ in range(400)]
+    rows = []
+    for k in range(600):
+        w = rng.choices(plain, k=40) + (rng.choices(["slurro", "scumbo", "vilero"], k=3) if k % 3 else [])
+        rng.shuffle(w)
+        rows.append((k, " ".join(w)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, int(k % 3 > 0)) for k in range(450)], "doc_id long, toxic int")
+    for most in (toxicity.MAX_EXAMPLES, 200):
+        got = by_id(toxicity.score(docs, labels, max_examples=most))
+        wrong = sum(got[k]["predicted"] != (k % 3 > 0) for k in range(450, 600))
+        assert wrong <= 8
+
+
 def test_block_max_is_exact():
     import numpy as np
 
