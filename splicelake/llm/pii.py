@@ -1,13 +1,14 @@
 """Personal data: fixed patterns, and information-theoretic sanitisation of the terms that give them away.
 
-The values that the patterns find are the protected entities. A term close to an entity discloses it as far
-as seeing the term makes the entity likelier: with documents counted over the whole corpus, the disclosure
-of e by t is PMI(e; t) / IC(e), that is log(p(e|t) / p(e)) / -log p(e): 1 if t occurs only with e, 0 if they
-are independent. Terms at or over a threshold, supported by enough different texts, are removed
-(generalised to a mark) where they stand near that entity.
+The values that the patterns find are the protected entities. A term discloses an entity as far as seeing the
+term makes the entity likelier: with documents counted whole and over the whole corpus, the disclosure of e by t is
+PMI(e; t) / IC(e), that is log(p(e|t) / p(e)) / -log p(e): 1 if t occurs only with e, 0 if they are independent.
+Candidates are pairs that stand close together in enough different texts. Terms at or over a threshold are removed
+(generalised to a mark) wherever they occur, also in documents that don't print the entity.
 
-Two passes: one finds entities and the terms about them; one counts, over all documents, those terms alone
-(a Bloom filter of fixed size picks them; the exact join after it drops its false hits).
+Three passes: one finds entities and the terms about them; one counts, over all documents, the candidate terms and
+pairs; one marks the disclosing terms. In the latter two a Bloom filter of fixed size picks them in the row, and the
+exact join after it drops its false hits.
 
 Defined results: null and empty texts have no spans; repeated rows give a row each, but exact copies of a
 text count once as support. Offsets are code points, ends exclusive. Empty tables give empty results.
@@ -17,8 +18,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +38,11 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-WORD = re.compile(r"[^\W\d_]{4,}")
+#: Words of four letters or more, and shorter ones with a capital, as names have.
+WORD = re.compile(r"[^\W\d_]{4,}|(?<![^\W\d_])[A-Z\u00C0-\u00DE][^\W\d_]{1,2}(?![^\W\d_])")
 ADDRESS_BYTES = 1 << 20
+#: Pairs of an entity and a term about it that one row carries; a text with more has further rows.
+NEAR_ROWS = 4096
 
 
 def luhn(digits: str) -> bool:
@@ -90,46 +96,63 @@ def entity(kind: int, value: str) -> int:
     return _key(f"{KINDS[kind]}:{plain}")
 
 
-def context(text: str, spans: list[tuple[int, int, int]], reach: int) -> set[tuple[int, int, int, int]]:
-    """(entity, term, start, end) of the terms within `reach` characters of an entity, cut at no word and inside no entity."""
-    out = set()
+def context(text: str, spans: list[tuple[int, int, int]], reach: int) -> list[tuple[int, int]]:
+    """(entity, term) of the terms within `reach` characters of an entity, cut at no word and inside no entity."""
+    out, inside = set(), Inside(spans)
     for s, k, e in spans:
         who = entity(k, text[s:e])
         for m in WORD.finditer(text, max(0, s - reach), min(len(text), e + reach)):
             a, b = m.span()
-            if (a and text[a - 1].isalpha()) or (b < len(text) and text[b].isalpha()) or any(x < b and a < y for x, _, y in spans):
+            if (a and text[a - 1].isalpha()) or (b < len(text) and text[b].isalpha()) or inside(a, b):
                 continue
-            out.add((who, _key(m[0].lower()), a, b))
-    return out
+            out.add((who, _key(m[0].lower())))
+    return sorted(out)
 
 
-SCANNED = "doc_id long, row string, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, text_key long, near array<struct<entity:long,term:long,a:int,b:int>>"
-_NEAR = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("a", pa.int32()), ("b", pa.int32())]))
+class Inside:
+    """Whether a stretch shares a character with one of the spans, by one search."""
+
+    def __init__(self, spans: list[tuple[int, int, int]]) -> None:
+        self.starts, self.furthest = [x[0] for x in spans], list(accumulate((x[2] for x in spans), max))
+
+    def __call__(self, a: int, b: int) -> bool:
+        k = bisect_left(self.starts, b)
+        return k > 0 and self.furthest[k - 1] > a
+
+
+SCANNED = "doc_id long, row string, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, text_key long, near array<struct<entity:long,term:long>>, further boolean"
+_NEAR = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64())]))
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """doc_id, row, text; rows of one id and text have one `row`, and the same spans."""
+    row = F.concat_ws("-", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64("text").cast("string"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row.alias("row"), "text")
+
+
 def scan(docs: DataFrame, reach: int = 60) -> DataFrame:
-    """Per row, what the patterns find, and the terms about it. `row` names the row, as doc_id may repeat."""
+    """Per row, what the patterns find, and the terms about it; of very many such pairs the rest in further rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "row", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "text_key", "near"]
-        types = [pa.int64(), pa.string(), *[pa.int64()] * 4, pa.string(), pa.string(), pa.int64(), _NEAR]
+        names = ["doc_id", "row", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "text_key", "near", "further"]
+        types = [pa.int64(), pa.string(), *[pa.int64()] * 4, pa.string(), pa.string(), pa.int64(), _NEAR, pa.bool_()]
         for b in batches:
             rows = []
             for doc, row, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 text = text.as_py() or ""
                 spans = base_spans(text)
                 n = Counter(k for _, k, _ in spans)
-                all_ = joined(spans)
-                near = [{"entity": w, "term": t, "a": a, "b": e} for w, t, a, e in sorted(context(text, spans, reach))] if spans else []
-                rows.append((doc, row, n[0], n[1], n[2], n[3], hashlib.sha256(all_.encode()).hexdigest(), all_, _key(text) if spans else 0, near))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 10, types, strict=True)], names=names)
+                all_, key = joined(spans), _key(text) if spans else 0
+                near = [{"entity": w, "term": t} for w, t in context(text, spans, reach)] if spans else []
+                rows.append((doc, row, n[0], n[1], n[2], n[3], hashlib.sha256(all_.encode()).hexdigest(), all_, key, near[:NEAR_ROWS], False))
+                rows += [(doc, row, 0, 0, 0, 0, "", "", key, near[k : k + NEAR_ROWS], True) for k in range(NEAR_ROWS, len(near), NEAR_ROWS)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 11, types, strict=True)], names=names)
 
-    row = F.concat_ws("-", F.col("doc_id").cast("string"), F.monotonically_increasing_id().cast("string"))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row.alias("row"), "text").mapInArrow(run, SCANNED)
+    return _rows(docs).mapInArrow(run, SCANNED)
 
 
 def _bits(keys: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -137,8 +160,8 @@ def _bits(keys: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return u % np.uint64(size * 8), (u >> np.uint64(21)) % np.uint64(size * 8)
 
 
-def term_documents(docs: DataFrame, terms: DataFrame, size: int = ADDRESS_BYTES) -> DataFrame:
-    """term, df: documents of the whole corpus that hold each of `terms`. A filter of `size` bytes goes to the workers."""
+def picked(keys: DataFrame, size: int = ADDRESS_BYTES) -> np.ndarray:
+    """A Bloom filter of `size` bytes of the one column of `keys`; that many rows come to the driver at most."""
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(size, np.uint8)
@@ -148,53 +171,102 @@ def term_documents(docs: DataFrame, terms: DataFrame, size: int = ADDRESS_BYTES)
         at = np.flatnonzero(bits)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(bits[at].astype(np.int64))], names=["at", "bits"])
 
-    spark = docs.sparkSession
-    filled = terms.select("term").mapInArrow(fill, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
-    bits = np.zeros(size, np.uint8)  # at most `size` rows came back
+    filled = keys.mapInArrow(fill, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    bits = np.zeros(size, np.uint8)
     bits[filled.column("at").to_numpy()] = filled.column("bits").to_numpy()
-    sent = spark.sparkContext.broadcast(bits)
+    return bits
+
+
+def _hits(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    hit = np.ones(len(keys), bool)
+    for at in _bits(keys, len(bits)):
+        hit &= (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    return hit
+
+
+def documents_with(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """entity (null: any), term, n: documents of the whole corpus that hold each candidate term, and each candidate
+    entity and term anywhere in them; and what else the filters let through. Added up batch by batch."""
+    sent = docs.sparkSession.sparkContext.broadcast((picked(pairs.select("term")), picked(pairs.select("entity")), picked(pairs.select((F.col("entity").bitwiseXOR(F.col("term"))).alias("pair")))))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = sent.value
+        terms, whom, together = sent.value
         for b in batches:
             df: Counter = Counter()
+            both: Counter = Counter()
             for text in b.column(0):
-                if words := list(set(WORD.findall((text.as_py() or "").lower()))):
-                    keys = np.fromiter(map(_key, words), np.int64, len(words))
-                    hit = np.ones(len(keys), bool)
-                    for at in _bits(keys, size):
-                        hit &= (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                    df.update(keys[hit].tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(list(df), pa.int64()), pa.array(list(df.values()), pa.int64())], names=["term", "n"])
+                text = text.as_py() or ""
+                words = list({w.lower() for w in WORD.findall(text)})
+                keys = np.unique(np.fromiter(map(_key, words), np.int64, len(words)))
+                keys = keys[_hits(terms, keys)]
+                if not len(keys):
+                    continue
+                df.update(keys.tolist())
+                who = np.unique(np.fromiter((entity(k, text[s:e]) for s, k, e in base_spans(text)), np.int64))
+                for e in who[_hits(whom, who)].tolist():
+                    both.update((e, t) for t in keys[_hits(together, keys ^ e)].tolist())
+                    if len(both) > 200_000:
+                        yield _counts(both)
+                        both.clear()
+            both.update({(None, t): n for t, n in df.items()})
+            yield _counts(both)
+
+    return docs.select("text").mapInArrow(count, "entity long, term long, n long").groupBy("entity", "term").agg(F.sum("n").alias("n"))
+
 
-    if not bits.any():
-        return spark.createDataFrame([], "term long, df long")
-    return docs.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("df"))
+def _counts(c: Counter) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([k[0] for k in c], pa.int64()), pa.array([k[1] for k in c], pa.int64()), pa.array(list(c.values()), pa.int64())], names=["entity", "term", "n"])
 
 
 def disclosing(docs: DataFrame, scanned: DataFrame, threshold: float = 0.8, support: int = 3) -> DataFrame:
     """entity, term, disclosure: the pairs at or over the threshold."""
-    once = F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))
-    near = scanned.select("text_key", F.explode(once).alias("x")).select("text_key", "x.*")
-    pairs = near.groupBy("entity", "term").agg(F.count("*").alias("both"), F.count_distinct("text_key").alias("texts")).filter(F.col("texts") >= support)
+    near = scanned.select("text_key", F.explode("near").alias("x")).select("text_key", "x.*")
+    pairs = near.groupBy("entity", "term").agg(F.count_distinct("text_key").alias("texts")).filter(F.col("texts") >= support).select("entity", "term")
     pairs = materialise(pairs, "pii-pairs")
-    holds = scanned.select(F.explode(F.array_distinct("near.entity")).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    df = term_documents(docs, pairs.select("term").distinct())
+    if pairs.isEmpty():
+        return pairs.withColumn("disclosure", F.lit(0.0))
+    holds = scanned.select("row", F.explode(F.array_distinct("near.entity")).alias("entity")).groupBy("entity").agg(F.count_distinct("row").alias("n_entity"))
+    counted = materialise(documents_with(docs, pairs), "pii-counts")
+    both = counted.filter("entity is not null").withColumnRenamed("n", "both")
+    df = counted.filter("entity is null").select("term", F.col("n").alias("df"))
     total = docs.agg(F.greatest(F.count("*"), F.lit(2)).alias("n_docs"))
-    p_entity = F.col("n_entity") / F.col("n_docs")
+    p_entity = F.least(F.lit(1.0), F.greatest("n_entity", "both") / F.col("n_docs"))
     given = F.least(F.lit(1.0), F.col("both") / F.greatest("df", "both"))
     # A one-row total, and an entity in every document, which nothing can disclose.
-    scored = pairs.join(holds, "entity").join(df, "term").join(F.broadcast(total), F.lit(True))
+    scored = pairs.join(both, ["entity", "term"]).join(holds, "entity").join(df, "term").join(F.broadcast(total), F.lit(True))
     score = F.when(p_entity >= 1, F.lit(0.0)).otherwise(F.log(given / p_entity) / -F.log(p_entity))
     return scored.withColumn("disclosure", score).filter(F.col("disclosure") >= threshold).select("entity", "term", "disclosure")
 
 
-def find(docs: DataFrame, reach: int = 60, threshold: float = 0.8, support: int = 3) -> DataFrame:
+def occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """row, a, b: where the words of `terms` (term) stand, outside the fixed spans."""
+    sent = docs.sparkSession.sparkContext.broadcast(picked(terms))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = sent.value
+        for b in batches:
+            out = []
+            for row, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                text = text.as_py() or ""
+                words = list({w.lower() for w in WORD.findall(text)})
+                keys = np.fromiter(map(_key, words), np.int64, len(words))
+                hit = _hits(bits, keys)
+                if not hit.any():
+                    continue
+                known, inside = dict(zip(np.array(words, object)[hit].tolist(), keys[hit].tolist(), strict=True)), Inside(base_spans(text))
+                out += [(row, t, *m.span()) for m in WORD.finditer(text) if (t := known.get(m[0].lower())) is not None and not inside(*m.span())]
+            cols = zip(*out, strict=True) if out else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["row", "term", "a", "b"])
+
+    return _rows(docs).select("row", "text").mapInArrow(run, "row string, term long, a int, b int").join(terms, "term", "left_semi").select("row", "a", "b")
+
+
+def find(docs: DataFrame, reach: int = 60, threshold: float = 0.8, support: int = 3, by_row: bool = False) -> DataFrame:
     """Per row: counts by kind, digest of the fixed spans, and all spans with the disclosing terms'."""
     scanned = materialise(scan(docs, reach), "pii-scan")
-    bad = disclosing(docs, scanned, threshold, support)
-    at = scanned.select("row", F.explode("near").alias("x")).select("row", "x.*").join(bad, ["entity", "term"], "left_semi")
-    terms = at.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("terms"))
+    bad = materialise(disclosing(docs, scanned, threshold, support).select("term").distinct(), "pii-terms")
+    scanned = scanned.filter("not further")
+    terms = occurrences(docs, bad).groupBy("row").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("terms"))
     base = F.transform(
         F.filter(F.split("base", ","), lambda x: x != ""),
         lambda x: F.struct(F.split(x, ":")[1].cast("int").alias("s"), F.array_position(F.array(*map(F.lit, KINDS)), F.split(x, ":")[0]).alias("k"), x.alias("t")),
@@ -202,15 +274,16 @@ def find(docs: DataFrame, reach: int = 60, threshold: float = 0.8, support: int
     more = F.transform(F.coalesce("terms", F.array().cast("array<struct<a:int,b:int>>")), lambda x: F.struct(x["a"].alias("s"), F.lit(5).cast("long").alias("k"), F.concat(F.lit("term:"), x["a"], F.lit(":"), x["b"]).alias("t")))
     spans = F.array_join(F.transform(F.sort_array(F.concat(base, more)), lambda x: x["t"]), ",")
     return scanned.join(terms, "row", "left").select(
-        "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.coalesce(F.size("terms"), F.lit(0)).cast("long").alias("n_term"), "base_sha256",
+        *(["row"] if by_row else []), "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.coalesce(F.size("terms"), F.lit(0)).cast("long").alias("n_term"), "base_sha256",
         F.when(F.col("terms").isNull(), F.col("base")).otherwise(spans).alias("spans"),
     )
 
 
 def sanitise(docs: DataFrame, **options) -> DataFrame:
-    """`docs` (one row an id) with every span of `text` generalised to its kind's mark, and `n_chars`, if there, counted anew."""
-    spans = find(docs, **options).filter(F.col("spans") != "").select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans")).dropDuplicates(["_id"])
-    names = docs.columns
+    """`docs` with every span of `text` generalised to its kind's mark, and `n_chars`, if there, counted anew. Rows of
+    one id each have their own text's spans; null texts stay null."""
+    names, row = docs.columns, F.concat_ws("-", F.coalesce(F.col("d.doc_id").cast("string"), F.lit("")), F.xxhash64("d.text").cast("string"))
+    found = find(docs, by_row=True, **options).filter(F.col("spans") != "").groupBy("row").agg(F.max("spans").alias("spans"))
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -230,4 +303,5 @@ def sanitise(docs: DataFrame, **options) -> DataFrame:
                 cols[names.index("n_chars")] = pa.array([None if t is None else len(t) for t in texts], b.schema.field("n_chars").type)
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return docs.join(spans, docs["doc_id"] == F.col("_id"), "left").drop("_id").mapInArrow(clean, docs.schema)
+    joined_ = docs.alias("d").join(found.alias("f"), row == F.col("f.row"), "left").select("d.*", F.col("f.spans"))
+    return joined_.mapInArrow(clean, docs.schema)

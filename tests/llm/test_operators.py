@@ -234,6 +234,59 @@ def test_pii_disclosing_terms(spark):
     assert clean[0] == "reach [TERM] [TERM] at [EMAIL] now about report 0 and lunch"
 
 
+def test_pii_terms_by_brute_force(spark):
+    """Whole-document counts, terms marked in any document, letters whose lower case has another length, clashing names."""
+    import random
+
+    rng = random.Random(8)
+    people = [("İstanbulcorp", "ist@a.example"), ("Quixote", "10.0.0.9"), ("Li", "+1 555 010 7777"), ("Vague", "v@b.example")]
+    fill = [f"{a}{b}{c}" for a in "klmn" for b in "aeiou" for c in "rst"]
+    rows = []
+    for k in range(240):
+        w = rng.choices(fill, k=30)
+        name, value = people[k % 4]
+        if k < 60:
+            w[5:5] = [name, value]
+        elif k < 80:
+            w.append(name)  # named without the value, and far from any other
+        if k % 3 == 0:
+            w.append("Vague")
+        rows.append((k, " ".join(w), "x", "y"))
+    docs = spark.createDataFrame([*rows, (500, None, None, None), (None, "Quixote", None, None)], "doc_id long, text string, _id string, _spans string")
+    got = {r["doc_id"]: r for r in pii.find(docs).collect()}
+    texts = {r[0]: r[1] for r in rows} | {500: "", None: "Quixote"}
+    ent = {d: {pii.entity(k, t[s:e]) for s, k, e in pii.base_spans(t)} for d, t in texts.items()}
+    word = {d: {m.lower() for m in pii.WORD.findall(t)} for d, t in texts.items()}
+    near = defaultdict(set)
+    for d, t in texts.items():
+        for e, key in pii.context(t, pii.base_spans(t), 60):
+            near[e, key].add(t)
+    n, bad = len(texts), set()
+    for (e, key), seen in near.items():
+        w = next(x for ws in word.values() for x in ws if pii._key(x) == key)
+        has, both = sum(e in x for x in ent.values()), sum(e in ent[d] and w in word[d] for d in texts)
+        df = sum(w in x for x in word.values())
+        if len(seen) >= 3 and math.log(min(1, both / df) / (has / n)) / -math.log(has / n) >= 0.8:
+            bad.add(w)
+    assert {"quixote", "li", "İstanbulcorp".lower()} <= bad and "vague" not in bad
+    for d, t in texts.items():
+        spans = pii.base_spans(t)
+        want = [f"term:{m.start()}:{m.end()}" for m in pii.WORD.finditer(t) if m[0].lower() in bad and not any(x < m.end() and m.start() < y for x, _, y in spans)]
+        assert [x for x in got[d]["spans"].split(",") if x.startswith("term:")] == want
+    clean = pii.sanitise(docs)
+    assert clean.columns == docs.columns and clean.filter("_id = 'x' and _spans = 'y'").count() == 240
+    assert {r["doc_id"]: r["text"] for r in clean.filter("doc_id in (61, 500) or doc_id is null").collect()}[None] == "[TERM]"
+
+
+def test_pii_dense_text_is_linear():
+    import time
+
+    text = " ".join(f"10.0.{k // 250}.{k % 250} word{k} seen" for k in range(60_000))
+    start = time.time()
+    assert len(pii.context(text, pii.base_spans(text), 60)) > 60_000
+    assert time.time() - start < 30
+
+
 def test_pii_empty(empty):
     assert pii.find(empty).count() == 0
 
