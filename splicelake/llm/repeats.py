@@ -209,6 +209,13 @@ def _runs(starts: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(starts[edge].tolist(), starts[np.append(edge[1:], len(starts)) - 1].tolist(), strict=True))
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Fewer rows at a time than Spark sends, so that what is made of them stays small."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     key = F.concat_ws("-", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64("text").cast("string"))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("row"), F.coalesce("text", F.lit("")).alias("text"))
@@ -225,7 +232,7 @@ def spans(docs: DataFrame, length: int = 400) -> DataFrame:
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Every context's place and hash, without its bytes."""
-        for b in batches:
+        for b in sliced(batches):
             rows, ats, found, keys = [], [], [], []
             for row, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 data = x.as_py().encode("utf-8", "surrogatepass")
@@ -328,7 +335,7 @@ def remove(docs: DataFrame, length: int = 400) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        for b in batches:
+        for b in sliced(batches):
             rows = []
             for doc, text, cut in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
                 data, out, done, n = text.as_py().encode("utf-8", "surrogatepass"), [], 0, 0
