@@ -2,7 +2,8 @@
 
 Terms are words and word beginnings (inflected insults share them), and these once more if a text has them twice or
 three times. Those whose presence goes with the label, in
-either direction and beyond what chance gives among so many (false discovery rate `CHANCE`), span the vectors: a
+either direction (odds `ODDS` times higher or lower) and beyond what chance gives among so many (false discovery
+rate `CHANCE`), span the vectors: a
 whole text's TF-IDF vector is projected on them, as the hundreds of other words in a text would only add noise to
 its cosines. All documents' vectors are made in one pass; document frequencies come from all of them. The index
 holds the labelled training examples (a bounded sample: at most `MAX_EXAMPLES`, the first by a hash of their text),
@@ -34,6 +35,7 @@ from .common import by_id, materialise
 
 MAX_EXAMPLES = 20_000
 CHANCE = 0.5
+ODDS = 4.0
 K = 15
 BLOCK = 64
 PRIOR = 4.0
@@ -92,7 +94,11 @@ def choose_terms(sample: DataFrame, least: int = 3, chance: float = CHANCE) -> l
         found += n
         if tried * math.exp(-g / 10) <= chance * found:
             bound = g / 10
-    return [] if bound == math.inf else [r["term"] for r in counted.filter(F.col("gain") >= bound).orderBy("term").select("term").collect()]
+    if bound == math.inf:
+        return []
+    times = (F.col("pos") + 0.5) / (F.col("n") - F.col("pos") + 0.5) * ((1 - rate) / rate)
+    best = counted.filter((F.col("gain") >= bound) & ((times >= ODDS) | (times <= 1 / ODDS)))
+    return [r["term"] for r in best.orderBy("term").select("term").collect()]
 
 
 class Vectoriser:
