@@ -138,14 +138,21 @@ def edges(text: str) -> tuple[int, int]:
     return (first.start(), last) if first and last > first.start() else (len(text), len(text))
 
 
-def leaf(enc: Encoder, text: str, at: int) -> Leaf:
-    """`text` stands at `at` in the whole."""
-    first, last = edges(text)
-    head = encode_flat(enc.t, text[:first], at)
-    if first == len(text):
-        return Leaf(head, None, [])
-    ids = " ".join([x[1] for x in enc.runs(RUN.findall(text, first, last))])
-    return Leaf(head, np.array(ids.split(), np.uint32), encode_flat(enc.t, text[last:], at + last))
+def leaves_of(enc: Encoder, texts: list[str], places: list[int]) -> list[Leaf]:
+    """The leaves of these stretches, each of which stands at its place in its whole; their runs are learnt together."""
+    cuts = [edges(x) for x in texts]
+    found = [RUN.findall(x, *cut) if cut[0] < len(x) else [] for x, cut in zip(texts, cuts, strict=True)]
+    enc.learn(set().union(*found))
+    out = []
+    for x, at, (first, last), runs in zip(texts, places, cuts, found, strict=True):
+        head = encode_flat(enc.t, x[:first], at)
+        if first == len(x):
+            out.append(Leaf(head, None, []))
+            continue
+        ids = " ".join([y[1] for y in enc.get(runs)])
+        middle = np.fromstring(ids, np.uint32, sep=" ") if ids else np.empty(0, np.uint32)
+        out.append(Leaf(head, middle, encode_flat(enc.t, x[last:], at + last)))
+    return out
 
 
 class Side(NamedTuple):
@@ -192,8 +199,9 @@ def join_tree(t, parts: list[Side]) -> list[int]:
 
 def encode_tree(path: str, text: str, size: int = LEAF) -> list[int]:
     """A whole text in one process: the same tree, for tests and small tables."""
-    enc = encoder(path)
-    return join_tree(enc.t, [side(leaf(enc, text[a:b], a), text[a:b], a) for a, b in pieces(text, size)])
+    enc, parts = encoder(path), pieces(text, size)
+    made = leaves_of(enc, [text[a:b] for a, b in parts], [a for a, _ in parts])
+    return join_tree(enc.t, [side(x, text[a:b], a) for x, (a, b) in zip(made, parts, strict=True)])
 
 
 class Encoder:
@@ -207,6 +215,7 @@ class Encoder:
         self.t, self.cache = tokenizer(path), {}
         self.late: dict[str, tuple[int, str, str]] = {}
         self.tokens = [self.t.id_to_token(i) or "" for i in range(self.t.get_vocab_size())]
+        self.numbers = [str(i) for i in range(len(self.tokens))]
         self.ends = [x.endswith("</w>") for x in self.tokens]
         self.points = {p: self._one(p) for p in ".,"}
 
@@ -248,10 +257,6 @@ class Encoder:
         for r in other:
             new[r] = self._one(r)
 
-    def runs(self, runs: list[str]) -> list[tuple[int, str, str]]:
-        self.learn(set(runs))
-        return self.get(runs)
-
     def get(self, runs: list[str]) -> list[tuple[int, str, str]]:
         """(number of ids, ids as text, decoded text) of each of the runs last learned, less those without ids."""
         cache, late = self.cache, self.late
@@ -315,20 +320,21 @@ def encode(docs: DataFrame, path: str, digests: bool = False, size: int = LEAF)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, names = encoder(path), ["row", "doc_id", "a", "text", "middle", "ids", "starts", "ends", "n_head"]
+        enc, names = encoder(path), ["row", "doc_id", "a", "text", "middle", "ids", "starts", "ends", "n_head", "n", "first"]
         for b in batches:
-            for k in range(b.num_rows):
-                one = b.slice(k, 1)
-                text = one.column(3)[0].as_py()
-                x, (first, last) = leaf(enc, text, one.column(2)[0].as_py()), edges(text)
-                middle = None if x.middle is None else x.middle.tobytes()
-                tokens = [*x.head, *x.tail]
-                kept = text if middle is None else text[:first] + text[last:]  # the middle's text has done its part
-                cols = [pa.array([kept], pa.string()), pa.array([middle], pa.binary()), *(pa.array([[y[i] for y in tokens]], pa.list_(pa.int32())) for i in range(3)), pa.array([len(x.head)], pa.int32())]
-                yield pa.RecordBatch.from_arrays([*one.columns[:3], *cols, pa.array([len(text)], pa.int32()), pa.array([first], pa.int32())], names=[*names, "n", "first"])
+            for k in range(0, b.num_rows, 20):
+                some = b.slice(k, 20)
+                texts = some.column(3).to_pylist()
+                made, cuts = leaves_of(enc, texts, some.column(2).to_pylist()), [edges(x) for x in texts]
+                # The middle's text has done its part.
+                kept = [x if y.middle is None else x[:first] + x[last:] for x, y, (first, last) in zip(texts, made, cuts, strict=True)]
+                tokens = [[*y.head, *y.tail] for y in made]
+                cols = [pa.array(kept, pa.string()), pa.array([None if y.middle is None else y.middle.tobytes() for y in made], pa.binary()), *(pa.array([[z[i] for z in x] for x in tokens], pa.list_(pa.int32())) for i in range(3))]
+                counts = [pa.array(x, pa.int32()) for x in ([len(y.head) for y in made], [len(x) for x in texts], [first for first, _ in cuts])]
+                yield pa.RecordBatch.from_arrays([*some.columns[:3], *cols, *counts], names=names)
 
     def meet(t_: pa.Table) -> pa.Table:
-        t, parts = tokenizer(path), []
+        t, numbers, parts = tokenizer(path), encoder(path).numbers, []
         for r in t_.sort_by("a").to_pylist():
             tokens = list(zip(r["ids"], r["starts"], r["ends"], strict=True))
             a, h = r["a"], r["n_head"]
@@ -339,7 +345,7 @@ def encode(docs: DataFrame, path: str, digests: bool = False, size: int = LEAF)
             else:
                 parts.append(Side(a, a + r["n"], head, [np.frombuffer(r["middle"], np.uint32)], (tail, a + r["n"] - len(tail), tokens[h:])))
         ids = join_tree(t, parts)
-        part = (len(ids), " ".join(map(str, ids)), t.decode(ids, skip_special_tokens=False) if ids else "")
+        part = (len(ids), " ".join([numbers[i] for i in ids]), t.decode(ids, skip_special_tokens=False) if ids else "")
         row = (t_.column("doc_id")[0].as_py(), *_assemble([part], digests))
         return pa.table([pa.array([x], f.type) for x, f in zip(row, arrow, strict=True)], schema=arrow)
 
