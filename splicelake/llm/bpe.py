@@ -333,9 +333,9 @@ def encode(docs: DataFrame, path: str, digests: bool = False, size: int = LEAF)
                 counts = [pa.array(x, pa.int32()) for x in ([len(y.head) for y in made], [len(x) for x in texts], [first for first, _ in cuts])]
                 yield pa.RecordBatch.from_arrays([*some.columns[:3], *cols, *counts], names=names)
 
-    def meet(t_: pa.Table) -> pa.Table:
-        t, numbers, parts = tokenizer(path), encoder(path).numbers, []
-        for r in t_.sort_by("a").to_pylist():
+    def whole_text(t, numbers: list[str], rows: list[dict]) -> tuple:
+        parts = []
+        for r in rows:
             tokens = list(zip(r["ids"], r["starts"], r["ends"], strict=True))
             a, h = r["a"], r["n_head"]
             head = r["text"][: r["first"]], a, tokens[:h]
@@ -346,8 +346,23 @@ def encode(docs: DataFrame, path: str, digests: bool = False, size: int = LEAF)
                 parts.append(Side(a, a + r["n"], head, [np.frombuffer(r["middle"], np.uint32)], (tail, a + r["n"] - len(tail), tokens[h:])))
         ids = join_tree(t, parts)
         part = (len(ids), " ".join([numbers[i] for i in ids]), t.decode(ids, skip_special_tokens=False) if ids else "")
-        row = (t_.column("doc_id")[0].as_py(), *_assemble([part], digests))
-        return pa.table([pa.array([x], f.type) for x, f in zip(row, arrow, strict=True)], schema=arrow)
+        return (rows[0]["doc_id"], *_assemble([part], digests))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts from their leaves, which come one after the other; the last text of a batch may go on in the next."""
+        t, numbers, held, out = tokenizer(path), encoder(path).numbers, [], []
+        for b in batches:
+            for k in range(0, b.num_rows, 100):
+                for r in b.slice(k, 100).to_pylist():
+                    if held and r["row"] != held[0]["row"]:
+                        out.append(whole_text(t, numbers, held))
+                        held = []
+                    held.append(r)
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
+                    out = []
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(whole_text(t, numbers, held), arrow, strict=True)], schema=arrow)
 
     key = F.concat_ws("-", F.spark_partition_id(), F.monotonically_increasing_id())
     parts_schema = "row string, doc_id long, a int, text string"
@@ -357,7 +372,8 @@ def encode(docs: DataFrame, path: str, digests: bool = False, size: int = LEAF)
         .mapInArrow(split, parts_schema)
         .repartition("row", "a")
         .mapInArrow(leaves, parts_schema + ", middle binary, ids array<int>, starts array<int>, ends array<int>, n_head int, n int, first int")
-        .groupBy("row")
-        .applyInArrow(meet, schema)
+        .repartition("row")
+        .sortWithinPartitions("row", "a")
+        .mapInArrow(meet, schema)
     )
     return base.filter(~is_long).mapInArrow(whole, schema).unionByName(long)
