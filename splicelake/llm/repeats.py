@@ -2,19 +2,23 @@
 
 Bytes are to go that a string of `length` bytes covers which starts twice or more in the corpus. Three steps:
 
-1. Anchors. In every window of `length` bytes one 64-byte string is chosen by content alone (the smallest
-   hash), so equal windows have equal anchors. Anchors that occur once lead nowhere. The others give
-   contexts: the bytes of up to `RUN` consecutive windows that have the anchor, so each window is in one
-   context. A text of one repeated letter or phrase thus gives a context for each `RUN` windows, not for each.
+1. Anchors. In the first `SURE` bytes of every window of `length` bytes, one 64-byte string is chosen by content
+   alone (the smallest hash), so equal windows have equal anchors. Anchors that occur once lead nowhere. The
+   others give contexts: the bytes of up to `RUN` consecutive windows that have the anchor, so each window is in
+   one context. A text of one repeated letter or phrase thus gives a context for each `RUN` windows, not for
+   each. Near a text's end windows are cut off there, down to `SURE` bytes.
 2. Equal contexts of an anchor are merged and counted: one seen twice is repeated throughout.
-3. The different contexts of an anchor meet in one task (of a very frequent anchor: see below). There the
+3. The different contexts of an anchor meet in one task (of a very frequent anchor: see below). Those that share
+   neither the bytes before nor those behind the anchor with another are left out: what a shared string of `hint`
+   bytes has beside the anchor is to one side by half at least. Of the rest the
    suffix array and from it the Burrows-Wheeler transform of all of them are made, with symbols of 8 bytes.
    Breadth-first, intervals of suffixes are extended backward symbol by symbol, so that level m holds just
    the repeated strings of 8 m bytes; intervals of one suffix are dropped, and expansion stops at `length`.
 
 The transform derives common prefixes by increasing value, so it also shows texts that share less than
-`length` but at least `hint` bytes where their contexts meet: these get `longest_repeat` = `hint`. It is found
-if both have the shared string's anchor, which is likely for strings near `length`; nothing is removed for it.
+`length` but at least `hint` bytes where their contexts meet: these get `longest_repeat` = `hint`. Strings of
+`SURE` bytes or more have the same anchor wherever they occur, so all are found; shorter ones only if the anchor
+lies in them. Nothing is removed for it.
 
 An anchor with more than `MAX_GROUP` different contexts never meets in one task: its strings of `length`
 bytes are counted by their hash instead, with sums before the shuffle, which is exact as well.
@@ -25,6 +29,7 @@ are repeats of each other. Matches never cross documents.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +44,8 @@ GRAM = 64
 SYMBOL = 8
 MAX_GROUP = 2000
 HINT = 256
+#: Shared strings from this many bytes on are always seen: the fewer, the more contexts.
+SURE = 320
 #: Windows of a context; contexts, and slices of a long text, may be cut anywhere between windows.
 RUN = 1024
 SLICE = 1 << 20
@@ -62,14 +69,14 @@ def gram_hashes(data: np.ndarray, width: int = GRAM) -> np.ndarray:
     return h
 
 
-def anchors(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The smallest hash of a gram in each window of `length` bytes, for runs of up to `RUN` consecutive windows that
-    have the same: equal windows are in runs of equal hash. With the run's first and last window, and whether the gram
-    is the smallest at several places of it, so that the run may repeat itself."""
-    if len(data) < length:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
+def anchors(data: bytes, sure: int = SURE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The smallest hash of a gram in each window of `sure` bytes, for runs of up to `RUN` consecutive windows that
+    have the same: equal windows are in runs of equal hash. With the run's first and last window, and where in the run
+    the gram is; -1 if it is the smallest at several places of it, so that the run may repeat itself."""
+    if len(data) < sure:
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
     h = gram_hashes(np.frombuffer(data, np.uint8))
-    span = length - GRAM + 1
+    span = sure - GRAM + 1
     pos = np.arange(len(h), dtype=np.uint64)
     # The place goes with the hash's upper bits, so that one minimum finds both; equal grams: the leftmost.
     bits = np.uint64(32)  # as many for any text, so that equal windows choose alike
@@ -87,14 +94,14 @@ def anchors(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
         again = -(-size // RUN)
         first = np.repeat(first, again) + RUN * (np.arange(again.sum()) - np.repeat(np.cumsum(again) - again, again))
     last = np.append(first[1:], len(least)) - 1
-    return least[first], first, last, place[first] != place[last]
+    return least[first], first, last, np.where(place[first] == place[last], place[first] - first, -1)
 
 
-def all_anchors(data: bytes, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def all_anchors(data: bytes, sure: int = SURE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """`anchors` of a text of any size, slice by slice."""
-    for at in range(0, max(1, len(data) - length + 1), SLICE):
-        anchor, first, last, again = anchors(data[at : at + SLICE + length - 1], length)
-        yield anchor, first + at, last + at, again
+    for at in range(0, max(1, len(data) - sure + 1), SLICE):
+        anchor, first, last, inside = anchors(data[at : at + SLICE + sure - 1], sure)
+        yield anchor, first + at, last + at, inside
 
 
 def suffix_array(first: np.ndarray, width: int) -> np.ndarray:
@@ -224,8 +231,8 @@ def _texts(docs: DataFrame) -> DataFrame:
 def spans(docs: DataFrame, length: int = 400) -> DataFrame:
     """row, s, e: byte ranges to remove, of the rows that have any; `row` is made of doc_id and the text's hash.
     Rows that only share a string of `HINT` bytes come with a null range."""
-    if length % SYMBOL or length < HINT:
-        raise ValueError(f"length must be a multiple of {SYMBOL} and at least {HINT}")
+    if length % SYMBOL or length < SURE:
+        raise ValueError(f"length must be a multiple of {SYMBOL} and at least {SURE}")
     texts = _texts(docs)
     # Equal texts under one id can't be told apart by their row: they are one text here that repeats itself wholly.
     doubled = texts.filter(F.octet_length("text") >= length).groupBy("row").agg(F.count("*").alias("n"), F.max(F.octet_length("text")).alias("e")).filter("n > 1").select("row", F.lit(0).alias("s"), "e")
@@ -236,38 +243,40 @@ def spans(docs: DataFrame, length: int = 400) -> DataFrame:
             rows, ats, found, keys = [], [], [], []
             for row, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 data = x.as_py().encode("utf-8", "surrogatepass")
-                for anchor, first, last, again in all_anchors(data, length):
+                for anchor, first, last, inside in all_anchors(data):
+                    # The last window that has all `length` bytes; before `first` where there is none.
+                    last = np.minimum(last, len(data) - length)
                     rows += [row] * len(anchor)
-                    ats.append((first, last, again))
+                    ats.append((first, last, inside))
                     found.append(anchor)
                     keys += [xxhash.xxh128_digest(data[s : e + length]) for s, e in zip(first.tolist(), last.tolist(), strict=True)]
             if rows:
-                at, to = (np.concatenate([x[k] for x in ats]).astype(np.int32) for k in (0, 1))
-                again = np.concatenate([x[2] for x in ats])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(keys, pa.binary()), pa.array(rows, pa.string()), pa.array(at), pa.array(to), pa.array(again)], names=["anchor", "key", "row", "at", "upto", "again"])
+                at, to, inside = (np.concatenate([x[k] for x in ats]).astype(np.int32) for k in range(3))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(keys, pa.binary()), pa.array(rows, pa.string()), pa.array(at), pa.array(to), pa.array(inside)], names=["anchor", "key", "row", "at", "upto", "inside"])
 
-    found = materialise(texts.select("row", "text").mapInArrow(find, "anchor long, key binary, row string, at int, upto int, again boolean"), "repeats-anchors")
-    often = found.groupBy("anchor").agg(F.count("*").alias("n"), F.max("again").alias("again")).filter("n > 1 or again").select("anchor")
+    found = materialise(texts.select("row", "text").mapInArrow(find, "anchor long, key binary, row string, at int, upto int, inside int"), "repeats-anchors")
+    often = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("inside").alias("inside")).filter("n > 1 or inside < 0").select("anchor")
     often = materialise(often, "repeats-often")  # joined as a table, a very frequent anchor's rows can be split
     # Equal contexts are one row with their number and one of their places.
-    merged = found.join(often, "anchor", "left_semi").groupBy("anchor", "key").agg(F.count("*").alias("n"), F.min(F.struct("row", "at", "upto")).alias("place"), F.max("again").alias("again"))
+    merged = found.join(often, "anchor", "left_semi").groupBy("anchor", "key").agg(F.count("*").alias("n"), F.min(F.struct("row", "at", "upto", "inside")).alias("place"))
     merged = materialise(merged, "repeats-merged")
     # Equal contexts are known to repeat; they matter further only where others, or other places in them, have their anchor.
-    whole = merged.filter("n > 1").select("anchor", "key", F.lit(0).alias("a"), (F.col("place.upto") - F.col("place.at")).alias("z"))
-    several = materialise(merged.groupBy("anchor").agg(F.count("*").alias("different"), F.max("again").alias("any")).filter("different > 1 or any").drop("any"), "repeats-several")
-    places = merged.join(several, "anchor").groupBy("place.row").agg(F.collect_list(F.struct("place.at", "place.upto", "anchor", "key", "different")).alias("places"))
+    more = F.col("place.upto") - F.col("place.at")
+    whole = merged.filter("n > 1").select("anchor", "key", F.when(more >= 0, 0).alias("a"), F.when(more >= 0, more).alias("z"))
+    several = materialise(merged.groupBy("anchor").agg(F.count("*").alias("different"), F.min("place.inside").alias("least")).filter("different > 1 or least < 0").drop("least"), "repeats-several")
+    places = merged.join(several, "anchor").groupBy("place.row").agg(F.collect_list(F.struct("place.at", "place.upto", "place.inside", "anchor", "key", "different")).alias("places"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The contexts' bytes, of one place each."""
-        types = (pa.int64(), pa.binary(), pa.int64(), pa.binary())
+        types = (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary())
         for b in batches:
             for x, places in zip(b.column(0), b.column(1).to_pylist(), strict=True):
                 data = x.as_py().encode("utf-8", "surrogatepass")
                 for k in range(0, len(places), 4096):
-                    out = [(p["anchor"], p["key"], p["different"], data[p["at"] : p["upto"] + length]) for p in places[k : k + 4096]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["anchor", "key", "different", "context"])
+                    out = [(p["anchor"], p["key"], p["different"], p["inside"], data[p["at"] : p["upto"] + length]) for p in places[k : k + 4096]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["anchor", "key", "different", "inside", "context"])
 
-    met = materialise(texts.join(places, "row").select("text", "places").mapInArrow(cut, "anchor long, key binary, different long, context binary"), "repeats-contexts")
+    met = materialise(texts.join(places, "row").select("text", "places").mapInArrow(cut, "anchor long, key binary, different long, inside int, context binary"), "repeats-contexts")
     parts = _by_transform(met.filter(F.col("different") <= MAX_GROUP), length).union(_by_hash(met.filter(F.col("different") > MAX_GROUP), length))
     hits = whole.union(parts)
     # a to z: starts, in the context, of repeated strings. Back to the rows that have the context.
@@ -275,14 +284,25 @@ def spans(docs: DataFrame, length: int = 400) -> DataFrame:
     return back.select("row", (F.col("at") + F.col("a")).alias("s"), (F.col("at") + F.col("z") + length).alias("e")).distinct().union(doubled.select("row", "s", "e"))
 
 
+def sharing(contexts: list[tuple[int, bytes, int, bytes]]) -> list[tuple[int, bytes, int, bytes]]:
+    """Of (anchor, key, inside, context), those that may share a string of `HINT` bytes about the anchor with another:
+    the half of it before the anchor or the half behind it, the anchor included. Contexts with it at several places stay."""
+    half = (HINT - GRAM) // 2
+    sides = [((x[0], x[3][max(0, x[2] - half) : x[2] + GRAM]), (x[0], x[3][x[2] : x[2] + GRAM + half])) for x in contexts]
+    before, behind = (Counter(side[k] for side in sides) for k in (0, 1))
+    loose = {x[0] for x in contexts if x[2] < 0}
+    return [x for x, (a, z) in zip(contexts, sides, strict=True) if x[0] in loose or before[a] > 1 or behind[z] > 1]
+
+
 def _by_transform(met: DataFrame, length: int) -> DataFrame:
     """anchor, key, a, z of the groups that fit in a task; groups are brought together by a hash of their anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, bytes, bytes]] = []
+        held: list[tuple[int, bytes, int, bytes]] = []
 
-        def flush(part: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
-            got, hinted = repeated_windows([x[2] for x in part], length)
+        def flush(whole: list[tuple[int, bytes, int, bytes]]) -> pa.RecordBatch:
+            part = sharing(whole)
+            got, hinted = repeated_windows([x[3] for x in part], length) if part else ([], np.empty(0, bool))
             rows = [(x[0], x[1], a, z) for x, starts in zip(part, got, strict=True) for a, z in _runs(starts)]
             rows += [(x[0], x[1], None, None) for x, h, starts in zip(part, hinted, got, strict=True) if h and not len(starts)]
             types = (pa.int64(), pa.binary(), pa.int32(), pa.int32())
@@ -290,16 +310,16 @@ def _by_transform(met: DataFrame, length: int) -> DataFrame:
 
         total = 0
         for b in batches:
-            for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 if total >= BATCH_BYTES and x[0] != held[-1][0]:
                     yield flush(held)
                     held, total = [], 0
                 held.append(x)
-                total += len(x[2])
+                total += len(x[3])
         if held:
             yield flush(held)
 
-    return met.select("anchor", "key", "context").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "anchor long, key binary, a int, z int")
+    return met.select("anchor", "key", "inside", "context").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "anchor long, key binary, a int, z int")
 
 
 def _by_hash(met: DataFrame, length: int) -> DataFrame:
@@ -309,15 +329,13 @@ def _by_hash(met: DataFrame, length: int) -> DataFrame:
         for b in batches:
             for anchor, key, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 d = np.frombuffer(c, np.uint8)
-                n = len(c) - length + 1
-                if n <= 0:
-                    continue
+                n = max(0, len(c) - length + 1)
                 h = gram_hashes(d, HINT)
                 x = _mix(h[:n] * _K[0] + h[length - HINT : length - HINT + n] * _K[1])
                 y = _mix(h[:n] * _K[1] + h[length - HINT : length - HINT + n] * _K[2])
-                # For the hint three strings about the anchor, numbered below 0.
+                # For the hint seven strings about the anchor, numbered below 0.
                 at = int(np.flatnonzero(gram_hashes(d).view(np.int64) == anchor)[0])
-                about = [k for k in (at, at - (HINT - GRAM) // 2, at - HINT + GRAM) if 0 <= k < len(h)]
+                about = [k for k in range(at - HINT + GRAM, at + 1, 32) if 0 <= k < len(h)]
                 a = np.concatenate((np.arange(n), -1 - np.arange(len(about)))).astype(np.int32)
                 x, y = np.concatenate((x, h[about])), np.concatenate((y, np.zeros(len(about), np.uint64)))
                 yield pa.RecordBatch.from_arrays([pa.array([anchor] * len(a)), pa.array([key] * len(a), pa.binary()), pa.array(a), pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], names=["anchor", "key", "a", "x", "y"])

@@ -614,22 +614,32 @@ def test_repeats_periodic_texts(spark):
         assert {d: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for d, r in got.items()} == removed(texts, 400)
 
 
-@pytest.mark.parametrize("group", [repeats.MAX_GROUP, 1])
-def test_repeats_hint_at_shorter_passages(spark, group, monkeypatch):
+@pytest.mark.parametrize(("group", "size"), [(repeats.MAX_GROUP, 380), (repeats.MAX_GROUP, repeats.SURE), (1, 380), (1, repeats.SURE)])
+def test_repeats_hint_at_shorter_passages(spark, group, size, monkeypatch):
     import random
 
     monkeypatch.setattr(repeats, "MAX_GROUP", group)
     rng = random.Random(3)
     word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9)))
-    passage = " ".join(word() for _ in range(62))[:380]
+    passage = " ".join(word() for _ in range(62))[:size]
     texts = {k: " ".join([*(word() for _ in range(80)), passage, *(word() for _ in range(80))]) for k in range(12)}
     texts |= {100 + k: " ".join(word() for _ in range(200)) for k in range(12)}
     got = by_id(repeats.remove(spark.createDataFrame(list(texts.items()), "doc_id long, text string")))
     assert all(r["n_removed"] == 0 for r in got.values())
-    assert sum(got[k]["longest_repeat"] == repeats.HINT for k in range(12)) >= (11 if group > 1 else 8)
+    assert sum(got[k]["longest_repeat"] == repeats.HINT for k in range(12)) == 12
     assert all(got[100 + k]["longest_repeat"] == 0 for k in range(12))
 
 
+def test_repeats_keep_contexts_that_may_share():
+    """Only contexts that share neither side of the anchor are left out; an anchor at several places keeps all."""
+    gram, left, right = "G" * repeats.GRAM, "l" * 130, "r" * 130
+    make = lambda a, z: (a + gram + z).encode()
+    rows = [(1, b"a", 130, make(left, "1" * 130)), (1, b"b", 130, make(left, "2" * 130)), (1, b"c", 130, make("3" * 130, right)), (1, b"d", 130, make("4" * 130, right)), (1, b"e", 130, make("5" * 130, "6" * 130))]
+    assert [x[1] for x in repeats.sharing(rows)] == [b"a", b"b", b"c", b"d"]
+    assert len(repeats.sharing([*rows, (1, b"f", -1, make(left, right))])) == 6
+    assert repeats.sharing([(2, b"a", 130, make(left, right))]) == []
+
+
 # 10
 
 
