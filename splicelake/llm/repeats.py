@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 GRAM = 64
 SYMBOL = 8
@@ -257,12 +257,14 @@ def spans(docs: DataFrame, length: int = 400) -> DataFrame:
     found = materialise(texts.select("row", "text").mapInArrow(find, "anchor long, key binary, row string, at int, upto int, inside int"), "repeats-anchors")
     often = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("inside").alias("inside")).filter("n > 1 or inside < 0").select("anchor")
     often = materialise(often, "repeats-often")  # joined as a table, a very frequent anchor's rows can be split
+    shared = materialise(found.join(often, "anchor", "left_semi"), "repeats-shared")
+    discard(found, often)
     # Equal contexts are one row with their number and one of their places.
-    merged = found.join(often, "anchor", "left_semi").groupBy("anchor", "key").agg(F.count("*").alias("n"), F.min(F.struct("row", "at", "upto", "inside")).alias("place"))
+    merged = shared.groupBy("anchor", "key").agg(F.count("*").alias("n"), F.min(F.struct("row", "at", "upto", "inside")).alias("place"))
     merged = materialise(merged, "repeats-merged")
     # Equal contexts are known to repeat; they matter further only where others, or other places in them, have their anchor.
     more = F.col("place.upto") - F.col("place.at")
-    whole = merged.filter("n > 1").select("anchor", "key", F.when(more >= 0, 0).alias("a"), F.when(more >= 0, more).alias("z"))
+    whole = materialise(merged.filter("n > 1").select("anchor", "key", F.when(more >= 0, 0).alias("a"), F.when(more >= 0, more).alias("z")), "repeats-whole")
     several = materialise(merged.groupBy("anchor").agg(F.count("*").alias("different"), F.min("place.inside").alias("least")).filter("different > 1 or least < 0").drop("least"), "repeats-several")
     places = merged.join(several, "anchor").groupBy("place.row").agg(F.collect_list(F.struct("place.at", "place.upto", "place.inside", "anchor", "key", "different")).alias("places"))
 
@@ -276,11 +278,12 @@ def spans(docs: DataFrame, length: int = 400) -> DataFrame:
                     out = [(p["anchor"], p["key"], p["different"], p["inside"], data[p["at"] : p["upto"] + length]) for p in places[k : k + 4096]]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["anchor", "key", "different", "inside", "context"])
 
-    met = materialise(texts.join(places, "row").select("text", "places").mapInArrow(cut, "anchor long, key binary, different long, inside int, context binary"), "repeats-contexts")
+    met = materialise(texts.join(places, "row").select("text", "places").mapInArrow(cut, "anchor long, key binary, different long, inside int, context binary"), "repeats-contexts", "zstd")
+    discard(merged, several)
     parts = _by_transform(met.filter(F.col("different") <= MAX_GROUP), length).union(_by_hash(met.filter(F.col("different") > MAX_GROUP), length))
     hits = whole.union(parts)
     # a to z: starts, in the context, of repeated strings. Back to the rows that have the context.
-    back = found.select("anchor", "key", "row", "at").join(hits, ["anchor", "key"])
+    back = shared.select("anchor", "key", "row", "at").join(hits, ["anchor", "key"])
     return back.select("row", (F.col("at") + F.col("a")).alias("s"), (F.col("at") + F.col("z") + length).alias("e")).distinct().union(doubled.select("row", "s", "e"))
 
 
