@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..sources.stored import shared_folder
 
@@ -41,6 +42,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shape(columns: str, **like: DataFrame) -> StructType:
+    """A schema from DDL; a column among `like` has the type of that DataFrame's column of this name."""
+    fields = StructType.fromDDL(columns).fields
+    return StructType([StructField(f.name, like[f.name].schema[f.name].dataType if f.name in like else f.dataType) for f in fields])
+
+
 def fold(doc_id: str, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo `modulus`; null ids count as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % modulus

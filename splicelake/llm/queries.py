@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, language_id, near_dedup, ngram_lm, pii, quality, repeats, secrets, toxicity
+from . import bpe, decontam, divergence, language_id, lexical_search, near_dedup, ngram_lm, pii, quality, quality_trees, repeats, secrets, toxicity
 from .common import fold, table
 
 
@@ -74,10 +74,25 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").filter(fold("doc_id", 5) != 0).select("doc_id", "quality")
+    return quality_trees.score(docs, labels).withColumn("held_out", fold("doc_id", 5) == 0)
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (
         op1_minhash_near_dedup, op2_language_id, op3_pii, op4_ngram_lm, op5_toxicity,
         op6_quality, op7_bpe, op8_decontamination, op9_suffix_dedup, op10_secrets,
+        op11_quality_trees, op12_lexical_search, op13_source_divergence,
     )
     return {f.__name__: f for f in ops}
 
@@ -118,5 +133,42 @@ from d left join n using (doc_id) join k using (doc_id)
 """
 
 
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERMS12 = rf"regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+_TERMS13 = rf"regexp_extract_all({_LOW}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')"
+
+#: Every document is scored for every item.
+OP12_SQL = rf"""
+with d as (select row_number() over () as k, doc_id, {_TERMS12} as w from documents),
+s as (select count(*) as nd, sum(len(w)) as nl from d where len(w) > 0),
+tf as (select k, t, count(*) as tf from (select k, unnest(w) as t from d) group by 1, 2),
+df as (select t, cast(floor(1000 * ln((2 * (select nd from s) + 2) / (2 * count(*) + 1))) as hugeint) as w from tf group by 1),
+m as (select k, doc_id, 50 + (50 * cast(len(w) as hugeint) * (select nd from s)) // (select nl from s) as m from d where len(w) > 0),
+i as (select distinct item_id, unnest({_TERMS12}) as t from benchmark),
+sc as (select item_id, k, doc_id, sum(w * ((1000000000 * cast(tf as hugeint)) // (1000 * tf + 20 * m))) as score from i join df using (t) join tf using (t) join m using (k) group by 1, 2, 3),
+r as (select *, row_number() over (partition by item_id order by score desc, doc_id nulls first, k) as rank from sc where score > 0)
+select item_id, cast(rank as integer) as rank, doc_id, cast(score as bigint) as score from r where rank <= 50
+"""
+
+OP13_SQL = rf"""
+with d as (select row_number() over () as k, coalesce(lang, '') as lang, coalesce(source, '') as source, {_TERMS13} as w from documents),
+x as (select k, lang, source, unnest(w) as term from d),
+v as (select lang, term, count(*) as n from x group by 1, 2 having count(distinct k) >= 3),
+c as (select lang, source, term, count(*) as n from x join v using (lang, term) group by 1, 2, 3),
+g as (select distinct lang, source from d),
+ls as (select lang, count(*) as vv, sum(n) as nn from v group by 1),
+gs as (select lang, source, sum(n) as nn from c group by 1, 2),
+p as (select v.lang, g.source, v.term, coalesce(c.n, 0) as n, cast(1 + (1000000000 * cast(coalesce(c.n, 0) + 1 as hugeint)) // (coalesce(gs.nn, 0) + vv) as hugeint) as p,
+  cast(1 + (1000000000 * cast(v.n + 1 as hugeint)) // (ls.nn + vv) as hugeint) as q
+  from v join g using (lang) join ls using (lang) left join gs on gs.lang = g.lang and gs.source = g.source left join c on c.lang = v.lang and c.source = g.source and c.term = v.term),
+pair as (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p) as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by 1, 2, 3),
+allp as (select a.lang, a.source, b.source as item, cast(coalesce(value, 0) as bigint) as value from g a join g b on a.lang = b.lang and a.source <> b.source left join pair on pair.lang = a.lang and pair.source = a.source and pair.item = b.source),
+t as (select lang, source, term as item, cast((p - q) * (p - q) // q as bigint) as value from p where n > 0 and p > q),
+u as (select lang, source, 'pair' as part, item, value, row_number() over (partition by lang, source order by value desc, item) as rank from allp
+  union all select lang, source, 'term', item, value, row_number() over (partition by lang, source order by value desc, item) as rank from t)
+select lang, source, part, item, value, cast(rank as integer) as rank from u where part = 'pair' or rank <= 200
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_near_dedup": OP1_SQL, "op8_decontamination": OP8_SQL}
+    return {"op1_minhash_near_dedup": OP1_SQL, "op8_decontamination": OP8_SQL, "op12_lexical_search": OP12_SQL, "op13_source_divergence": OP13_SQL}
