@@ -53,14 +53,14 @@ def slices(texts: pa.Array, most: int = SLICE) -> Iterator[tuple[int, int]]:
         yield start, len(lengths)
 
 
-def terms_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
-    """The row and the term of each match, in order."""
+def terms_of(texts: pa.Array, to: np.ndarray = BYTES) -> tuple[np.ndarray, pa.Array]:
+    """The row and the term of each match, in order: what is between blanks once each byte is what `to` makes of it."""
     texts = pc.fill_null(texts.cast(pa.string()), "")
     texts = pa.concat_arrays([texts]) if texts.offset else texts
     offsets = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, texts.offset * 4)
     data = texts.buffers()[2]
     raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
-    plain = pa.StringArray.from_buffers(len(texts), pa.py_buffer(offsets.tobytes()), pa.py_buffer(BYTES[raw].tobytes()))
+    plain = pa.StringArray.from_buffers(len(texts), pa.py_buffer(offsets.tobytes()), pa.py_buffer(to[raw].tobytes()))
     cut = pc.ascii_split_whitespace(plain)
     rows, flat = np.asarray(pc.list_parent_indices(cut)), pc.list_flatten(cut)
     full = np.asarray(pc.binary_length(flat)) > 0
