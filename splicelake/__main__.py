@@ -13,14 +13,16 @@ from .sources.files import read_database
 from .sources.tables import SCHEMAS, checked
 
 
+# The options of the command lines.
+REPORT_OPTIONS = {"-input": {"default": "clusters_sum_table_H_vs_M_HN6.xlsx"}, "-dochap": {"required": True}, "-output_csv": {"default": "junctions.csv"}, "-biomart_domains": {"type": bool, "default": False}, "-gene_ids": {}}
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="splicelake")
     sub = top.add_subparsers(dest="command", required=True)
     r = sub.add_parser("report")
-    r.add_argument("-input", required=True)
-    r.add_argument("-dochap", required=True)
-    r.add_argument("-output_csv", default="junctions.csv")
-    r.add_argument("-gene_ids")
+    for name, how in REPORT_OPTIONS.items():  # -biomart_domains is accepted and has no effect
+        r.add_argument(name, **how)
     v = sub.add_parser("layout")
     v.add_argument("gene_name")
     v.add_argument("-db", "--database", required=True)

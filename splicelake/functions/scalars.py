@@ -9,7 +9,15 @@ from pyspark.sql import functions as F
 NAME_COLUMNS = ("cdd", "pfam", "smart", "tigr", "interpro", "CDD_id")
 LABEL_COLUMNS = ("interpro", "pfam", "cdd", "smart")
 LABEL_LENGTH = 14
-PALETTE_SIZE = 48
+HEX_COLORS = (
+    "#FF4A46", "#1BE177", "#00CCFF", "#A30059", "#FFB500", "#006FA6", "#4FC601", "#FFDBE5",
+    "#D16100", "#00C2A0", "#A079BF", "#C0B9B2", "#CC0744", "#549E79", "#B79762", "#B903AA",
+    "#00846F", "#FF90C9", "#0AA6D8", "#F4ABAA", "#A3F3AB", "#00C6C8", "#EA8B66", "#BEC459",
+    "#AA5199", "#0089A3", "#EEC3FF", "#8FB0FF", "#004D43", "#F4D749", "#997D87", "#3B5DFF",
+    "#FF2F80", "#6B7900", "#FFAA92", "#A1C299", "#885578", "#B77B68", "#FAD09F", "#456D75",
+    "#FF8A9A", "#0086ED", "#D157A0", "#00A6AA", "#B4A8BD", "#FF913F", "#636375", "#A3C8C9",
+)
+PALETTE_SIZE = len(HEX_COLORS)
 STRIPS = 80
 
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import NAME_COLUMNS, first_valid_name, near, overlaps, present, to_amino_acid, without_version
+from ..functions.scalars import NAME_COLUMNS, first_valid_name, near, present, to_amino_acid, without_version
+from .joins import GENOME_BIN, PROTEIN_BIN, near_join, overlap_join
+
+# The texts of verdicts.
+ONLY, MISSING, LONGER, SHORTER = "only has %s, %d", "Missing %s, %d", "Longer %s, %d vs %d", "Shorter %s, %d vs %d"
+ALONE, NO_DESCRIPTION = "Nothing to compare", "no description"
 
 
 def parse_junctions(junctions: DataFrame, on_error: str = "fail") -> DataFrame:
@@ -58,14 +63,13 @@ def usable(junctions: DataFrame, domains: DataFrame) -> DataFrame:
     return junctions.join(domains.select("gene").distinct(), "gene", "left_semi")
 
 
-def _by_gene(junctions: DataFrame, exons: DataFrame, meets: Column) -> DataFrame:
-    j = junctions.select("ord", F.col("gene").alias("j_gene"), F.col("start").alias("js"), F.col("end").alias("je"))
-    return j.join(exons, (F.col("j_gene") == F.col("gene")) & meets)
+def _places(junctions: DataFrame) -> DataFrame:
+    return junctions.select("ord", "gene", F.col("start").alias("js"), F.col("end").alias("je"))
 
 
 def skipping_transcripts(junctions: DataFrame, exons: DataFrame) -> DataFrame:
     """ord, tx where one exon starts at the junction's end and ends at its start, each within 1."""
-    return _by_gene(junctions, exons, near(F.col("gs"), F.col("je")) & near(F.col("ge"), F.col("js"))).select("ord", "tx").distinct()
+    return near_join(_places(junctions), exons, ["gene"], "je", "gs", near(F.col("ge"), F.col("js"))).select("ord", "tx").distinct()
 
 
 def supporting_transcripts(junctions: DataFrame, exons: DataFrame, strict: bool = False) -> DataFrame:
@@ -74,8 +78,8 @@ def supporting_transcripts(junctions: DataFrame, exons: DataFrame, strict: bool
     strict: the exon after the junction must have the smaller rank by one (reverse strand), not just a rank beside.
     """
     first = lambda df, name: df.groupBy("ord", "tx").agg(F.min("exon_rank").alias(name))
-    before = first(_by_gene(junctions, exons, near(F.col("ge"), F.col("js"))), "left_rank")
-    after = first(_by_gene(junctions, exons, near(F.col("gs"), F.col("je"))), "right_rank")
+    before = first(near_join(_places(junctions), exons, ["gene"], "js", "ge"), "left_rank")
+    after = first(near_join(_places(junctions), exons, ["gene"], "je", "gs"), "right_rank")
     apart = F.col("left_rank") - F.col("right_rank")
     return before.join(after, ["ord", "tx"]).filter((apart if strict else F.abs(apart)) == 1).select("ord", "tx")
 
@@ -86,23 +90,22 @@ def supporting_aa_ranges(supporting: DataFrame, exons: DataFrame) -> DataFrame:
     return supporting.join(coding, "tx").select("ord", "tx", "aa_start", "aa_end")
 
 
-def nonskipping_aa_ranges(junctions: DataFrame, exons: DataFrame) -> DataFrame:
+def nonskipping_aa_ranges(junctions: DataFrame, exons: DataFrame, bin_width: int = GENOME_BIN) -> DataFrame:
     """ord, tx, aa_start, aa_end: the amino acids of coding exons that overlap the junction, of transcripts that don't skip."""
     coding = exons.filter("cds_start > 0")
-    hit = _by_gene(junctions, coding, overlaps(F.col("gs"), F.col("ge"), F.col("js"), F.col("je")))
+    hit = overlap_join(_places(junctions), coding, ["gene"], ("js", "je", "gs", "ge"), bin_width)
     kept = hit.join(skipping_transcripts(junctions, exons), ["ord", "tx"], "left_anti")
     return kept.groupBy("ord", "tx").agg(F.min("aa_start").alias("aa_start"), F.max("aa_end").alias("aa_end"))
 
 
-def relevant_domains(junctions: DataFrame, ranges: DataFrame, domains: DataFrame, normalize_gene_id: bool = False) -> DataFrame:
+def relevant_domains(junctions: DataFrame, ranges: DataFrame, domains: DataFrame, normalize_gene_id: bool = False, bin_width: int = PROTEIN_BIN) -> DataFrame:
     """ord, tx, AA_start, AA_end, names, short_description: domains over the ranges, equal ones of a junction once.
 
     Domains are looked up by the gene id as given (unless normalize_gene_id): a versioned id finds none.
     """
-    gene = "gene" if normalize_gene_id else "gene_raw"
-    r = ranges.join(junctions.select("ord", F.col(gene).alias("r_gene")), "ord").withColumnRenamed("tx", "r_tx")
-    on = (F.col("r_tx") == F.col("tx")) & (F.col("r_gene") == F.col("gene")) & overlaps(F.col("AA_start"), F.col("AA_end"), F.col("aa_start_r"), F.col("aa_end_r"))
-    hit = r.withColumnRenamed("aa_start", "aa_start_r").withColumnRenamed("aa_end", "aa_end_r").join(domains, on)
+    gene = junctions.select("ord", F.col("gene" if normalize_gene_id else "gene_raw").alias("gene"))
+    r = ranges.select("ord", "tx", F.col("aa_start").alias("range_start"), F.col("aa_end").alias("range_end")).join(gene, "ord")
+    hit = overlap_join(r, domains, ["tx", "gene"], ("range_start", "range_end", "AA_start", "AA_end"), bin_width)
     same = ["ord", "AA_start", "AA_end", *NAME_COLUMNS, "short_description"]
     return hit.groupBy(*same).agg(F.min("tx").alias("tx"))
 
@@ -133,10 +136,10 @@ def verdicts(junctions: DataFrame, kept: DataFrame) -> DataFrame:
         .when(F.col("len") > F.col("other"), F.lit("longer")).when(F.col("len") < F.col("other"), F.lit("shorter"))
     )
     message = (
-        F.when(F.col("kind") == "only", F.format_string("only has %s, %d", "name", "len"))
-        .when(F.col("kind") == "missing", F.format_string("Missing %s, %d", "name", "other"))
-        .when(F.col("kind") == "longer", F.format_string("Longer %s, %d vs %d", "name", "len", "other"))
-        .otherwise(F.format_string("Shorter %s, %d vs %d", "name", "len", "other"))
+        F.when(F.col("kind") == "only", F.format_string(ONLY, "name", "len"))
+        .when(F.col("kind") == "missing", F.format_string(MISSING, "name", "other"))
+        .when(F.col("kind") == "longer", F.format_string(LONGER, "name", "len", "other"))
+        .otherwise(F.format_string(SHORTER, "name", "len", "other"))
     )
     text = F.coalesce(F.when(F.col("kind") == "missing", F.col("other_description")).otherwise(F.col("description")), F.lit(""))
     rank = F.when(F.col("kind") == "only", 0).when(F.col("kind") == "missing", 1).otherwise(2)
@@ -161,6 +164,6 @@ def report(junctions: DataFrame, found: DataFrame, genes: DataFrame) -> DataFram
     counted = junctions.join(junctions.groupBy("cluster").agg(F.count("*").alias("size")), "cluster")
     return counted.join(per, "ord", "left").join(gene_names(junctions, genes), "cluster", "left").select(
         "ord", "cluster", "gene_name", "junction_name", F.col("gene_raw").alias("gene_id"), "start", "end",
-        F.when(F.col("size") == 1, F.lit("Nothing to compare")).otherwise(F.coalesce("results", F.lit(""))).alias("comparison_results"),
-        F.when(F.col("size") == 1, F.lit("no description")).otherwise(F.coalesce("descriptions", F.lit(""))).alias("domain_descriptions"),
+        F.when(F.col("size") == 1, F.lit(ALONE)).otherwise(F.coalesce("results", F.lit(""))).alias("comparison_results"),
+        F.when(F.col("size") == 1, F.lit(NO_DESCRIPTION)).otherwise(F.coalesce("descriptions", F.lit(""))).alias("domain_descriptions"),
     )

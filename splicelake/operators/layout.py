@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import LABEL_COLUMNS, STRIPS, ascii_lower, domain_label, palette, present
+from .joins import GENOME_BIN, overlap_join
+from .numbering import numbered
+
+# Lanes and label footprints, brackets, and the least widths of shapes.
+LANE_START, LABEL_WIDTH, LETTER_WIDTH, LABEL_GAP, LABEL_GAP_SHARE = -1e12, 0.25, 2.2, 3.0, 0.004
+BRACKET_BASE, BRACKET_GAP, BRACKET_STEP, BRACKET_TOP = 0.65, 0.10, 0.08, 0.95
+SHAPE_LEAST, SHAPE_SHARE = 8.0, 0.02
 
 
 def gene_by_symbol(genes: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -106,7 +116,7 @@ def domain_shapes(domains: DataFrame, hits: DataFrame, colors: DataFrame, axis:
     z = F.row_number().over(Window.partitionBy("tx").orderBy(F.desc("AA_end"), "position")) - 1
     on = hits.join(colors, ["tx", "segment"], "left").groupBy("tx", "domain").agg(F.count("*").alias("n"), F.min("color").alias("own"))
     d = domains.withColumn("z", z.cast("bigint")).withColumnRenamed("position", "domain").join(axis, "tx").join(on, ["tx", "domain"], "left")
-    width = F.greatest((F.col("AA_end") - F.col("AA_start")).cast("double"), F.lit(8.0), F.col("axis_max") * F.lit(0.02))
+    width = F.greatest((F.col("AA_end") - F.col("AA_start")).cast("double"), F.lit(SHAPE_LEAST), F.col("axis_max") * F.lit(SHAPE_SHARE))
     n = F.coalesce("n", F.lit(0))
     return d.select(
         "tx", "domain", "z", ((F.col("AA_start") + F.col("AA_end")) / F.lit(2.0)).alias("center"), width.alias("width"),
@@ -137,41 +147,45 @@ def islands(domains: DataFrame) -> DataFrame:
 def label_lanes(items: DataFrame, lanes: int = 4) -> DataFrame:
     """key, center, text, lane: greedy first fit, from left to right; `items`: key, center, width, text, axis_max.
 
-    A label takes the first lane that is free at its left edge, or the one that ends first. The state is one array
-    of lane ends, folded over the labels of a key; a key's labels are as many as its domains.
+    A label takes the first lane that is free at its left edge, or the one that ends first. Rows come to a task by key
+    and in order; the lanes' ends are all that it keeps, so a key may have any number of labels.
     """
-    half = lambda x: F.greatest(x["width"] * F.lit(0.25), F.length(x["text"]) * F.lit(2.2))
-    gap = lambda x: F.greatest(F.lit(3.0), x["axis_max"] * F.lit(0.004))
-
-    def place(state, x):
-        ends = state["ends"]
-        free = F.filter(F.sequence(F.lit(0), F.lit(lanes - 1)), lambda k: F.get(ends, k) <= x["center"] - half(x))
-        lane = F.coalesce(F.get(free, F.lit(0)), (F.array_position(ends, F.array_min(ends)) - 1).cast("int"))
-        after = F.transform(ends, lambda e, k: F.when(k == lane, x["center"] + half(x) + gap(x)).otherwise(e))
-        put = F.struct(x["center"].alias("center"), x["text"].alias("text"), lane.alias("lane"))
-        return F.struct(after.alias("ends"), F.concat(state["placed"], F.array(put)).alias("placed"))
-
-    start = F.struct(F.array(*[F.lit(-1e12)] * lanes).alias("ends"), F.array().cast("array<struct<center:double,text:string,lane:int>>").alias("placed"))
-    ordered = items.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("center", "text", "width", "axis_max"))).alias("all"))
-    return ordered.select("key", F.explode(F.aggregate("all", start, place, lambda s: s["placed"])).alias("p")).select("key", "p.*")
+    kept = items.select("key", "center", "text", "width", "axis_max")
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ends = None, []
+        for b in batches:
+            taken = []
+            for name, center, text, width, axis in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if not ends or name != key:
+                    key, ends = name, [LANE_START] * lanes
+                half = max(width * LABEL_WIDTH, len(text) * LETTER_WIDTH)
+                free = [k for k, end in enumerate(ends) if end <= center - half]
+                lane = free[0] if free else ends.index(min(ends))
+                ends[lane] = center + half + max(LABEL_GAP, axis * LABEL_GAP_SHARE)
+                taken.append(lane)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(taken, pa.int32())], names=["key", "center", "text", "lane"])
+
+    kind = kept.schema["key"].dataType.simpleString()
+    ordered = kept.repartition("key").sortWithinPartitions("key", "center", "text", "width", "axis_max")
+    return ordered.mapInArrow(place, f"key {kind}, center double, text string, lane int")
 
 
 def junction_display(junctions: DataFrame) -> DataFrame:
     """cluster, ord, idx (from 1, in input order), color."""
-    idx = F.row_number().over(Window.partitionBy("cluster").orderBy("ord")).cast("bigint")
-    return junctions.select("cluster", "ord", idx.alias("idx")).withColumn("color", palette(F.col("idx") - 1))
+    return numbered(junctions.select("cluster", "ord"), ["cluster"], ["ord"], "idx").withColumn("color", palette(F.col("idx") - 1))
 
 
-def matching_junctions(junctions: DataFrame, exons: DataFrame) -> DataFrame:
+def matching_junctions(junctions: DataFrame, exons: DataFrame, bin_width: int = GENOME_BIN) -> DataFrame:
     """ord, cluster, tx, left, right: junctions between exon boundaries with no whole exon between, or with an end inside an exon.
 
-    `exons`: gene, tx, gs, ge.
+    `exons`: gene, tx, gs, ge. Junctions meet the transcripts of the gene in their column `gene`.
     """
-    e = exons.select(F.col("gene").alias("e_gene"), "tx", F.least("gs", "ge").alias("es"), F.greatest("gs", "ge").alias("ee"))
+    e = exons.select("gene", "tx", F.least("gs", "ge").alias("es"), F.greatest("gs", "ge").alias("ee"))
     j = junctions.filter("start is not null and end is not null").select("ord", "cluster", "gene", F.least("start", "end").alias("left"), F.greatest("start", "end").alias("right"))
     inside = lambda p: (F.col("es") < F.col(p)) & (F.col(p) < F.col("ee"))
-    near = (F.col("es") <= F.col("right")) & (F.col("ee") >= F.col("left"))  # no other exon can bear on it
-    seen = j.join(e, (F.col("gene") == F.col("e_gene")) & near).groupBy("ord", "cluster", "tx", "left", "right").agg(
+    near = overlap_join(j, e, ["gene"], ("left", "right", "es", "ee"), bin_width)  # no other exon can bear on it
+    seen = near.groupBy("ord", "cluster", "tx", "left", "right").agg(
         F.bool_or(F.col("ee") == F.col("left")).alias("ends"), F.bool_or(F.col("es") == F.col("right")).alias("starts"),
         F.bool_or((F.col("es") > F.col("left")) & (F.col("ee") < F.col("right"))).alias("whole"), F.bool_or(inside("left") | inside("right")).alias("inside"),
     )
@@ -180,17 +194,18 @@ def matching_junctions(junctions: DataFrame, exons: DataFrame) -> DataFrame:
 
 def junction_table(report: DataFrame) -> DataFrame:
     """The first page's table, all text and nulls empty: a cluster's junctions numbered from 1, and that number's colour."""
-    idx = F.row_number().over(Window.partitionBy("cluster").orderBy("ord"))
     shown = ["junction_name", "gene_id", "start", "end", "comparison_results", "domain_descriptions", "cluster", "gene_name"]
     text = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in shown]
-    return report.select("ord", idx.cast("string").alias("idx"), *text, palette(idx - 1).cast("bigint").alias("color"))
+    rows = numbered(report.select("ord", *shown), ["cluster"], ["ord"], "idx")
+    return rows.select("ord", F.col("idx").cast("string").alias("idx"), *text, palette(F.col("idx") - 1).cast("bigint").alias("color"))
 
 
-def junction_brackets(matches: DataFrame, base: float = 0.65) -> DataFrame:
-    """`matches` (ord, cluster, tx, left, right) with idx and the bracket's top, stacked in each cluster and transcript."""
-    w = Window.partitionBy("cluster", "tx").orderBy("left", "right", "ord")
-    k = F.row_number().over(w).cast("bigint")
-    return matches.withColumn("idx", k).withColumn("top", F.least(F.lit(0.95), F.lit(base + 0.10) + (F.col("idx") - 1) * F.lit(0.08)))
+def junction_brackets(matches: DataFrame, display: DataFrame, base: float = BRACKET_BASE) -> DataFrame:
+    """`matches` (ord, cluster, tx, left, right) with the junction's idx and color (of `display`, as of
+    `junction_display`), its slot (from 1, by left, right and number, in each cluster and transcript) and its top."""
+    rows = numbered(matches.join(display, ["cluster", "ord"]), ["cluster", "tx"], ["left", "right", "idx"], "slot")
+    top = F.least(F.lit(BRACKET_TOP), F.lit(base + BRACKET_GAP) + (F.col("slot") - 1) * F.lit(BRACKET_STEP))
+    return rows.withColumn("top", top)
 
 
 def exon_parts(exons: DataFrame, transcripts: DataFrame) -> DataFrame:
@@ -232,7 +247,7 @@ def domain_strips(hits: DataFrame, axis: DataFrame, height: float = 0.25, strips
     `hits` as of `domain_segments`; `axis`: tx, axis_max. A strip has the first segment that holds its centre, or the first of all.
     """
     several = hits.groupBy("tx", "domain", "AA_start", "AA_end").agg(F.array_sort(F.collect_list(F.struct("segment", "start_aa", "end_aa"))).alias("on")).filter(F.size("on") > 1)
-    width = F.greatest((F.col("AA_end") - F.col("AA_start")).cast("double"), F.greatest(F.lit(8.0), F.col("axis_max") * F.lit(0.02)))
+    width = F.greatest((F.col("AA_end") - F.col("AA_start")).cast("double"), F.greatest(F.lit(SHAPE_LEAST), F.col("axis_max") * F.lit(SHAPE_SHARE)))
     d = several.join(axis, "tx").withColumn("width", width).withColumn("strip", F.explode(F.sequence(F.lit(0), F.lit(strips - 1))))
     d = d.withColumn("center", F.col("AA_start") + (F.col("strip") + F.lit(0.5)) * (F.col("width") / F.lit(float(strips))))
     x = (F.col("center") - (F.col("AA_start") + F.col("AA_end")) / F.lit(2.0)) / (F.col("width") / F.lit(2.0))

@@ -4,49 +4,71 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..operators import core
+from ..sources.files import read_database, read_junction_sheet, write_report
 from ..sources.stored import stored
+from ..sources.tables import checked
+from .gene_layout import GeneLayout, overlay
 
 
 class Stages:
     """The steps of a run, made when asked for. Those that several later steps read (`domains`, `exons`, `usable`,
-    `kept`, `found`) are written once to the shared folder; the others are lazy."""
+    `kept`, `found`) are written once to the shared folder; the others are lazy.
+
+    `counts` has the rows of each step that a written one has come by so far, for a run's progress: they are observed
+    while it is written, so that nothing is scanned for them."""
 
     def __init__(self, tables: dict[str, DataFrame], normalize_gene_id: bool, null_name_literal: str | None, on_error: str) -> None:
         self.tables, self.normalize_gene_id, self.null_name_literal, self.on_error = tables, normalize_gene_id, null_name_literal, on_error
+        self.counts: dict[str, int] = {}
+        self._seen: dict[str, Observation] = {}
+
+    def _observed(self, df: DataFrame, name: str) -> DataFrame:
+        self._seen[name] = Observation(name)
+        return df.observe(self._seen[name], F.count(F.lit(1)).alias("rows"))
+
+    def _stored(self, df: DataFrame, name: str, *through: str) -> DataFrame:
+        out = stored(self._observed(df, name), name)
+        for n in (*through, name):
+            try:
+                self.counts[n] = self._seen[n].get["rows"]
+            except Py4JJavaError:  # a plan known to be empty is cut short, and observes nothing
+                self.counts[n] = 0
+        return out
 
     @cached_property
     def junctions(self) -> DataFrame:
-        return core.parse_junctions(self.tables["junctions"], self.on_error)
+        return self._observed(core.parse_junctions(self.tables["junctions"], self.on_error), "junctions")
 
     @cached_property
     def domains(self) -> DataFrame:
         t = self.tables
-        return stored(core.transcript_domains(t["transcripts"], t["proteins"], t["domain_event"], t["domain_type"]), "domains")
+        return self._stored(core.transcript_domains(t["transcripts"], t["proteins"], t["domain_event"], t["domain_type"]), "domains")
 
     @cached_property
     def exons(self) -> DataFrame:
-        return stored(core.exon_ranges(self.tables["transcript_exon"], self.domains), "exons")
+        return self._stored(core.exon_ranges(self.tables["transcript_exon"], self.domains), "exons")
 
     @cached_property
     def usable(self) -> DataFrame:
-        return stored(core.usable(self.junctions, self.domains), "usable")
+        return self._stored(core.usable(self.junctions, self.domains), "usable", "junctions")
 
     @cached_property
     def ranges(self) -> DataFrame:
-        return core.nonskipping_aa_ranges(self.usable, self.exons)
+        return self._observed(core.nonskipping_aa_ranges(self.usable, self.exons), "ranges")
 
     @cached_property
     def kept(self) -> DataFrame:
         relevant = core.relevant_domains(self.usable, self.ranges, self.domains, self.normalize_gene_id)
-        return stored(core.longest_per_name(relevant, null_name_literal=self.null_name_literal), "kept")
+        return self._stored(core.longest_per_name(relevant, null_name_literal=self.null_name_literal), "kept", "ranges")
 
     @cached_property
     def found(self) -> DataFrame:
-        return stored(core.verdicts(self.usable, self.kept), "found")
+        return self._stored(core.verdicts(self.usable, self.kept), "found")
 
     @cached_property
     def report(self) -> DataFrame:
@@ -67,18 +89,17 @@ def cluster_report(tables: dict[str, DataFrame], **options) -> DataFrame:
     return stages(tables, **options).report
 
 
-def report_of_files(spark, sheet: str, database: str, output_csv: str, gene_ids: str | None = None, **options) -> dict[str, DataFrame] | None:
-    """A workbook of junctions and an SQLite database in, the report as CSV out. With `gene_ids` (comma-separated) the
-    layout tables of their clusters come back, written after the report; else None."""
-    from ..sources.files import read_database, read_junction_sheet, write_report
-    from ..sources.tables import checked
-    from .gene_layout import gene_layout
-
+def report_of_files(spark, sheet: str, database: str, output_csv: str, gene_ids: str | None = None, **options) -> GeneLayout | None:
+    """A workbook of junctions and an SQLite database in, the report as one CSV file out. With `gene_ids`
+    (comma-separated) the overlay of their clusters comes back, after the report is written; else None."""
     tables = read_database(spark, database) | {"junctions": read_junction_sheet(spark, sheet)}
     tables = {n: checked(df, n) for n, df in tables.items()}
-    report = stages(tables, **options).report
+    run = stages(tables, **options)
+    report = stored(run.report, "report")
     write_report(report, output_csv)
-    return None if gene_ids is None else gene_layout(tables, protein_only=True, domains_only=True, report=requested(report, gene_ids))
+    for name, n in run.counts.items():
+        print(f"{name}: {n:,} rows")
+    return None if gene_ids is None else overlay(tables, requested(report, gene_ids))
 
 
 def requested(report: DataFrame, gene_ids: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 
 from .functions import scalars
 from .operators import core, layout
-from .plans.gene_layout import gene_layout
+from .plans.gene_layout import gene_layout, overlay
+from .plans.page_documents import page_documents
 from .plans.report import requested, stages
 from .sources.tables import VIEWS, stand_ins
 
@@ -222,13 +224,13 @@ def _(t):
     return layout.protein_domains(t["domain_event"], t["domain_type"])
 
 
-@_query(
-    "exon_color_index",
-    _sql(
-        f"select gene_ensembl_id, gs, ge, (row_number() over (partition by gene_ensembl_id order by p, q) - 1) % 48 as color from "
-        f"(select gene_ensembl_id, gs, ge, min(o.position) as p, arg_min(x.position, o.position * 100000 + x.position) as q from ({_XO}) x join ({_TO}) o on o.tx = x.tx group by 1, 2, 3)"
-    ),
+_EC = (
+    f"select gene_ensembl_id, gs, ge, (row_number() over (partition by gene_ensembl_id order by p, q) - 1) % 48 as color from "
+    f"(select gene_ensembl_id, gs, ge, min(o.position) as p, arg_min(x.position, o.position * 100000 + x.position) as q from ({_XO}) x join ({_TO}) o on o.tx = x.tx group by 1, 2, 3)"
 )
+
+
+@_query("exon_color_index", _sql(_EC))
 def _(t):
     return layout.exon_colors(t["transcript_exon"], t["transcripts"])
 
@@ -294,12 +296,15 @@ def _(t):
     return _matching(t)
 
 
-@_query(
-    "junction_brackets",
-    _sql(f'select ord, cluster, tx, "left", "right", idx, round(least(0.95, 0.75 + (idx - 1) * 0.08::double), 6) as top from (select *, row_number() over (partition by cluster, tx order by "left", "right", ord) as idx from ({_MJ}))', "j"),
-)
+_JD = "select cluster, ord, row_number() over (partition by cluster order by ord) as idx, (row_number() over (partition by cluster order by ord) - 1) % 48 as color from {}"
+_BR = """select ord, cluster, tx, "left", "right", idx, color, slot, round(least(0.95, 0.75 + (slot - 1) * 0.08::double), 6) as top from
+ (select m.*, idx, color, row_number() over (partition by m.cluster, tx order by "left", "right", idx) as slot from ({}) m join ({}) jd on jd.cluster = m.cluster and jd.ord = m.ord)"""
+
+
+@_query("junction_brackets", _sql(_BR.format(_MJ, _JD.format("j")), "j"))
 def _(t):
-    return layout.junction_brackets(_matching(t)).select("ord", "cluster", "tx", "left", "right", "idx", *_r("top"))
+    drawn = layout.junction_brackets(_matching(t), layout.junction_display(core.parse_junctions(t["junctions"])))
+    return drawn.select("ord", "cluster", "tx", "left", "right", "idx", "color", "slot", *_r("top"))
 
 
 _EP = """select tx, part, cast(s as bigint) as "start", cast(e as bigint) as "end" from (
@@ -385,10 +390,6 @@ def _(t):
     return placed.select("key", *_r("center"), "text", F.col("lane").cast("bigint").alias("lane"))
 
 
-_EC = (
-    f"select gene_ensembl_id, gs, ge, (row_number() over (partition by gene_ensembl_id order by p, q) - 1) % 48 as color from "
-    f"(select gene_ensembl_id, gs, ge, min(o.position) as p, arg_min(x.position, o.position * 100000 + x.position) as q from ({_XO}) x join ({_TO}) o on o.tx = x.tx group by 1, 2, 3)"
-)
 _SHAPES = """select d.tx, d.domain, z, (AA_start + AA_end) / 2.0::double as center, round(greatest(cast(AA_end - AA_start as double), 8.0::double, axis_max * 0.02::double), 6) as width,
  case when n is null then 'fallback' when n = 1 then 'solid' else 'strips' end as fill, case when n is null then z % 48 when n = 1 then own end as color from
  (select td.*, td.position as domain, row_number() over (partition by td.tx order by AA_end desc, td.position) - 1 as z from td) d
@@ -517,19 +518,118 @@ def _(t):
     return gene_layout(t, "customer#000000007", protein_only=True, domains_only=True)["pages"]
 
 
-_OVERLAY = _MJ.replace("from j)", f"from u where cluster in (select cluster from u group by cluster having split_part(arg_min(gene_raw, ord), ':', 1) in {_SOME}))").replace(
-    "t.transcript_ensembl_id = e.transcript_ensembl_id) w", "t.transcript_ensembl_id = e.transcript_ensembl_id where t.transcript_ensembl_id in (select transcript_ensembl_id from dr)) w"
+#: The layout of drawn transcripts alone: their axes, segments, hits and colours.
+_DRAWN = lambda q: re.sub(r"\btranscripts t\b", "dr t", q)
+_LAYOUT_CTES = f"""{_PD_CTE}, {_DR_CTE}, {_PG_CTE}, cs as (select c.* from ({_CS}) c join dr on dr.transcript_ensembl_id = c.tx), {_DRAWN(_TD_CTE)}, {_DRAWN(_AX)},
+ ds as ({_DS}), ec as (select * from ({_EC}) where gene_ensembl_id in (select gene_ensembl_id from genes))"""
+_CAPTION = f"'Transcript: ' || transcript_ensembl_id || '  |  Protein: ' || case when {_P('protein_ensembl_id')} then protein_ensembl_id else 'N/A' end as caption"
+
+
+def _layout(t):
+    return gene_layout(t, protein_only=True, domains_only=True)
+
+
+@_query("layout_transcripts", _sql(f"select pg.gene_ensembl_id, transcript_ensembl_id as tx, page, slot, {_CAPTION}, round(axis_max, 6) as axis_max from pg join ax on ax.gene_ensembl_id = pg.gene_ensembl_id", more=_LAYOUT_CTES))
+def _(t):
+    return _layout(t)["transcripts"].select("gene_ensembl_id", "tx", "page", "slot", "caption", *_r("axis_max"))
+
+
+@_query("layout_exon_parts", _sql(_EP, more=f"{_PD_CTE}, {_DR_CTE}, {_DRAWN(_EP_CTE)}"))
+def _(t):
+    return _layout(t)["exon_parts"]
+
+
+@_query("layout_exon_colors", _sql("select * from ec", more=_LAYOUT_CTES))
+def _(t):
+    return _layout(t)["exon_colors"]
+
+
+_BACKBONE = """select cs.tx, position, round(greatest(0.0, start_aa), 6) as start_aa, round(least(end_aa, least(axis_max, coalesce(protein_length, axis_max))), 6) as end_aa
+ from cs join transcripts t on t.transcript_ensembl_id = cs.tx join ax on ax.gene_ensembl_id = t.gene_ensembl_id where least(end_aa, least(axis_max, coalesce(protein_length, axis_max))) > greatest(0.0, start_aa)"""
+
+
+@_query("layout_backbone", _sql(_DRAWN(_BACKBONE), more=_LAYOUT_CTES))
+def _(t):
+    return _layout(t)["backbone"].select("tx", "position", *_r("start_aa", "end_aa"))
+
+
+@_query("layout_shapes", _sql(_DRAWN(_SHAPES), more=_LAYOUT_CTES))
+def _(t):
+    return _layout(t)["shapes"].select("tx", "domain", "z", "center", *_r("width"), "fill", "color")
+
+
+@_query("layout_strips", _sql(_DRAWN(_ST), more=_LAYOUT_CTES))
+def _(t):
+    return _layout(t)["strips"].select("tx", "domain", "strip", *_r("center"), F.round("strip_height", 4).alias("strip_height"), "segment")
+
+
+@_query(
+    "layout_labels",
+    _sql("select key, round(center, 6) as center, text, lane - 1 as lane from lanes where k > 0", more=f"{_LAYOUT_CTES}, {_DRAWN(_PT_CTE)}, {_DRAWN(_IT_CTE)}, {_LANES_CTE}").replace("with ", "with recursive ", 1),
 )
+def _(t):
+    return _layout(t)["labels"].select("key", *_r("center"), "text", F.col("lane").cast("bigint").alias("lane"))
+
+
+_KINDS = {"exon": "n_exon_parts", "segment": "n_segments", "strip": "n_strips", "domain": "n_domains", "transcript": "n_transcripts"}
+
+
+def _elements():
+    """How many elements of each kind a document has."""
+    return [F.regexp_count("svg", F.lit(f'class="{kind}"')).cast("bigint").alias(name) for kind, name in _KINDS.items()]
+
+
+_COUNTED = {
+    "n_exon_parts": f"select tx, count(*) as n from (select distinct * from ({_EP})) group by tx", "n_segments": f"select tx, count(*) as n from ({_DRAWN(_BACKBONE)}) group by tx",
+    "n_strips": f"select tx, count(*) as n from ({_DRAWN(_ST)}) group by tx", "n_domains": "select tx, count(*) as n from td group by tx", "n_transcripts": "select transcript_ensembl_id as tx, 1 as n from dr",
+}
 
 
 @_query(
-    "overlay_brackets",
-    _sql(f'select ord, cluster, tx, "left", "right", idx, round(least(0.95, 0.75 + (idx - 1) * 0.08::double), 6) as top from (select *, row_number() over (partition by cluster, tx order by "left", "right", ord) as idx from ({_OVERLAY}))', "f", f"{_PD_CTE}, {_DR_CTE}"),
+    "page_documents",
+    _sql(
+        f"select pg.gene_ensembl_id, page, {', '.join(f'cast(sum(coalesce({name}.n, 0)) as bigint) as {name}' for name in _COUNTED)} from pg "
+        + " ".join(f"left join ({q}) {name} on {name}.tx = pg.transcript_ensembl_id" for name, q in _COUNTED.items())
+        + " group by 1, 2",
+        more=f"{_LAYOUT_CTES}, {_DRAWN(_EP_CTE)}",
+    ),
 )
 def _(t):
-    report = requested(stages(t).report, "G7, G17,G27.2 ,G12,G13,G101")
-    drawn = gene_layout(t, protein_only=True, domains_only=True, report=report)["brackets"]
-    return drawn.select("ord", "cluster", "tx", "left", "right", "idx", *_r("top"))
+    return page_documents(_layout(t)).select("gene_ensembl_id", "page", *_elements())
+
+
+_ASKED = "G7, G17,G27.2 ,G12,G13,G101"
+_FIRST = "(select cluster, split_part(arg_min(gene_raw, ord), ':', 1) as g from u group by cluster)"
+#: Clusters that are drawn, and the gene that their first junction's gene has by its symbol.
+_OV_CTES = f"""{_PD_CTE}, ov as (select c.cluster, s.gene_ensembl_id from {_FIRST} c join genes g on g.gene_ensembl_id = c.g
+ join (select lower(gene_symbol) as k, min(gene_ensembl_id) as gene_ensembl_id from genes group by 1) s on s.k = lower(g.gene_symbol) where c.g in {_SOME}), {_DR_CTE}, {_PG_CTE}"""
+_OVERLAY = (
+    _MJ.replace("select ord, cluster, gene, least", "select ord, u.cluster, ov.gene_ensembl_id as gene, least").replace("from j)", "from u join ov on ov.cluster = u.cluster)").replace("transcripts t on", "dr t on")
+)
+
+
+def _overlay(t):
+    return overlay(t, requested(stages(t).report, _ASKED))
+
+
+@_query("overlay_brackets", _sql(_BR.format(_OVERLAY, _JD.format("u")), "f", _OV_CTES))
+def _(t):
+    return _overlay(t)["brackets"].select("ord", "cluster", "tx", "left", "right", "idx", "color", "slot", *_r("top"))
+
+
+@_query("overlay_drawings", _sql("select * from ov", "u", _OV_CTES))
+def _(t):
+    return _overlay(t)["drawings"]
+
+
+@_query("overlay_pages", _sql(_TITLES.replace(" || '  |  clu_' || g.gene_ensembl_id", "") + " where g.gene_ensembl_id in (select gene_ensembl_id from ov)", "u", _OV_CTES))
+def _(t):
+    return _overlay(t)["pages"]
+
+
+@_query("overlay_junction_table", _sql(_JT.replace(f"from ({_REPORT})", f"from ({_REPORT}) where cluster in (select cluster from ov)"), "f", _OV_CTES))
+def _(t):
+    return _overlay(t)["junction_table"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

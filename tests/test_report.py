@@ -1,5 +1,6 @@
 """The micro-fixture with its expected report, quirks one by one, and properties of the report."""
 
+import os
 import random
 import sqlite3
 import zipfile
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from splicelake.functions import scalars
 from splicelake.operators import core, layout
 from splicelake.__main__ import parser
-from splicelake.plans.gene_layout import find_gene, gene_layout
+from splicelake.plans.gene_layout import find_gene, gene_layout, overlay
 from splicelake.plans.report import cluster_report, report_of_files, requested, stages
 from splicelake.sources.files import DATABASE_TABLES, SHEET_COLUMNS, SQLiteSource, read_xlsx, write_single_csv
 from splicelake.sources.tables import SCHEMAS, checked, stand_ins
@@ -144,14 +145,14 @@ def test_lanes(spark):
 
 
 def lanes_brute(items, lanes=4):
-    ends, out = [-1e12] * lanes, []
+    """By the rule: a label goes to the lowest lane all of whose labels so far end left of it, else to the lane that ends first."""
+    placed = []
     for center, text, width, axis in sorted(items):
-        half = max(width * 0.25, len(text) * 2.2)
-        lane = next((k for k in range(lanes) if center - half >= ends[k]), None)
-        lane = ends.index(min(ends)) if lane is None else lane
-        ends[lane] = center + half + max(3.0, axis * 0.004)
-        out.append(lane)
-    return out
+        half = max(width / 4, 2.2 * len(text))
+        end_of = [max((e for l, e in placed if l == k), default=-1e12) for k in range(lanes)]
+        fits = [k for k in range(lanes) if end_of[k] <= center - half]
+        placed.append((fits[0] if fits else min(range(lanes), key=lambda k: (end_of[k], k)), center + half + max(3.0, axis / 250)))
+    return [lane for lane, _ in placed]
 
 
 def test_lanes_brute(spark):
@@ -205,7 +206,7 @@ def test_sources_and_sink(spark, tmp_path):
     out = str(tmp_path / "out")
     write_single_csv(cluster_report(make(spark)).orderBy("cluster", "ord"), out)
     back = spark.read.option("header", True).option("escape", '"').csv(out)
-    assert back.count() == 6 and back.columns[0] == "ord"
+    assert os.path.isfile(out) and back.count() == 6 and back.columns[0] == "ord"
     with pytest.raises(ValueError, match="lacks"):
         checked(df, "genes")
 
@@ -230,7 +231,7 @@ def test_files_to_report(spark, tmp_path):
     out = str(tmp_path / "out")
     drawn = report_of_files(spark, str(book), db, out, "G1")
     back = spark.read.option("header", True).option("escape", '"').csv(out)
-    assert back.columns == ["cluster", "gene_name", "junction_name", "gene_id", "start", "end", "comparison_results", "domain_descriptions"]
+    assert os.path.isfile(out) and {"a.sqlite", "b.xlsx", "out"} == {x for x in os.listdir(tmp_path) if not x.endswith(".crc")} and back.columns == ["cluster", "gene_name", "junction_name", "gene_id", "start", "end", "comparison_results", "domain_descriptions"]
     assert [r["comparison_results"] for r in back.collect()][:2] == ["Longer SH3, 21 vs 9", "Shorter SH3, 9 vs 21"]
     assert [r["idx"] for r in drawn["junction_table"].filter("cluster = 'c1'").orderBy("ord").collect()] == ["1", "2", "3"]
     assert {r["tx"] for r in drawn["transcripts"].collect()} == {"T1", "T2"} and drawn["brackets"].count() > 0
