@@ -70,7 +70,7 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
-        "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"
+        "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "marginal"
     )
 
 

@@ -662,6 +662,21 @@ def test_secrets(docs, texts):
         assert [x for x in got[d]["spans"].split(",") if x and not x.startswith("novel:")] == line
 
 
+def test_marginal_bytes_of_all_spans(docs, texts):
+    """Each span of the fixed patterns is measured too: random values add more than words in their place."""
+    found = {r["doc_id"]: r for r in secrets.find(docs).collect()}
+    novelty = secrets.Novelty()
+    for i, r in found.items():
+        spans = [x.split(":") for x in r["spans"].split(",") if x]
+        assert len(spans) == len(r["marginal"])
+        for (kind, s, e), got in zip(spans, r["marginal"], strict=True):
+            start, end = secrets.value_of(texts[i], (int(s), secrets.KINDS.index(kind), int(e)))
+            assert got == round(novelty.ratio(texts[i], start, end), 3)
+    key, word = "token = 9fQz7LmX2vKt8RbW", "token = connection_string_value"
+    rates = [secrets.marginals(t, secrets.base_spans(t), novelty) for t in (key, word)]
+    assert len(rates[0]) == len(rates[1]) == 1 and rates[0][0] > 0.7 > rates[1][0]
+
+
 def test_novelty():
     found = secrets.find_novel = secrets.novel_spans
     text = ODD[10]
