@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import ascii_lower
 from ..operators import layout
 from ..sources.stored import stored
 
@@ -17,10 +19,15 @@ LITERALS = 1000
 
 def find_gene(genes: DataFrame, name: str) -> DataFrame:
     """The gene of that symbol (without the case of A-Z, the first by id), its `gene_symbol` as asked for; an error if there is none."""
-    found = layout.gene_by_symbol(genes, genes.sparkSession.createDataFrame([(name,)], "symbol string")).first()
+    found = gene_id(genes, name)
+    return genes.filter(F.col("gene_ensembl_id") == found).withColumn("gene_symbol", F.lit(name))
+
+
+def gene_id(genes: DataFrame, name: str) -> str:
+    found = genes.filter(ascii_lower(F.col("gene_symbol")) == ascii_lower(F.lit(name))).agg(F.min("gene_ensembl_id")).first()[0]
     if found is None:
         raise ValueError(f"gene {name!r} isn't in the table of genes")
-    return genes.filter(F.col("gene_ensembl_id") == found["gene_ensembl_id"]).withColumn("gene_symbol", F.lit(name))
+    return found
 
 
 def few(keys: DataFrame, most: int = LITERALS) -> list | None:
@@ -41,7 +48,7 @@ class GeneLayout(Mapping):
     OVERLAY = ("drawings", "junction_table", "brackets")
 
     def __init__(
-        self, tables: dict[str, DataFrame], genes: DataFrame | None, protein_only: bool, domains_only: bool, report: DataFrame | None, drawings: DataFrame | None, clusters: DataFrame | None, per_page: int
+        self, tables: Mapping[str, DataFrame], genes: DataFrame | None, protein_only: bool, domains_only: bool, report: DataFrame | None, drawings: DataFrame | None, clusters: DataFrame | None, per_page: int
     ) -> None:
         self.tables, self.chosen, self.protein_only, self.domains_only = tables, genes, protein_only, domains_only
         self.report, self.drawings, self.clusters, self.per_page = report, drawings, clusters, per_page
@@ -63,13 +70,13 @@ class GeneLayout(Mapping):
 
     # Steps, each written once.
 
-    @cached_property
+    @property
     def genes(self) -> DataFrame:
-        return self.tables["genes"] if self.chosen is None else stored(self.chosen, "layout-genes")
+        return self.tables["genes"] if self.chosen is None else self.chosen
 
     @cached_property
     def gene_ids(self) -> list | None:
-        return None if self.chosen is None else few(self.genes.select("gene_ensembl_id"))
+        return None if self.chosen is None else few(self.chosen.select("gene_ensembl_id"))
 
     def _of_genes(self, name: str) -> DataFrame:
         """A table by its own column of genes."""
@@ -111,6 +118,10 @@ class GeneLayout(Mapping):
 
     @cached_property
     def drawn(self) -> DataFrame:
+        with ThreadPoolExecutor(2) as pool:  # neither needs the other
+            self.transcripts  # noqa: B018  both need it: written first
+            for step in [pool.submit(getattr, self, name) for name in ("exons", "domains")]:
+                step.result()
         flags = layout.transcript_flags(self.transcripts, self.exons, self.proteins, self.domains)
         return stored(layout.drawn_transcripts(self.transcripts, flags, self.protein_only, self.domains_only), "layout-drawn")
 
@@ -127,17 +138,17 @@ class GeneLayout(Mapping):
     def hits(self) -> DataFrame:
         return stored(layout.domain_segments(self._own, self.segments), "layout-hits")
 
-    @cached_property
+    @property
     def paged(self) -> DataFrame:
-        return stored(layout.pages(self.drawn, self.per_page), "layout-pages")
+        return layout.pages(self.drawn, self.per_page)
 
-    @cached_property
+    @property
     def extents(self) -> DataFrame:
-        return stored(layout.gene_extents(self.drawn), "layout-extents")
+        return layout.gene_extents(self.drawn)
 
-    @cached_property
+    @property
     def segment_colors(self) -> DataFrame:
-        return stored(layout.segment_colors(self.segments, self.drawn, self.exon_colors), "layout-segment-colors")
+        return layout.segment_colors(self.segments, self.drawn, self.exon_colors)
 
     @property
     def _of(self) -> DataFrame:
@@ -194,7 +205,7 @@ class GeneLayout(Mapping):
 
 
 def gene_layout(
-    tables: dict[str, DataFrame], gene: str | None = None, protein_only: bool = False, domains_only: bool = False, clusters: DataFrame | None = None, per_page: int = 4
+    tables: Mapping[str, DataFrame], gene: str | None = None, protein_only: bool = False, domains_only: bool = False, clusters: DataFrame | None = None, per_page: int = 4
 ) -> GeneLayout:
     """The layout of the gene of that symbol, or of all genes. Filters come before pages, extents and axes; a gene with
     no transcript left has no rows. `clusters`: gene_ensembl_id, cluster_name, for the titles."""
@@ -214,10 +225,10 @@ def drawn_genes(report: DataFrame, genes: DataFrame) -> DataFrame:
     return named.join(layout.gene_by_symbol(genes, named.select("symbol")), "symbol").select("cluster", "gene_ensembl_id")
 
 
-def overlay(tables: dict[str, DataFrame], report: DataFrame, per_page: int = 4) -> GeneLayout:
+def overlay(tables: Mapping[str, DataFrame], report: DataFrame, per_page: int = 4) -> GeneLayout:
     """The drawn genes of `report`'s clusters alone (transcripts with a protein and domains), with the junction table and
     brackets of each cluster, and drawings (cluster, gene_ensembl_id). A cluster without a drawing is in none of them."""
     drawings = stored(drawn_genes(report, tables["genes"]), "overlay-drawings")
-    genes = tables["genes"].join(drawings.select("gene_ensembl_id").distinct(), "gene_ensembl_id", "left_semi")
+    genes = stored(tables["genes"].join(drawings.select("gene_ensembl_id").distinct(), "gene_ensembl_id", "left_semi"), "overlay-genes")
     shown = stored(report.join(drawings.select("cluster"), "cluster", "left_semi"), "overlay-report")
     return GeneLayout(tables, genes, True, True, shown, drawings, None, per_page)

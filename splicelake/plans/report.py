@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import cached_property
 
 from py4j.protocol import Py4JJavaError
@@ -22,7 +23,7 @@ class Stages:
     `counts` has the rows of each step that a written one has come by so far, for a run's progress: they are observed
     while it is written, so that nothing is scanned for them."""
 
-    def __init__(self, tables: dict[str, DataFrame], normalize_gene_id: bool, null_name_literal: str | None, on_error: str) -> None:
+    def __init__(self, tables: Mapping[str, DataFrame], normalize_gene_id: bool, null_name_literal: str | None, on_error: str) -> None:
         self.tables, self.normalize_gene_id, self.null_name_literal, self.on_error = tables, normalize_gene_id, null_name_literal, on_error
         self.counts: dict[str, int] = {}
         self._seen: dict[str, Observation] = {}
@@ -81,11 +82,11 @@ class Stages:
         return self.usable.select("ord", "cluster").join(per, "ord", "left").select("ord", "cluster", F.coalesce("n", F.lit(0)).alias("n_transcripts"))
 
 
-def stages(tables: dict[str, DataFrame], normalize_gene_id: bool = False, null_name_literal: str | None = None, on_error: str = "fail") -> Stages:
+def stages(tables: Mapping[str, DataFrame], normalize_gene_id: bool = False, null_name_literal: str | None = None, on_error: str = "fail") -> Stages:
     return Stages(tables, normalize_gene_id, null_name_literal, on_error)
 
 
-def cluster_report(tables: dict[str, DataFrame], **options) -> DataFrame:
+def cluster_report(tables: Mapping[str, DataFrame], **options) -> DataFrame:
     return stages(tables, **options).report
 
 

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from .operators import core, layout
 from .plans.gene_layout import gene_layout, overlay
 from .plans.page_documents import page_documents
 from .plans.report import requested, stages
+from .sources.files import write_report
+from .sources.stored import shared_folder
 from .sources.tables import VIEWS, stand_ins
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,7 +68,7 @@ def _sql(body: str, upto: str = "", more: str = "") -> str:
 
 
 def _query(name: str, sql: str | None = None):
-    def keep(f: Callable[[dict[str, DataFrame]], DataFrame]):
+    def keep(f: Callable[[Mapping[str, DataFrame]], DataFrame]):
         _QUERIES[name] = lambda spark, sf_dir: f(stand_ins(spark, sf_dir))
         if sql:
             _SQL[name] = sql
@@ -632,6 +635,19 @@ def _(t):
     return _overlay(t)["junction_table"]
 
 
+_CSV = ["cluster", "gene_name", "junction_name", "gene_id", '"start"', '"end"', "comparison_results", "domain_descriptions"]
+
+
+@_query("report_csv", _sql(f"select {', '.join(f'coalesce(cast({c} as varchar), {chr(39) * 2}) as {c}' for c in _CSV)} from ({_REPORT})", "f"))
+def _(t):
+    """The report as one CSV file, read again: all text, nulls empty."""
+    spark, report = t.spark, stages(t).report
+    path = f"{shared_folder(spark)}/splicelake/report-{uuid.uuid4().hex}.csv"
+    write_report(report, path)
+    back = spark.read.options(header=True, escape='"', multiLine=True).csv(path)
+    return back.select(*[F.coalesce(c, F.lit("")).alias(c) for c in back.columns])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

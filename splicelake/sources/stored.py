@@ -29,4 +29,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def exists(written: DataFrame) -> bool:
+    """Whether the files of a table of `stored` are there still."""
+    spark = written.sparkSession
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(written._written)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator, Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .stored import exists, stored
+
 #: Columns that each table must have; further ones are let be.
 SCHEMAS = {
     "genes": "gene_ensembl_id string, gene_symbol string, specie string, chromosome string, strand string",
@@ -66,12 +71,39 @@ def read_tables(spark: SparkSession, folder: str, kind: str = "parquet", **optio
     return {n: checked(spark.read.format(kind).options(**options).load(f"{folder}/{n}{suffix}"), n) for n in SCHEMAS}
 
 
-def stand_ins(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The tables as `VIEWS` makes them from the driver's."""
-    for t in _RAW:
-        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-    out = {}
-    for name, sql in VIEWS.items():
-        out[name] = spark.sql(sql)
-        out[name].createOrReplaceTempView(name)
-    return {n: checked(out[n], n) for n in SCHEMAS}
+class StandIns(Mapping):
+    """The tables as `VIEWS` makes them from the driver's, each made and written when it is first asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(SCHEMAS)
+
+    def __len__(self) -> int:
+        return len(SCHEMAS)
+
+    def __or__(self, other: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        return {**self, **other}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _written or not exists(_written[key]):
+            _written[key] = stored(checked(self._made(name), name), f"stand-in-{name}")
+        return _written[key]
+
+    def _made(self, name: str) -> DataFrame:
+        sql = VIEWS[name]
+        asked = {n for n in (*_RAW, *VIEWS) if n != name and re.search(rf"\b(from|join) {n}\b", sql)}
+        made = {n: self[n] if n in SCHEMAS else self._made(n) if n in VIEWS else self.spark.read.parquet(f"{self.sf_dir}/{n}.parquet") for n in asked}
+        for n, df in made.items():  # after all of them are made: names are shared
+            df.createOrReplaceTempView(n)
+        return self.spark.sql(sql)
+
+
+#: What a session has written, by application, folder and name.
+_written: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def stand_ins(spark: SparkSession, sf_dir: str) -> StandIns:
+    return StandIns(spark, sf_dir)
