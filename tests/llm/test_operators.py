@@ -368,17 +368,14 @@ def test_toxicity(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in got.values())
 
 
-def test_toxicity_by_dense_cosine(spark):
-    """Every score against all cosines of the same vectors, learnt by the contract's fold."""
+def dense_scores(docs, labels, train):
+    """doc_id to score, from all cosines of the vectors learnt from `train` (doc_id to label)."""
     import numpy as np
 
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
-    train = {r["doc_id"]: r["toxic"] for r in labels.collect() if crc(r["doc_id"]) % 4 != 2}
-    got = by_id(queries.op5_toxicity(spark, "/root/testdata/sf0.01"))
     index, every = toxicity.learn(docs, labels.filter(F.col("doc_id").isin(list(train))))
     size = len(index.idf)
     rows = {r["doc_id"]: (list(r["terms"]), list(r["tf"])) for r in every.collect()}
+    train = {d: y for d, y in train.items() if d in rows}
     unit = {}
     for d, (t, tf) in rows.items():
         unit[d] = np.zeros(size)
@@ -394,14 +391,46 @@ def test_toxicity_by_dense_cosine(spark):
     m, n, pos = (np.array([f(k) for k in keys]) for f in (lambda k: unit[merged[k][0]], lambda k: merged[k][1], lambda k: merged[k][2]))
     rate = sum(train.values()) / len(train)
     bare = [train[d] for d in train if not rows[d][0]]
+    out = {}
     for d, (t, _) in rows.items():
         sims = m @ unit[d]
         top = [k for k in np.lexsort((np.arange(len(keys)), -np.round(sims, 12)))[: toxicity.K] if sims[k] > 1e-12]
         prior = toxicity.PRIOR
-        want = (sum(bare) + prior * rate) / (len(bare) + prior) if not t else (sims[top] @ pos[top] + prior * rate) / (sims[top] @ n[top] + prior) if top else rate
+        out[d] = (sum(bare) + prior * rate) / (len(bare) + prior) if not t else (sims[top] @ pos[top] + prior * rate) / (sims[top] @ n[top] + prior) if top else rate
+    return out
+
+
+def test_toxicity_by_dense_cosine(spark):
+    """Every score against all cosines of the same vectors, learnt by the contract's fold."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    train = {r["doc_id"]: r["toxic"] for r in labels.collect() if crc(r["doc_id"]) % 4 != 2}
+    got = by_id(queries.op5_toxicity(spark, "/root/testdata/sf0.01"))
+    for d, want in dense_scores(docs, labels, train).items():
         assert got[d]["score"] == pytest.approx(want, abs=1e-9) and got[d]["held_out"] == (crc(d) % 4 == 2)
 
 
+def test_toxicity_terms_by_brute_force(spark):
+    """The choice of terms by itself: presence in texts, gain over chance, and odds, from plain counts."""
+    rows = [(f"vile{'x' * (k % 3)} common {'filler' * (k % 2)} w{k}", 1) for k in range(20)] + [(f"common plain{k % 4} filler w{k + 50}", 0) for k in range(80)]
+    sample = spark.createDataFrame(rows, "text string, toxic int")
+    n, pos = Counter(), Counter()
+    for text, y in rows:
+        for t in toxicity.counted_terms(text):
+            n[t] += 1
+            pos[t] += y
+    total, toxic = len(rows), sum(y for _, y in rows)
+    rate = toxic / total
+    part = lambda a, b, q: a * math.log(a / b / q) if a else 0.0
+    gain = {t: part(pos[t], n[t], rate) + part(n[t] - pos[t], n[t], 1 - rate) for t in n if n[t] >= 3}
+    tenths = Counter(math.floor(g * 10) for g in gain.values())
+    bounds = [g / 10 for g in tenths if len(gain) * math.exp(-g / 10) <= toxicity.CHANCE * sum(c for x, c in tenths.items() if x >= g)]
+    # The least bound below which no tenth fails is the least one that holds.
+    odds = {t: (pos[t] + 0.5) / (n[t] - pos[t] + 0.5) * (1 - rate) / rate for t in gain}
+    want = sorted(t for t in gain if bounds and gain[t] >= min(bounds) and (odds[t] >= toxicity.ODDS or odds[t] <= 1 / toxicity.ODDS))
+    assert toxicity.choose_terms(sample) == want and "vile" in want and "common" not in want
+
+
 def test_toxicity_where_most_are_toxic(spark):
     """Two thirds of the labels are toxic; and a sample bound that leaves out examples changes nothing in kind."""
     import random
@@ -467,6 +496,39 @@ def test_quality(docs, texts):
         assert got[d]["base_failed"] == failed and not (failed and got[d]["kept"])
 
 
+def test_quality_kept_by_brute_force(spark):
+    """Every verdict at sf0.01, where groups are small enough for their sketches to be exact: fences from sorted values."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = by_id(quality.judge(docs))
+    over = lambda a, b: a / b if b else 0.0
+    values, own, wide = {}, defaultdict(list), defaultdict(list)
+    for r in docs.collect():
+        t, m = r["text"] or "", got[r["doc_id"]]
+        n_lines = sum(1 for x in t.split("\n") if words(x))
+        values[r["doc_id"]] = v = {
+            "symbol_ratio": over(sum(c in "#*$%&|<>" for c in t), sum(map(len, words(t)))), "dup_line_ratio": over(m["n_dup_lines"], n_lines),
+            "repeat_ratio": over(m["n_repeat_words"], m["n_words"]), "mean_word": over(sum(map(len, words(t))), len(words(t))),
+        }
+        if not m["base_failed"]:
+            own[r["lang"], r["source"]].append(v)
+            wide[r["lang"]].append(v)
+    assert max(map(len, wide.values())) < 800
+    rejected = 0
+    for r in docs.collect():
+        m, v = got[r["doc_id"]], values[r["doc_id"]]
+        group = own[r["lang"], r["source"]]
+        group = group if len(group) >= 50 else wide[r["lang"]]
+        odd = False
+        for c, below in quality.FENCED.items():
+            s = sorted(x[c] for x in group)
+            low, high = (s[math.ceil(q * len(s)) - 1] for q in (0.25, 0.75))
+            width = max((high - low) * 4.0, quality.MIN_WIDTH[c])
+            odd |= v[c] > high + width or below and v[c] < low - width
+        rejected += odd and not m["base_failed"]
+        assert m["kept"] == (not m["base_failed"] and not odd), (r["doc_id"], v)
+    assert rejected > 50
+
+
 def test_quality_fences(spark):
     good = " ".join(f"word{i}" for i in range(40))
     rows = [(k, f"{good} v{k}", "en", "s") for k in range(200)] + [(900, " ".join(f"word{i}###" for i in range(40)), "en", "s"), (901, good, None, None)]

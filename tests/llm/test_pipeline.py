@@ -4,7 +4,7 @@ import corpus_pipeline
 from splicelake.llm import bpe, queries, secrets
 from splicelake.llm.common import materialise
 
-from .test_operators import SF, components, hits_brute
+from .test_operators import SF, components, crc, dense_scores, hits_brute
 
 
 def test_stages(spark):
@@ -17,7 +17,11 @@ def test_stages(spark):
         if name != "bpe":
             assert after.columns == docs.columns and [t for _, t in after.dtypes] == [t for _, t in docs.dtypes]
             got = {r["doc_id"]: r["text"] for r in after.select("doc_id", "text").collect()}
-        if name == "near_dedup":
+        if name == "toxicity":
+            labels = spark.read.parquet(f"{SF}/labels.parquet")
+            scores = dense_scores(docs, labels, {r["doc_id"]: r["toxic"] for r in labels.collect() if crc(r["doc_id"]) % 4 != 2})
+            assert kept == {d for d in before if scores[d] < 0.3}
+        elif name == "near_dedup":
             assert kept == {d for d, (_, c) in components(before, 5).items() if c == d}
         elif name == "decontamination":
             items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
@@ -39,3 +43,22 @@ def test_empty(spark):
     for name, stage in corpus_pipeline.STAGES:
         at = materialise(stage(spark, at, SF), f"test-{name}")
         assert at.count() == 0
+
+
+def test_odd_rows(spark):
+    """Null and empty texts, repeated rows, rows of one id or none, a very long text: by the docstrings of the stages."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = [
+        (20_001, None), (20_002, ""), (20_003, "one"), (20_003, "one"), (None, "alone without an id it is"), (20_004, "some words of the first text of an id here"),
+        (20_004, "and quite other words in the second text of that id"), (20_005, " ".join(f"w{k}" for k in range(30_000))), (20_006, "password = hunter22 zq"),
+    ]
+    rows = [(i, t, None if k % 2 else "en", None, None if t is None else len(t)) for k, (i, t) in enumerate(odd)]
+    more = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    at = docs.unionByName(more.select(*[more[c].cast(dict(docs.dtypes)[c]) for c in docs.columns]))
+    for name, stage in corpus_pipeline.STAGES:
+        at = materialise(stage(spark, at, SF), f"test-{name}")
+        left = sorted((r["doc_id"] or 0) for r in at.select("doc_id").collect() if r["doc_id"] is None or r["doc_id"] >= 20_000)
+        without = [] if name != "toxicity" else [0]
+        assert left == [*without, 20_001, 20_002, 20_003, 20_003, 20_004, 20_004, 20_005, 20_006], name
+    final = {r["doc_id"]: r for r in at.collect() if r["doc_id"] >= 20_000}
+    assert list(final[20_001]["ids"]) == [] == list(final[20_002]["ids"]) and "secret" in final[20_006]["decoded"] and "hunter" not in final[20_006]["decoded"]
