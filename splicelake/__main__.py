@@ -8,13 +8,13 @@ import argparse
 from pyspark.sql import SparkSession
 
 from .plans.gene_layout import gene_layout
+from .plans.page_documents import page_documents
 from .plans.report import report_of_files
 from .sources.files import read_database
 from .sources.tables import SCHEMAS, checked
 
-
 # The options of the command lines.
-REPORT_OPTIONS = {"-input": {"default": "clusters_sum_table_H_vs_M_HN6.xlsx"}, "-dochap": {"required": True}, "-output_csv": {"default": "junctions.csv"}, "-biomart_domains": {"type": bool, "default": False}, "-gene_ids": {}}
+REPORT_OPTIONS = {"-input": {"required": True}, "-dochap": {"required": True}, "-output_csv": {"default": "junctions.csv"}, "-biomart_domains": {"type": bool, "default": False}, "-gene_ids": {}}
 
 
 def parser() -> argparse.ArgumentParser:
@@ -40,7 +40,8 @@ def main(argv: list[str] | None = None) -> None:
     else:
         found = {n: checked(df, n) for n, df in read_database(spark, a.database).items() if n in SCHEMAS}
         out, tables = a.output or f"{a.gene_name}_visualization", gene_layout(found, a.gene_name, a.protein_only, a.domains_only)
-    for name, df in tables.items():
+    documents = {"documents": page_documents(tables)} if tables else {}
+    for name, df in {**tables, **documents}.items():
         df.write.mode("overwrite").parquet(f"{out}/{name}")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from splicelake.functions import scalars
 from splicelake.operators import core, layout
-from splicelake.__main__ import parser
+from splicelake.__main__ import main, parser
 from splicelake.plans.gene_layout import find_gene, gene_layout, overlay
 from splicelake.plans.report import cluster_report, report_of_files, requested, stages
 from splicelake.sources.files import DATABASE_TABLES, SHEET_COLUMNS, SQLiteSource, read_xlsx, write_single_csv
@@ -236,6 +236,9 @@ def test_files_to_report(spark, tmp_path):
     assert [r["idx"] for r in drawn["junction_table"].filter("cluster = 'c1'").orderBy("ord").collect()] == ["1", "2", "3"]
     assert {r["tx"] for r in drawn["transcripts"].collect()} == {"T1", "T2"} and drawn["brackets"].count() > 0
     assert spark.read.format("sqlite_table").option("path", db).option("table", "Seen").load().count() == 1
+    main(["layout", "syma", "-db", db, "-o", str(tmp_path / "drawn"), "--domains-only"])
+    assert set(os.listdir(tmp_path / "drawn")) == {*drawn.TABLES, "documents"}
+    assert spark.read.parquet(str(tmp_path / "drawn" / "documents")).first()["svg"].startswith("<svg")
 
 
 def test_gene_layout(spark):
