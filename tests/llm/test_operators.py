@@ -622,6 +622,19 @@ def test_decontamination_many_items_share_a_text(spark):
     assert got == [(1, 16, 14, 100_000, ["0"]), (2, 21, 20, 500, ["200000"]), (3, 0, 0, 0, []), (3, 1, 0, 0, [])]
 
 
+def test_decontamination_large_benchmark_is_one_scan(spark):
+    """Some 240,000 windows: a larger bitmap, folded into the plan, and the corpus still read once."""
+    items = spark.range(20_000).selectExpr("id item_id", "array_join(transform(sequence(1, 24), k -> concat('w', hex(hash(id, k)))), ' ') text")
+    docs = items.filter("item_id % 97 = 5").selectExpr("item_id doc_id", "concat('before it ', text, ' and after') text").union(spark.range(30_000, 31_000).selectExpr("id", "array_join(transform(sequence(1, 40), k -> concat('w', hex(hash(id, k)))), ' ')"))
+    got = decontam.hits(docs, items)
+    assert {(r["doc_id"], r["n_hit"], tuple(r["item_ids"])) for r in got.filter("n_hit > 0").collect()} == {(k, 24, (str(k),)) for k in range(20_000) if k % 97 == 5}
+    assert got.filter("n_hit = 0").count() == 1_000
+    grams = decontam.benchmark_windows(items)[0]
+    assert grams.count() == 240_000
+    plan = decontam._found(docs, decontam.bitmap(grams, 1 << 22), 1 << 22, [13])._jdf.queryExecution().optimizedPlan().toString()
+    assert "cast(split(" not in plan
+
+
 def test_decontamination_empty(spark, empty, docs):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert decontam.judged(empty, bench).count() == 0
