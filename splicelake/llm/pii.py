@@ -1,14 +1,17 @@
 """Personal data: fixed patterns, and information-theoretic sanitisation of the terms that give them away.
 
-The values that the patterns find are the protected entities. A term discloses an entity as far as seeing the
+The values that the patterns find are the protected entities, and so are the classes they belong to: the domain of an
+address, the network of an ip (three parts), the issuer of a card (six digits), the country and area of a phone (four
+digits). A class gathers support that its values, each in a text or two, don't have. A term discloses an entity as far as seeing the
 term makes the entity likelier: with documents counted whole and over the whole corpus, the disclosure of e by t is
 PMI(e; t) / IC(e), that is log(p(e|t) / p(e)) / -log p(e): 1 if t occurs only with e, 0 if they are independent.
 Candidates are pairs that stand close together in enough different texts. Terms at or over a threshold are removed
 (generalised to a mark) wherever they occur, also in documents that don't print the entity.
 
 Three passes: one finds entities and the terms about them; one counts, over all documents, the candidate terms and
-pairs; one marks the disclosing terms. In the latter two a Bloom filter of fixed size picks them in the row, and the
-exact join after it drops its false hits.
+pairs; one marks the disclosing terms. In the latter two Bloom filters pick them in the row, and the exact join after
+it drops their false hits. Filters have 16 bits a key; of more candidates than `FILTER_BYTES` can hold, the terms are
+dealt into parts, each with its pass.
 
 Defined results: null and empty texts have no spans; repeated rows give a row each, but exact copies of a
 text count once as support. Offsets are code points, ends exclusive. Empty tables give empty results.
@@ -21,6 +24,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 from itertools import accumulate
 
 import numpy as np
@@ -40,7 +44,8 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Words of four letters or more, and shorter ones with a capital, as names have.
 WORD = re.compile(r"[^\W\d_]{4,}|(?<![^\W\d_])[A-Z\u00C0-\u00DE][^\W\d_]{1,2}(?![^\W\d_])")
-ADDRESS_BYTES = 1 << 20
+#: Bytes of a Bloom filter: at least, at most.
+ADDRESS_BYTES, FILTER_BYTES = 1 << 16, 1 << 24
 #: Pairs of an entity and a term about it that one row carries; a text with more has further rows.
 NEAR_ROWS = 4096
 
@@ -96,16 +101,29 @@ def entity(kind: int, value: str) -> int:
     return _key(f"{KINDS[kind]}:{plain}")
 
 
-def context(text: str, spans: list[tuple[int, int, int]], reach: int) -> list[tuple[int, int]]:
-    """(entity, term) of the terms within `reach` characters of an entity, cut at no word and inside no entity."""
+def group(kind: int, value: str) -> int:
+    """The class of a value: domain, network, issuer, or country and area."""
+    digits = re.sub(r"[^0-9]", "", value)
+    of = value.rpartition("@")[2].lower() if kind == 0 else value.rpartition(".")[0] if kind == 1 else digits[: 6 if kind == 2 else 4]
+    return _key(f"{KINDS[kind]} of:{of}")
+
+
+def protected(text: str, span: tuple[int, int, int], classes: bool) -> list[int]:
+    s, k, e = span
+    return [entity(k, text[s:e]), group(k, text[s:e])] if classes else [entity(k, text[s:e])]
+
+
+def context(text: str, spans: list[tuple[int, int, int]], reach: int, classes: bool = False) -> list[tuple[int, int]]:
+    """(entity or class, term) of the terms within `reach` characters of an entity, cut at no word and inside no entity."""
     out, inside = set(), Inside(spans)
     for s, k, e in spans:
-        who = entity(k, text[s:e])
+        whom = protected(text, (s, k, e), classes)
         for m in WORD.finditer(text, max(0, s - reach), min(len(text), e + reach)):
             a, b = m.span()
             if (a and text[a - 1].isalpha()) or (b < len(text) and text[b].isalpha()) or inside(a, b):
                 continue
-            out.add((who, _key(m[0].lower())))
+            term = _key(m[0].lower())
+            out.update((who, term) for who in whom)
     return sorted(out)
 
 
@@ -134,7 +152,7 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row.alias("row"), "text")
 
 
-def scan(docs: DataFrame, reach: int = 60) -> DataFrame:
+def scan(docs: DataFrame, reach: int = 60, classes: bool = True) -> DataFrame:
     """Per row, what the patterns find, and the terms about it; of very many such pairs the rest in further rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +165,7 @@ def scan(docs: DataFrame, reach: int = 60) -> DataFrame:
                 spans = base_spans(text)
                 n = Counter(k for _, k, _ in spans)
                 all_, key = joined(spans), _key(text) if spans else 0
-                near = [{"entity": w, "term": t} for w, t in context(text, spans, reach)] if spans else []
+                near = [{"entity": w, "term": t} for w, t in context(text, spans, reach, classes)] if spans else []
                 rows.append((doc, row, n[0], n[1], n[2], n[3], hashlib.sha256(all_.encode()).hexdigest(), all_, key, near[:NEAR_ROWS], False))
                 rows += [(doc, row, 0, 0, 0, 0, "", "", key, near[k : k + NEAR_ROWS], True) for k in range(NEAR_ROWS, len(near), NEAR_ROWS)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 11, types, strict=True)], names=names)
@@ -157,24 +175,29 @@ def scan(docs: DataFrame, reach: int = 60) -> DataFrame:
 
 def _bits(keys: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     u = keys.astype(np.int64).view(np.uint64)
-    return u % np.uint64(size * 8), (u >> np.uint64(21)) % np.uint64(size * 8)
+    return u % np.uint64(size * 8), (u >> np.uint64(32)) % np.uint64(size * 8)
 
 
-def picked(keys: DataFrame, size: int = ADDRESS_BYTES) -> np.ndarray:
-    """A Bloom filter of `size` bytes of the one column of `keys`; that many rows come to the driver at most."""
+def filter_bytes(keys: int) -> int:
+    """Two bytes a key, as a power of two within the bounds."""
+    return min(FILTER_BYTES, max(ADDRESS_BYTES, 1 << (2 * keys).bit_length()))
+
+
+def picked(keys: DataFrame, size: int) -> np.ndarray:
+    """A Bloom filter of `size` bytes of the one column of `keys`; its words of 8 bytes come to the driver, once each."""
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(size, np.uint8)
+        words = np.zeros(size // 8, np.uint64)
         for b in batches:
             for at in _bits(b.column(0).to_numpy(), size):
-                np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), (1 << (at & np.uint64(7))).astype(np.uint8))
-        at = np.flatnonzero(bits)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(bits[at].astype(np.int64))], names=["at", "bits"])
+                np.bitwise_or.at(words, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+        at = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(words[at].view(np.int64))], names=["at", "bits"])
 
     filled = keys.mapInArrow(fill, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
-    bits = np.zeros(size, np.uint8)
-    bits[filled.column("at").to_numpy()] = filled.column("bits").to_numpy()
-    return bits
+    words = np.zeros(size // 8, "<i8")
+    words[filled.column("at").to_numpy()] = filled.column("bits").to_numpy()
+    return words.view(np.uint8)
 
 
 def _hits(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -184,10 +207,22 @@ def _hits(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return hit
 
 
-def documents_with(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def documents_with(docs: DataFrame, pairs: DataFrame, classes: bool = True) -> DataFrame:
     """entity (null: any), term, n: documents of the whole corpus that hold each candidate term, and each candidate
     entity and term anywhere in them; and what else the filters let through. Added up batch by batch."""
-    sent = docs.sparkSession.sparkContext.broadcast((picked(pairs.select("term")), picked(pairs.select("entity")), picked(pairs.select((F.col("entity").bitwiseXOR(F.col("term"))).alias("pair")))))
+    n = pairs.count()
+    parts = -(-2 * n // FILTER_BYTES)
+    if parts <= 1:
+        return _documents_with(docs, pairs, n, classes)
+    # A term is counted in its own part alone, whatever the filters of others let through.
+    part = F.pmod(F.xxhash64("term"), F.lit(parts))
+    counted = [materialise(_documents_with(docs, pairs.filter(part == k), n // parts, classes).filter(part == k), "pii-part") for k in range(parts)]
+    return reduce(DataFrame.union, counted)
+
+
+def _documents_with(docs: DataFrame, pairs: DataFrame, n: int, classes: bool) -> DataFrame:
+    size, both_ = filter_bytes(n), F.col("entity").bitwiseXOR(F.col("term")).alias("pair")
+    sent = docs.sparkSession.sparkContext.broadcast(tuple(picked(pairs.select(c), size) for c in ("term", "entity", both_)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, whom, together = sent.value
@@ -202,7 +237,7 @@ def documents_with(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 if not len(keys):
                     continue
                 df.update(keys.tolist())
-                who = np.unique(np.fromiter((entity(k, text[s:e]) for s, k, e in base_spans(text)), np.int64))
+                who = np.unique(np.fromiter((w for span in base_spans(text) for w in protected(text, span, classes)), np.int64))
                 for e in who[_hits(whom, who)].tolist():
                     both.update((e, t) for t in keys[_hits(together, keys ^ e)].tolist())
                     if len(both) > 200_000:
@@ -218,7 +253,7 @@ def _counts(c: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([k[0] for k in c], pa.int64()), pa.array([k[1] for k in c], pa.int64()), pa.array(list(c.values()), pa.int64())], names=["entity", "term", "n"])
 
 
-def disclosing(docs: DataFrame, scanned: DataFrame, threshold: float = 0.8, support: int = 3) -> DataFrame:
+def disclosing(docs: DataFrame, scanned: DataFrame, threshold: float = 0.8, support: int = 3, classes: bool = True) -> DataFrame:
     """entity, term, disclosure: the pairs at or over the threshold."""
     near = scanned.select("text_key", F.explode("near").alias("x")).select("text_key", "x.*")
     pairs = near.groupBy("entity", "term").agg(F.count_distinct("text_key").alias("texts")).filter(F.col("texts") >= support).select("entity", "term")
@@ -226,7 +261,7 @@ def disclosing(docs: DataFrame, scanned: DataFrame, threshold: float = 0.8, supp
     if pairs.isEmpty():
         return pairs.withColumn("disclosure", F.lit(0.0))
     holds = scanned.select("row", F.explode(F.array_distinct("near.entity")).alias("entity")).groupBy("entity").agg(F.count_distinct("row").alias("n_entity"))
-    counted = materialise(documents_with(docs, pairs), "pii-counts")
+    counted = materialise(documents_with(docs, pairs, classes), "pii-counts")
     both = counted.filter("entity is not null").withColumnRenamed("n", "both")
     df = counted.filter("entity is null").select("term", F.col("n").alias("df"))
     total = docs.agg(F.greatest(F.count("*"), F.lit(2)).alias("n_docs"))
@@ -240,7 +275,7 @@ def disclosing(docs: DataFrame, scanned: DataFrame, threshold: float = 0.8, supp
 
 def occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """row, a, b: where the words of `terms` (term) stand, outside the fixed spans."""
-    sent = docs.sparkSession.sparkContext.broadcast(picked(terms))
+    sent = docs.sparkSession.sparkContext.broadcast(picked(terms, filter_bytes(terms.count())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = sent.value
@@ -261,10 +296,11 @@ def occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return _rows(docs).select("row", "text").mapInArrow(run, "row string, term long, a int, b int").join(terms, "term", "left_semi").select("row", "a", "b")
 
 
-def find(docs: DataFrame, reach: int = 60, threshold: float = 0.8, support: int = 3, by_row: bool = False) -> DataFrame:
-    """Per row: counts by kind, digest of the fixed spans, and all spans with the disclosing terms'."""
-    scanned = materialise(scan(docs, reach), "pii-scan")
-    bad = materialise(disclosing(docs, scanned, threshold, support).select("term").distinct(), "pii-terms")
+def find(docs: DataFrame, reach: int = 60, threshold: float = 0.8, support: int = 3, classes: bool = True, by_row: bool = False) -> DataFrame:
+    """Per row: counts by kind, digest of the fixed spans, and all spans with the terms' that disclose a value or, with
+    `classes`, a class of values."""
+    scanned = materialise(scan(docs, reach, classes), "pii-scan")
+    bad = materialise(disclosing(docs, scanned, threshold, support, classes).select("term").distinct(), "pii-terms")
     scanned = scanned.filter("not further")
     terms = occurrences(docs, bad).groupBy("row").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("terms"))
     base = F.transform(

@@ -278,6 +278,50 @@ def test_pii_terms_by_brute_force(spark):
     assert {r["doc_id"]: r["text"] for r in clean.filter("doc_id in (61, 500) or doc_id is null").collect()}[None] == "[TERM]"
 
 
+@pytest.mark.parametrize("most", [pii.FILTER_BYTES, 64])
+def test_pii_terms_that_disclose_classes(spark, monkeypatch, most):
+    """Values that stand in one text each: only their class has the support. Against plain counts, also with candidates
+    dealt into several parts."""
+    import random
+
+    monkeypatch.setattr(pii, "FILTER_BYTES", most)
+    monkeypatch.setattr(pii, "ADDRESS_BYTES", min(most, pii.ADDRESS_BYTES))
+    rng = random.Random(5)
+    fill = [f"{a}{b}{c}{d}" for a in "klmn" for b in "aeiou" for c in "rst" for d in "aeiou"]
+    kinds = [("Acmecorp", lambda k: f"user{k}@acme.example"), ("Backbone", lambda k: f"10.7.3.{k}"), ("Kilburn", lambda k: f"+44 20 5550 {1000 + k}"), ("Everyone", lambda k: f"u{k}@d{k}.example")]
+    rows = []
+    for k in range(200):
+        w = rng.choices(fill, k=25)
+        if k < 80:
+            w[9:9] = [kinds[k % 4][0], kinds[k % 4][1](k)]
+        elif k % 20 == 0:
+            w.append("Acmecorp")
+        rows.append((k, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = dict(rows)
+    near, whom, word = defaultdict(set), {}, {d: {m.lower() for m in pii.WORD.findall(t)} for d, t in texts.items()}
+    for d, t in texts.items():
+        spans = pii_base(t)
+        of = lambda k, v: (k, v.split("@")[1] if k == 0 else ".".join(v.split(".")[:3]) if k == 1 else re.sub("[^0-9]", "", v)[:4])
+        whom[d] = {of(k, t[s:e]) for s, k, e in spans}
+        for s, k, e in spans:
+            for m in pii.WORD.finditer(t):
+                if m.start() >= s - 60 and m.end() <= e + 60 and not (m.start() < e and s < m.end()):
+                    near[of(k, t[s:e]), m[0].lower()].add(d)
+    bad = set()
+    for (c, w), seen in near.items():
+        has, df = sum(c in x for x in whom.values()), sum(w in x for x in word.values())
+        both = sum(c in whom[d] and w in word[d] for d in texts)
+        if len(seen) >= 3 and math.log(both / df / (has / 200)) / -math.log(has / 200) >= 0.8:
+            bad.add(w)
+    assert {"acmecorp", "backbone", "kilburn"} <= bad and "everyone" not in bad
+    for d, r in by_id(pii.find(docs)).items():
+        spans = pii_base(texts[d])
+        want = [f"term:{m.start()}:{m.end()}" for m in pii.WORD.finditer(texts[d]) if m[0].lower() in bad and not any(x < m.end() and m.start() < y for x, _, y in spans)]
+        assert [x for x in r["spans"].split(",") if x.startswith("term:")] == want
+    assert pii.find(docs, classes=False).filter("n_term > 0").count() == 0
+
+
 def test_pii_dense_text_is_linear():
     import time
 
