@@ -6,7 +6,7 @@ from collections.abc import Mapping
 from functools import cached_property
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..operators import core
@@ -105,6 +105,30 @@ def report_of_files(spark, sheet: str, database: str, output_csv: str, gene_ids:
 
 def requested(report: DataFrame, gene_ids: str) -> DataFrame:
     """Report rows of the clusters whose first junction's gene is in a comma-separated list."""
-    wanted = [g.strip() for g in gene_ids.split(",")]
-    chosen = report.groupBy("cluster").agg(F.min_by("gene_id", "ord").alias("g")).filter(F.split_part("g", F.lit(":"), F.lit(1)).isin(wanted)).select("cluster")
+    chosen = report.groupBy("cluster").agg(F.min_by("gene_id", "ord").alias("g")).filter(_asked("g", gene_ids)).select("cluster")
     return report.join(chosen, "cluster", "left_semi")
+
+
+def _asked(gene: str, gene_ids: str) -> Column:
+    return F.split_part(gene, F.lit(":"), F.lit(1)).isin([g.strip() for g in gene_ids.split(",")])
+
+
+def requested_report(tables: Mapping[str, DataFrame], gene_ids: str, on_error: str = "fail", **options) -> DataFrame:
+    """`requested` of the whole report, written, of which only the clusters that name one of the genes are made.
+
+    All rows of such a cluster come along, and of the annotation what its genes have: a cluster's rows of the report
+    depend on nothing else. Small tables are written first, so that the scans of large ones are filtered before any
+    shuffle.
+    """
+    named = core.parse_junctions(tables["junctions"], on_error).filter(_asked("gene_raw", gene_ids)).select("cluster").distinct()
+    rows = stored(tables["junctions"].join(stored(named, "requested-clusters"), "cluster", "left_semi"), "requested-junctions")
+    ids = F.array("gene", "gene_raw", F.split_part("gene_raw", F.lit(":"), F.lit(1)))
+    genes = stored(core.parse_junctions(rows, on_error).select(F.explode(ids).alias("gene_ensembl_id")).distinct(), "requested-genes")
+    transcripts = stored(tables["transcripts"].join(genes, "gene_ensembl_id", "left_semi"), "requested-transcripts")
+    of = lambda name, key: stored(tables[name].join(transcripts.select(key).distinct(), key, "left_semi"), f"requested-{name}")
+    some = {
+        "junctions": rows, "transcripts": transcripts, "genes": stored(tables["genes"].join(genes, "gene_ensembl_id", "left_semi"), "requested-annotated"),
+        "proteins": of("proteins", "transcript_ensembl_id"), "transcript_exon": of("transcript_exon", "transcript_ensembl_id"),
+        "domain_event": of("domain_event", "protein_ensembl_id"), "domain_type": tables["domain_type"],
+    }
+    return stored(requested(stages(some, on_error=on_error, **options).report, gene_ids), "requested")

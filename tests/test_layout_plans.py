@@ -16,7 +16,8 @@ from splicelake.operators.joins import near_join, overlap_join
 from splicelake.operators.numbering import numbered
 from splicelake.plans.gene_layout import GeneLayout, gene_layout, overlay
 from splicelake.plans.page_documents import escaped, page_documents
-from splicelake.plans.report import cluster_report, requested, stages
+from splicelake.plans import report as report_plans
+from splicelake.plans.report import cluster_report, requested, requested_report, stages
 from splicelake.sources.annotation import read_clustered, write_clustered
 from splicelake.sources.files import read_junction_sheet, read_xlsx, write_single_csv
 from splicelake.sources.tables import SCHEMAS, stand_ins
@@ -177,6 +178,22 @@ def test_overlay_draws_requested_genes_alone(spark):
     assert all(none[name].count() == 0 for name in none)
 
 
+def test_requested_report_makes_the_chosen_clusters_alone(spark, monkeypatch):
+    """It is what the whole report has of them, from their junctions and nothing of other genes."""
+    runs = []
+    monkeypatch.setattr(report_plans, "stages", lambda *a, **k: runs.append(stages(*a, **k)) or runs[-1])
+    t = two_genes(spark)
+    for asked in ("G1", " G2 ,G1", "G3, G9", "G0"):
+        want = {tuple(r) for r in requested(cluster_report(t), asked).collect()}
+        runs.clear()
+        assert {tuple(r) for r in requested_report(t, asked).collect()} == want
+    named = [r["cluster"] for r in t["junctions"].filter("ensembl_h = 'G1'").select("cluster").distinct().collect()]
+    rows = t["junctions"].filter(F.col("cluster").isin(named)).count()
+    runs.clear()
+    requested_report(t, "G1").collect()
+    assert 0 < runs[0].counts["junctions"] == rows < t["junctions"].count()
+
+
 def test_overlay_of_a_shared_symbol(spark):
     t = two_genes(spark)
     t |= {"genes": t["genes"].withColumn("gene_symbol", F.when(F.col("gene_ensembl_id") == "G1", "SYMB").otherwise("symb"))}
