@@ -4,6 +4,7 @@ import os
 import random
 import sqlite3
 import zipfile
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from splicelake.__main__ import main, parser
 from splicelake.plans.gene_layout import find_gene, gene_layout, overlay
 from splicelake.plans.report import cluster_report, report_of_files, requested, stages
 from splicelake.sources.files import DATABASE_TABLES, SHEET_COLUMNS, SQLiteSource, read_xlsx, write_single_csv
-from splicelake.sources.tables import SCHEMAS, checked, stand_ins
+from splicelake.sources.tables import SCHEMAS, VIEWS, checked, stand_ins
 
 J = [("J1", "c1", "G1", 199, 500), ("J2", "c1", "G1", 199, 300), ("J3", "c1", "G1", 210, 290), ("J4", "c2", "G1", 420, 599), ("J5", "c2", "G1", 199, 250), ("J6", "c3", "G1", 199, 300), ("J7", "c4", "GX", 1, 9)]
 
@@ -123,6 +124,43 @@ def test_properties(spark):
             assert sorted((opposite[key(x)], name(x)) for x in two[0]) == sorted((key(x), name(x)) for x in two[1])
 
 
+def test_stand_ins_are_what_their_views_say(spark):
+    """Exons and junctions, made with fewer shuffles, are row by row those of the SQL views."""
+    for n in ("customer", "orders", "lineitem", "part", "events"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{n}.parquet").createOrReplaceTempView(n)
+    for n, sql in VIEWS.items():
+        spark.sql(sql).createOrReplaceTempView(n)
+    t = stand_ins(spark, "/root/testdata/sf0.001")
+    want = {n: checked(spark.sql(VIEWS[n]), n) for n in ("transcript_exon", "junctions")}
+    rows = {n: sorted(map(str, df.collect())) for n, df in want.items()}
+    assert {n: sorted(map(str, t[n].collect())) for n in rows} == rows
+    plan = t._made("junctions")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 3 and "SortAggregate" not in t._made("line1")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_verdicts_are_made_behind_the_last_shuffle(spark):
+    """Of a cluster of many junctions, what is shuffled is a row for each kept domain, not one for each verdict."""
+    n, names = 40, 30
+    j = spark.createDataFrame([(k, "c", "G", f"chr1:{k}:{k}", k, k, "G") for k in range(n)], "ord bigint, cluster string, gene_raw string, junction_name string, start bigint, end bigint, gene string")
+    kept = spark.createDataFrame([(k, f"D{k}", 10 + k, 1, 10 + k, "text") for k in range(names)], "ord bigint, name string, len bigint, AA_start bigint, AA_end bigint, description string")
+    one = core.compared(j, kept, j.select("cluster", F.lit("g").alias("gene_name")).distinct())
+    rows = core.verdicts(one).collect()
+    assert len(rows) == n * names and Counter(r["category"] for r in rows) == {0: names, 1: (n - 1) * names}
+    plan = one._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" in plan and plan.index("Project") < plan.index("Join")  # texts after the joins
+    assert "format_string" not in plan[plan.index("Join") :]
+
+
+def test_longest_of_equal_domains(spark):
+    """Kept straight from the hits as from the domains of which equal ones are made one."""
+    s = stages(stand_ins(spark, "/root/testdata/sf0.001"))
+    want = core.longest_per_name(core.relevant_domains(s.usable, s.ranges, s.domains))
+    got = core.kept_domains(s.usable, s.ranges, s.domains)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    aggregates = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [")
+    assert aggregates(got) < aggregates(want)
+
+
 def test_empty(spark):
     t = {n: spark.createDataFrame([], SCHEMAS[n]) for n in SCHEMAS}
     assert cluster_report(t).count() == 0
