@@ -143,7 +143,7 @@ def test_verdicts_are_made_behind_the_last_shuffle(spark):
     n, names = 40, 30
     j = spark.createDataFrame([(k, "c", "G", f"chr1:{k}:{k}", k, k, "G") for k in range(n)], "ord bigint, cluster string, gene_raw string, junction_name string, start bigint, end bigint, gene string")
     kept = spark.createDataFrame([(k, f"D{k}", 10 + k, 1, 10 + k, "text") for k in range(names)], "ord bigint, name string, len bigint, AA_start bigint, AA_end bigint, description string")
-    one = core.compared(j, kept, j.select("cluster", F.lit("g").alias("gene_name")).distinct())
+    one = core.compared(core.held_domains(j, kept), j.select("cluster", F.lit("g").alias("gene_name")).distinct())
     rows = core.verdicts(one).collect()
     assert len(rows) == n * names and Counter(r["category"] for r in rows) == {0: names, 1: (n - 1) * names}
     plan = one._jdf.queryExecution().optimizedPlan().toString()
