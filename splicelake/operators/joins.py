@@ -44,3 +44,18 @@ def near_join(left: DataFrame, right: DataFrame, keys: Sequence[str], a: str, b:
     spread = left.filter(F.col(a).isNotNull()).withColumn("_place", F.explode(F.sequence(F.col(a) - by, F.col(a) + by)))
     pairs = spread.join(right.withColumn("_place", F.col(b)), [*keys, "_place"])
     return (pairs if more is None else pairs.filter(more)).drop("_place")
+
+
+def transcript_join(junctions: DataFrame, exons: DataFrame, width: int = GENOME_BIN, more: DataFrame | None = None) -> DataFrame:
+    """The rows of `junctions` (gene, js, je, ...) with each transcript of their gene whose extent, widened by 1, they
+    share a point with: tx and exons, a list of structs of the other columns of `exons` (gene, tx, gs, ge, ...).
+
+    A transcript's exons come in one row, so that what is asked of all of them is an expression of the pair and nothing
+    is shuffled behind the join. `more` (tx, ...) has further columns of transcripts; those that it lacks have nulls.
+    """
+    fields = [c for c in exons.columns if c not in ("gene", "tx")]
+    own = exons.groupBy("gene", "tx").agg(
+        F.collect_list(F.struct(*fields)).alias("exons"), (F.min(F.least("gs", "ge")) - 1).alias("_low"), (F.max(F.greatest("gs", "ge")) + 1).alias("_high"),
+    )
+    own = own if more is None else own.join(more, "tx", "left")
+    return overlap_join(junctions, own, ["gene"], ("js", "je", "_low", "_high"), width).drop("_low", "_high")

@@ -200,8 +200,9 @@ class GeneLayout(Mapping):
         """All junctions of a cluster meet the transcripts of its drawn gene, whatever gene they name themselves."""
         at = self._drawn_exons.join(self._of.withColumnRenamed("tx", "transcript_ensembl_id"), "transcript_ensembl_id")
         at = at.select(F.col("gene_ensembl_id").alias("gene"), F.col("transcript_ensembl_id").alias("tx"), F.col("genomic_start_tx").alias("gs"), F.col("genomic_end_tx").alias("ge"))
-        junctions = self.report.drop("gene").join(self.drawings.select("cluster", F.col("gene_ensembl_id").alias("gene")), "cluster")
-        return layout.junction_brackets(layout.matching_junctions(junctions, at), layout.junction_display(self.report))
+        numbers = layout.junction_numbers(self.report.select("ord", "cluster", "start", "end"))
+        junctions = numbers.join(self.drawings.select("cluster", F.col("gene_ensembl_id").alias("gene")), "cluster")
+        return layout.junction_brackets(layout.matching_junctions(junctions, at))
 
 
 def gene_layout(

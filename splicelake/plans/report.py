@@ -21,8 +21,8 @@ def _items(lists: str) -> Column:
 
 
 class Stages:
-    """The steps of a run, made when asked for. Those that several later steps read (`domains`, `exons`, `usable`,
-    `held`, `compared`) are written once to the shared folder; the others are lazy.
+    """The steps of a run, made when asked for. Those that several later steps read (`domains` or `sites`,
+    `usable`, `held`, `compared`) are written once to the shared folder; the others are lazy.
 
     `counts` has the rows of each step that a written one has come by so far, for a run's progress: they are observed
     while it is written, so that nothing is scanned for them."""
@@ -54,23 +54,47 @@ class Stages:
         t = self.tables
         return self._stored(core.transcript_domains(t["transcripts"], t["proteins"], t["domain_event"], t["domain_type"]), "domains")
 
+    @cached_property
+    def sites(self) -> DataFrame:
+        """The domains without their names: all that most steps ask of them."""
+        t = self.tables
+        return stored(core.transcript_sites(t["transcripts"], t["proteins"], t["domain_event"], t["domain_type"].select("type_id")), "sites")
+
+    @property
+    def _placed(self) -> DataFrame:
+        """gene, tx of the domains: of those with names if they are made already."""
+        return self.domains if "domains" in self.__dict__ else self.sites
+
     @cached_property
     def exons(self) -> DataFrame:
-        return self._stored(core.exon_ranges(self.tables["transcript_exon"], self.domains), "exons")
+        """Dealt by transcript, as the join with junctions collects them."""
+        return self._observed(core.exon_ranges(self.tables["transcript_exon"], self._placed), "exons")
 
     @cached_property
     def usable(self) -> DataFrame:
-        return self._stored(core.usable(self.junctions, self.domains), "usable", "junctions")
+        return self._stored(core.usable_by_name(self.junctions, self._placed), "usable", "junctions")
+
+    @property
+    def _gene(self) -> tuple[str, ...]:
+        return ("gene" if self.normalize_gene_id else "gene_raw",)
 
     @cached_property
     def ranges(self) -> DataFrame:
-        return self._observed(core.nonskipping_aa_ranges(self.usable, self.exons), "ranges")
+        """With the gene under which a junction's domains are looked up."""
+        return self._observed(core.nonskipping_aa_ranges(self.usable, self.exons, more=self._gene), "ranges")
+
+    @cached_property
+    def relevant(self) -> DataFrame:
+        types = self.tables["domain_type"]
+        ranges = core.nonskipping_aa_ranges(self.usable, self.exons, more=self._gene, of=core.sites_by_transcript(self.sites, types))
+        return core.relevant_sites(ranges, types, self.normalize_gene_id)
 
     @cached_property
     def held(self) -> DataFrame:
         """Its rows are counted as `kept`, by their domains."""
-        kept = core.kept_domains(self.usable, self.ranges, self.domains, self.normalize_gene_id, self.null_name_literal)
-        return self._stored(core.held_domains(self.usable.drop("gene", "chromosome"), kept), "kept", "ranges", count=_items("own"))
+        domains = self.domains  # first, for the steps below to take them
+        kept = core.kept_domains(self.usable, self.ranges, domains, self.normalize_gene_id, self.null_name_literal)
+        return self._stored(core.held_domains(self.usable.drop("gene", "chromosome"), kept), "kept", "exons", "ranges", count=_items("own"))
 
     @property
     def kept(self) -> DataFrame:
