@@ -95,6 +95,8 @@ class GeneLayout(Mapping):
 
     @cached_property
     def exons(self) -> DataFrame:
+        if self.chosen is None:  # what reads them joins them with transcripts
+            return self.tables["transcript_exon"].drop("gene_ensembl_id")
         return stored(self._of_transcripts("transcript_exon"), "layout-exons")
 
     @cached_property
@@ -103,13 +105,13 @@ class GeneLayout(Mapping):
 
     @cached_property
     def domains(self) -> DataFrame:
-        """The domains of the first protein of each transcript, as of `protein_domains`, with tx."""
+        """The domains of the first protein of each transcript, as of `protein_sites`, with tx."""
         first, events = layout.first_protein(self.proteins), self.tables["domain_event"]
         if self.gene_ids is not None and "home" in events.columns:  # the gene under which a protein's events lie
             homes = few(self.proteins.select("home"))
             events = events if homes is None else events.filter(F.col("home").isin(homes))
         own = events.join(first.select(F.col("protein").alias("protein_ensembl_id")).distinct(), "protein_ensembl_id", "left_semi")
-        return stored(layout.protein_domains(own, self.tables["domain_type"]).join(first, "protein"), "layout-domains")
+        return stored(layout.protein_sites(own, self.tables["domain_type"].select("type_id")).join(first, "protein"), "layout-domains")
 
     @cached_property
     def exon_colors(self) -> DataFrame:
@@ -118,6 +120,11 @@ class GeneLayout(Mapping):
 
     @cached_property
     def drawn(self) -> DataFrame:
+        if self.chosen is None:  # of all genes, which proteins have a domain is asked before the domains are made
+            known = self.tables["domain_event"].join(self.tables["domain_type"].select("type_id").distinct(), "type_id", "left_semi")
+            proteins = known.select(F.col("protein_ensembl_id").alias("protein")).filter("protein is not null")
+            flags = layout.transcript_flags(self.transcripts, self.exons, self.tables["proteins"], proteins)
+            return stored(layout.drawn_transcripts(self.transcripts, flags, self.protein_only, self.domains_only), "layout-drawn")
         with ThreadPoolExecutor(2) as pool:  # neither needs the other
             self.transcripts  # noqa: B018  both need it: written first
             for step in [pool.submit(getattr, self, name) for name in ("exons", "domains")]:
@@ -168,8 +175,13 @@ class GeneLayout(Mapping):
     def _pages(self) -> DataFrame:
         return layout.page_titles(layout.titles(self.genes, self.extents), self.paged, self.clusters)
 
+    @property
+    def captioned(self) -> DataFrame:
+        """gene_ensembl_id, tx, page, slot, caption: `transcripts` without the axis."""
+        return self.paged.join(layout.transcript_captions(self.drawn), "tx")
+
     def _transcripts(self) -> DataFrame:
-        return self.paged.join(layout.transcript_captions(self.drawn), "tx").join(self.axis.select("tx", "axis_max"), "tx")
+        return self.captioned.join(self.axis.select("tx", "axis_max"), "tx")
 
     def _exon_parts(self) -> DataFrame:
         return layout.exon_parts(self._drawn_exons, self.drawn)
@@ -188,7 +200,7 @@ class GeneLayout(Mapping):
 
     def _labels(self) -> DataFrame:
         own = self._own.drop("protein").withColumnRenamed("tx", "key")
-        return layout.label_lanes(layout.island_labels(own, self.axis.select(F.col("tx").alias("key"), "axis_max")))
+        return layout.label_lanes(layout.island_labels(own, self.axis.select(F.col("tx").alias("key"), "axis_max"), self.tables["domain_type"]))
 
     def _drawings(self) -> DataFrame:
         return self.drawings

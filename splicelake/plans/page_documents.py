@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import HEX_COLORS, negative_strand, with_commas
+from ..sources.stored import stored
 from .gene_layout import GeneLayout
 
 #: The page, its two panels (left and right edges), and a slot's rows, in units of the drawing.
@@ -53,7 +54,9 @@ def page_documents(drawn: GeneLayout) -> DataFrame:
     """
     at = drawn["transcripts"].select("gene_ensembl_id", "tx", "page", "slot", "caption", "axis_max")
     extent = drawn.extents.join(drawn.genes.groupBy("gene_ensembl_id").agg(F.max(negative_strand(F.col("strand"))).alias("negative")), "gene_ensembl_id")
-    at = at.join(extent, "gene_ensembl_id").withColumn("y", F.lit(TOP) + F.col("slot") * F.lit(SLOT))
+    # Written: seven kinds of rows meet it, and would each have its joins in their plan and its tables at the driver.
+    at = stored(at.join(extent, "gene_ensembl_id").withColumn("y", F.lit(TOP) + F.col("slot") * F.lit(SLOT)), "document-transcripts")
+    shape, segment_colors = stored(drawn["shapes"], "document-shapes"), stored(drawn.segment_colors, "document-colors")
     low, high = F.col("genomic_start"), F.greatest(F.col("genomic_end"), F.col("genomic_start") + 1)
 
     def genome(c: Column) -> Column:
@@ -79,9 +82,9 @@ def page_documents(drawn: GeneLayout) -> DataFrame:
     own = [F.col("start") >= F.col("es"), F.col("end") <= F.col("ee"), F.col("p.gene_ensembl_id") == F.col("c.gene_ensembl_id")]
     colored = parts.alias("p").join(colors.alias("c"), own[0] & own[1] & own[2], "left").groupBy(*[F.col(f"p.{c}") for c in parts.columns]).agg(F.min(F.struct((F.col("ee") - F.col("es")).alias("n"), "color"))["color"].alias("color"))
     coding = F.col("part") == "coding"
-    segments = drawn["backbone"].join(drawn.segment_colors.withColumnRenamed("segment", "position"), ["tx", "position"], "left").join(at, "tx")
-    shapes = drawn["shapes"].join(at, "tx")
-    strips = drawn["strips"].join(drawn.segment_colors, ["tx", "segment"], "left").join(drawn["shapes"].select("tx", "domain", "z", "width"), ["tx", "domain"]).join(at, "tx")
+    segments = drawn["backbone"].join(segment_colors.withColumnRenamed("segment", "position"), ["tx", "position"], "left").join(at, "tx")
+    shapes = shape.join(at, "tx")
+    strips = drawn["strips"].join(segment_colors, ["tx", "segment"], "left").join(shape.select("tx", "domain", "z", "width"), ["tx", "domain"]).join(at, "tx")
     labels = drawn["labels"].withColumnRenamed("key", "tx").join(at, "tx")
     elements = [
         rows(at, 0, F.lit(0), _element("line", **{"class": "transcript"}, x1=GENOME[0], x2=GENOME[1], y1=_n(y + EXON_Y), y2=_n(y + EXON_Y), stroke="black")),
