@@ -9,6 +9,9 @@ from splicelake.llm import bpe, decontam, near_dedup, secrets, toxicity
 from splicelake.llm.common import fold, materialise, table
 from splicelake.llm.queries import vocabulary
 
+#: Runs that a Python process keeps from the encoding stage: the next run's stages share their memory with it.
+KEEP = 50_000
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted toxic go, learnt from the labels outside the held-out fold. Null and empty texts have the score
@@ -36,7 +39,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, decoded, a row for each row; a null text is empty: no ids, and an empty text decoded."""
-    return bpe.encode(docs, vocabulary())
+    return bpe.encode(docs, vocabulary(), keep=KEEP)
 
 
 STAGES = [

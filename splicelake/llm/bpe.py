@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 
 LEAF = 8192
 CACHE = 400_000
+#: Characters of the longest run that is kept.
+KEPT_LENGTH = 100
 RUN = re.compile(r"[^\x20\x09-\x0D]+")
 SPACE = re.compile(r"[\x20\x09-\x0D]")
 #: Characters at either end of a leaf that are kept as tokens with places.
@@ -205,14 +207,16 @@ def encode_tree(path: str, text: str, size: int = LEAF) -> list[int]:
 
 
 class Encoder:
-    """Ids of runs. The first `CACHE` ones that a process meets, the frequent ones among them, stay; later ones last a batch.
+    """Ids of runs. The first `keep` ones that a process meets, the frequent ones among them, stay; later ones last a batch.
+
+    A Python process outlives its task and its stage, so what it keeps is taken from the memory of the stages that follow.
 
     New runs that are one word of letters, with a full stop or comma at most, are encoded in one call, parted by
     spaces: each is then one pre-token, so its ids end with the first id that bears the mark of a word's end.
     """
 
-    def __init__(self, path: str) -> None:
-        self.t, self.cache = tokenizer(path), {}
+    def __init__(self, path: str, keep: int = CACHE) -> None:
+        self.t, self.cache, self.keep = tokenizer(path), {}, keep
         self.late: dict[str, tuple[int, str, str]] = {}
         self.tokens = [self.t.id_to_token(i) or "" for i in range(self.t.get_vocab_size())]
         self.numbers = [str(i) for i in range(len(self.tokens))]
@@ -239,10 +243,12 @@ class Encoder:
         self.late = {}
         if not (todo := [r for r in runs if r not in cache]):
             return
-        new = self.new = self.late if len(cache) >= CACHE else cache
+        new = self.new = self.late if len(cache) + 2 * len(todo) > self.keep else cache  # a word and its point make two
         plain, other = {}, []
         for r in todo:
-            if r.isalpha():
+            if len(r) > KEPT_LENGTH:
+                other.append(r)
+            elif r.isalpha():
                 plain[r] = r
             elif r[-1] in ".," and r[:-1].isalpha():
                 plain[r] = r[:-1]
@@ -255,7 +261,7 @@ class Encoder:
                 (n, ids, text), (m, more, point) = cache.get(w) or new[w], self.points[r[-1]]
                 new[r] = (n + m, f"{ids} {more}", f"{text} {point}")
         for r in other:
-            new[r] = self._one(r)
+            (new if len(r) <= KEPT_LENGTH else self.late)[r] = self._one(r)
 
     def get(self, runs: list[str]) -> list[tuple[int, str, str]]:
         """(number of ids, ids as text, decoded text) of each of the runs last learned, less those without ids."""
@@ -265,11 +271,11 @@ class Encoder:
         return [x for r in runs if (x := cache[r])[0]]
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, keep: int = CACHE) -> Encoder:
     """One a process, kept from task to task."""
-    key = f"encoder:{path}"
+    key = f"encoder:{keep}:{path}"
     if key not in _loaded:
-        _loaded[key] = Encoder(path)
+        _loaded[key] = Encoder(path, keep)
     return _loaded[key]
 
 
@@ -283,11 +289,11 @@ def _sha(s: str) -> str:
 
 def _assemble(parts: list[tuple[int, str, str]], digests: bool) -> tuple:
     n, ids, text = sum(p[0] for p in parts), " ".join(p[1] for p in parts), " ".join(p[2] for p in parts)
-    return (n, _sha(ids), _sha(text)) if digests else (n, [int(x) for x in ids.split()], text)
+    return (n, _sha(ids), _sha(text)) if digests else (n, np.fromstring(ids, np.int32, sep=" "), text)
 
 
-def encode(docs: DataFrame, path: str, digests: bool = False, size: int = LEAF) -> DataFrame:
-    """doc_id, n_tokens, and `ids` and `decoded`, or their digests.
+def encode(docs: DataFrame, path: str, digests: bool = False, size: int = LEAF, keep: int = CACHE) -> DataFrame:
+    """doc_id, n_tokens, and `ids` and `decoded`, or their digests. `keep`: runs that a Python process keeps, some 400 bytes each.
 
     Texts of up to `size` characters are encoded where they are read. A longer one is a tree: each leaf is a row,
     dealt out evenly over the cluster, and the leaves meet by their row's key to be joined. Only one text is ever
@@ -299,7 +305,7 @@ def encode(docs: DataFrame, path: str, digests: bool = False, size: int = LEAF)
     arrow = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), *([("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] if digests else [("ids", pa.list_(pa.int32())), ("decoded", pa.string())])])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(path, keep)
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 s = b.slice(at, 1000)
@@ -320,7 +326,7 @@ def encode(docs: DataFrame, path: str, digests: bool = False, size: int = LEAF)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, names = encoder(path), ["row", "doc_id", "a", "text", "middle", "ids", "starts", "ends", "n_head", "n", "first"]
+        enc, names = encoder(path, keep), ["row", "doc_id", "a", "text", "middle", "ids", "starts", "ends", "n_head", "n", "first"]
         for b in batches:
             for k in range(0, b.num_rows, 20):
                 some = b.slice(k, 20)
@@ -350,7 +356,7 @@ def encode(docs: DataFrame, path: str, digests: bool = False, size: int = LEAF)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Texts from their leaves, which come one after the other; the last text of a batch may go on in the next."""
-        t, numbers, held, out = tokenizer(path), encoder(path).numbers, [], []
+        t, numbers, held, out = tokenizer(path), encoder(path, keep).numbers, [], []
         for b in batches:
             for k in range(0, b.num_rows, 100):
                 for r in b.slice(k, 100).to_pylist():

@@ -1,6 +1,7 @@
 """The pipeline against the operators' brute-force versions, stage by stage."""
 
 import corpus_pipeline
+import pyarrow as pa
 from splicelake.llm import bpe, queries, secrets
 from splicelake.llm.common import materialise
 
@@ -62,3 +63,23 @@ def test_odd_rows(spark):
         assert left == [*without, 20_001, 20_002, 20_003, 20_003, 20_004, 20_004, 20_005, 20_006], name
     final = {r["doc_id"]: r for r in at.collect() if r["doc_id"] >= 20_000}
     assert list(final[20_001]["ids"]) == [] == list(final[20_002]["ids"]) and "secret" in final[20_006]["decoded"] and "hunter" not in final[20_006]["decoded"]
+
+
+def test_encoding_leaves_little_in_the_workers(spark):
+    """Python processes outlive the stage; what its encoder keeps there is bounded, and long runs aren't kept."""
+    rows = [(d, " ".join(f"{d}x{k}" for k in range(1000)) + " " + "long" * 100 + f" {d}") for d in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = {r["doc_id"]: r for r in corpus_pipeline.encode(spark, docs, SF).collect()}
+    t = bpe.tokenizer(queries.vocabulary())
+    for d, x in rows[::40]:
+        assert list(got[d]["ids"]) == t.encode(x, add_special_tokens=False).ids and got[d]["n_tokens"] == len(got[d]["ids"])
+
+    def left(batches):
+        from splicelake.llm import bpe
+
+        own = [x for x in bpe._loaded.values() if isinstance(x, bpe.Encoder) and getattr(x, "keep", corpus_pipeline.KEEP) == corpus_pipeline.KEEP]
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([max((len(x.cache) for x in own), default=0)]), pa.array([max((len(r) for x in own for r in x.cache), default=0)])], names=["runs", "longest"])
+
+    runs, longest = zip(*((r["runs"], r["longest"]) for r in spark.range(16).repartition(16).mapInArrow(left, "runs long, longest long").collect()), strict=True)
+    assert 0 < max(runs) <= corpus_pipeline.KEEP and max(longest) <= bpe.KEPT_LENGTH
