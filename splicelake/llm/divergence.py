@@ -1,14 +1,15 @@
 """Source divergence audit: how far the words of each source of a language are from those of the others.
 
-Plain relational: matches of a pattern (runs of letters) are exploded and counted by language, source and term; the
-terms a language keeps are crossed with its sources, so that absent terms count as zeros; a self-join on language and
-term sets each source beside each other one, and sums and windows rank them. The matches are found and first counted
-with Arrow: as plain column expressions that was over half of the work.
+Plain relational: matches of a pattern (runs of letters) are exploded and counted by language, source and term; a term
+that its language keeps becomes a row with its sources and their counts, and sums and windows rank what follows from
+them. The matches are found and first counted with Arrow: as plain column expressions that was over half of the work.
 
-No key is one task's: counting combines in the map tasks, the crossing is dealt by language and a salt of the term, and
-every later step by language and term. Terms with their counts and the dense table are written once. The dense table has
-a row for each kept term and source of its language, the self-join one for each of these and each other source; only
-sums leave it.
+No row is made for a term that a source lacks: all such terms of a source have the same share, so a pair of sources
+starts from the sum in which both lack every kept term, and is corrected for each one's terms (by how many it has how
+often) and for those of both. Only the latter are set side by side, which is exact, as all sums are of whole numbers.
+
+No key is one task's: tasks count before they deal out rows, by language and term, and what is summed by language and
+sources combines in the map tasks. Kept terms with their uses are written once, and how often groups have terms.
 
 Defined results: null text, lang and source are read as ''. Each row is a document, so repeated rows count again. A group
 without terms, or of a language that keeps none, has its `pair` rows all the same (value 0 where no term is kept); a
@@ -32,13 +33,13 @@ LETTERS = np.array([b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122
 SLICE = 8 << 20
 LEAST_DOCUMENTS = 3
 SHOWN = 200
-SALTS = 512
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """lang, source, term, n, docs: how often, and in how many documents, a group has a term.
 
-    Tasks find and explode the matches of a slice of texts and count them by group and term before rows leave them.
+    Tasks find and explode the matches of a slice of texts and count them by group and term before rows leave them,
+    dealt by language and term.
     """
 
     codes = lambda c: np.asarray(c.dictionary_encode().indices).astype(np.int64)
@@ -60,7 +61,7 @@ def term_counts(docs: DataFrame) -> DataFrame:
 
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     rows = docs.select(text("text"), text("lang"), text("source")).mapInArrow(run, "lang string, source string, term string, n long, docs long")
-    return rows.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    return rows.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def share(n: str, total: str, kept: str) -> Column:
@@ -76,25 +77,56 @@ def excess(p: str, q: str) -> Column:
     return F.expr(f"(({p} - {q}) * ({p} - {q})) div {q}")
 
 
-def dense_shares(docs: DataFrame, least: int = LEAST_DOCUMENTS, salts: int = SALTS) -> tuple[DataFrame, DataFrame]:
-    """The groups (lang, source, total, kept), and lang, source, term, n, p, q for each group and kept term of its
-    language: its count, its share, and the language's share."""
-    counts = materialise(term_counts(docs), "divergence-counts")
-    vocabulary = materialise(counts.groupBy("lang", "term").agg(F.sum("n").alias("n_lang"), F.sum("docs").alias("docs")).filter(F.col("docs") >= least).drop("docs"), "divergence-vocabulary")
-    own = counts.join(vocabulary, ["lang", "term"], "left_semi").select("lang", "source", "term", "n")
-    by_lang = vocabulary.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("n_lang").alias("total_lang"))
+def kept_terms(docs: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
+    """lang, term, n_lang, uses (source, n; by source), of the terms that a language has in `least` documents or more.
+
+    Both groupings find their rows in place: the counts come dealt by language and term.
+    """
+    by_term = term_counts(docs).groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n_lang"), F.sort_array(F.collect_list(F.struct("source", "n"))).alias("uses"))
+    return materialise(by_term.filter(F.col("docs") >= least).drop("docs"), "divergence-terms")
+
+
+def occurring(docs: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """lang, source, total, kept, total_lang, none for each group, `none` being the share of a kept term that it lacks;
+    and lang, source, n, terms: how many of a group's kept terms it has n times."""
+    uses = terms.select("lang", F.explode("uses").alias("use")).select("lang", "use.source", "use.n")
+    often = materialise(uses.groupBy("lang", "source", "n").agg(F.count("*").alias("terms")), "divergence-often")
+    totals = often.groupBy("lang", "source").agg(F.sum(F.col("n") * F.col("terms")).alias("total"))
+    by_lang = terms.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("n_lang").alias("total_lang"))
     present = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source")).distinct()
-    totals = own.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    groups = materialise(
-        present.join(totals, ["lang", "source"], "left").join(by_lang, "lang", "left").select("lang", "source", zero("total"), zero("kept"), zero("total_lang")), "divergence-groups"
-    )
-    salt = F.pmod(F.xxhash64("term"), F.lit(salts))
-    spread = groups.filter("kept > 0").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
-    crossed = vocabulary.withColumn("salt", salt).join(spread, ["lang", "salt"]).drop("salt")
-    dense = crossed.join(own, ["lang", "source", "term"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    dense = dense.select("lang", "source", "term", "n", share("n", "total", "kept").alias("p"), share("n_lang", "total_lang", "kept").alias("q"))
-    return groups.drop("total_lang"), materialise(dense, "divergence-dense")
+    groups = present.join(totals, ["lang", "source"], "left").join(by_lang, "lang", "left").select("lang", "source", zero("total"), zero("kept"), zero("total_lang"))
+    none = F.when(F.col("kept") > 0, share("0", "total", "greatest(kept, 1)")).otherwise(F.lit(0))
+    return materialise(groups.withColumn("none", none), "divergence-groups"), often
+
+
+def apart(terms: DataFrame, groups: DataFrame, often: DataFrame) -> DataFrame:
+    """lang, source, item, value: the summed excess of each source's shares over each other one's, 0 if no term is kept.
+
+    As if neither source had any term, then what each one's own terms change in this, then what those of both do: only
+    the latter are set side by side, and no row is made for a term that a source lacks.
+    """
+    side = lambda x, *more: groups.select("lang", *(F.col(c).alias(f"{c}_{x}") for c in ("source", "total", "none", *more)))
+    a, b = side("a", "kept"), side("b")
+    with_share = lambda df, x: df.withColumn(f"p_{x}", share(f"n_{x}", f"total_{x}", "kept_a"))
+
+    lacking = F.when(F.col("kept_a") > 0, F.col("kept_a") * excess("none_a", "none_b")).otherwise(F.lit(0))
+    neither = a.join(b, "lang").filter("source_a != source_b").select("lang", "source_a", "source_b", lacking.alias("value"))
+
+    own = with_share(often.select("lang", F.col("source").alias("source_a"), F.col("n").alias("n_a"), "terms").join(a, ["lang", "source_a"]), "a").join(b, "lang").filter("source_a != source_b")
+    ab, ba = excess("p_a", "none_b") - excess("none_a", "none_b"), excess("none_b", "p_a") - excess("none_b", "none_a")
+    own = own.groupBy("lang", "source_a", "source_b").agg(F.sum(F.col("terms") * ab).alias("ab"), F.sum(F.col("terms") * ba).alias("ba"))
+
+    one = terms.select("lang", "uses", F.posexplode("uses").alias("at", "use")).filter("at + 1 < size(uses)")
+    one = with_share(one.select("lang", "uses", "at", F.col("use.source").alias("source_a"), F.col("use.n").alias("n_a")).join(a, ["lang", "source_a"]), "a")
+    both = one.select("lang", "source_a", "kept_a", "none_a", "p_a", F.explode(F.slice("uses", F.col("at") + 2, F.size("uses"))).alias("use"))
+    both = with_share(both.withColumn("source_b", F.col("use.source")).withColumn("n_b", F.col("use.n")).join(b, ["lang", "source_b"]), "b")
+    more = lambda x, y: excess(f"p_{x}", f"p_{y}") - excess(f"p_{x}", f"none_{y}") - excess(f"none_{x}", f"p_{y}") + excess(f"none_{x}", f"none_{y}")
+    both = both.groupBy("lang", "source_a", "source_b").agg(F.sum(more("a", "b")).alias("ab"), F.sum(more("b", "a")).alias("ba"))
+
+    ways = F.explode(F.array(F.struct("source_a", "source_b", F.col("ab").alias("value")), F.struct(F.col("source_b").alias("source_a"), F.col("source_a").alias("source_b"), F.col("ba").alias("value"))))
+    changes = own.unionByName(both).select("lang", ways.alias("way")).select("lang", "way.*")
+    return neither.unionByName(changes).groupBy("lang", F.col("source_a").alias("source"), F.col("source_b").alias("item")).agg(F.sum("value").alias("value"))
 
 
 def audit(docs: DataFrame, least: int = LEAST_DOCUMENTS, shown: int = SHOWN) -> DataFrame:
@@ -103,13 +135,11 @@ def audit(docs: DataFrame, least: int = LEAST_DOCUMENTS, shown: int = SHOWN) ->
     `pair`: each other source of the language, by the summed excess of this one's shares over its; all of them.
     `term`: terms that this source uses more than its language does, by that excess; the first `shown`.
     """
-    groups, dense = dense_shares(docs, least)
-    other = dense.select("lang", "term", F.col("source").alias("item"), F.col("p").alias("q"))
-    apart = dense.select("lang", "term", "source", "p").join(other, ["lang", "term"]).filter("source != item")
-    sums = apart.groupBy("lang", "source", "item").agg(F.sum(excess("p", "q")).alias("value"))
-    each = groups.select("lang", "source").join(groups.select("lang", F.col("source").alias("item")), "lang").filter("source != item")
-    pairs = each.join(sums, ["lang", "source", "item"], "left").withColumn("value", F.coalesce("value", F.lit(0)))
-    terms = dense.filter("n > 0 and p > q").select("lang", "source", F.col("term").alias("item"), excess("p", "q").alias("value"))
+    terms = kept_terms(docs, least)
+    groups, often = occurring(docs, terms)
+    used = terms.select("lang", "term", "n_lang", F.explode("uses").alias("use")).select("lang", "term", "n_lang", "use.source", "use.n").join(groups, ["lang", "source"])
+    used = used.select("lang", "source", F.col("term").alias("item"), share("n", "total", "kept").alias("p"), share("n_lang", "total_lang", "kept").alias("q"))
+    over = used.filter("p > q").select("lang", "source", "item", excess("p", "q").alias("value"))
     rank = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
     shape = lambda df, part: df.withColumn("rank", rank).select("lang", "source", F.lit(part).alias("part"), "item", "value", "rank")
-    return shape(pairs, "pair").unionByName(shape(terms, "term").filter(F.col("rank") <= shown))
+    return shape(apart(terms, groups, often), "pair").unionByName(shape(over, "term").filter(F.col("rank") <= shown))

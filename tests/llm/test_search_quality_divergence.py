@@ -130,6 +130,26 @@ def test_divergence_empty(docs):
     assert alone == []
 
 
+def test_divergence_makes_no_row_for_a_term_that_a_source_lacks(spark, monkeypatch):
+    """Forty sources of twenty terms of their own each: a row for each kept term and source would be 32,000."""
+    word = lambda k: "".join(chr(97 + int(d)) for d in str(k))
+    rows = [(" ".join(word(1000 + 20 * s + k) for k in range(20)) + " shared" * (s % 3), "en", f"s{s}") for s in range(40) for _ in range(3)]
+    rows += [("", "en", "mute"), (None, "en", None), ("shared", None, "s0")]
+    written, write = [], divergence.materialise
+    monkeypatch.setattr(divergence, "materialise", lambda *a: written.append(write(*a)) or written[-1])
+    got = divergence.audit(spark.createDataFrame(rows, "text string, lang string, source string")).collect()
+    assert Counter((r["lang"], r["source"], r["part"], r["item"], r["value"], r["rank"]) for r in got) == audit_brute([(t, lang, source) for t, lang, source in rows], 3, 200)
+    assert written and sum(df.count() for df in written) < 4_000
+
+
+def test_divergence_of_sources_with_the_same_terms(spark):
+    """Only what two sources both have makes their difference; a far larger one beside them leaves it as it is."""
+    rows = [(t, "en", s) for s, t in (("a", "one one two"), ("b", "one two two three"), ("c", "one two " * 5_000)) for _ in range(3)]
+    rows += [("only here", "de", "a")] * 3 + [("rare", "fr", "a"), ("", "fr", "b")]
+    got = divergence.audit(spark.createDataFrame(rows, "text string, lang string, source string")).collect()
+    assert Counter((r["lang"], r["source"], r["part"], r["item"], r["value"], r["rank"]) for r in got) == audit_brute(rows, 3, 200)
+
+
 def described_brute(text):
     """Some of the statistics, from the text itself."""
     t = text or ""
