@@ -9,7 +9,8 @@ starts from the sum in which both lack every kept term, and is corrected for eac
 often) and for those of both. Only the latter are set side by side, which is exact, as all sums are of whole numbers.
 
 No key is one task's: tasks count before they deal out rows, by language and term, and what is summed by language and
-sources combines in the map tasks. Kept terms with their uses are written once, and how often groups have terms.
+sources combines in the map tasks. Shares are looked up before sources are paired, so that no pair is shuffled for it.
+Kept terms with their uses are written once, and how often groups have terms.
 
 Defined results: null text, lang and source are read as ''. Each row is a document, so repeated rows count again. A group
 without terms, or of a language that keeps none, has its `pair` rows all the same (value 0 where no term is kept); a
@@ -100,27 +101,31 @@ def occurring(docs: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
     return materialise(groups.withColumn("none", none), "divergence-groups"), often
 
 
+def shares(terms: DataFrame, groups: DataFrame) -> DataFrame:
+    """lang, term, source, p, q, none for each term that a group has: its share, its language's and that of a term it lacks."""
+    uses = terms.select("lang", "term", "n_lang", F.explode("uses").alias("use")).select("lang", "term", "n_lang", "use.source", "use.n")
+    return uses.join(groups, ["lang", "source"]).select("lang", "term", "source", share("n", "total", "kept").alias("p"), share("n_lang", "total_lang", "kept").alias("q"), "none")
+
+
 def apart(terms: DataFrame, groups: DataFrame, often: DataFrame) -> DataFrame:
     """lang, source, item, value: the summed excess of each source's shares over each other one's, 0 if no term is kept.
 
     As if neither source had any term, then what each one's own terms change in this, then what those of both do: only
     the latter are set side by side, and no row is made for a term that a source lacks.
     """
-    side = lambda x, *more: groups.select("lang", *(F.col(c).alias(f"{c}_{x}") for c in ("source", "total", "none", *more)))
-    a, b = side("a", "kept"), side("b")
-    with_share = lambda df, x: df.withColumn(f"p_{x}", share(f"n_{x}", f"total_{x}", "kept_a"))
-
-    lacking = F.when(F.col("kept_a") > 0, F.col("kept_a") * excess("none_a", "none_b")).otherwise(F.lit(0))
+    side = lambda x: groups.select("lang", "kept", F.col("source").alias(f"source_{x}"), F.col("total").alias(f"total_{x}"), F.col("none").alias(f"none_{x}"))
+    a, b = side("a"), side("b").drop("kept", "total_b")
+    lacking = F.when(F.col("kept") > 0, F.col("kept") * excess("none_a", "none_b")).otherwise(F.lit(0))
     neither = a.join(b, "lang").filter("source_a != source_b").select("lang", "source_a", "source_b", lacking.alias("value"))
 
-    own = with_share(often.select("lang", F.col("source").alias("source_a"), F.col("n").alias("n_a"), "terms").join(a, ["lang", "source_a"]), "a").join(b, "lang").filter("source_a != source_b")
+    own = often.withColumnRenamed("source", "source_a").join(a, ["lang", "source_a"]).withColumn("p_a", share("n", "total_a", "kept")).join(b, "lang").filter("source_a != source_b")
     ab, ba = excess("p_a", "none_b") - excess("none_a", "none_b"), excess("none_b", "p_a") - excess("none_b", "none_a")
     own = own.groupBy("lang", "source_a", "source_b").agg(F.sum(F.col("terms") * ab).alias("ab"), F.sum(F.col("terms") * ba).alias("ba"))
 
-    one = terms.select("lang", "uses", F.posexplode("uses").alias("at", "use")).filter("at + 1 < size(uses)")
-    one = with_share(one.select("lang", "uses", "at", F.col("use.source").alias("source_a"), F.col("use.n").alias("n_a")).join(a, ["lang", "source_a"]), "a")
-    both = one.select("lang", "source_a", "kept_a", "none_a", "p_a", F.explode(F.slice("uses", F.col("at") + 2, F.size("uses"))).alias("use"))
-    both = with_share(both.withColumn("source_b", F.col("use.source")).withColumn("n_b", F.col("use.n")).join(b, ["lang", "source_b"]), "b")
+    several = shares(terms.filter(F.size("uses") > 1), groups).groupBy("lang", "term").agg(F.sort_array(F.collect_list(F.struct("source", "p", "none"))).alias("uses"))
+    use = lambda x: [F.col(f"use.{c}").alias(f"{c}_{x}") for c in ("source", "p", "none")]
+    one = several.select("lang", "uses", F.posexplode("uses").alias("at", "use")).filter("at + 1 < size(uses)")
+    both = one.select("lang", *use("a"), F.explode(F.slice("uses", F.col("at") + 2, F.size("uses"))).alias("use")).select("lang", "source_a", "p_a", "none_a", *use("b"))
     more = lambda x, y: excess(f"p_{x}", f"p_{y}") - excess(f"p_{x}", f"none_{y}") - excess(f"none_{x}", f"p_{y}") + excess(f"none_{x}", f"none_{y}")
     both = both.groupBy("lang", "source_a", "source_b").agg(F.sum(more("a", "b")).alias("ab"), F.sum(more("b", "a")).alias("ba"))
 
@@ -137,9 +142,7 @@ def audit(docs: DataFrame, least: int = LEAST_DOCUMENTS, shown: int = SHOWN) ->
     """
     terms = kept_terms(docs, least)
     groups, often = occurring(docs, terms)
-    used = terms.select("lang", "term", "n_lang", F.explode("uses").alias("use")).select("lang", "term", "n_lang", "use.source", "use.n").join(groups, ["lang", "source"])
-    used = used.select("lang", "source", F.col("term").alias("item"), share("n", "total", "kept").alias("p"), share("n_lang", "total_lang", "kept").alias("q"))
-    over = used.filter("p > q").select("lang", "source", "item", excess("p", "q").alias("value"))
+    over = shares(terms, groups).filter("p > q").select("lang", "source", F.col("term").alias("item"), excess("p", "q").alias("value"))
     rank = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
     shape = lambda df, part: df.withColumn("rank", rank).select("lang", "source", F.lit(part).alias("part"), "item", "value", "rank")
     return shape(apart(terms, groups, often), "pair").unionByName(shape(over, "term").filter(F.col("rank") <= shown))
