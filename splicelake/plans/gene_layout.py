@@ -70,9 +70,17 @@ class GeneLayout(Mapping):
 
     # Steps, each written once.
 
+    def _wide(self, df: DataFrame) -> DataFrame:
+        """Of all genes, a table that isn't to be sent to the driver for a join: Parquet of ids and places takes a tenth to a
+        fortieth of what its rows do in memory, so that the size of the files tells nothing."""
+        return df if self.chosen is not None else df.hint("merge")
+
+    def _step(self, df: DataFrame, name: str) -> DataFrame:
+        return self._wide(stored(df, f"layout-{name}"))
+
     @property
     def genes(self) -> DataFrame:
-        return self.tables["genes"] if self.chosen is None else self.chosen
+        return self._wide(self.tables["genes"]) if self.chosen is None else self.chosen
 
     @cached_property
     def gene_ids(self) -> list | None:
@@ -91,17 +99,17 @@ class GeneLayout(Mapping):
 
     @cached_property
     def transcripts(self) -> DataFrame:
-        return stored(self._of_genes("transcripts"), "layout-transcripts")
+        return self._step(self._of_genes("transcripts"), "transcripts")
 
     @cached_property
     def exons(self) -> DataFrame:
         if self.chosen is None:  # what reads them joins them with transcripts
             return self.tables["transcript_exon"].drop("gene_ensembl_id")
-        return stored(self._of_transcripts("transcript_exon"), "layout-exons")
+        return self._step(self._of_transcripts("transcript_exon"), "exons")
 
     @cached_property
     def proteins(self) -> DataFrame:
-        return stored(self._of_transcripts("proteins"), "layout-proteins")
+        return self._step(self._of_transcripts("proteins"), "proteins")
 
     @cached_property
     def domains(self) -> DataFrame:
@@ -111,39 +119,39 @@ class GeneLayout(Mapping):
             homes = few(self.proteins.select("home"))
             events = events if homes is None else events.filter(F.col("home").isin(homes))
         own = events.join(first.select(F.col("protein").alias("protein_ensembl_id")).distinct(), "protein_ensembl_id", "left_semi")
-        return stored(layout.protein_sites(own, self.tables["domain_type"].select("type_id")).join(first, "protein"), "layout-domains")
+        return self._step(layout.protein_sites(own, self.tables["domain_type"].select("type_id")).join(first, "protein"), "domains")
 
     @cached_property
     def exon_colors(self) -> DataFrame:
         """By all transcripts of a gene, before any is left out."""
-        return stored(layout.exon_colors(self.exons, self.transcripts), "layout-colors")
+        return self._step(layout.exon_colors(self.exons, self.transcripts), "colors")
 
     @cached_property
     def drawn(self) -> DataFrame:
         if self.chosen is None:  # of all genes, which proteins have a domain is asked before the domains are made
             known = self.tables["domain_event"].join(self.tables["domain_type"].select("type_id").distinct(), "type_id", "left_semi")
             proteins = known.select(F.col("protein_ensembl_id").alias("protein")).filter("protein is not null")
-            flags = layout.transcript_flags(self.transcripts, self.exons, self.tables["proteins"], proteins)
-            return stored(layout.drawn_transcripts(self.transcripts, flags, self.protein_only, self.domains_only), "layout-drawn")
+            flags = layout.transcript_flags(self.transcripts, self.exons, self._wide(self.tables["proteins"]), proteins)
+            return self._step(layout.drawn_transcripts(self.transcripts, flags, self.protein_only, self.domains_only), "drawn")
         with ThreadPoolExecutor(2) as pool:  # neither needs the other
             self.transcripts  # noqa: B018  both need it: written first
             for step in [pool.submit(getattr, self, name) for name in ("exons", "domains")]:
                 step.result()
         flags = layout.transcript_flags(self.transcripts, self.exons, self.proteins, self.domains)
-        return stored(layout.drawn_transcripts(self.transcripts, flags, self.protein_only, self.domains_only), "layout-drawn")
+        return self._step(layout.drawn_transcripts(self.transcripts, flags, self.protein_only, self.domains_only), "drawn")
 
     @cached_property
     def segments(self) -> DataFrame:
-        return stored(layout.coding_segments(self._drawn_exons), "layout-segments")
+        return self._step(layout.coding_segments(self._drawn_exons), "segments")
 
     @cached_property
     def axis(self) -> DataFrame:
         """tx, gene_ensembl_id, axis_max."""
-        return stored(self._of.join(layout.gene_axis(self.drawn, self.segments, self._own), "gene_ensembl_id").select("tx", "gene_ensembl_id", "axis_max"), "layout-axis")
+        return self._step(self._of.join(layout.gene_axis(self.drawn, self.segments, self._own), "gene_ensembl_id").select("tx", "gene_ensembl_id", "axis_max"), "axis")
 
     @cached_property
     def hits(self) -> DataFrame:
-        return stored(layout.domain_segments(self._own, self.segments), "layout-hits")
+        return self._step(layout.domain_segments(self._own, self.segments), "hits")
 
     @property
     def paged(self) -> DataFrame:
@@ -175,6 +183,11 @@ class GeneLayout(Mapping):
     def _pages(self) -> DataFrame:
         return layout.page_titles(layout.titles(self.genes, self.extents), self.paged, self.clusters)
 
+    @property
+    def titled(self) -> DataFrame:
+        """gene_ensembl_id, title, n_pages: `pages` without the pages."""
+        return layout.with_clusters(layout.titles(self.genes, self.extents), self.clusters).join(layout.page_counts(self.paged), "gene_ensembl_id")
+
     @property
     def captioned(self) -> DataFrame:
         """gene_ensembl_id, tx, page, slot, caption: `transcripts` without the axis."""
@@ -200,7 +213,7 @@ class GeneLayout(Mapping):
 
     def _labels(self) -> DataFrame:
         own = self._own.drop("protein").withColumnRenamed("tx", "key")
-        return layout.label_lanes(layout.island_labels(own, self.axis.select(F.col("tx").alias("key"), "axis_max"), self.tables["domain_type"]))
+        return layout.label_lanes(layout.island_labels(own, self.axis.select(F.col("tx").alias("key"), "axis_max"), self._wide(self.tables["domain_type"])))
 
     def _drawings(self) -> DataFrame:
         return self.drawings

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import HEX_COLORS, negative_strand, with_commas
+from ..operators.layout import page_title
 from ..sources.stored import stored
 from .gene_layout import GeneLayout
 
@@ -51,76 +52,100 @@ def page_documents(drawn: GeneLayout) -> DataFrame:
 
     Of an overlay there is one for each cluster and page of its drawn gene, with the cluster's brackets, and its junction
     table on the first page; else cluster is null. A page's text is made of its own rows, a few transcripts of them.
+
+    What is drawn of a transcript comes to one row, and these to their gene, where texts are made behind the last shuffle.
+    No side of these joins is sent to the driver: their files are small, but not their rows.
     """
     at = drawn["transcripts"].select("gene_ensembl_id", "tx", "page", "slot", "caption", "axis_max")
-    extent = drawn.extents.join(drawn.genes.groupBy("gene_ensembl_id").agg(F.max(negative_strand(F.col("strand"))).alias("negative")), "gene_ensembl_id")
-    # Written: seven kinds of rows meet it, and would each have its joins in their plan and its tables at the driver.
-    at = stored(at.join(extent, "gene_ensembl_id").withColumn("y", F.lit(TOP) + F.col("slot") * F.lit(SLOT)), "document-transcripts")
-    shape, segment_colors = stored(drawn["shapes"], "document-shapes"), stored(drawn.segment_colors, "document-colors")
+    of_tx = lambda df, name, *fields: df.groupBy("tx").agg(F.collect_list(F.struct(*fields)).alias(name)).hint("merge")
+    segment_colors = drawn.segment_colors.groupBy("tx").agg(F.array_sort(F.collect_list(F.struct("segment", "color"))).alias("segment_colors"))
+    parts = drawn["exon_parts"].groupBy("tx").agg(F.collect_set(F.struct("part", "start", "end")).alias("parts"))
+    rows = at
+    for piece in (
+        parts.hint("merge"), segment_colors.hint("merge"), of_tx(drawn["backbone"], "segments", "position", "start_aa", "end_aa"),
+        of_tx(drawn["shapes"], "shapes", "domain", "z", "center", "width", "fill", "color"),
+        of_tx(drawn["strips"], "strips", "domain", "strip", "center", "strip_height", "segment"), of_tx(drawn["labels"].withColumnRenamed("key", "tx"), "labels", "center", "text", "lane"),
+    ):
+        rows = rows.join(piece, "tx", "left")
+    # Written, so that neither plan has all of the layout's scans.
+    rows = stored(rows, "document-transcripts")
+
+    exon = F.struct((F.greatest("gs", "ge") - F.least("gs", "ge")).alias("n"), "color", F.least("gs", "ge").alias("es"), F.greatest("gs", "ge").alias("ee"))
+    colors = drawn["exon_colors"].groupBy("gene_ensembl_id").agg(F.array_sort(F.collect_list(exon)).alias("exon_colors"))
+    negative = drawn.genes.groupBy("gene_ensembl_id").agg(F.max(negative_strand(F.col("strand"))).alias("negative"))
+    extent = drawn.extents.select("gene_ensembl_id", "genomic_start", "genomic_end").join(negative.hint("merge"), "gene_ensembl_id")
+
+    first = lambda found, name: F.get(found, F.lit(0))[name]
+    holding = lambda p: F.filter("exon_colors", lambda c: (p["start"] >= c["es"]) & (p["end"] <= c["ee"]))  # noqa: E731  the shortest first
+    own_color = lambda k: first(F.filter("segment_colors", lambda c: c["segment"] == k), "color")
+    shape_of = lambda s: F.filter("shapes", lambda d: d["domain"] == s["domain"])
+    colored = lambda items, color: F.transform(items, lambda e: e.withField("color", color(e)))
+    rows = rows.join(colors.hint("merge"), "gene_ensembl_id", "left").withColumns({
+        "parts": colored("parts", lambda p: first(holding(p), "color")),
+        "segments": colored("segments", lambda s: own_color(s["position"])),
+        "strips": F.flatten(F.transform("strips", lambda s: F.transform(shape_of(s), lambda d: s.withField("color", own_color(s["segment"])).withField("z", d["z"]).withField("width", d["width"])))),
+    }).drop("exon_colors", "segment_colors")
+    pages = rows.groupBy("gene_ensembl_id", "page").agg(F.max("axis_max").alias("axis_most"), F.collect_list(F.struct("slot", "caption", "axis_max", "parts", "segments", "shapes", "strips", "labels")).alias("transcripts"))
+    out = pages.join(extent.hint("merge"), "gene_ensembl_id").join(drawn.titled.hint("merge"), "gene_ensembl_id")
+
     low, high = F.col("genomic_start"), F.greatest(F.col("genomic_end"), F.col("genomic_start") + 1)
 
     def genome(c: Column) -> Column:
         along = (c - low) / (high - low)
         return F.lit(GENOME[0]) + F.when(F.col("negative"), 1 - along).otherwise(along) * F.lit(GENOME[1] - GENOME[0])
 
-    def protein(c: Column) -> Column:
-        return F.lit(PROTEIN[0]) + c / F.col("axis_max") * F.lit(PROTEIN[1] - PROTEIN[0])
-
     def span(kind: str, x1: Column, x2: Column, y: Column, height: Column | float, fill: Column, **more: str) -> Column:
         height = F.lit(height) if isinstance(height, float) else height
         left = F.least(x1, x2)
         return _element("rect", **{"class": kind}, x=_n(left), y=_n(y - height / 2), width=_n(F.greatest(x1, x2) - left), height=_n(height), fill=fill, **more)
 
-    page = ("gene_ensembl_id", "page")
-
-    def rows(df: DataFrame, layer: int, place: Column, element: Column) -> DataFrame:
-        return df.select(*page, F.lit(layer).alias("layer"), "slot", place.cast("double").alias("place"), element.alias("element"))
-
-    y = F.col("y")
-    colors = drawn["exon_colors"].select("gene_ensembl_id", F.least("gs", "ge").alias("es"), F.greatest("gs", "ge").alias("ee"), "color")
-    parts = drawn["exon_parts"].join(at, "tx")
-    own = [F.col("start") >= F.col("es"), F.col("end") <= F.col("ee"), F.col("p.gene_ensembl_id") == F.col("c.gene_ensembl_id")]
-    colored = parts.alias("p").join(colors.alias("c"), own[0] & own[1] & own[2], "left").groupBy(*[F.col(f"p.{c}") for c in parts.columns]).agg(F.min(F.struct((F.col("ee") - F.col("es")).alias("n"), "color"))["color"].alias("color"))
-    coding = F.col("part") == "coding"
-    segments = drawn["backbone"].join(segment_colors.withColumnRenamed("segment", "position"), ["tx", "position"], "left").join(at, "tx")
-    shapes = shape.join(at, "tx")
-    strips = drawn["strips"].join(segment_colors, ["tx", "segment"], "left").join(shape.select("tx", "domain", "z", "width"), ["tx", "domain"]).join(at, "tx")
-    labels = drawn["labels"].withColumnRenamed("key", "tx").join(at, "tx")
-    elements = [
-        rows(at, 0, F.lit(0), _element("line", **{"class": "transcript"}, x1=GENOME[0], x2=GENOME[1], y1=_n(y + EXON_Y), y2=_n(y + EXON_Y), stroke="black")),
-        rows(at, 0, F.lit(1), _text(GENOME[0], _n(y + CAPTION_Y), 10, F.col("caption"))),
-        rows(
-            colored, 1, F.col("start"),
-            span("exon", genome(F.col("start")), genome(F.col("end")), y + EXON_Y, F.when(coding, F.lit(EXON_HEIGHT)).otherwise(F.lit(THIN_HEIGHT)), hex_color(F.col("color")), fill_opacity=F.when(coding, F.lit("1")).otherwise(F.lit("0.35"))),
-        ),
-        rows(at, 2, F.lit(0), _element("rect", **{"class": "protein"}, x=PROTEIN[0], y=_n(y + PROTEIN_Y - PROTEIN_HEIGHT / 2), width=_n(protein(F.col("axis_max")) - PROTEIN[0]), height=PROTEIN_HEIGHT, fill="white", stroke="black")),
-        rows(segments, 3, F.col("start_aa"), span("segment", protein(F.col("start_aa")), protein(F.col("end_aa")), y + PROTEIN_Y, PROTEIN_HEIGHT, hex_color(F.col("color")))),
-        rows(
-            strips, 4, F.col("z") * 2 + F.col("strip") / F.lit(1000.0),
-            span("strip", protein(F.col("center") - F.col("width") / 160), protein(F.col("center") + F.col("width") / 160), y + DOMAIN_Y, F.col("strip_height") * F.lit(TRACK), hex_color(F.col("color"))),
-        ),
-        rows(
-            shapes, 4, F.col("z") * 2 + 1,
-            _element("ellipse", **{"class": "domain"}, cx=_n(protein(F.col("center"))), cy=_n(y + DOMAIN_Y), rx=_n(F.col("width") / 2 / F.col("axis_max") * (PROTEIN[1] - PROTEIN[0])), ry=DOMAIN_HEIGHT / 2, fill=F.when(F.col("fill") == "strips", F.lit("none")).otherwise(hex_color(F.col("color"))), fill_opacity="0.8", stroke="black"),
-        ),
-        rows(labels, 5, F.col("center"), _text(_n(protein(F.col("center"))), _n(y + LABEL_Y + F.col("lane") * 9), 8, F.col("text"), "middle")),
-    ]
-    union = lambda dfs: dfs[0] if len(dfs) == 1 else dfs[0].unionByName(union(dfs[1:]))
-    joined = lambda df, keys, name: df.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("layer", "slot", "place", "element"))), lambda e: e["element"]), "\n").alias(name))
-    body = joined(union(elements), page, "body")
+    def elements(t: Column) -> Column:
+        y, axis = F.lit(TOP) + t["slot"] * F.lit(SLOT), t["axis_max"]
+        protein = lambda c: F.lit(PROTEIN[0]) + c / axis * F.lit(PROTEIN[1] - PROTEIN[0])
+        item = lambda layer, place, element: F.struct(F.lit(layer).alias("layer"), t["slot"].alias("slot"), place.cast("double").alias("place"), element.alias("element"))
+        each = lambda name, layer, place, element: F.coalesce(F.transform(t[name], lambda e: item(layer, place(e), element(e))), F.array())
+
+        def part(e: Column) -> Column:
+            coding = e["part"] == "coding"
+            height, opacity = F.when(coding, F.lit(EXON_HEIGHT)).otherwise(F.lit(THIN_HEIGHT)), F.when(coding, F.lit("1")).otherwise(F.lit("0.35"))
+            return span("exon", genome(e["start"]), genome(e["end"]), y + EXON_Y, height, hex_color(e["color"]), fill_opacity=opacity)
+
+        def strip(e: Column) -> Column:
+            half = e["width"] / 160
+            return span("strip", protein(e["center"] - half), protein(e["center"] + half), y + DOMAIN_Y, e["strip_height"] * F.lit(TRACK), hex_color(e["color"]))
+
+        def domain(e: Column) -> Column:
+            fill = F.when(e["fill"] == "strips", F.lit("none")).otherwise(hex_color(e["color"]))
+            return _element("ellipse", **{"class": "domain"}, cx=_n(protein(e["center"])), cy=_n(y + DOMAIN_Y), rx=_n(e["width"] / 2 / axis * (PROTEIN[1] - PROTEIN[0])), ry=DOMAIN_HEIGHT / 2, fill=fill, fill_opacity="0.8", stroke="black")
+
+        return F.concat(
+            F.array(
+                item(0, F.lit(0), _element("line", **{"class": "transcript"}, x1=GENOME[0], x2=GENOME[1], y1=_n(y + EXON_Y), y2=_n(y + EXON_Y), stroke="black")),
+                item(0, F.lit(1), _text(GENOME[0], _n(y + CAPTION_Y), 10, t["caption"])),
+                item(2, F.lit(0), _element("rect", **{"class": "protein"}, x=PROTEIN[0], y=_n(y + PROTEIN_Y - PROTEIN_HEIGHT / 2), width=_n(protein(axis) - PROTEIN[0]), height=PROTEIN_HEIGHT, fill="white", stroke="black")),
+            ),
+            each("parts", 1, lambda e: e["start"], part),
+            each("segments", 3, lambda e: e["start_aa"], lambda e: span("segment", protein(e["start_aa"]), protein(e["end_aa"]), y + PROTEIN_Y, PROTEIN_HEIGHT, hex_color(e["color"]))),
+            each("strips", 4, lambda e: e["z"] * 2 + e["strip"] / F.lit(1000.0), strip),
+            each("shapes", 4, lambda e: e["z"] * 2 + 1, domain),
+            each("labels", 5, lambda e: e["center"], lambda e: _text(_n(protein(e["center"])), _n(y + LABEL_Y + e["lane"] * 9), 8, e["text"], "middle")),
+        )
+
+    in_order = lambda items: F.array_join(F.transform(F.array_sort(items), lambda e: e["element"]), "\n")
     scale = F.concat_ws(
         "\n",
         _element("line", **{"class": "scale"}, x1=GENOME[0], x2=GENOME[1], y1=150.0, y2=150.0, stroke="black"), _element("line", **{"class": "scale"}, x1=PROTEIN[0], x2=PROTEIN[1], y1=150.0, y2=150.0, stroke="black"),
         _text(GENOME[0], 145.0, 8, with_commas(F.when(F.col("negative"), high).otherwise(low))), _text(GENOME[1], 145.0, 8, with_commas(F.when(F.col("negative"), low).otherwise(high)), "end"),
-        _text(PROTEIN[0], 145.0, 8, F.lit("0")), _text(PROTEIN[1], 145.0, 8, with_commas(F.floor("axis_max")), "end"),
+        _text(PROTEIN[0], 145.0, 8, F.lit("0")), _text(PROTEIN[1], 145.0, 8, with_commas(F.floor("axis_most")), "end"),
     )
-    heads = at.groupBy(*page).agg(F.max("axis_max").alias("axis_max"), F.max("genomic_start").alias("genomic_start"), F.max("genomic_end").alias("genomic_end"), F.max("negative").alias("negative"))
-    heads = heads.select(*page, scale.alias("scale"))
-    out = drawn["pages"].join(heads, [*page]).join(body, [*page], "left")
+    body = in_order(F.flatten(F.transform("transcripts", elements)))
+    title = page_title(F.col("title"), F.col("page"), F.col("n_pages"))
+    out = out.select("gene_ensembl_id", "page", title.alias("title"), scale.alias("scale"), body.alias("body"))
     if drawn.report is None:
         out = out.withColumns({"cluster": F.lit(None).cast("string"), "own": F.lit("")})
     else:
-        brackets = drawn["brackets"].drop("slot").join(at, "tx")
+        y = F.lit(TOP) + F.col("slot") * F.lit(SLOT)
+        brackets = drawn["brackets"].drop("slot").join(at, "tx").join(extent, "gene_ensembl_id")
         shown = brackets.join(drawn.drawings.select("cluster", "gene_ensembl_id"), ["cluster", "gene_ensembl_id"])
         base, top = y + EXON_Y - EXON_HEIGHT / 2, y + EXON_Y - (F.col("top") - F.lit(0.5)) * F.lit(TRACK)
         line = F.concat(F.lit("M"), _n(genome(F.col("left"))), F.lit(" "), _n(base), F.lit(" V"), _n(top), F.lit(" H"), _n(genome(F.col("right"))), F.lit(" V"), _n(base))
@@ -132,8 +157,8 @@ def page_documents(drawn: GeneLayout) -> DataFrame:
             "cluster", F.lit(0).cast("bigint").alias("page"), F.lit(7).alias("layer"), F.lit(0).cast("bigint").alias("slot"), F.col("idx").cast("double").alias("place"),
             _text(GENOME[0], _n(F.lit(44.0) + F.col("idx").cast("double") * 9), 7, F.concat_ws("  ", "idx", "junction_name", "gene_id", "comparison_results"), fill=hex_color(F.col("color"))).alias("element"),
         )
-        out = out.join(drawn.drawings, "gene_ensembl_id").join(joined(own.unionByName(table), ("cluster", "page"), "own"), ["cluster", "page"], "left")
+        own = own.unionByName(table).groupBy("cluster", "page").agg(in_order(F.collect_list(F.struct("layer", "slot", "place", "element"))).alias("own"))
+        out = out.join(drawn.drawings, "gene_ensembl_id").join(own, ["cluster", "page"], "left")
     start = F.lit(f'<svg xmlns="http://www.w3.org/2000/svg" width="{WIDTH}" height="{HEIGHT}" viewBox="0 0 {WIDTH} {HEIGHT}" font-family="sans-serif">')
     svg = F.concat_ws("\n", start, _text(WIDTH / 2, 28.0, 14, F.col("title"), "middle", font_weight="bold"), "scale", "body", "own", F.lit("</svg>"))
     return out.select("gene_ensembl_id", "cluster", "page", svg.alias("svg"))
-
