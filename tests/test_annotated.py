@@ -61,3 +61,12 @@ def test_a_report_writes_two_steps(spark, monkeypatch):
     s = stages(stand_ins(spark, SF))
     assert s.report.count() > 0 and names == ["kept", "report"]
     assert s.report.columns[:1] == ["ord"] and s.found.count() == s.counts["found"]
+
+
+def test_a_hot_gene_is_dealt_over_tasks(spark, monkeypatch):
+    t = stand_ins(spark, SF)
+    want = kept(stages(t).held)
+    monkeypatch.setattr(core, "HOT", 20)
+    dealt, was = [], core.annotated_junctions
+    monkeypatch.setattr(core, "annotated_junctions", lambda *a: dealt.append(a[-1]) or was(*a))
+    assert kept(stages(t).held) == want and max(dealt[0].values()) > 1
